@@ -1,11 +1,14 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL expresses them."""
 
-from trilune.llm import mixing
+from trilune.llm import mixing, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
+    "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,
 }
 
 SQL = {
+    "op1_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
 }
