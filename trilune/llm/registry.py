@@ -1,11 +1,12 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL expresses them."""
 
-from trilune.llm import mixing, token_counts, warc
+from trilune.llm import contamination, mixing, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,
+    "op10_contamination": contamination.query,
 }
 
 SQL = {
