@@ -1,11 +1,13 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL expresses them."""
 
-from trilune.llm import contamination, mixing, token_counts, warc
+from trilune.llm import contamination, language_id, lm_scoring, mixing, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op4_language_id": language_id.query,
     "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,
+    "op8_lm_scoring": lm_scoring.query,
     "op10_contamination": contamination.query,
 }
 
