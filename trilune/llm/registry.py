@@ -1,9 +1,10 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL expresses them."""
 
-from trilune.llm import contamination, language_id, lm_scoring, mixing, token_counts, warc
+from trilune.llm import contamination, language_id, lm_scoring, mixing, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
     "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,

@@ -56,6 +56,13 @@ class Words:
     doc: np.ndarray
     first: np.ndarray  # first[d] .. first[d + 1] are document d's words
     hash: np.ndarray | None
+    total: np.ndarray | None = None  # running sums that any stretch's fingerprint follows from
+
+    def prefix(self, n: int) -> np.ndarray:
+        """Fingerprint of each word's first n bytes; of all of them, where it has fewer."""
+        size = np.minimum(self.end - self.start, n)
+        down = _powers(len(self.buffer) + 1)[1]
+        return mix((self.total[self.start + size] - self.total[self.start]) * down[self.start] + size.astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -93,13 +100,13 @@ def split_buffer(buffer, offsets, separators: bytes = BLANKS, lower: bool = Fals
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    h = None
+    h = total = None
     if hashes:
         up, down = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[buffer] * up[:n], out=total[1:])
         h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(buffer, start, end, doc, first, h)
+    return Words(buffer, start, end, doc, first, h, total)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
