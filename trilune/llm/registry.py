@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL expresses them."""
 
-from trilune.llm import contamination, language_id, lm_scoring, mixing, token_counts, toxicity, warc
+from trilune.llm import contamination, language_id, lm_scoring, mixing, nearest, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,
     "op8_lm_scoring": lm_scoring.query,
+    "op9_nearest": nearest.query,
     "op10_contamination": contamination.query,
 }
 
