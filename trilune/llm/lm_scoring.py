@@ -43,7 +43,7 @@ def _packed(words: W.Words, number: np.ndarray) -> bytes:
     return text.tobytes()
 
 
-def encoded(docs: DataFrame, train, key: str, text: str, parts: int, slice_bytes: int = 16 << 20) -> DataFrame:
+def encoded(docs: DataFrame, train, key: str, text: str, parts: int, slice_bytes: int = 5 << 20) -> DataFrame:
     def encode(batches):
         import pickle
         import uuid

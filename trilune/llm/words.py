@@ -103,8 +103,11 @@ def split_buffer(buffer, offsets, separators: bytes = BLANKS, lower: bool = Fals
     h = total = None
     if hashes:
         up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buffer] * up[:n], out=total[1:])
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.take(_BYTE, buffer, out=total[1:])
+        total[1:] *= up[:n]
+        np.cumsum(total[1:], out=total[1:])
         h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     return Words(buffer, start, end, doc, first, h, total)
 
