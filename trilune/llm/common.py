@@ -43,6 +43,17 @@ def written(spark: SparkSession, df: DataFrame, what: str, compression: str = "z
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to this size are sent to every task; beyond it, a join shuffles.
+SENT_BYTES = 16 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame, *keys: str, bytes_each: int = 8) -> DataFrame:
+    """Rows of docs whose keys (expressions over docs, named as in gone) are not in gone. Null keys stay."""
+    gone = written(docs.sparkSession, gone.distinct(), "gone")
+    few = gone.count() * bytes_each <= SENT_BYTES
+    return docs.join(F.broadcast(gone) if few else gone, list(keys), "left_anti")
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilune.llm import words as W
-from trilune.llm.common import table, written
+from trilune.llm.common import table, without, written
 
 SHARD = "ids binary, first binary, terms binary, ends binary, postings binary"
 
@@ -163,3 +163,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated. The text alone decides, so rows are matched by its hash."""
+    hashed = docs.withColumn("_text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    bad = contamination(hashed.select("_text_hash", "text"), table(spark, sf_dir, "benchmark"), key="_text_hash").where("contaminated").select("_text_hash")
+    return without(hashed, bad, "_text_hash", bytes_each=64).select(*docs.columns)
