@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from trilune.llm.common import table, written
 
+CELLS = 8
+
 
 @dataclass
 class Router:
@@ -91,7 +93,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return part
 
 
-def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.97, hidden: int = 96, epochs: int = 30, seed: int = 3) -> Router:
+def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, hidden: int = 96, epochs: int = 30, seed: int = 3) -> Router:
     """Partition and classifier from sample vectors, with the probes that reach the recall on a tenth of them."""
     r, n, d = np.random.default_rng(seed), len(x), x.shape[1]
     k = min(k, n - 1)
@@ -156,7 +158,7 @@ def best_in_block(q_ids, q, ids, x, k: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, parts: int | None = None, sample: int = 10_000, recall: float = 0.97, block: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, parts: int | None = None, sample: int = 10_000, recall: float = 0.95, block: int = 20_000) -> DataFrame:
     """query_id, rank, id and score of each query's k nearest of the rows found. `sample` bounds what is fitted on."""
     spark = vectors.sparkSession
     clean = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(
@@ -194,27 +196,42 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
             )
 
     routed = written(spark, clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, probes array<int>"), "routed")
-    asked = routed.where("probes is not null").select("id", "x", F.explode("probes").alias("part"))
-    # How many blocks each part's rows and queries make; one row per part.
-    rows_of, queries_of = ({r[0]: -(-r[1] // block) for r in df.groupBy(c).count().collect()} for df, c in ((routed, "home"), (asked, "part")))
-    count_of = lambda found: F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(p_all)])
-    blocks = lambda c, found: F.element_at(count_of(found), F.col(c) + 1)
-    salt = lambda c, found: F.pmod(F.xxhash64(F.lit("block"), "id"), blocks(c, found)).cast("int")
-    every = lambda c, found: F.explode(F.sequence(F.lit(0), blocks(c, found) - 1))
-    base = routed.select("id", "x", F.col("home").alias("part"), salt("home", rows_of).alias("b"), every("home", queries_of).alias("q"))
-    ask = asked.select("id", "x", "part", salt("part", queries_of).alias("q"), every("part", rows_of).alias("b"))
+    # Parts lie in cells; a task searches the parts of one cell that each of its queries probes, and passes on one list per query.
+    per = -(-p_all // CELLS)
+    cell = lambda c: F.floor(c / per).cast("int")
+    routed = routed.withColumn("cell", cell(F.col("home")))
+    asked = routed.where("probes is not null").select("id", "x", "probes", F.explode(F.array_distinct(F.transform("probes", cell))).alias("cell"))
+    # How many blocks each cell's rows and queries make; one row per cell.
+    rows_of, queries_of = ({r[0]: -(-r[1] // block) for r in df.groupBy("cell").count().collect()} for df in (routed, asked))
+    blocks = lambda found: F.element_at(F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(CELLS)]), F.col("cell") + 1)
+    salt = lambda found: F.pmod(F.xxhash64(F.lit("block"), "id"), blocks(found)).cast("int")
+    every = lambda found: F.explode(F.sequence(F.lit(0), blocks(found) - 1))
+    base = routed.select("id", "x", "home", "cell", salt(rows_of).alias("b"), every(queries_of).alias("q"))
+    ask = asked.select("id", "x", "probes", "cell", salt(queries_of).alias("q"), every(rows_of).alias("b"))
 
     def search(left, right):
         import pandas as pd
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         q_ids, ids = left["id"].to_numpy(), right["id"].to_numpy()
-        q, x = (np.frombuffer(b"".join(d["x"]), float).reshape(len(d), -1) for d in (left, right))
-        r, c, s = best_in_block(q_ids, q, ids, x, k)
-        return pd.DataFrame({"query_id": q_ids[r], "vec_id": c, "score": s})
-
-    keys = ["part", "b", "q"]
+        if len(left) and len(right):
+            q, x = (np.frombuffer(b"".join(d["x"]), float).reshape(len(d), -1) for d in (left, right))
+            home = right["home"].to_numpy()
+            probe_of = np.repeat(np.arange(len(left)), [len(p) for p in left["probes"]])
+            probe = np.concatenate(list(left["probes"]))
+            for part in np.unique(home):
+                mine, held = np.unique(probe_of[probe == part]), home == part
+                if len(mine):
+                    r, c, s = best_in_block(q_ids[mine], q[mine], ids[held], x[held], k)
+                    rows.append(mine[r])
+                    cols.append(c)
+                    scores.append(s)
+        r, c, s = (np.concatenate(v) for v in (rows, cols, scores))
+        o = np.lexsort((c, -s, r))
+        o = o[np.arange(len(o)) - np.searchsorted(r[o], r[o]) < k]
+        return pd.DataFrame({"query_id": q_ids[r[o]], "vec_id": c[o], "score": s[o]})
+
+    keys = ["cell", "b", "q"]
     found = ask.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
