@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "kg", "retrieval")
+MODULES: tuple[str, ...] = ("text", "kg", "retrieval", "learner", "quality", "align", "sources", "streaming")
 
 
 def _merged(name: str) -> dict:
