@@ -23,7 +23,7 @@ def malformed_jsonl(spark: SparkSession, path: str, schema) -> int:
     """How many lines read_jsonl skips."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     df = spark.read.schema(T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])).json(path)
-    return df.select("_corrupt_record", *kind.names).where("_corrupt_record is not null").count()
+    return df.agg(F.count_if(F.col("_corrupt_record").isNotNull()), *[F.count(n) for n in kind.names]).first()[0]
 
 
 def read_delimited(spark: SparkSession, path: str, schema, sep: str = "\t", header: bool = True) -> DataFrame:
