@@ -9,8 +9,8 @@ intersected with the offset-adjusted postings of its other terms, rarest first.
 left are the exact occurrences, or, with slop, those whose terms stand within slop
 positions of their places.
 
-The windows are sent to every shard; they are the stated query set, and a table of them that exceeds
-`most_windows` is worked off in that many at a time. The corpus is never shuffled.
+The windows are sent to every shard, `most_windows` at a time; they are the stated query
+set. The corpus is never shuffled.
 
 Null and empty texts have no words; items without words have no windows. Items or documents that
 repeat are each judged. Null ids stay as they are. Other columns are not used.
@@ -110,14 +110,13 @@ class Shard:
         return np.diff(self.first)
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, slop: int = 0, share: int = 20, most_windows: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, slop: int = 0, share: int = 20, most_windows: int = 100_000) -> DataFrame:
     """Per document: key, n_words, n_hit, n_items, items (their ids), items_sha256, contaminated."""
     found, holders, names = windows(items, size, item, item_text)
-    if len(found) > most_windows:
-        raise ValueError("more windows than are sent at once: split the items and unite the results")
-    lengths = np.array([len(x) for x in found], np.int64)
-    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast((flat, lengths, holders, names))
+    sent = []
+    for at in range(0, len(found), most_windows):
+        some = found[at : at + most_windows]
+        sent.append(docs.sparkSession.sparkContext.broadcast((np.concatenate(some), np.array([len(x) for x in some], np.int64), holders[at : at + most_windows])))
     kind = docs.schema[key].dataType.simpleString()
 
     def search(batches):
@@ -125,16 +124,17 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
         import pyarrow as pa
 
-        flat, lengths, holders, names = sent.value
-        starts = np.cumsum(lengths) - lengths
-        vocabulary, term = np.unique(flat, return_inverse=True)
+        blocks = []
+        for b in sent:
+            flat, lengths, holders = b.value
+            blocks.append((*np.unique(flat, return_inverse=True), np.cumsum(lengths) - lengths, lengths, holders))
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, shard = pickle.loads(row[0]), Shard(*row[1:])
                 n = shard.counts()
                 hit = np.zeros(int(n.sum() + len(n)) + 1, np.int32)
                 items_of: dict[int, set[int]] = {}
-                if len(flat) and len(shard.terms):
+                for vocabulary, term, starts, lengths, holders in blocks if len(shard.terms) else ():
                     at = np.minimum(np.searchsorted(shard.terms, vocabulary), len(shard.terms) - 1)
                     known = shard.terms[at] == vocabulary
                     whole = np.add.reduceat(known[term], starts) == lengths
