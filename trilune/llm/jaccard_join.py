@@ -29,8 +29,8 @@ from trilune.llm import words as W
 from trilune.llm.common import SENT_BYTES, buckets, table, without, written
 
 FRAGMENTS = 4
-SHORT = 64  # lists up to this long give all their pairs of like size
-BLOCK = 512  # rows and columns of a block of comparisons
+SHORT = 100  # lists up to this long give all their pairs of like size
+BLOCK = 2048  # rows and columns of a block of comparisons
 
 
 def shingles(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,21 +56,34 @@ def overlap_needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def frequent(docs: DataFrame, text: str, size: int, local: int = 8, most: int = 50_000) -> np.ndarray:
-    """Fingerprints of frequent shingles, most frequent last: at most `most`. They only order, so any set is right."""
+def frequent(docs: DataFrame, text: str, size: int, local: int = 3, least: int = 32, most: int = 200_000, at_once: int = 8_000_000) -> np.ndarray:
+    """Fingerprints of frequent shingles, most frequent last: at most `most`. They only order, so any set is right.
+
+    Tasks count what they hold, at_once shingles at a time, and pass on what they saw `local` times or more.
+    """
 
     def count(batches):
         import pyarrow as pa
 
+        def told(held):
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= local
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+
+        held, n = [], 0
         for batch in batches:
             for _, _, w in W.chunks(batch.column(0), lower=True):
-                h, n = np.unique(shingles(w, size)[0], return_counts=True)
-                often = n >= local
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+                held.append(shingles(w, size)[0])
+                n += len(held[-1])
+                if n >= at_once:
+                    yield told(held)
+                    held, n = [], 0
+        if n:
+            yield told(held)
 
     counts = docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= 2 * local).orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column(0)
+    return np.asarray(rows.combine_chunks() if rows.num_chunks else [], np.int64)[::-1].copy().view(np.uint64)
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, often: np.ndarray) -> DataFrame:
@@ -164,7 +177,7 @@ def candidate_lists(signed: DataFrame, parts: int) -> DataFrame:
             some = doc[a : a + m]
             some = some[np.lexsort((ids[some], sizes[some]))]
             lists.setdefault(ids[some].tobytes(), [sizes[some], 0])[1] += 1
-        return pd.DataFrame({"ids": [np.frombuffer(k, np.int64) for k in lists], "sizes": [v[0] for v in lists.values()], "tokens": [v[1] for v in lists.values()]})
+        return pd.DataFrame({"ids": [np.frombuffer(k, np.int64) for k in lists], "sizes": [v[0] for v in lists.values()], "tokens": [v[1] for v in lists.values()]}, dtype=object)
 
     rows = signed.where("n > 0 and id is not null").mapInArrow(deal, "bucket int, tokens binary, doc binary, ids binary, sizes binary, marks binary")
     return rows.groupBy("bucket").applyInPandas(meet, "ids array<long>, sizes array<long>, tokens long")
@@ -178,25 +191,35 @@ def _least(a, b, percent: int):
 def pairs_of_short(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs x < y of like size from lists of at most SHORT, with the prefix shingles that they share in them."""
 
-    def pair(batches):
+    def told(held):
         import pyarrow as pa
 
+        rows = np.concatenate(held)
+        turn = rows[:, 0] > rows[:, 1]
+        rows[turn] = rows[turn][:, [1, 0, 3, 2, 4]]
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))) if len(rows) else np.zeros(0, int)
+        shared = np.add.reduceat(rows[:, 4], new) if len(new) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[new, c]) for c in range(4)), pa.array(shared)], names=["x", "y", "nx", "ny", "shared"])
+
+    def pair(batches):
+        held, size = [], 0
         for batch in batches:
-            out = []
             for ids, sizes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 i, s = np.array(ids), np.array(sizes)
                 a, b = np.triu_indices(len(i), 1)
                 like = 100 * s[a] >= percent * s[b]  # sizes ascend
-                out.append(np.stack([i[a], i[b], s[a], s[b], np.full(len(a), n)], axis=1)[like])
-            rows = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-            turn = rows[:, 0] > rows[:, 1]
-            rows[turn] = rows[turn][:, [1, 0, 3, 2, 4]]
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))) if len(rows) else np.zeros(0, int)
-            shared = np.add.reduceat(rows[:, 4], new) if len(new) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[new, c]) for c in range(4)), pa.array(shared)], names=["x", "y", "nx", "ny", "shared"])
-
-    rows = lists.where(F.size("ids") <= SHORT).mapInArrow(pair, "x long, y long, nx long, ny long, shared long")
+                held.append(np.stack([i[a], i[b], s[a], s[b], np.full(len(a), n)], axis=1)[like])
+                size += len(held[-1])
+                if size >= 500_000:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    # Lists of the same documents come together, so that a pair is told about once per task, not once per bucket.
+    lists = lists.where(F.size("ids") <= SHORT).withColumn("_least", F.array_min("ids")).repartition("_least").drop("_least")
+    rows = lists.mapInArrow(pair, "x long, y long, nx long, ny long, shared long")
     return rows.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared"))
 
 
@@ -219,12 +242,14 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) ->
     return edges.select(F.col("x").alias("id"), F.col("y").alias("component")).unionByName(roots)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int, often: np.ndarray) -> DataFrame:
-    """(id, shingles in order of fingerprint) of the documents with the given distinct ids."""
-    spark = docs.sparkSession
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is among the given distinct ones, which go to every task up to a size and beyond it are joined by a shuffle."""
     few = ids.count() * 8 <= SENT_BYTES
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, n, set): shingles in order of fingerprint of the documents with the given distinct ids."""
 
     def cut(batches):
         import pyarrow as pa
@@ -232,12 +257,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int, oft
         for batch in batches:
             for a, b, w in W.chunks(batch.column(1), lower=True):
                 h, doc = shingles(w, size)
-                at = np.append(0, np.cumsum(np.bincount(doc, minlength=b - a)))
+                n = np.bincount(doc, minlength=b - a)
+                at = np.append(0, np.cumsum(n))
                 data = h.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([data[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([data[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "n", "set"])
 
-    # Rows with one id: the first set in order stands for it in comparisons (ids are expected unique).
-    return written(spark, rows.mapInArrow(cut, "id long, set binary").dropDuplicates(["id", "set"]), "sets", "none")
+    rows = only(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids)
+    return written(docs.sparkSession, rows.mapInArrow(cut, "id long, n long, set binary"), "sets", "none")
 
 
 def fragments(h: np.ndarray) -> list[np.ndarray]:
@@ -246,31 +272,44 @@ def fragments(h: np.ndarray) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(h, edges))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
+    """Pairs (x, y) of which similar(set, n, set, n) holds. A set goes with each of its pairs once, to where the smaller id's is; a frequent smaller id is split by the join."""
 
     def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                total, left = 0, len(a)
-                least = _least(len(a), len(b), percent)
-                for p, q in zip(fragments(a), fragments(b), strict=True):
-                    left -= len(p)
-                    total += len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) else 0
-                    if total + left < least:
-                        break
-                ok.append(total >= least)
-            ok = pa.array(ok, pa.bool_())
+            x, y, *rest = (c.to_pylist() for c in batch.columns)
+            ok = pa.array([similar(np.frombuffer(a, np.uint64), m, np.frombuffer(b, np.uint64), n) for a, m, b, n in zip(*rest, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["x", "y"])
 
-    # A set goes with each of its pairs once, to where the smaller id's set is; a frequent smaller id is split by the join.
-    right = pairs.select("x", "y").join(sets.select(F.col("id").alias("y"), F.col("set").alias("b")), "y")
-    both = right.join(sets.select(F.col("id").alias("x"), F.col("set").alias("a")), "x")
-    return both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long")
+    own = lambda i, a, n: sets.select(F.col("id").alias(i), F.col("set").alias(a), F.col("n").alias(n))
+    both = pairs.select("x", "y").join(own("y", "b", "bn"), "y").join(own("x", "a", "an"), "x")
+    return both.select("x", "y", "a", "an", "b", "bn").mapInArrow(compare, "x long, y long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that are similar enough: overlaps of fragment after fragment, until they cannot suffice any more."""
+
+    def similar(a, m, b, n):
+        total, left, least = 0, m, _least(m, n, percent)
+        for p, q in zip(fragments(a), fragments(b), strict=True):
+            left -= len(p)
+            total += len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) else 0
+            if total + left < least:
+                return False
+        return total >= least
+
+    return _compared(pairs, sets, similar)
+
+
+def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes, the first fragment, share enough for the rest to suffice."""
+
+    def similar(a, m, b, n):
+        return len(np.intersect1d(a, b, assume_unique=True)) + max(m - len(a), n - len(b)) >= _least(m, n, percent)
+
+    return _compared(pairs, prefixes, similar)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -293,27 +332,35 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def in_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each asked document (part, id) with all members (part, id) of its part, compared in blocks."""
+def in_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Each asked document (part, id, c) against all members of its part in other components c, in blocks.
+
+    With whole sets: links (x, y) that span what is linked. With prefixes only: (part, id) of the
+    documents that may link, on either side.
+    """
     n = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     n = n.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("na")), "part")
     salt = lambda c: F.pmod(F.xxhash64(F.lit("b"), "id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asked.join(n, "part").select("part", "id", salt("na").alias("a"), every("nb").alias("b")).join(sets, "id")
-    right = members.join(n, "part").select("part", "id", salt("nb").alias("b"), every("na").alias("a")).join(sets, "id")
+    left = asked.join(n, "part").select("part", "id", "c", salt("na").alias("a"), every("nb").alias("b")).join(sets, "id")
+    right = members.join(n, "part").select("part", "id", "c", salt("nb").alias("b"), every("na").alias("a")).join(sets, "id")
 
-    def compare(p, q):
+    def compare(key, p, q):
         import pandas as pd
 
+        names = ["x", "y"] if whole else ["part", "id"]
         if not len(p) or not len(q):
-            return pd.DataFrame({"x": [], "y": []})
+            return pd.DataFrame({c: [] for c in names})
         s, t = ([np.frombuffer(x, np.uint64) for x in f["set"]] for f in (p, q))
-        size = [np.array([len(x) for x in f]) for f in (s, t)]
-        i, j = np.nonzero(overlaps(s, t) >= _least(size[0][:, None], size[1][None, :], percent))
+        m, n = p["n"].to_numpy()[:, None], q["n"].to_numpy()[None, :]
+        least = _least(m, n, percent)
+        if not whole:
+            held = [np.array([len(x) for x in f]) for f in (s, t)]
+            least = least - np.maximum(m - held[0][:, None], n - held[1][None, :])
+        i, j = np.nonzero((overlaps(s, t) >= least) & (p["c"].to_numpy()[:, None] != q["c"].to_numpy()[None, :]))
         x, y = p["id"].to_numpy()[i], q["id"].to_numpy()[j]
-        # What links is passed on as a spanning set: with the block's first partner, and first of the partner.
-        links = pd.DataFrame({"x": x, "y": y})
-        links = links[links["x"] != links["y"]]
+        if not whole:
+            return pd.DataFrame({"part": key[0], "id": np.unique(np.concatenate([x, y]))})
         root: dict = {}
 
         def find(v):
@@ -322,15 +369,17 @@ def in_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: in
             return v
 
         keep = []
-        for u, v in zip(links["x"], links["y"], strict=True):
+        for u, v in zip(x, y, strict=True):
             u, v = find(u), find(v)
             if u != v:
                 root[max(u, v)] = min(u, v)
                 keep.append((u, v))
-        return pd.DataFrame(keep, columns=["x", "y"])
+        return pd.DataFrame(keep, columns=names)
 
     keys = ["part", "a", "b"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "x long, y long")
+    left, right = (x.select(*[F.col(c).alias(c) for c in (*keys, "id", "c", "n", "set")]) for x in (left, right))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "x long, y long" if whole else "part long, id long")
+    return found.distinct()
 
 
 def labelled(frame: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
@@ -357,25 +406,34 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     need = lambda n: F.floor((F.col(n) * percent + 99) / 100)
     least = F.floor(((F.col("nx") + F.col("ny")) * percent + 99 + percent) / (100 + percent))
     at_most = F.col("shared") + F.least(F.coalesce("ux", F.lit(0)), F.coalesce("uy", F.lit(0))) + F.greatest(need("nx"), need("ny")) - 1
-    pairs = pairs.where(at_most >= least).select("x", "y")
+    pairs = pairs.where(at_most >= least).select("x", "y", F.least(F.coalesce("ux", F.lit(0)), F.coalesce("uy", F.lit(0))).alias("unseen"))
     leader = member.where("part = id").select("part", F.col("n").alias("nl"))
     led = member.join(leader, "part").where((F.col("id") != F.col("part")) & (100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")))
-    pairs = written(spark, pairs.unionByName(led.select(F.col("part").alias("x"), F.col("id").alias("y"))).distinct(), "pairs")
+    led = led.select(F.col("part").alias("x"), F.col("id").alias("y"), F.lit(1).cast("long").alias("unseen"))
+    pairs = written(spark, pairs.unionByName(led).groupBy("x", "y").agg(F.min("unseen").alias("unseen")), "pairs")
+    # Where long lists hide what a pair shares, the whole first fragment, the prefix, is compared.
+    ids_of = lambda rows: written(spark, rows.select(F.col("x").alias("id")).union(rows.select("y")).distinct(), "ids")
+    prefixes = signed.select("id", "n", F.col("prefix").alias("set"))
+    unsure = pairs.where("unseen > 0").select("x", "y")
+    pairs = written(spark, pairs.where("unseen = 0").select("x", "y").unionByName(promising(unsure, only(prefixes, ids_of(unsure)), percent)), "promising")
     # First each document with its smallest partner, then what that leaves unconnected.
-    ids = written(spark, pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(member.select("id")).distinct(), "ids")
-    sets = sets_of(docs, ids, key, text, size, often)
+    sets = sets_of(docs, ids_of(pairs), key, text, size)
     links = written(spark, verified(pairs.groupBy("y").agg(F.min("x").alias("x")), sets, percent), "links")
     found = components(spark, links)
-    open_ = labelled(pairs, found, "x", "y").where("c_x <> c_y").select("x", "y")
-    links = written(spark, links.unionByName(verified(open_, sets, percent)), "links")
+    open_ = written(spark, labelled(pairs, found, "x", "y").where("c_x <> c_y").select("x", "y"), "open")
+    links = written(spark, links.unionByName(verified(open_, only(sets, ids_of(open_)), percent)), "links")
     found = components(spark, links)
-    # Long lists that are not one component yet: those outside their largest component against all.
+    # Long lists that are not one component yet: those outside their largest component against all, by prefixes first.
     named = labelled(member.select("part", "id"), found, "id")
     count = named.groupBy("part", "c_id").count()
     main = count.groupBy("part").agg(F.max_by("c_id", F.struct("count", "c_id")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rest = written(spark, named.join(main, "part").select("part", "id", (F.col("c_id") != F.col("main")).alias("asks")), "rest")
+    rest = written(spark, named.join(main, "part").select("part", "id", F.col("c_id").alias("c"), (F.col("c_id") != F.col("main")).alias("asks")), "rest")
     if not rest.isEmpty():
-        links = written(spark, links.unionByName(in_blocks(rest.where("asks").select("part", "id"), rest.select("part", "id"), sets, percent)), "links")
+        halves = lambda r: (r.where("asks").drop("asks"), r.drop("asks"))
+        near = written(spark, in_blocks(*halves(rest), only(prefixes, rest.select("id").distinct()), percent, False), "near")
+        rest = written(spark, rest.join(near, ["part", "id"], "left_semi"), "rest")
+        sets = sets_of(docs, rest.select("id").distinct(), key, text, size)
+        links = written(spark, links.unionByName(in_blocks(*halves(rest), sets, percent, True)), "links")
         found = components(spark, links)
     # Documents with equal sets share the component of the smallest id among them.
     same = signed.where("n > 0 and id is not null").groupBy("mark").agg(F.min("id").alias("first"))

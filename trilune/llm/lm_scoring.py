@@ -203,7 +203,7 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
                 "n_known": sums((total > 0).astype(float)).round().astype(np.int64) + (texts > 0),
                 "base_score": sums(base) + np.log10((texts + 1) / (n + v + 1)), "score": sums(own) + np.log10(end),
             }))
-        return pd.concat(out) if out else pd.DataFrame({"_key": [], "learns": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
+        return pd.concat(out) if out else pd.DataFrame(columns=["_key", "learns", "n_tokens", "n_known", "base_score", "score"], dtype=object)
 
     slices = code.where("kind = 'docs'").select("slice", "ids", "tokens", "sizes")
     out = slices.groupBy("slice").cogroup(values.groupBy("slice")).applyInPandas(score, "_key string, learns boolean, n_tokens long, n_known long, base_score double, score double")

@@ -359,7 +359,7 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
             frame["n_words"], frame["n_removed"] = n, removed
             frame["kept_sha256"] = [hashlib.sha256(t).hexdigest() for t in texts]
             out.append(frame)
-        return pd.concat(out) if out else pd.DataFrame({f.name: [] for f in schema})
+        return pd.concat(out) if out else pd.DataFrame(columns=schema.names, dtype=object)
 
     docs = code.where("kind = 'docs'").select("slice", "data")
     both = keys.select("slice", "copies", F.lit(None).cast("binary").alias("places")).unionByName(repeats.select("slice", F.lit(None).cast("binary").alias("copies"), "places"))
