@@ -37,6 +37,14 @@ def remove_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+ASCII_LOWER, ASCII_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_upper(text: Column) -> Column:
+    """Upper case of a-z alone, on which all engines agree."""
+    return F.translate(text, ASCII_LOWER, ASCII_UPPER)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

@@ -109,7 +109,7 @@ def relation_sentences(spark, d):
 
 
 def cooccurrence_window(spark, d):
-    p = stored(X.places(texts(spark, d), r"\b[a-z]+tion\b"), "places")
+    p = stored(X.places(texts(spark, d), "[a-z]+tion"), "places")
     return X.cooccurrences(p).groupBy("name", "name2").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,7 +117,7 @@ QUERIES = {f.__name__: f for f in (align_cosine, align_fused, align_one_to_one,
 
 _P = "pr AS (SELECT e1, e2, confidence FROM (SELECT a.vec_id AS e1, b.vec_id AS e2, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS confidence, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0) WHERE k <= 5 AND confidence >= 0.2)"
 _RAW = "en AS (" + " UNION ALL ".join(f"SELECT doc_id AS doc, lang AS language, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS name FROM documents WHERE lang = '{l}'" for l, k, p in WORDS) + ")"
-_AT = "pl AS (SELECT doc, m AS name, off AS pos FROM (SELECT doc, unnest(n) AS m, unnest(list_transform(range(len(n)), lambda i: coalesce(list_sum(list_transform(n[1:i], lambda s: length(s))), 0)::BIGINT + list_sum(list_transform(g[1:i + 1], lambda s: length(s)))::BIGINT)) AS off FROM (SELECT doc_id AS doc, regexp_extract_all(text, '\\b[a-z]+tion\\b') AS n, regexp_split_to_array(text, '\\b[a-z]+tion\\b') AS g FROM documents)))"
+_AT = "pl AS (SELECT doc, m AS name, off AS pos FROM (SELECT doc, unnest(n) AS m, unnest(list_transform(range(len(n)), lambda i: coalesce(list_sum(list_transform(n[1:i], lambda s: length(s))), 0)::BIGINT + list_sum(list_transform(g[1:i + 1], lambda s: length(s)))::BIGINT)) AS off FROM (SELECT doc_id AS doc, regexp_extract_all(text, '[a-z]+tion') AS n, regexp_split_to_array(text, '[a-z]+tion') AS g FROM documents)))"
 
 SQL = {
     "align_cosine": f"WITH {_P} SELECT e1, e2, confidence FROM pr",

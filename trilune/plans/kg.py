@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trilune.functions.text import ASCII_LOWER, ASCII_UPPER, ascii_upper
 from trilune.operators import graph as G
 from trilune.operators import kg as K
 from trilune.plans.lexicon import SQL as LEX
@@ -51,7 +52,7 @@ def kg_dedup_entities(spark, d):
 
 def kg_dedup_relations(spark, d):
     r = graph(spark, d)[1]
-    again = r.withColumn("ord", F.col("ord") + 1000).withColumn("confidence", F.lit(0.99)).withColumn("src", F.upper("src"))
+    again = r.withColumn("ord", F.col("ord") + 1000).withColumn("confidence", F.lit(0.99)).withColumn("src", ascii_upper(F.col("src")))
     return K.best_relations(r.unionByName(again)).select("src", "dst", "rel", "confidence")
 
 
@@ -61,7 +62,7 @@ def kg_conflicts(spark, d):
 
 def kg_resolve(spark, d):
     e, r = graph(spark, d)
-    names = e.select(F.upper("name").alias("text")).union(e.select("id")).union(table(spark, d, "nation").select("n_name"))
+    names = e.select(ascii_upper(F.col("name")).alias("text")).union(e.select("id")).union(table(spark, d, "nation").select("n_name"))
     return K.resolved(names, "text", e).select("text", "resolved")
 
 
@@ -167,9 +168,9 @@ SQL = {
     "kg_isolated": LEX + " SELECT id FROM ent WHERE id NOT IN (SELECT src FROM rel WHERE rel = 'translatedAs' UNION SELECT dst FROM rel WHERE rel = 'translatedAs')",
     "kg_valid_relations": LEX + ", c AS (SELECT src, dst, rel FROM rel UNION ALL SELECT src, dst, 'hasPrereq' FROM rel WHERE rel = 'translatedAs' UNION ALL SELECT src, dst, 'translatedAs' FROM rel WHERE rel = 'hasPrereq') SELECT c.rel, count(*) AS n FROM c JOIN ent a ON a.id = src JOIN ent b ON b.id = dst WHERE CASE c.rel WHEN 'translatedAs' THEN a.type = b.type AND a.language <> b.language WHEN 'hasPrereq' THEN a.language = b.language ELSE TRUE END GROUP BY c.rel",
     "kg_dedup_entities": LEX + " SELECT id, name, confidence FROM ent",
-    "kg_dedup_relations": LEX + ", c AS (SELECT src, dst, rel, confidence, ord FROM rel UNION ALL SELECT upper(src), dst, rel, 0.99::DOUBLE, ord + 1000 FROM rel), n AS (SELECT *, row_number() OVER (PARTITION BY lower(src), lower(dst), rel ORDER BY confidence DESC, ord) AS k FROM c) SELECT src, dst, rel, confidence FROM n WHERE k = 1",
+    "kg_dedup_relations": LEX + ", c AS (SELECT src, dst, rel, confidence, ord FROM rel UNION ALL SELECT translate(src, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"'), dst, rel, 0.99::DOUBLE, ord + 1000 FROM rel), n AS (SELECT *, row_number() OVER (PARTITION BY lower(src), lower(dst), rel ORDER BY confidence DESC, ord) AS k FROM c) SELECT src, dst, rel, confidence FROM n WHERE k = 1",
     "kg_conflicts": LEX + " SELECT src, dst, rel, confidence FROM rel x WHERE NOT (rel IN ('belongsTo', 'sameAs') AND EXISTS (SELECT 1 FROM rel y WHERE y.src = x.src AND y.dst = x.dst AND y.rel IN ('belongsTo', 'sameAs') AND y.rel <> x.rel AND (y.confidence > x.confidence OR (y.confidence = x.confidence AND y.ord < x.ord))))",
-    "kg_resolve": LEX + ", t AS (SELECT upper(name) AS text FROM ent UNION ALL SELECT id FROM ent UNION ALL SELECT n_name FROM nation), ix AS (SELECT lower(name) AS key, arg_max(id, ord) AS id FROM ent GROUP BY 1) SELECT text, coalesce(e.id, ix.id) AS resolved FROM t LEFT JOIN ent e ON e.id = t.text LEFT JOIN ix ON ix.key = lower(t.text)",
+    "kg_resolve": LEX + ", t AS (SELECT translate(name, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"') AS text FROM ent UNION ALL SELECT id FROM ent UNION ALL SELECT n_name FROM nation), ix AS (SELECT lower(name) AS key, arg_max(id, ord) AS id FROM ent GROUP BY 1) SELECT text, coalesce(e.id, ix.id) AS resolved FROM t LEFT JOIN ent e ON e.id = t.text LEFT JOIN ix ON ix.key = lower(t.text)",
     "kg_similar": LEX + f", x AS (SELECT id, type, name FROM ent WHERE NOT regexp_matches(name, '[^\\x00-\\x7F]') UNION ALL SELECT 'supplier:' || s_suppkey, 'Supplier', s_name FROM supplier), p AS (SELECT a.id AS a, b.id AS b, {_SIM} AS similarity FROM x a JOIN x b ON a.type = b.type AND a.id < b.id) SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85",
     "kg_components": LEX + ", e AS (SELECT src AS a, dst AS b FROM rel WHERE rel IN ('sameAs', 'translatedAs') UNION SELECT dst, src FROM rel WHERE rel IN ('sameAs', 'translatedAs')), reach AS (SELECT id, id AS other FROM ent UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id",
     "kg_strong_components": LEX + ", e AS (SELECT src AS a, dst AS b FROM rel WHERE rel IN ('sameAs', 'hasPrereq') UNION SELECT dst, src FROM rel WHERE rel = 'sameAs'), reach AS (SELECT id, id AS other FROM ent UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other), s AS (SELECT x.id, max(x.other) AS component FROM reach x JOIN reach y ON x.id = y.other AND x.other = y.id GROUP BY x.id) SELECT component, count(*) AS n FROM s GROUP BY component",
@@ -180,7 +181,7 @@ SQL = {
     "kg_degrees": LEX + ", x AS (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) SELECT ent.id, count(x.id) AS degree FROM ent LEFT JOIN x ON x.id = ent.id GROUP BY ent.id",
     "kg_subgraph": LEX + ", n AS (SELECT id FROM ent WHERE language = 'en' AND type = 'Word') SELECT src, dst, rel FROM rel WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
     "kg_search_nodes": LEX + " SELECT id, 'label' AS match_type FROM ent WHERE contains(lower(name), 'ti')",
-    "kg_triples": LEX + ", i AS (SELECT '<http://example.org/kg/' AS b) SELECT b || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || b || type || '> .' AS line FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2004/02/skos/core#altLabel> \"' || upper(name) || '\" .' FROM ent, i UNION ALL SELECT b || src || '> ' || b || rel || '> ' || b || dst || '> .' FROM rel, i",
+    "kg_triples": LEX + ", i AS (SELECT '<http://example.org/kg/' AS b) SELECT b || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || b || type || '> .' AS line FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2004/02/skos/core#altLabel> \"' || translate(name, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"') || '\" .' FROM ent, i UNION ALL SELECT b || src || '> ' || b || rel || '> ' || b || dst || '> .' FROM rel, i",
     "kg_split_triples": LEX + " SELECT CASE WHEN language = 'zh' THEN 'kg1' ELSE 'kg2' END AS side, src, rel, dst FROM rel JOIN ent ON ent.id = src WHERE language IN ('zh', 'fr', 'en')",
     "kg_vocabulary": LEX + " SELECT language, name, dense_rank() OVER (PARTITION BY language ORDER BY name) - 1 AS number FROM ent",
     "catalogue_components": "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), x AS (SELECT a AS id, 'r' || n_regionkey AS root FROM (SELECT a, CASE WHEN b LIKE 'n%' THEN substr(b, 2)::INT ELSE substr(a, 2)::INT END AS k FROM e) JOIN nation ON n_nationkey = k UNION SELECT 'r' || n_regionkey, 'r' || n_regionkey FROM nation), c AS (SELECT id, min(id) OVER (PARTITION BY root) AS component FROM x) SELECT component, count(*) AS n FROM c GROUP BY component",

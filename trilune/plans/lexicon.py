@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilune.functions.text import tokenize
+from trilune.functions.text import ascii_upper, tokenize
 from trilune.sources.tables import stored, table
 
 SIZE = 50
@@ -19,7 +19,7 @@ def entities(spark, d) -> DataFrame:
     top = df.withColumn("r", r.cast("long")).where(F.col("r") < SIZE)
     ids = F.concat_ws(":", "lang", "token")
     return stored(
-        top.select(ids.alias("id"), F.col("token").alias("name"), F.when(F.col("r") % 10 == 9, "Grammar").otherwise("Word").alias("type"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("description"), F.array(F.upper("token")).alias("aliases"), (1 / (1 + F.col("r") % 4)).alias("confidence"), "r", F.row_number().over(Window.orderBy("lang", "r")).cast("long").alias("ord")),
+        top.select(ids.alias("id"), F.col("token").alias("name"), F.when(F.col("r") % 10 == 9, "Grammar").otherwise("Word").alias("type"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("description"), F.array(ascii_upper(F.col("token"))).alias("aliases"), (1 / (1 + F.col("r") % 4)).alias("confidence"), "r", F.row_number().over(Window.orderBy("lang", "r")).cast("long").alias("ord")),
         "lexicon",
     )
 
