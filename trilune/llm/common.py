@@ -60,6 +60,17 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch at most, where whole texts go to Python: JVM and worker both hold a batch, and keep its memory.
+BATCH_ROWS = 2500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def buckets(spark: SparkSession) -> int:
     """Groups that hashed keys are dealt to: as many as the session has shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

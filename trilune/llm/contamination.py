@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilune.llm import words as W
-from trilune.llm.common import table, without, written
+from trilune.llm.common import small_batches, table, without, written
 
 SHARD = "ids binary, first binary, terms binary, ends binary, postings binary"
 
@@ -112,6 +112,7 @@ class Shard:
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, slop: int = 0, share: int = 20, most_windows: int = 100_000) -> DataFrame:
     """Per document: key, n_words, n_hit, n_items, items (their ids), items_sha256, contaminated."""
+    small_batches(docs.sparkSession)
     found, holders, names = windows(items, size, item, item_text)
     sent = []
     for at in range(0, len(found), most_windows):

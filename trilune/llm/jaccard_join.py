@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilune.llm import words as W
-from trilune.llm.common import SENT_BYTES, buckets, table, without, written
+from trilune.llm.common import SENT_BYTES, buckets, small_batches, table, without, written
 
 FRAGMENTS = 4
 SHORT = 100  # lists up to this long give all their pairs of like size
@@ -392,6 +392,7 @@ def labelled(frame: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links reach."""
     spark, parts = docs.sparkSession, buckets(docs.sparkSession)
+    small_batches(spark)
     often = frequent(docs, text, size)
     signed = written(spark, signatures(docs, key, text, size, percent, often), "signatures")
     lists = written(spark, candidate_lists(signed, parts), "lists")

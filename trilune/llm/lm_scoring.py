@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilune.llm import words as W
-from trilune.llm.common import buckets, fold, new_folder, table, written
+from trilune.llm.common import buckets, fold, new_folder, small_batches, table, written
 from trilune.llm.lattice import lattice, spelled
 
 ENCODED = "kind string, slice string, bucket int, ids binary, tokens binary, sizes binary, words binary, counts binary"
@@ -151,6 +151,7 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
     """Per row: key, learns, n_tokens, n_known, train_tokens, base_score, score. `train`: the condition of training rows."""
     spark = docs.sparkSession
     parts = buckets(spark)
+    small_batches(spark)
     code = encoded(docs, F.coalesce(train, F.lit(False)), key, text, parts)
     vocab = vocabulary(code)
     logp = piece_weights(vocab, model, rounds)

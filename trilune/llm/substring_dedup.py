@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trilune.llm import words as W
-from trilune.llm.common import buckets, new_folder, table
+from trilune.llm.common import buckets, new_folder, small_batches, table
 
 GRAM = 4
 GROUP = 200_000  # suffixes of a subtree
@@ -138,6 +138,7 @@ def sliced(docs: DataFrame, key: str, text: str, size: int, parts: int, slice_by
                     if x.any() or len(y):
                         rows.append(("keys", name, p, None, short[x].tobytes() + several[x].astype(np.uint8).tobytes(), mark[y].tobytes() + ids[y].tobytes() + y.astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            pa.default_memory_pool().release_unused()
 
     spark = docs.sparkSession
     path = new_folder(spark, "slices")
@@ -371,6 +372,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     from trilune.llm.common import written
 
     spark, parts = docs.sparkSession, buckets(docs.sparkSession)
+    small_batches(spark)
     names = ("n_words", "n_removed", "kept_sha256")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     docs = docs.select(*dict.fromkeys([*keep, key, text]))
