@@ -46,7 +46,7 @@ def windows(items: DataFrame, size: int = 13, item: str = "item_id", text: str =
     return [np.frombuffer(k, np.uint64) for k in found], list(found.values()), names
 
 
-def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
     """The stored index: one row per shard."""
 
     def build(batches):

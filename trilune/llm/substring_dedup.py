@@ -367,7 +367,7 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
     return docs.groupBy("slice").cogroup(both.groupBy("slice")).applyInPandas(rewrite, schema)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, keep: list[str] | None = None, slice_bytes: int = 4 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, keep: list[str] | None = None, slice_bytes: int = 3 << 20) -> DataFrame:
     """Rows of docs with their columns (or those to keep), n_words, n_removed and kept_sha256; columns of these names are replaced."""
     from trilune.llm.common import written
 

@@ -170,7 +170,7 @@ def slices(offsets: np.ndarray, most_bytes: int = 4 << 20):
         at = to
 
 
-def chunks(column, separators: bytes = BLANKS, lower: bool = False, hashes: bool = True, most_bytes: int = 4 << 20):
+def chunks(column, separators: bytes = BLANKS, lower: bool = False, hashes: bool = True, most_bytes: int = 2 << 20):
     """For each slice of an Arrow text column: the first document's index, and its words."""
     buffer, offsets = from_arrow(column)
     for a, b in slices(offsets, most_bytes):
