@@ -60,8 +60,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of an Arrow batch at most, where whole texts go to Python: JVM and worker both hold a batch, and keep its memory.
+#: Rows and bytes of an Arrow batch at most, where whole texts go to Python: JVM and worker both hold a batch, and keep its memory.
 BATCH_ROWS = 2500
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -69,6 +70,9 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:  # Spark gives "67108864b"
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def buckets(spark: SparkSession) -> int:

@@ -134,6 +134,7 @@ def candidate_lists(signed: DataFrame, parts: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
+            W.returned()
             ids, sizes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)
             marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2)
             order = np.lexsort((ids, marks[:, 1], marks[:, 0]))
@@ -159,6 +160,7 @@ def candidate_lists(signed: DataFrame, parts: int) -> DataFrame:
     def meet(key, pdf):
         import pandas as pd
 
+        W.returned()
         load = lambda c, t: [np.frombuffer(x, t) for x in pdf[c]]
         ids, tables = load("ids", np.int64), load("doc", np.uint32)
         base = np.cumsum([0, *map(len, ids)])

@@ -138,7 +138,7 @@ def sliced(docs: DataFrame, key: str, text: str, size: int, parts: int, slice_by
                     if x.any() or len(y):
                         rows.append(("keys", name, p, None, short[x].tobytes() + several[x].astype(np.uint8).tobytes(), mark[y].tobytes() + ids[y].tobytes() + y.astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-            pa.default_memory_pool().release_unused()
+                W.returned()
 
     spark = docs.sparkSession
     path = new_folder(spark, "slices")
@@ -152,6 +152,7 @@ def shared_keys(code: DataFrame) -> DataFrame:
     def meet(key, pdf):
         import pandas as pd
 
+        W.returned()
         short, several, m, ids, local = [], [], [], [], []
         for a, b in zip(pdf["anchors"], pdf["marks"], strict=True):
             n, k = len(a) // 5, len(b) // 28
@@ -207,6 +208,7 @@ def stretches(code: DataFrame, keys: DataFrame, key: str, text: str, size: int,
     def cut(_, left, right):
         import pandas as pd
 
+        W.returned()
         out = []
         found = [(int(b), np.frombuffer(a, np.uint32)) for b, a in zip(right["bucket"], right["anchors"], strict=True)]
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | a.astype(np.uint64) for b, a in found] or [np.zeros(0, np.uint64)]))
@@ -292,6 +294,7 @@ def subtree_repeats(parts: DataFrame, size: int) -> DataFrame:
         import pandas as pd
         import pyarrow as pa
 
+        W.returned()
         load = lambda c, t: [np.frombuffer(x, t) for x in pdf[c]]
         w = W.split_buffer(np.frombuffer(b"".join(pdf["words"]), np.uint8), np.array([0, sum(map(len, pdf["words"]))]), hashes=False)
         text = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.append(w.start, len(w.buffer)).astype(np.int64)), pa.py_buffer(w.buffer)])
@@ -328,6 +331,7 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
         import pandas as pd
         import pyarrow as pa
 
+        W.returned()
         copies = np.concatenate([np.frombuffer(c, np.uint32) for c in right["copies"] if c is not None] or [np.zeros(0, np.uint32)])
         places = np.concatenate([np.frombuffer(p, np.uint32) for p in right["places"] if p is not None] or [np.zeros(0, np.uint32)]).astype(np.int64)
         out = []

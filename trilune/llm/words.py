@@ -160,6 +160,18 @@ def from_arrow(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[o[0] : o[-1]], o - o[0]
 
 
+def returned() -> None:
+    """Gives what Arrow and the C library keep of freed memory back to the system; Python workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, most_bytes: int = 4 << 20):
     """(from, to) document ranges of a batch, each about most_bytes long and at least one document."""
     at, n = 0, len(offsets) - 1
@@ -176,3 +188,4 @@ def chunks(column, separators: bytes = BLANKS, lower: bool = False, hashes: bool
     for a, b in slices(offsets, most_bytes):
         part = offsets[a : b + 1]
         yield a, b, split_buffer(buffer[part[0] : part[-1]], part - part[0], separators, lower, hashes)
+        returned()
