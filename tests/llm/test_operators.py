@@ -176,6 +176,20 @@ def test_substring_dedup_edges(spark, empty):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (2, 0), (2, 0), (9, 15)]
 
 
+@pytest.mark.parametrize("slices", [1, 2])
+@pytest.mark.parametrize("whole", [False, True])
+def test_substring_dedup_rows_with_one_id(spark, slices, whole):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    passage = words("p", 15)
+    twice = [(5, f"{words('a', 6)} {passage}"), (5, f"{words('a' if whole else 'b', 6)} {passage}")]
+    rows = [(2, f"{passage} {words('c', 4)}"), *twice]
+    parts = [rows[:1], twice] if slices == 1 else [rows[:1], twice[:1], twice[1:]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == len(parts)  # each is a slice
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.deduplicated(docs).collect()]
+    assert sorted(got) == [(2, 19, 0), (5, 21, 15), (5, 21, 15)]
+
+
 def brute_contamination(docs, items, size=13):
     terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))
     held, out = defaultdict(set), {}

@@ -339,8 +339,8 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
             batch = _load(data)
             w, ids = _words(batch, text), _ids(batch, key)
             at, g, repeated, _ = settled(w, ids, copies, size)
-            own = W.mix(g + W.mix(w.doc[at].astype(np.uint64)))
-            if len(places):  # the verdict on a window holds wherever its document repeats it
+            own = W.mix(g + W.mix(ids[w.doc[at]].view(np.uint64)))
+            if len(places):  # the verdict on a window holds wherever its document, also in another row with the same id, repeats it
                 repeated |= np.isin(own, own[np.searchsorted(at, places)])
             delta = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(delta, at[repeated], 1)
