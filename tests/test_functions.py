@@ -125,6 +125,29 @@ def test_malformed_lines(spark, tmp_path):
         files.read_jsonl(spark, str(tmp_path), "a long", strict=True).collect()
 
 
+def test_federated_counts_every_row(spark, tmp_path):
+    import duckdb
+
+    from trilune.plans import sources
+
+    n = 1_000_003
+    spark.range(n).selectExpr("format_string('Customer#%09d', id) AS c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(n - 2, n + 5).selectExpr("format_string('Supplier#%09d', id) AS s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {r.source: r.n for r in sources.federated(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(sources.SQL["federated"]).fetchall()) == {"customer": n, "supplier": 5}
+
+
+def test_merged_limits(spark):
+    a, b = (spark.createDataFrame([(t,) for t in x], "title string") for x in (["A", "c", "d"], [" a", "e"]))
+    titles = lambda *limits: [r.title for r in files.merged([("a", a), ("b", b)], *limits).collect()]
+    assert titles(None, None) == ["A", "c", "d", "e"]
+    assert titles(None, 2) == ["A", "c"]
+    assert len(titles(1, None)) <= 2
+
+
 def test_articles(spark, tmp_path):
     (tmp_path / "p.xml").write_text("<S><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>A  b</ArticleTitle><Abstract><AbstractText>Text</AbstractText></Abstract><AuthorList><Author><ForeName>Ann</ForeName><LastName>Lee</LastName></Author><Author><ForeName>Bo</ForeName><LastName>Ek</LastName></Author></AuthorList></Article></MedlineCitation></PubmedArticle></S>")
     r = files.read_articles(spark, str(tmp_path / "p.xml")).first()

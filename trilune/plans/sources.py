@@ -78,8 +78,7 @@ def federated(spark, d):
     """Customers and suppliers as two sources whose titles are their names' numbers; the first source wins."""
     c = table(spark, d, "customer").select(F.regexp_extract("c_name", r"(\d+)", 1).alias("title"))
     s = table(spark, d, "supplier").select(F.regexp_extract("s_name", r"(\d+)", 1).alias("title"))
-    n = 1_000_000
-    return S.merged([("customer", c), ("supplier", s)], n, n).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return S.merged([("customer", c), ("supplier", s)], None, None).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def synthetic_corpus(spark, d):

@@ -149,14 +149,15 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def merged(sources: list[tuple[str, DataFrame]], per_source: int, most: int, title: str = "title") -> DataFrame:
-    """A federated search: at most per_source rows of each, of equal trimmed lower-cased titles the first in order of sources, at most `most` in all."""
+def merged(sources: list[tuple[str, DataFrame]], per_source: int | None, most: int | None, title: str = "title") -> DataFrame:
+    """A federated search: at most per_source rows of each, of equal trimmed lower-cased titles the first in order of sources, at most `most` in all; None is no limit."""
     out = None
     for i, (name, df) in enumerate(sources):
-        x = df.limit(per_source).withColumn("source", F.lit(name)).withColumn("_s", F.lit(i))
+        x = (df if per_source is None else df.limit(per_source)).withColumn("source", F.lit(name)).withColumn("_s", F.lit(i))
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy(F.lower(F.trim(title))).orderBy("_s", title))
-    return out.withColumn("_n", first).where("_n = 1").orderBy("_s", title).limit(most).drop("_n", "_s")
+    out = out.withColumn("_n", first).where("_n = 1").orderBy("_s", title)
+    return (out if most is None else out.limit(most)).drop("_n", "_s")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
