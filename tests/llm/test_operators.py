@@ -299,6 +299,50 @@ def test_nearest(spark):
     assert len(few) == 6
 
 
+def exact_nearest(x, q, k=20):
+    s = x @ x[q]
+    s[q] = -9
+    return np.lexsort((np.arange(len(x)), -np.round(s, 12)))[:k]
+
+
+def test_nearest_goes_on_until_k_rows(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(400, 4))
+    x[:, 0] = -np.abs(x[:, 0])
+    x[:5, 0] *= -1  # the first part holds five rows
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = np.zeros((4, 2))
+    w[0] = 1, -1
+    router = nearest.Router(np.zeros(4), w, np.zeros(2), np.eye(2), np.zeros(2))
+    monkeypatch.setattr(nearest, "learned", lambda *a: router)
+    rows = [(i, a.tolist(), i < 5) for i, a in enumerate(x)] + [(2, x[2].tolist(), False)] * 30  # own rows do not count
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, asks boolean")
+    got = nearest.nearest(v, F.col("asks") & (F.col("vec_id") == 2)).toPandas()
+    assert list(got.sort_values("rank").vec_id) == exact_nearest(x, 2).tolist()
+    got = nearest.nearest(v.distinct().where("vec_id <> 2 or asks"), F.col("asks")).toPandas()
+    for q in range(5):
+        assert list(got[got.query_id == q].sort_values("rank").vec_id) == exact_nearest(x, q).tolist()
+
+
+def test_nearest_of_few_distinct_vectors(spark):
+    few = np.random.default_rng(2).normal(size=(6, 8))
+    few /= np.linalg.norm(few, axis=1)[:, None]
+    assert nearest.learned(few, 4).probes == 4
+    x = few[np.append(np.arange(1800) % 5, [5] * 3)]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(v, F.col("vec_id") >= 1800, parts=4).toPandas()
+    for q in range(1800, 1803):
+        assert list(got[got.query_id == q].sort_values("rank").vec_id) == exact_nearest(x, q).tolist()
+
+
+def test_nearest_query_reaches_the_recall(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {q: set(g.vec_id) for q, g in nearest.query(spark, data).toPandas().groupby("query_id")}
+    want = {int(ids[q]): set(ids[exact_nearest(x, q)].tolist()) for q in np.flatnonzero(ids % 20 == 0)}
+    assert all(len(got[q]) == 20 for q in want)
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_fold_is_the_contract():
     for i in range(50):
         assert (zlib.crc32(str(i).encode()) % 7 == 2) in (True, False)

@@ -5,7 +5,8 @@ halving along main directions, then moves of vertices to where most of their nei
 are, as long as parts keep their size. A small classifier learns which parts hold a
 vector's neighbours. Every row is put into its likeliest part; a query searches its
 likeliest parts, as many as reach the wanted recall on sample rows that the classifier
-did not learn from, and what they hold is ranked by exact inner products in double precision.
+did not learn from (all of them, if the sample has no such rows), and further ones until they
+hold k rows beside its own; what they hold is ranked by exact inner products in double precision.
 
 Parts and the queries sent to them are dealt out in blocks of bounded size, so that a
 part with many rows, such as copies of one vector, is many tasks. In a block, copies are
@@ -122,6 +123,9 @@ def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, hidden
                 first[q] = 0.9 * first[q] + 0.1 * grad
                 second[q] = 0.99 * second[q] + 0.01 * grad * grad
                 setattr(m, q, getattr(m, q) - 3e-3 * (first[q] / (1 - 0.9**step)) / (np.sqrt(second[q] / (1 - 0.99**step)) + 1e-8))
+    if not test.any():
+        m.probes = parts
+        return m
     z = m.logits(x)
     home = z.argmax(axis=1)
     rank = np.argsort(np.argsort(-z[test], axis=1, kind="stable"), axis=1)
@@ -187,20 +191,34 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
                 continue
             x = np.asarray(column.flatten(), float).reshape(len(batch), size)
             z = m.logits(x)
-            home = z.argmax(axis=1)
-            top = np.argsort(-z, axis=1, kind="stable")[:, : m.probes]
-            asks = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(home, pa.int32()), pa.array([t.tolist() if a else None for t, a in zip(top, asks, strict=True)], pa.list_(pa.int32()))],
-                names=["id", "x", "home", "probes"],
-            )
-
-    routed = written(spark, clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, probes array<int>"), "routed")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(z.argmax(axis=1), pa.int32()), batch.column(2)], names=["id", "x", "home", "asks"])
+
+    routed = written(spark, clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, asks boolean"), "routed")
+    held = np.zeros(p_all, np.int64)  # rows of each part; one row per part
+    for part, n in routed.groupBy("home").count().collect():
+        held[part] = n
+
+    def probe(batches):
+        import pyarrow as pa
+
+        m, size = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(len(batch), size)
+            top = np.argsort(-m.logits(x), axis=1, kind="stable")
+            short = np.cumsum(held[top], axis=1) < k + np.asarray(batch.column(2))[:, None]
+            n = np.maximum(m.probes, 1 + short.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t[:i].tolist() for t, i in zip(top, n, strict=True)], pa.list_(pa.int32()))], names=["id", "x", "probes"])
+
+    own = routed.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
+    asking = routed.where("asks").select("id", "x").join(own, "id", "left").select("id", "x", F.coalesce("own", F.lit(1)).alias("own"))
+    probed = written(spark, asking.mapInArrow(probe, "id long, x binary, probes array<int>"), "probed")
     # Parts lie in cells; a task searches the parts of one cell that each of its queries probes, and passes on one list per query.
     per = -(-p_all // CELLS)
     cell = lambda c: F.floor(c / per).cast("int")
     routed = routed.withColumn("cell", cell(F.col("home")))
-    asked = routed.where("probes is not null").select("id", "x", "probes", F.explode(F.array_distinct(F.transform("probes", cell))).alias("cell"))
+    asked = probed.select("id", "x", "probes", F.explode(F.array_distinct(F.transform("probes", cell))).alias("cell"))
     # How many blocks each cell's rows and queries make; one row per cell.
     rows_of, queries_of = ({r[0]: -(-r[1] // block) for r in df.groupBy("cell").count().collect()} for df in (routed, asked))
     blocks = lambda found: F.element_at(F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(CELLS)]), F.col("cell") + 1)
