@@ -119,6 +119,13 @@ def test_jaccard_nulls_and_nothing(spark, empty):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (3, 3), (3, 3), (4, 4)]
 
 
+def test_components_fail_aloud_at_a_cap(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "x long, y long")
+    with pytest.raises(RuntimeError):
+        jaccard_join.components(spark, links, 1)
+    assert {(r.id, r.component) for r in jaccard_join.components(spark, links).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_tokens_equal_the_library(docs, rows, empty):
     import sentencepiece
 

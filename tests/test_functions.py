@@ -71,6 +71,24 @@ def test_strong_components(spark):
     assert got["a"] == got["b"] == got["c"] != got["d"]
 
 
+def test_caps_of_rounds_fail_aloud(spark):
+    ids = [f"n{i}" for i in range(6)]
+    nodes, chain = spark.createDataFrame([(x,) for x in ids], "id string"), edges(spark, list(zip(ids[1:], ids, strict=False)))
+    p = spark.createDataFrame([(i, j, -float(i + j)) for i in range(4) for j in range(4)], "e1 long, e2 long, confidence double")
+    for run in (lambda m: G.topological_levels(chain, m), lambda m: G.strong_components(nodes, chain, m), lambda m: G.components(nodes, chain, m), lambda m: A.one_to_one(p, m)):
+        with pytest.raises(RuntimeError):
+            run(1)
+    assert {r.id: r.level for r in G.topological_levels(chain).collect()} == {x: i for i, x in enumerate(ids)}
+    assert {r.id: r.component for r in G.strong_components(nodes, chain).collect()} == {x: x for x in ids}
+    assert {(r.e1, r.e2) for r in A.one_to_one(p.union(p)).collect()} == {(i, i) for i in range(4)}
+
+
+def test_deep_chains_have_all_levels(spark):
+    ids = [f"{i:03}" for i in range(104)]
+    got = {r.id: r.level for r in G.topological_levels(edges(spark, list(zip(ids[1:], ids, strict=False)))).collect()}
+    assert got == {x: i for i, x in enumerate(ids)}
+
+
 def test_fusion_is_idempotent(spark):
     e = spark.createDataFrame([("1", "colour", "Word", "en", None, [], 0.9, 0), ("2", "colours", "Word", "en", None, [], 0.5, 1), ("3", "tree", "Word", "en", None, [], 0.5, 2)], "id string, name string, type string, language string, description string, aliases array<string>, confidence double, ord long")
     r = edges(spark, [("2", "3"), ("1", "3")])

@@ -21,6 +21,8 @@ used. Fingerprints have 64 bits.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,11 +227,13 @@ def pairs_of_short(lists: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared"))
 
 
-def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of each node of links (x, y); the component is its smallest id. Large and small stars in turn."""
+def components(spark: SparkSession, links: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(id, component) of each node of links (x, y); the component is its smallest id. Large and small stars in turn, until nothing changes; fails where that takes more than most_rounds."""
     edges = written(spark, links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    for n in count():
+        if n == most_rounds:
+            raise RuntimeError(f"not settled after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilune.operators.graph import rounds
 from trilune.operators.retrieval import dense_search
 from trilune.sources.tables import stored
 
@@ -22,10 +23,10 @@ def fused(a: DataFrame, b: DataFrame, wa: float = 0.5, wb: float = 0.5) -> DataF
     return x.select("e1", "e2", F.when(has("a") & has("b"), wa * F.col("a") + wb * F.col("b")).when(has("a"), F.col("a")).otherwise(F.col("b")).alias("confidence"), F.when(has("a") & has("b"), "fused").when(has("a"), "first").otherwise("second").alias("source"))
 
 
-def one_to_one(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """Greedy matching in order of confidence: rounds that take every pair that is the best left on both of its sides."""
-    left, taken = stored(pairs.select("e1", "e2", "confidence"), "left"), None
-    for _ in range(most):
+def one_to_one(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """Greedy matching in order of confidence: rounds that take every pair that is the best left on both of its sides. Pairs without both ends are none."""
+    left, taken = stored(pairs.where("e1 is not null and e2 is not null").select("e1", "e2", "confidence").distinct(), "left"), None
+    for _ in rounds(most):
         order = [F.desc("confidence"), "e1", "e2"]
         best = left.withColumn("r1", F.row_number().over(Window.partitionBy("e1").orderBy(*order))).withColumn("r2", F.row_number().over(Window.partitionBy("e2").orderBy(*order)))
         won = stored(best.where("r1 = 1 and r2 = 1").select("e1", "e2", "confidence"), "won")

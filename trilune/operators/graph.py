@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,14 @@ RELATION_WEIGHTS = {"sameAs": 1.0, "translatedAs": 0.9, "belongsTo": 0.7, "suppo
 OTHER_WEIGHT = 0.3
 
 
+def rounds(most: int | None) -> Iterator[int]:
+    """Numbers of the rounds of a loop that ends when nothing changes; one that needs more than `most` fails."""
+    for n in count():
+        if n == most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield n
+
+
 def relation_weight(rel, weights: dict[str, float] | None = None):
     weights = RELATION_WEIGHTS if weights is None else weights
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), rel), F.lit(OTHER_WEIGHT))
@@ -69,11 +80,11 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 3) -> DataFra
     return found
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, component): the smallest id that undirected edges connect. Labels pass to neighbours and jump to their labels' labels."""
     both = stored(undirected(edges).where("src <> dst"), "both")
     label = stored(nodes.select("id").distinct().withColumn("component", F.col("id")), "label")
-    for _ in range(most):
+    for _ in rounds(most):
         near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("near"))
         new = label.join(near, label["id"] == near["src"], "left").select("id", F.least("component", "near").alias("component"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("next"))
@@ -85,14 +96,14 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
     return label
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, component): nodes on common cycles. The largest label spreads forward; who is reached backward from its owner, within its label, is one component."""
-    rest = stored(nodes.select("id").distinct(), "rest")
+    rest = stored(nodes.select("id").where("id is not null").distinct(), "rest")
     e = stored(edges.select("src", "dst").distinct(), "edges")
     done = rest.limit(0).withColumn("component", F.col("id"))
-    for _ in range(most):
-        if rest.isEmpty():
-            break
+    if rest.isEmpty():
+        return done
+    for _ in rounds(most):
         inner = stored(e.join(rest, e["src"] == rest["id"], "left_semi").join(rest, F.col("dst") == rest["id"], "left_semi"), "inner")
         color = stored(rest.withColumn("c", F.col("id")), "color")
         while True:
@@ -113,15 +124,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> Da
             back = stored(back.unionByName(front), "back")
         done = stored(done.unionByName(back.select("id", F.col("c").alias("component"))), "done")
         rest = stored(rest.join(back, "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
     return done
 
 
-def topological_levels(edges: DataFrame, most: int = 100) -> DataFrame:
+def topological_levels(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, level) of nodes with edges src -> prerequisite dst: the longest chain below; nodes on or behind cycles are left out."""
     e = stored(edges.select("src", "dst").where("src <> dst").distinct(), "prereq")
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     done = stored(nodes.join(e, nodes["id"] == e["src"], "left_anti").withColumn("level", F.lit(0)), "level")
-    for _ in range(most):
+    for _ in rounds(most):
         ready = e.join(done, e["dst"] == done["id"], "left").groupBy("src").agg(F.max("level").alias("m"), F.count(F.lit(1)).alias("n"), F.count("level").alias("k")).where("n = k")
         new = stored(ready.select(F.col("src").alias("id"), (F.col("m") + 1).alias("level")).join(done, "id", "left_anti"), "level")
         if new.isEmpty():
