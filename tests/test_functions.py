@@ -119,6 +119,33 @@ def test_forgetting_of_nothing_and_future(spark):
     assert (r.a, r.b) == (1.0, 1.0)
 
 
+def test_learner_without_success_gets_the_whole_path(spark):
+    concepts = spark.createDataFrame([("a", "Word"), ("b", "Grammar")], "id string, type string")
+    levels = spark.createDataFrame([("a", 0), ("b", 1)], "id string, level int")
+    mastered = spark.createDataFrame([(1, "a")], "learner long, id string")
+    log = spark.createDataFrame([(1,), (2,), (2,)], "learner long")
+    got = {(r.learner, r.step, r.id) for r in L.learning_path(concepts, levels, mastered, 10, log).collect()}
+    assert got == {(1, 1, "b"), (2, 1, "a"), (2, 2, "b")}
+
+
+def test_linear_map_of_all_gold_pairs(spark, tmp_path):
+    import numpy as np
+
+    from trilune.plans import align
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 4))
+    label = r.integers(0, 3, 60)
+    rows = [(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, label, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = [(i, j) for i in range(1, 60, 2) for j in range(0, 60, 2) if label[i] == label[j]]
+    m = np.linalg.lstsq(x[[i for i, _ in pairs]], x[[j for _, j in pairs]], rcond=None)[0]
+    first = {n: (min(i for i, j in pairs if label[i] == n), min(j for i, j in pairs if label[i] == n)) for n in range(3)}
+    got = {r.label: r.distance for r in align.align_linear_map(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({n: np.linalg.norm(x[i] @ m - x[j]) for n, (i, j) in first.items()}, abs=1e-4)
+    assert min(got.values()) > 0.1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("plain")
     (tmp_path / "b.json").write_text(json.dumps({"x": ["one", {"y": 2}]}))

@@ -62,9 +62,9 @@ def feedback(correct: Column, level: Column, threshold: float = 0.7) -> Column:
     return F.when(correct == 0, "review the evidence and try again").when(level > threshold, "mastered: go on to the next concept").otherwise("correct: practise once more")
 
 
-def learning_path(concepts: DataFrame, levels: DataFrame, mastered: DataFrame, most: int) -> DataFrame:
-    """Per learner: concepts not mastered, in order of prerequisite level then id, with difficulty and minutes. mastered: learner, id; learners come from it."""
-    learners = mastered.select("learner").distinct()
+def learning_path(concepts: DataFrame, levels: DataFrame, mastered: DataFrame, most: int, learners: DataFrame | None = None) -> DataFrame:
+    """Per learner: concepts not mastered, in order of prerequisite level then id, with difficulty and minutes. mastered: learner, id; learners come from it unless given."""
+    learners = (mastered if learners is None else learners).select("learner").distinct()
     todo = learners.crossJoin(concepts.join(levels, "id")).join(mastered, ["learner", "id"], "left_anti")
     todo = todo.withColumn("step", F.row_number().over(Window.partitionBy("learner").orderBy("level", "id"))).where(F.col("step") <= most)
     return todo.select("learner", "step", "id", lookup(DIFFICULTY, F.col("type"), 0.5).alias("difficulty"), lookup(MINUTES, F.col("type"), 20).cast("long").alias("minutes"))

@@ -55,11 +55,17 @@ def align_tsv(spark, d):
 
 
 def align_linear_map(spark, d):
-    """How far the best linear map takes each label's first vector from its second: rows by label."""
+    """How far the best linear map over all gold pairs takes each label's first vector from its second: rows by label.
+
+    A left vector's pairs are one row, their mean on the right, weighted by their number: the moments are the same.
+    """
     left, right = sides(spark, d)
     first = lambda v, n: v.groupBy("label").agg(F.min_by("x", "id").alias(n))
     both = stored(first(left, "x").join(first(right, "y"), "label"), "seeds")
-    m = A.linear_map(both)
+    n = right.where("x is not null").groupBy("label").agg(F.sqrt(F.count(F.lit(1))).alias("w"))
+    mean = right.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("y"))
+    weighted = lambda c: F.transform(c, lambda v: v * F.col("w")).alias(c)
+    m = A.linear_map(left.where("x is not null").join(mean.join(n, "label"), "label").select(weighted("x"), weighted("y")))
     image = F.array(*[F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in m[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for j in range(m.shape[1])])
     return both.select("label", F.round(F.sqrt(F.aggregate(F.zip_with(image, "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)), 4).alias("distance"))
 
