@@ -14,11 +14,12 @@ The corpus is kept as slices, compressed, in the shared folder. Three exchanges
    prefixes, one word long, and longer where a group exceeds a memory-sized number of suffixes;
    each group's suffixes are sorted, which spells its subtree, and neighbours' common prefixes
    give its internal nodes. A node at depth `size` or more is a repeat; its leaves but those of the
-   smallest document are repeated windows. Words are compared as texts here, not as fingerprints.
+   smallest document are repeated windows. Words are compared as texts in this step only.
 3. Slices learn their repeated windows and rewrite their documents.
 
-Within a slice, equal windows are settled before anything is sent, so a passage that
-every document has is sent once per slice. False alarms of the first exchange cost time only.
+Within a slice, equal windows are settled by 64-bit fingerprints before anything is sent, so a
+passage that every document has is sent once per slice; copies of whole documents are settled by
+128-bit fingerprints. False alarms of the anchors cost time only.
 
 Null ids neither remove nor lose words. Null texts have no words; rows with equal ids do not remove from each other.
 """
