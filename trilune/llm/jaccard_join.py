@@ -4,8 +4,9 @@ All shingles have one global order: by fingerprint, those found frequent behind
 others. Documents with equal sets form a class and are compared once. Two sets similar
 enough share a shingle among the first few of each in that order, so candidates come
 from posting lists of these prefixes alone, dealt out by fingerprint in packed
-arrays. Candidates' sets are then cut at fixed places of the global order into
-fragments; overlaps are counted fragment by fragment and summed per pair.
+arrays. Candidates' whole sets are then joined into one row per pair and cut there at fixed
+places of the order of fingerprints (without the frequent ones' place behind) into fragments;
+overlaps are counted fragment by fragment, in one call per pair.
 
 Components need a spanning set of links, not all of them. Long candidate lists are
 therefore compared with a few leaders first; documents that a link connects already
