@@ -4,17 +4,22 @@ A word is read as one blank byte and its UTF-8 bytes. Every vocabulary piece tha
 spells a stretch of it is an edge, and every byte is an edge of its own, so each word
 has a segmentation. Pieces never reach over a blank inside a text, so a text's
 probability, summed over all its segmentations, is the product of those of its words.
-Forward and backward sums run in log space over many distinct words at once.
+Forward and backward sums run in log space over many distinct words at once, layer by layer;
+words longer than LONG bytes, such as texts without blanks, are walked one by one, so that a
+long word costs in proportion to its length.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 
 from trilune.llm import words as W
 
+LONG = 2000
+
 
 class Lattice:
     """Pieces of a sentencepiece model file as byte strings; edge e has a weight per model."""
@@ -46,21 +51,25 @@ class Lattice:
     def edges(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         """For a buffer of words one after the other: {length: (from positions, piece numbers)}, longest last."""
         n = len(buffer)
-        up, down = W._powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(W._BYTE[buffer] * up[:n], out=total[1:])
         room = np.repeat(starts + sizes, sizes) - np.arange(n)  # bytes to the word's end
         out = {1: (np.arange(n), buffer.astype(np.int32))}
-        for length, (known, number, seen) in self.by_length.items():
-            at = np.flatnonzero(room >= length)
+        byte = buffer.astype(np.uint64) + np.uint64(1)
+        ups = W.powers(max(self.by_length, default=1))
+        at, sums = np.arange(n), [byte.copy() for _ in ups]
+        for length in range(2, max(self.by_length, default=1) + 1):
+            keep = room[at] >= length
+            at = at[keep]
             if not len(at):
+                break
+            sums = [s[keep] + byte[at + length - 1] * up[length - 1] for s, up in zip(sums, ups, strict=True)]
+            if length not in self.by_length:
                 continue
-            h = W.mix((total[at + length] - total[at]) * down[at] + np.uint64(length))
-            maybe = seen[(h >> np.uint64(44)).astype(np.int64)]
-            at, h = at[maybe], h[maybe]
-            j = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[j] == h
-            out[length] = (at[hit], number[j[hit]])
+            known, number, seen = self.by_length[length]
+            h = W.joined(sums, np.full(len(at), length))
+            maybe = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
+            j = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+            hit = known[j] == h[maybe]
+            out[length] = (at[maybe[hit]], number[j[hit]])
         return out
 
     def blocks(self, sizes: np.ndarray, most: int = 400_000):
@@ -80,6 +89,17 @@ class Lattice:
         models = logp.shape[1]
         out = np.empty((len(sizes), models))
         used = np.zeros(self.size) if weight is not None else None
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            for i in long:
+                out[i], uses = self.walked(buffer[starts[i] : starts[i] + sizes[i]], logp, used is not None)
+                if used is not None:
+                    used += weight[i] * uses
+            short = np.flatnonzero(sizes <= LONG)
+            own = np.repeat(starts[short] - (np.cumsum(sizes[short]) - sizes[short]), sizes[short]) + np.arange(int(sizes[short].sum()))
+            rest = self.run(buffer[own], np.cumsum(sizes[short]) - sizes[short], sizes[short], logp, None if used is None else weight[short])
+            out[short] = rest if used is None else rest[0]
+            return out if used is None else (out, used + rest[1])
         for a, b in self.blocks(sizes):
             lo, hi = starts[a], starts[b - 1] + sizes[b - 1]
             s, n = starts[a:b] - lo, sizes[a:b]
@@ -106,6 +126,40 @@ class Lattice:
                 used += np.bincount(piece, np.exp(share) * weight[a:b][word[source]], self.size)
         return out if used is None else (out, used)
 
+    def walked(self, word: np.ndarray, logp: np.ndarray, uses: bool):
+        """Log probabilities of one word under each model, and the expected uses of the pieces (under the first)."""
+        n = len(word)
+        found = self.edges(word, np.zeros(1, np.int64), np.array([n]))
+        tail, piece = (np.concatenate([e[i] for e in found.values()]) for i in (0, 1))
+        head = tail + np.repeat(list(found), [len(e[0]) for e in found.values()])
+        there = [_path_sums(tail, head, logp[piece, m], n) for m in range(logp.shape[1])]
+        used = np.zeros(self.size)
+        if uses:
+            back = _path_sums(n - head, n - tail, logp[piece, 0], n)[::-1]
+            used = np.bincount(piece, np.exp(there[0][tail] + logp[piece, 0] + back[head] - there[0][n]), self.size)
+        return np.array([t[n] for t in there]), used
+
+
+def _path_sums(tail: np.ndarray, head: np.ndarray, logp: np.ndarray, n: int, low: float = 1e-150) -> np.ndarray:
+    """Log of the sum over all paths from node 0 to each node; scaled sums, since a word may have a million nodes."""
+    order = np.argsort(head, kind="stable")
+    tails, chance, cut = tail[order].tolist(), np.exp(logp[order]).tolist(), np.searchsorted(head[order], np.arange(1, n + 2)).tolist()
+    reach = int((head - tail).max())
+    sums, out, moved = [0.0] * (n + 1), [0.0] * (n + 1), 0.0
+    sums[0] = 1.0
+    for i in range(1, n + 1):
+        total = 0.0
+        for e in range(cut[i - 1], cut[i]):
+            total += sums[tails[e]] * chance[e]
+        if total < low:
+            for j in range(max(0, i - reach), i):
+                sums[j] /= low
+            moved += math.log(low)
+            total /= low
+        sums[i] = total
+        out[i] = math.log(total) + moved
+    return np.array(out)
+
 
 def _layers(at: np.ndarray):
     """Edge numbers by the layer that they lead to, in order of layers."""

@@ -18,23 +18,37 @@ BLANKS = bytes([9, 10, 11, 12, 13, 32])
 NOT_TERM = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Fingerprints are polynomials over the field of this prime, at two points; unlike sums modulo a power
+#: of two they differ for words built to a rule, such as those of Thue and Morse.
+_PRIME = (1 << 31) - 1
+_POINTS = (1_270_463_929, 1_845_330_731)
 _RNG = np.random.default_rng(20240101)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LANE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64, for i < n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 2**64)
-        _POWERS[:] = [
-            np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
-            for b in (_BASE, inverse)
-        ]
-    return _POWERS[0], _POWERS[1]
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**63."""
+    p, shift = np.uint64(_PRIME), np.uint64(31)
+    for _ in range(2):
+        x = (x & p) + (x >> shift)
+    return np.where(x >= p, x - p, x)
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """For each point, its powers 0 to n - 1 and more."""
+    if not _POWERS:
+        _POWERS[:] = [np.ones(1, np.uint64) for _ in _POINTS]
+    while len(_POWERS[0]) < n:
+        size = len(_POWERS[0])
+        _POWERS[:] = [np.append(u, folded(u * np.uint64(pow(x, size, _PRIME)))) for u, x in zip(_POWERS, _POINTS, strict=True)]
+    return _POWERS
+
+
+def joined(sums: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """A fingerprint from the sums at both points and the length."""
+    one, two = map(folded, sums)
+    return mix(((one << np.uint64(31)) | two) + size.astype(np.uint64) * _LANE[0])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,13 +70,17 @@ class Words:
     doc: np.ndarray
     first: np.ndarray  # first[d] .. first[d + 1] are document d's words
     hash: np.ndarray | None
-    total: np.ndarray | None = None  # running sums that any stretch's fingerprint follows from
 
     def prefix(self, n: int) -> np.ndarray:
         """Fingerprint of each word's first n bytes; of all of them, where it has fewer."""
         size = np.minimum(self.end - self.start, n)
-        down = _powers(len(self.buffer) + 1)[1]
-        return mix((self.total[self.start + size] - self.total[self.start]) * down[self.start] + size.astype(np.uint64))
+        sums = [np.zeros(len(size), np.uint64) for _ in _POINTS]
+        for i in range(n):
+            has = np.flatnonzero(size > i)
+            byte = self.buffer[self.start[has] + i].astype(np.uint64) + np.uint64(1)
+            for total, up in zip(sums, powers(n), strict=True):
+                total[has] += byte * up[i]
+        return joined(sums, size)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -100,16 +118,32 @@ def split_buffer(buffer, offsets, separators: bytes = BLANKS, lower: bool = Fals
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    h = total = None
-    if hashes:
-        up, down = _powers(n + 1)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.take(_BYTE, buffer, out=total[1:])
-        total[1:] *= up[:n]
-        np.cumsum(total[1:], out=total[1:])
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(buffer, start, end, doc, first, h, total)
+    return Words(buffer, start, end, doc, first, fingerprints(buffer, start, end) if hashes else None)
+
+
+def fingerprints(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, short: int = 40) -> np.ndarray:
+    """Of the words [start, end), which are in order and do not overlap: byte by byte for all short ones at once, word by word for others."""
+    size = end - start
+    out = np.zeros(len(size), np.uint64)
+    order = np.argsort(np.minimum(size, short + 1).astype(np.uint8), kind="stable")[::-1]
+    long = int(np.count_nonzero(size > short))
+    for i in order[:long]:
+        byte = buffer[start[i] : end[i]].astype(np.uint64) + np.uint64(1)
+        parts = [folded(up[: len(byte)] * byte).sum(dtype=np.uint64) for up in powers(len(byte))]
+        out[i] = joined([np.array([p]) for p in parts], size[i : i + 1])[0]
+    order = order[long:]
+    at, room = start[order], size[order]
+    sums = [np.zeros(len(order), np.uint64) for _ in _POINTS]
+    ends = len(room) - np.searchsorted(room[::-1], np.arange(short), "right")  # words with a byte at each place
+    for i, n in enumerate(ends):
+        if not n:
+            break
+        byte = buffer[at[:n] + i].astype(np.uint64)
+        byte += np.uint64(1)
+        for total, up in zip(sums, powers(short), strict=True):
+            total[:n] += byte * up[i]
+    out[order] = joined(sums, room)
+    return out
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
