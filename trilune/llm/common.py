@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a temporary folder is made and set.
+    Only where spark.checkpoint.dir is unset and all runs on one machine, as in tests, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trilune-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,7 +41,21 @@ def written(spark: SparkSession, df: DataFrame, what: str, compression: str = "z
     """The rows as a Parquet table in the shared folder, read again: lineage ends there and lost executors lose nothing."""
     path = new_folder(spark, what)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept_at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def kept_at(df: DataFrame, path: str) -> DataFrame:
+    """df, with the folder that `dropped` removes."""
+    df._trilune_folder = path
+    return df
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what `written` wrote, once no result reads it any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t._trilune_folder
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Keys up to this size are sent to every task; beyond it, a join shuffles.
@@ -54,12 +69,6 @@ def without(docs: DataFrame, gone: DataFrame, *keys: str, bytes_each: int = 8) -
     return docs.join(F.broadcast(gone) if few else gone, list(keys), "left_anti")
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Rows and bytes of an Arrow batch at most, where whole texts go to Python: JVM and worker both hold a batch, and keep its memory.
 BATCH_ROWS = 2500
 BATCH_BYTES = 8 << 20
@@ -75,9 +84,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def buckets(spark: SparkSession) -> int:
-    """Groups that hashed keys are dealt to: as many as the session has shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Input, as stored, that a bucket gets on average.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets(docs: DataFrame) -> int:
+    """Groups that hashed keys are dealt to: by the input's bytes, and at least as many as the session has shuffle partitions."""
+    least = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, -(-size // BUCKET_BYTES)) if size < 1 << 58 else least  # beyond that, Spark does not know
 
 
 def fold(column, parts: int, keep: int):
@@ -85,10 +100,6 @@ def fold(column, parts: int, keep: int):
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % parts == keep, F.lit(False))
 
 
-def is_file_local(path: str) -> bool:
-    return path.startswith("file:") or path.startswith(os.sep)
-
-
 def opened(uri: str):
     """A pyarrow file system and the path in it; file:, hdfs:, s3:, gs: and plain paths."""
     from pyarrow import fs

@@ -398,7 +398,7 @@ def labelled(frame: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links reach."""
-    spark, parts = docs.sparkSession, buckets(docs.sparkSession)
+    spark, parts = docs.sparkSession, buckets(docs)
     small_batches(spark)
     often = frequent(docs, text, size)
     signed = written(spark, signatures(docs, key, text, size, percent, often), "signatures")

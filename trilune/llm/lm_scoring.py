@@ -150,7 +150,7 @@ def piece_weights(vocab: DataFrame, model: str, rounds: int = 0, add: float = 0.
 def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str = "text", rounds: int = 0) -> DataFrame:
     """Per row: key, learns, n_tokens, n_known, train_tokens, base_score, score. `train`: the condition of training rows."""
     spark = docs.sparkSession
-    parts = buckets(spark)
+    parts = buckets(docs)
     small_batches(spark)
     code = encoded(docs, F.coalesce(train, F.lit(False)), key, text, parts)
     vocab = vocabulary(code)

@@ -376,7 +376,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """Rows of docs with their columns (or those to keep), n_words, n_removed and kept_sha256; columns of these names are replaced."""
     from trilune.llm.common import written
 
-    spark, parts = docs.sparkSession, buckets(docs.sparkSession)
+    spark, parts = docs.sparkSession, buckets(docs)
     small_batches(spark)
     names = ("n_words", "n_removed", "kept_sha256")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]

@@ -163,19 +163,6 @@ def inside_one(doc: np.ndarray, n: int) -> np.ndarray:
     return np.zeros(0, bool) if m <= 0 else doc[:m] == doc[n - 1 :]
 
 
-def batches(texts, most_bytes: int = 4 << 20):
-    """Slices (from, to) of a list of texts, each about most_bytes long, at least one text."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = 0 if t is None else len(t)
-        if i > at and size + n > most_bytes:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def from_arrow(column) -> tuple[np.ndarray, np.ndarray]:
     """The byte buffer and offsets of an Arrow string column, nulls as empty texts, without making Python strings."""
     import pyarrow as pa
