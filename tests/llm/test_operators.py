@@ -171,7 +171,7 @@ def brute_dedup(rows, size=13):
 
 @pytest.mark.parametrize(("slice_bytes", "group"), [(4 << 20, 200_000), (300, 3)])
 def test_substring_dedup(docs, rows, slice_bytes, group, monkeypatch):
-    monkeypatch.setattr(substring_dedup.prefix_groups, "__defaults__", (group,))
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicated(docs, slice_bytes=slice_bytes).collect()}
     assert got == brute_dedup([r[:2] for r in rows])
 

@@ -91,7 +91,7 @@ BUCKET_BYTES = 64 << 20
 def buckets(docs: DataFrame) -> int:
     """Groups that hashed keys are dealt to: by the input's bytes, and at least as many as the session has shuffle partitions."""
     least = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, -(-size // BUCKET_BYTES)) if size < 1 << 58 else least  # beyond that, Spark does not know
 
 

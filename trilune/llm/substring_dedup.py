@@ -4,24 +4,29 @@ A window is `size` consecutive words of one document. It is repeated if its word
 also starts in a document with a smaller id; words that a repeated window covers are removed.
 All windows are judged on the input.
 
-The corpus is kept as slices, compressed, in the shared folder. Three exchanges follow:
-
-1. Each window contains an anchor, the smallest fingerprint among its short word grams; equal
-   windows have equal anchors. Slices send their distinct anchors by hash, as packed numbers,
-   and learn which occur in another slice or document; and likewise which documents are copies as a whole.
-2. Stretches of windows with such an anchor go, as text and once per slice and
-   document, to the anchor's bucket. There all suffixes of at least `size` words are split by
-   prefixes, one word long, and longer where a group exceeds a memory-sized number of suffixes;
-   each group's suffixes are sorted, which spells its subtree, and neighbours' common prefixes
-   give its internal nodes. A node at depth `size` or more is a repeat; its leaves but those of the
-   smallest document are repeated windows. Words are compared as texts in this step only.
-3. Slices learn their repeated windows and rewrite their documents.
-
-Within a slice, equal windows are settled by 64-bit fingerprints before anything is sent, so a
-passage that every document has is sent once per slice; copies of whole documents are settled by
-128-bit fingerprints. False alarms of the anchors cost time only.
-
-Null ids neither remove nor lose words. Null texts have no words; rows with equal ids do not remove from each other.
+The corpus is kept as slices, compressed, in the shared folder. Then:
+
+1. A filter leaves out suffixes whose first `size` words occur once. Each window contains an anchor,
+   the smallest fingerprint among its short word grams; equal windows have equal anchors. Slices send
+   their distinct anchors by hash, as packed numbers, and learn which occur in another slice or document;
+   and likewise which documents are copies as a whole. False alarms cost time only.
+2. Suffixes are split by prefixes of variable length. How many suffixes begin with each word is counted,
+   and for words that more than GROUP suffixes begin with, how many begin with each two words, and so on;
+   the few prefixes that are too frequent are known to all tasks. A suffix then goes, as text, to the group of its
+   shortest prefix that is rare enough, so that groups fit in memory before anything is exchanged.
+3. A group's suffixes, sorted, with the lengths of the prefixes that neighbours have in common, are its
+   subtree, cut at depth `size`: that is what a window needs. An internal node at that depth is a repeat,
+   its leaves but those of the smallest document are repeated windows. Consecutive ones make up the maximal
+   repeats of a document, of any length, which are removed as a whole.
+4. Slices learn their repeated windows and rewrite their documents.
+
+Two kinds of repeats need no exchange of text. Equal windows of one slice are settled there, found by
+fingerprint and confirmed word by word, so that a passage that every document has is sent once per slice;
+a group of equal windows, which no prefix splits, has at most one suffix per slice. Copies of whole
+documents are settled by 128-bit fingerprints of their words, whose own fingerprints have 62 bits.
+
+Null ids neither remove nor lose words. Null texts have no words; rows with equal ids do not remove from
+each other, and all lose what a smaller id has. Columns named like the results are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,11 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trilune.llm import words as W
-from trilune.llm.common import buckets, new_folder, small_batches, table
+from trilune.llm.common import buckets, dropped, new_folder, small_batches, table, written
 
-GRAM = 4
+GRAM = 8
 GROUP = 200_000  # suffixes of a subtree
 SLICE = "kind string, slice string, bucket int, data binary, anchors binary, marks binary"
+RUNS = "slice string, words binary, sizes binary, begins binary, ids binary, suffixes long"
+SUFFIXES = "slice string, bucket int, words binary, places binary, ids binary"
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -82,6 +89,22 @@ def marks(w: W.Words) -> np.ndarray:
     return out
 
 
+def dealt(bucket: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal buckets together, and where each of them begins and the last one ends."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(parts + 1, dtype=bucket.dtype))
+
+
+def numbered(w: W.Words) -> np.ndarray:
+    """A number for each word, equal for equal words and for no others."""
+    import pyarrow as pa
+
+    text = np.append(w.buffer[: w.end[-1]], np.uint8(32)) if len(w.end) else w.buffer[:0]
+    edges = np.stack([w.start, w.end], axis=1).ravel().astype(np.int64)
+    both = pa.Array.from_buffers(pa.large_binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges), pa.py_buffer(text)])
+    return np.asarray(both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode().indices)
+
+
 def _ids(batch, key: str) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -129,15 +152,16 @@ def sliced(docs: DataFrame, key: str, text: str, size: int, parts: int, slice_by
                 begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
                 several = doc[begin] != doc[np.append(begin[1:], len(doc)) - 1] if len(h) else np.zeros(0, bool)
                 h = h[begin]
-                bucket, short = h % np.uint64(parts), ((h // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                short = ((h // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                of, cut = dealt(h % np.uint64(parts), parts)
+                short, several = short[of], several[of]
                 mark = marks(w)
-                long = (w.counts() >= size) & (ids != _NO_ID)
-                own = np.flatnonzero(long)
-                home = mark[own, 0] % np.uint64(parts)
-                for p in range(parts):
-                    x, y = bucket == p, own[home == p]
-                    if x.any() or len(y):
-                        rows.append(("keys", name, p, None, short[x].tobytes() + several[x].astype(np.uint8).tobytes(), mark[y].tobytes() + ids[y].tobytes() + y.astype(np.uint32).tobytes()))
+                own = np.flatnonzero((w.counts() >= size) & (ids != _NO_ID))
+                home, cut_own = dealt(mark[own, 0] % np.uint64(parts), parts)
+                own = own[home]
+                for p in np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_own) > 0)):
+                    x, y = slice(cut[p], cut[p + 1]), own[cut_own[p] : cut_own[p + 1]]
+                    rows.append(("keys", name, int(p), None, short[x].tobytes() + several[x].astype(np.uint8).tobytes(), mark[y].tobytes() + ids[y].tobytes() + y.astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 W.returned()
 
@@ -147,6 +171,11 @@ def sliced(docs: DataFrame, key: str, text: str, size: int, parts: int, slice_by
     return spark.read.schema(SLICE).parquet(path)
 
 
+def split_by(values: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
+    """The values of each of n owners; owners ascend."""
+    return [x.tobytes() for x in np.split(values, np.searchsorted(of, np.arange(1, n)))]
+
+
 def shared_keys(code: DataFrame) -> DataFrame:
     """Per slice and bucket: anchors that another slice or document has too, and documents that copy one with a smaller id."""
 
@@ -167,7 +196,8 @@ def shared_keys(code: DataFrame) -> DataFrame:
         _, number, count = np.unique(h, return_inverse=True, return_counts=True)
         twice = (count > 1) | (np.bincount(number, flag, len(count)) > 0)
         keep = twice[number] if len(h) else flag
-        m, ids, local, doc_slice = np.concatenate(m), np.concatenate(ids), np.concatenate(local), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        doc_slice = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        m, ids, local = np.concatenate(m), np.concatenate(ids), np.concatenate(local)
         order = np.lexsort((ids, m[:, 1], m[:, 0]))
         begin = np.ones(len(order), bool)
         begin[1:] = (m[order[1:]] != m[order[:-1]]).any(axis=1)
@@ -176,8 +206,8 @@ def shared_keys(code: DataFrame) -> DataFrame:
         copy[order] = ids[order] > least
         return pd.DataFrame({
             "slice": pdf["slice"], "bucket": key[0],
-            "anchors": [h[keep & (slice_of == i)].tobytes() for i in range(len(pdf))],
-            "copies": [local[copy & (doc_slice == i)].tobytes() for i in range(len(pdf))],
+            "anchors": split_by(h[keep], slice_of[keep], len(pdf)),
+            "copies": split_by(local[copy], doc_slice[copy], len(pdf)),
         })
 
     return code.where("kind = 'keys'").select("slice", "bucket", "anchors", "marks").groupBy("bucket").applyInPandas(meet, "slice string, bucket int, anchors binary, copies binary")
@@ -195,6 +225,14 @@ def settled(w: W.Words, ids: np.ndarray, copies: np.ndarray, size: int):
     order = np.lexsort((own, g))
     begin = np.ones(len(order), bool)
     begin[1:] = g[order[1:]] != g[order[:-1]]
+    again = np.flatnonzero(~begin)
+    if len(again):  # equal fingerprints: the words decide
+        number = numbered(w)
+        if any((number[at[order[again]] + i] != number[at[order[again - 1]] + i]).any() for i in range(size)):
+            words = np.stack([number[at + i] for i in range(size)], axis=1)
+            g = np.unique(words, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
+            order = np.lexsort((own, g))
+            begin[1:] = g[order[1:]] != g[order[:-1]]
     least = own[order][np.flatnonzero(begin)][np.cumsum(begin) - 1] if len(order) else own
     repeated = np.zeros(len(at), bool)
     repeated[order] = own[order] > least
@@ -203,14 +241,15 @@ def settled(w: W.Words, ids: np.ndarray, copies: np.ndarray, size: int):
     return at, g, repeated, first
 
 
-def stretches(code: DataFrame, keys: DataFrame, key: str, text: str, size: int, parts: int) -> DataFrame:
-    """Per slice and bucket: the text of its windows that may be repeated elsewhere."""
+def candidates(code: DataFrame, keys: DataFrame, key: str, text: str, size: int, parts: int) -> DataFrame:
+    """Per slice (RUNS): runs of suffixes whose first words may occur elsewhere, as text, with their places."""
 
     def cut(_, left, right):
         import pandas as pd
+        import zstandard
 
         W.returned()
-        out = []
+        out, z = [], zstandard.ZstdCompressor(level=1)
         found = [(int(b), np.frombuffer(a, np.uint32)) for b, a in zip(right["bucket"], right["anchors"], strict=True)]
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | a.astype(np.uint64) for b, a in found] or [np.zeros(0, np.uint64)]))
         copies = np.concatenate([np.frombuffer(c, np.uint32) for c in right["copies"]] or [np.zeros(0, np.uint32)])
@@ -218,110 +257,134 @@ def stretches(code: DataFrame, keys: DataFrame, key: str, text: str, size: int,
             batch = _load(data)
             w, ids = _words(batch, text), _ids(batch, key)
             at, _, _, first = settled(w, ids, copies, size)
-            ok, place, g = anchors(w, size)
             at = at[first]
             if not len(at) or not len(known):
                 continue
-            anchor = place[np.searchsorted(ok, at)]
-            h = g[anchor]
+            ok, place, g = anchors(w, size)
+            h = g[place[np.searchsorted(ok, at)]]
             full = ((h % np.uint64(parts)) << np.uint64(32)) | ((h // np.uint64(parts)) & np.uint64(0xFFFFFFFF))
-            hit = known[np.minimum(np.searchsorted(known, full), len(known) - 1)] == full
-            at, anchor, bucket = at[hit], anchor[hit], (h[hit] % np.uint64(parts)).astype(np.int64)
+            at = at[known[np.minimum(np.searchsorted(known, full), len(known) - 1)] == full]
             if not len(at):
                 continue
-            new = np.append(True, (np.diff(at) != 1) | (np.diff(anchor) != 0))
+            new = np.append(True, (np.diff(at) != 1) | (np.diff(w.doc[at]) != 0))
             begin, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-            n, home = last - begin + size, bucket[new]
-            for p in np.unique(home):
-                x = np.flatnonzero(home == p)
-                of = np.repeat(begin[x] - (np.cumsum(n[x]) - n[x]), n[x]) + np.arange(int(n[x].sum()))
-                out.append((name, int(p), packed(w, of), n[x].astype(np.uint32).tobytes(), begin[x].astype(np.uint32).tobytes(), ids[w.doc[begin[x]]].tobytes()))
-        return pd.DataFrame(out, columns=["slice", "bucket", "words", "sizes", "begins", "ids"])
+            n = last - begin + size
+            of = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append((name, z.compress(packed(w, of)), n.astype(np.uint32).tobytes(), begin.astype(np.uint32).tobytes(), ids[w.doc[begin]].tobytes(), len(at)))
+        return pd.DataFrame(out, columns=["slice", "words", "sizes", "begins", "ids", "suffixes"])
 
     docs = code.where("kind = 'docs'").select("slice", "data")
-    return docs.groupBy("slice").cogroup(keys.groupBy("slice")).applyInPandas(cut, "slice string, bucket int, words binary, sizes binary, begins binary, ids binary")
-
-
-def prefix_groups(word: np.ndarray, starts: np.ndarray, size: int, most: int = GROUP):
-    """Suffixes split by prefixes of one word, and of more where a group is larger than `most`; small groups come together."""
-    waiting = [(starts, 0)]
-    light: list[np.ndarray] = []
-    held = 0
-    while waiting:
-        some, depth = waiting.pop()
-        if len(some) <= most or depth == size:
-            if held + len(some) > most and held:
-                yield np.concatenate(light)
-                light, held = [], 0
-            light.append(some)
-            held += len(some)
-            continue
-        order = np.argsort(word[some + depth], kind="stable")
-        some = some[order]
-        cut = np.flatnonzero(np.diff(word[some + depth])) + 1
-        groups = np.split(some, cut)
-        big = [g for g in groups if len(g) > most]
-        small = [g for g in groups if len(g) <= most]
-        waiting += [(g, depth + 1) for g in big]
-        run: list[np.ndarray] = []
-        n = 0
-        for g in small:
-            if n + len(g) > most and run:
-                waiting.append((np.concatenate(run), size))
-                run, n = [], 0
-            run.append(g)
-            n += len(g)
-        if run:
-            waiting.append((np.concatenate(run), size))
-    if held:
-        yield np.concatenate(light)
-
-
-def deep_nodes(word: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in sorted order, and the number of the node at depth `size` above each."""
-    columns = [word[starts + i] for i in range(size)]
-    order = np.lexsort(columns[::-1])
-    common = np.ones(max(len(order) - 1, 0), bool)  # whether neighbours' longest common prefix reaches `size` words
-    for c in columns:
-        c = c[order]
-        common &= c[1:] == c[:-1]
-    return starts[order], np.cumsum(np.append(False, ~common)) if len(order) else np.zeros(0, int)
-
-
-def subtree_repeats(parts: DataFrame, size: int) -> DataFrame:
+    return docs.groupBy("slice").cogroup(keys.groupBy("slice")).applyInPandas(cut, RUNS)
+
+
+def _suffixes(words: bytes, sizes: bytes, size: int, hashes: bool = True) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of runs, where suffixes start in them, and each suffix's run and step in it."""
+    import zstandard
+
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(words), np.uint8)
+    w = W.split_buffer(data, np.array([0, len(data)]), hashes=hashes)
+    n = np.frombuffer(sizes, np.uint32).astype(np.int64)
+    count = n - size + 1
+    run = np.repeat(np.arange(len(n)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    return w, (np.cumsum(n) - n)[run] + step, run, step
+
+
+def prefixes(w: W.Words, starts: np.ndarray, heavy: list[np.ndarray], size: int) -> np.ndarray:
+    """Fingerprint of each suffix's shortest prefix that is not among the heavy ones of its length; of `size` words, if all are."""
+    key, left = W.grams(w.hash, 1)[starts], np.arange(len(starts))
+    for depth, known in enumerate(heavy[: size - 1], 1):
+        left = left[np.isin(key[left], known)]
+        key[left] = W.grams(w.hash, depth + 1)[starts[left]]
+    return key
+
+
+def heavy_prefixes(runs: DataFrame, size: int, most: int) -> list[np.ndarray]:
+    """For lengths 1, 2 ...: fingerprints of the prefixes that more than `most` suffixes begin with. A length has at most suffixes / most of them."""
+    heavy: list[np.ndarray] = []
+
+    def count(known):
+        def counted(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for words, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    w, starts, _, _ = _suffixes(words, sizes, size)
+                    for depth, table in enumerate(known.value, 1):
+                        starts = starts[np.isin(W.grams(w.hash, depth)[starts], table)]
+                    h, n = np.unique(W.grams(w.hash, len(known.value) + 1)[starts], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        return counted
+
+    while len(heavy) < size:
+        known = runs.sparkSession.sparkContext.broadcast(heavy)
+        rows = runs.select("words", "sizes").mapInArrow(count(known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+        found = np.sort(np.array([r.h for r in rows.collect()], np.int64).view(np.uint64))
+        if not len(found):
+            break
+        heavy.append(found)
+    return heavy
+
+
+def subtree(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes (rows of word numbers) in sorted order, and how many first words each has in common with the one before it."""
+    order = np.lexsort(words.T[::-1])
+    same = words[order[1:]] == words[order[:-1]]
+    return order, np.append(0, np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64))[: len(order)]
+
+
+def repeated_leaves(order: np.ndarray, common: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """Whether a suffix lies under an internal node of at least this depth, and a smaller id does too."""
+    node = np.cumsum(common < depth) - 1
+    least = np.full(len(order), _NO_ID)
+    np.minimum.at(least, node, ids[order])
+    out = np.zeros(len(order), bool)
+    out[order] = ids[order] > least[node]
+    return out
+
+
+def subtree_repeats(runs: DataFrame, size: int) -> DataFrame:
     """Per slice: first words of its windows that a document with a smaller id has too."""
+    spark, most = runs.sparkSession, GROUP
+    total = runs.agg(F.sum("suffixes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    heavy = spark.sparkContext.broadcast(heavy_prefixes(runs, size, most))
+
+    def deal(batches):
+        import pyarrow as pa
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for name, words, sizes, begins, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w, starts, run, step = _suffixes(words, sizes, size)
+                place, own = np.frombuffer(begins, np.uint32)[run] + step, np.frombuffer(ids, np.int64)[run]
+                order, cut = dealt(prefixes(w, starts, heavy.value, size) % np.uint64(parts), parts)
+                rows = []
+                for p in np.flatnonzero(np.diff(cut)):
+                    x = order[cut[p] : cut[p + 1]]
+                    text = packed(w, (starts[x][:, None] + np.arange(size)).ravel())
+                    rows.append((name, int(p), z.compress(text), place[x].astype(np.uint32).tobytes(), own[x].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SUFFIXES.split(", ")])
+                W.returned()
 
     def build(key, pdf):
         import pandas as pd
-        import pyarrow as pa
+        import zstandard
 
         W.returned()
-        load = lambda c, t: [np.frombuffer(x, t) for x in pdf[c]]
-        w = W.split_buffer(np.frombuffer(b"".join(pdf["words"]), np.uint8), np.array([0, sum(map(len, pdf["words"]))]), hashes=False)
-        text = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.append(w.start, len(w.buffer)).astype(np.int64)), pa.py_buffer(w.buffer)])
-        word = np.asarray(text.dictionary_encode().indices)
-        sizes = load("sizes", np.uint32)
-        n = np.concatenate(sizes).astype(np.int64)
-        of = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
-        begin, ids = np.concatenate(load("begins", np.uint32)).astype(np.int64), np.concatenate(load("ids", np.int64))
-        count = n - size + 1
-        piece = np.repeat(np.arange(len(n)), count)
-        step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        starts = (np.cumsum(n) - n)[piece] + step
-        back = np.empty(len(word), np.int64)
-        back[starts] = np.arange(len(starts))
-        repeated = np.zeros(len(starts), bool)
-        for group in prefix_groups(word, starts, size):
-            some, node = deep_nodes(word, group, size)
-            leaf = back[some]
-            least = np.full(int(node[-1]) + 1, _NO_ID)
-            np.minimum.at(least, node, ids[piece[leaf]])
-            repeated[leaf] = ids[piece[leaf]] > least[node]
-        hit = np.flatnonzero(repeated)
-        place, home = (begin[piece] + step)[hit], of[piece[hit]]
-        return pd.DataFrame({"slice": pdf["slice"], "places": [place[home == i].astype(np.uint32).tobytes() for i in range(len(pdf))]})
-
-    return parts.groupBy("bucket").applyInPandas(build, "slice string, places binary")
+        z = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(map(z.decompress, pdf["words"])), np.uint8)
+        w = W.split_buffer(data, np.array([0, len(data)]), hashes=False)
+        ids, place = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("ids", np.int64), ("places", np.uint32)))
+        of = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["ids"]])
+        hit = repeated_leaves(*subtree(numbered(w).reshape(-1, size)), ids, size)
+        return pd.DataFrame({"slice": pdf["slice"], "places": split_by(place[hit], of[hit], len(pdf))})
+
+    rows = runs.select("slice", "words", "sizes", "begins", "ids").mapInArrow(deal, SUFFIXES)
+    return rows.groupBy("bucket").applyInPandas(build, "slice string, places binary")
 
 
 def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.StructType, key: str, text: str, size: int, keep: list[str]) -> DataFrame:
@@ -374,8 +437,6 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, keep: list[str] | None = None, slice_bytes: int = 3 << 20) -> DataFrame:
     """Rows of docs with their columns (or those to keep), n_words, n_removed and kept_sha256; columns of these names are replaced."""
-    from trilune.llm.common import written
-
     spark, parts = docs.sparkSession, buckets(docs)
     small_batches(spark)
     names = ("n_words", "n_removed", "kept_sha256")
@@ -383,7 +444,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     docs = docs.select(*dict.fromkeys([*keep, key, text]))
     code = sliced(docs, key, text, size, parts, slice_bytes)
     keys = written(spark, shared_keys(code), "keys")
-    repeats = written(spark, subtree_repeats(stretches(code, keys, key, text, size, parts), size), "repeats")
+    runs = written(spark, candidates(code, keys, key, text, size, parts), "runs", "none")
+    repeats = written(spark, subtree_repeats(runs, size), "repeats")
+    dropped(runs)
     return rewritten(code, keys, repeats, docs.schema, key, text, size, keep)
 
 
