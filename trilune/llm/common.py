@@ -85,7 +85,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Input, as stored, that a bucket gets on average.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def buckets(docs: DataFrame) -> int:

@@ -1,23 +1,23 @@
 """Near-duplicate documents by a vertically partitioned Jaccard join on word shingles.
 
 All shingles have one global order: by fingerprint, those found frequent behind all
-others. Documents with equal sets form a class and are compared once. Two sets similar
-enough share a shingle among the first few of each in that order, so candidates come
-from posting lists of these prefixes alone, dealt out by fingerprint in packed
-arrays. Candidates' whole sets are then joined into one row per pair and cut there at fixed
-places of the order of fingerprints (without the frequent ones' place behind) into fragments;
-overlaps are counted fragment by fragment, in one call per pair.
+others. Fixed places of it cut every set into fragments. Two sets similar enough share a shingle among the
+first few of each, the prefix, so that candidates come from posting lists of prefixes alone, dealt out by
+fingerprint in packed arrays. For the candidates, fragments are rows of their own, dealt out by
+fragment and document: a task sees one fragment of two sets, never whole ones, and counts the overlap in it; the
+partial overlaps are summed per pair. Documents with equal sets form a class and are compared once.
 
 Components need a spanning set of links, not all of them. Long candidate lists are
 therefore compared with a few leaders first; documents that a link connects already
 need no further comparison. What stays unconnected in a list is compared in full: short lists pair
-by pair, long ones in blocks, inside the tasks, which return links only. No list, pair or document
+by pair, long ones in blocks, inside the tasks, which return links only; there a block's fragments are counted
+one after the other and summed in the task, since partial counts of all its pairs must not leave it. No list, pair or document
 is left out, whatever its frequency.
 
 Texts with fewer words than a shingle are one shingle; null texts, and those without
 words, have none and link with nothing. Null ids link with nothing and have no component. Rows
 with the same id are one node of the link graph, one row each of the result. Other columns are not
-used. Fingerprints have 64 bits.
+used, whatever their names. An empty table gives an empty one. Fingerprints have 64 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilune.llm import words as W
-from trilune.llm.common import SENT_BYTES, buckets, small_batches, table, without, written
+from trilune.llm.common import SENT_BYTES, buckets, dropped, small_batches, table, without, written
 
 FRAGMENTS = 4
 SHORT = 100  # lists up to this long give all their pairs of like size
@@ -89,6 +89,18 @@ def frequent(docs: DataFrame, text: str, size: int, local: int = 3, least: int =
     return np.asarray(rows.combine_chunks() if rows.num_chunks else [], np.int64)[::-1].copy().view(np.uint64)
 
 
+def ranks(h: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Place of each shingle in the global order: by fingerprint, the frequent ones behind all others, in the order given."""
+    rank = h >> np.uint64(1)
+    if len(often):
+        late = np.argsort(often, kind="stable")
+        known = often[late]
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        rank[hit] = np.uint64(1 << 63) + late[at[hit]].astype(np.uint64)
+    return rank
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, often: np.ndarray) -> DataFrame:
     """Per row: id, n (size of its set), mark (fingerprint of the whole set) and prefix (first shingles in the global order)."""
     sent = docs.sparkSession.sparkContext.broadcast(often)  # at most `most` fingerprints
@@ -96,19 +108,12 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, of
     def sign(batches):
         import pyarrow as pa
 
-        late = np.argsort(sent.value, kind="stable")
-        known = sent.value[late]
         for batch in batches:
             for a, b, w in W.chunks(batch.column(1), lower=True):
                 h, doc = shingles(w, size)
                 n = np.bincount(doc, minlength=b - a)
                 begin = np.cumsum(n) - n
-                rank = h >> np.uint64(1)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[at] == h
-                    rank[hit] = np.uint64(1 << 63) + late[at[hit]].astype(np.uint64)
-                order = np.lexsort((rank, doc))
+                order = np.lexsort((ranks(h, sent.value), doc))
                 h = h[order]
                 some = n > 0
                 mark = np.zeros((b - a, 2), np.uint64)
@@ -240,7 +245,8 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int | None =
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
-        edges = written(spark, small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+        old, edges = edges, written(spark, small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+        dropped(old)
         new = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if new == state or not new[0]:
             break
@@ -273,56 +279,95 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) ->
     return written(docs.sparkSession, rows.mapInArrow(cut, "id long, n long, set binary"), "sets", "none")
 
 
-def fragments(h: np.ndarray) -> list[np.ndarray]:
+def fragments_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int, often: np.ndarray) -> DataFrame:
+    """(id, fragment, n, mark, part) of the documents with the given distinct ids: the set's size and fingerprint, and its shingles in that fragment. Empty fragments have no row."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)  # at most `most` fingerprints
+
+    def cut(batches):
+        import pyarrow as pa
+
+        edges = np.array([(i << 63) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS)], np.uint64)  # the last one: frequent shingles
+        for batch in batches:
+            for a, b, w in W.chunks(batch.column(1), lower=True):
+                h, doc = shingles(w, size)
+                n = np.bincount(doc, minlength=b - a)
+                mark = np.zeros(b - a, np.uint64)
+                np.add.at(mark, doc, W.mix(h + W._LANE[0]))
+                fragment = np.searchsorted(edges, ranks(h, sent.value), "right")
+                order = np.lexsort((h, fragment, doc))
+                own = (doc * FRAGMENTS + fragment)[order]
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+                data = h[order].tobytes()
+                part = [data[8 * i : 8 * j] for i, j in zip(begin, np.append(begin[1:], len(own)), strict=True)]
+                which = own[begin] // FRAGMENTS
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a).take(pa.array(which)), pa.array(own[begin] % FRAGMENTS, pa.int32()), pa.array(n[which], pa.int64()), pa.array(mark[which].view(np.int64)), pa.array(part, pa.binary())],
+                    names=["id", "fragment", "n", "mark", "part"],
+                )
+
+    rows = only(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids)
+    return written(docs.sparkSession, rows.mapInArrow(cut, "id long, fragment int, n long, mark long, part binary"), "fragments", "none")
+
+
+def shared(a: bytes, b: bytes) -> int:
+    """How many shingles two sorted sets share."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return 0
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
+def ranges(h: np.ndarray) -> list[np.ndarray]:
     """A sorted set cut at fixed places of the order of fingerprints."""
     edges = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
     return np.split(h, np.searchsorted(h, edges))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
-    """Pairs (x, y) of which similar(set, n, set, n) holds. A set goes with each of its pairs once, to where the smaller id's is; a frequent smaller id is split by the join."""
+def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that are similar enough. A fragment of y goes to where that fragment of x is; a frequent x is split by the join."""
 
-    def compare(batches):
+    names = ["x", "y", "rx", "ry", "m", "n", "fragment"]
+
+    def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x, y, *rest = (c.to_pylist() for c in batch.columns)
-            ok = pa.array([similar(np.frombuffer(a, np.uint64), m, np.frombuffer(b, np.uint64), n) for a, m, b, n in zip(*rest, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["x", "y"])
-
-    own = lambda i, a, n: sets.select(F.col("id").alias(i), F.col("set").alias(a), F.col("n").alias(n))
-    both = pairs.select("x", "y").join(own("y", "b", "bn"), "y").join(own("x", "a", "an"), "x")
-    return both.select("x", "y", "a", "an", "b", "bn").mapInArrow(compare, "x long, y long").distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that are similar enough: overlaps of fragment after fragment, until they cannot suffice any more."""
-
-    def similar(a, m, b, n):
-        total, left, least = 0, m, _least(m, n, percent)
-        for p, q in zip(fragments(a), fragments(b), strict=True):
-            left -= len(p)
-            total += len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) else 0
-            if total + left < least:
-                return False
-        return total >= least
+            a, b = (batch.column(i).to_pylist() for i in (-2, -1))
+            n = pa.array([shared(u, v) for u, v in zip(a, b, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], n], names=[*names, "overlap"])
 
-    return _compared(pairs, sets, similar)
+    own = lambda i, a, n: parts.select(F.col("id").alias(i), "fragment", F.col("mark").alias(f"r{i}"), F.col("part").alias(a), F.col("n").alias(n))
+    both = pairs.select("x", "y").join(own("y", "b", "n"), "y").join(own("x", "a", "m"), ["x", "fragment"])
+    kinds = [f"{c} {'int' if c == 'fragment' else 'long'}" for c in (*names, "overlap")]
+    found = both.select(*names, "a", "b").mapInArrow(count, ", ".join(kinds))
+    # Rows that repeat an id and its text count once; rows of one id with several texts are apart.
+    once = [F.max(F.when(F.col("fragment") == f, F.col("overlap"))).alias(f"o{f}") for f in range(FRAGMENTS)]
+    total = sum((F.coalesce(f"o{f}", F.lit(0)) for f in range(FRAGMENTS)), F.lit(0))
+    sums = found.groupBy(*names[:-1]).agg(*once).withColumn("overlap", total)
+    return sums.where(100 * F.col("overlap") >= percent * (F.col("m") + F.col("n") - F.col("overlap"))).select("x", "y").distinct()
 
 
 def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes, the first fragment, share enough for the rest to suffice."""
+    """The pairs whose prefixes share enough for the rest to suffice."""
 
-    def similar(a, m, b, n):
-        return len(np.intersect1d(a, b, assume_unique=True)) + max(m - len(a), n - len(b)) >= _least(m, n, percent)
+    def compare(batches):
+        import pyarrow as pa
 
-    return _compared(pairs, prefixes, similar)
+        for batch in batches:
+            x, y, a, m, b, n = (c.to_pylist() for c in batch.columns)
+            ok = [shared(bytes(np.sort(np.frombuffer(u, np.uint64))), bytes(np.sort(np.frombuffer(v, np.uint64)))) + max(i - len(u) // 8, j - len(v) // 8) >= _least(i, j, percent) for u, i, v, j in zip(a, m, b, n, strict=True)]
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["x", "y"])
+
+    own = lambda i, a, n: prefixes.select(F.col("id").alias(i), F.col("set").alias(a), F.col("n").alias(n))
+    both = pairs.select("x", "y").join(own("y", "b", "bn"), "y").join(own("x", "a", "an"), "x")
+    return both.select("x", "y", "a", "an", "b", "bn").mapInArrow(compare, "x long, y long").distinct()
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Overlap of every set of a with every set of b, as sums over fragments of the shingles that both sides hold."""
+    """Overlap of every set of a with every set of b, as sums over ranges of the shingles that both sides hold."""
     out = np.zeros((len(a), len(b)), np.float32)
-    for p, q in zip(zip(*map(fragments, a), strict=True), zip(*map(fragments, b), strict=True), strict=True):
+    for p, q in zip(zip(*map(ranges, a), strict=True), zip(*map(ranges, b), strict=True), strict=True):
         u, v = np.concatenate(p), np.concatenate(q)
         shared = np.intersect1d(u, v)
         i, j = np.repeat(np.arange(len(a)), [len(x) for x in p]), np.repeat(np.arange(len(b)), [len(x) for x in q])
@@ -396,6 +441,18 @@ def labelled(frame: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     return frame
 
 
+def equal_sets(signed: DataFrame, many: int = 10_000) -> DataFrame:
+    """Links (x, y) of each document with the smallest id of its set. Sets that more than `many` documents have are no key of an exchange: there are at most rows / many of them."""
+    spark, rows = signed.sparkSession, signed.where("n > 0 and id is not null").select("id", "mark")
+    same = written(spark, rows.groupBy("mark").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "equal")
+    few = same.count() * 32 <= SENT_BYTES
+    hot = same if few else same.where(F.col("rows") > many)
+    links = rows.join(F.broadcast(hot.select("mark", "first")), "mark")
+    if not few:
+        links = links.unionByName(rows.join(same.where(F.col("rows") <= many).select("mark", "first"), "mark"))
+    return links.where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+
+
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links reach."""
     spark, parts = docs.sparkSession, buckets(docs)
@@ -425,12 +482,13 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     unsure = pairs.where("unseen > 0").select("x", "y")
     pairs = written(spark, pairs.where("unseen = 0").select("x", "y").unionByName(promising(unsure, only(prefixes, ids_of(unsure)), percent)), "promising")
     # First each document with its smallest partner, then what that leaves unconnected.
-    sets = sets_of(docs, ids_of(pairs), key, text, size)
-    links = written(spark, verified(pairs.groupBy("y").agg(F.min("x").alias("x")), sets, percent), "links")
+    parts_of = fragments_of(docs, ids_of(pairs), key, text, size, often)
+    links = written(spark, verified(pairs.groupBy("y").agg(F.min("x").alias("x")), parts_of, percent), "links")
     found = components(spark, links)
     open_ = written(spark, labelled(pairs, found, "x", "y").where("c_x <> c_y").select("x", "y"), "open")
-    links = written(spark, links.unionByName(verified(open_, only(sets, ids_of(open_)), percent)), "links")
+    links = written(spark, links.unionByName(verified(open_, only(parts_of, ids_of(open_)), percent)), "links")
     found = components(spark, links)
+    dropped(parts_of, pairs, open_, lists)
     # Long lists that are not one component yet: those outside their largest component against all, by prefixes first.
     named = labelled(member.select("part", "id"), found, "id")
     count = named.groupBy("part", "c_id").count()
@@ -444,8 +502,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         links = written(spark, links.unionByName(in_blocks(*halves(rest), sets, percent, True)), "links")
         found = components(spark, links)
     # Documents with equal sets share the component of the smallest id among them.
-    same = signed.where("n > 0 and id is not null").groupBy("mark").agg(F.min("id").alias("first"))
-    whole = components(spark, links.unionByName(signed.where("n > 0 and id is not null").join(same, "mark").where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))))
+    whole = components(spark, links.unionByName(equal_sets(signed)))
+    dropped(links)
     out = signed.select("id", "n").join(whole, "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
