@@ -2,10 +2,11 @@
 
 A text's model probability is that of its words and one end. A word's probability sums
 over all its segmentations into pieces of a fixed public vocabulary, by a forward
-recursion in log space, and a training word is one more edge over itself, weighted by
-its count; Good and Turing's estimate shares out between the two. The vocabulary file's own
-scores segment the training words; how often each piece is then used, over the whole
-training corpus, are the weights (`rounds` more of expectation maximisation may follow).
+recursion in log space. The vocabulary file's own scores are merge ranks, no probabilities: they segment
+the training words, how often each piece is then used over the whole training corpus are the first weights,
+and `rounds` of expectation maximisation over all segmentations of all training words follow.
+With `word_edge` (the default) a training word is one more edge over itself, weighted by its count; Good and
+Turing's estimate shares out between the two. Without it, the lattice alone gives the score.
 Beside it stands a base score, the word unigram with one added to each count.
 
 Corpus counts of words need every word to meet its like, and every document to learn
@@ -15,7 +16,7 @@ hash bucket with the slice's training counts. Bucket by bucket, words of all sli
 counted and scored once, and the numbers go back to the slices. Frequent words thus
 travel once per slice, whatever their count, and no vocabulary is ever collected.
 
-Null and empty texts have one token, the end. Ids may repeat or be null; each row is scored.
+Null and empty texts have one token, the end. Ties need no rule: equal words have equal scores. Ids may repeat or be null; each row is scored.
 Without training texts every count is 0 and the pieces are equally likely. Other columns are not used.
 """
 
@@ -26,23 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilune.llm import words as W
-from trilune.llm.common import buckets, fold, new_folder, small_batches, table, written
+from trilune.llm.common import buckets, dropped, fold, new_folder, small_batches, table, written
 from trilune.llm.lattice import lattice, spelled
 
 ENCODED = "kind string, slice string, bucket int, ids binary, tokens binary, sizes binary, words binary, counts binary"
 
 
-def _packed(words: W.Words, number: np.ndarray) -> bytes:
-    """The given words of a batch (by position), each followed by a blank."""
-    start, n = words.start[number], words.end[number] - words.start[number] + 1
-    to = np.cumsum(n) - n
-    text = np.full(int(n.sum()), 32, np.uint8)
-    inner = np.ones(len(text), bool)
-    inner[to + n - 1] = False
-    text[inner] = words.buffer[np.repeat(start - (to - np.arange(len(to))), n - 1) + np.arange(len(text))[: len(text) - len(to)]] if len(to) else 0
-    return text.tobytes()
-
-
 def encoded(docs: DataFrame, train, key: str, text: str, parts: int, slice_bytes: int = 5 << 20) -> DataFrame:
     def encode(batches):
         import pickle
@@ -71,7 +61,7 @@ def encoded(docs: DataFrame, train, key: str, text: str, parts: int, slice_bytes
                 for p in range(parts):
                     x = slice(cut[p], cut[p + 1])
                     if x.stop > x.start:
-                        rows.append(("words", name, p, None, None, None, _packed(w, first[order[x]]), counts[x].tobytes()))
+                        rows.append(("words", name, p, None, None, None, W.packed(w, first[order[x]]), counts[x].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     spark = docs.sparkSession
@@ -86,8 +76,8 @@ def _unpacked(packs: list[bytes]) -> tuple[W.Words, list[np.ndarray]]:
     return w, [np.arange(a, b) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def vocabulary(code: DataFrame) -> DataFrame:
-    """Per bucket: its distinct words, their training counts, and how often the tokenizer's segmentations use each piece."""
+def vocabulary(code: DataFrame, most: int = 100_000) -> DataFrame:
+    """Distinct training words with their counts, in rows of at most `most` words, with their number, sum, and how many occur once."""
 
     def merge(key, pdf):
         import pandas as pd
@@ -96,14 +86,16 @@ def vocabulary(code: DataFrame) -> DataFrame:
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(float)
         _, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
         total = np.bincount(number, counts, len(first)).astype(np.int64)
-        seen = total > 0
-        return pd.DataFrame({"bucket": [key[0]], "words": [_packed(w, first[seen])], "counts": [total[seen].tobytes()], "distinct": [int(seen.sum())], "total": [int(total.sum())], "single": [int((total == 1).sum())]})
+        seen = np.flatnonzero(total)
+        parts = [seen[a : a + most] for a in range(0, len(seen), most)]
+        rows = [(W.packed(w, first[x]), total[x].tobytes(), len(x), int(total[x].sum()), int((total[x] == 1).sum())) for x in parts]
+        return pd.DataFrame(rows, columns=["words", "counts", "distinct", "total", "single"])
 
     rows = code.where("kind = 'words'").select("bucket", "words", "counts")
-    return written(code.sparkSession, rows.groupBy("bucket").applyInPandas(merge, "bucket int, words binary, counts binary, distinct long, total long, single long"), "vocabulary")
+    return written(code.sparkSession, rows.groupBy("bucket").applyInPandas(merge, "words binary, counts binary, distinct long, total long, single long"), "vocabulary")
 
 
-def piece_weights(vocab: DataFrame, model: str, rounds: int = 0, add: float = 0.1) -> np.ndarray:
+def piece_weights(vocab: DataFrame, model: str, rounds: int = 1, add: float = 0.1) -> np.ndarray:
     """Log probabilities of the pieces; their uses in all training words are summed piece by piece, so the vocabulary's size bounds what is collected."""
     spark = vocab.sparkSession
     size = lattice(model).size
@@ -147,7 +139,7 @@ def piece_weights(vocab: DataFrame, model: str, rounds: int = 0, add: float = 0.
     return logp
 
 
-def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str = "text", rounds: int = 0) -> DataFrame:
+def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str = "text", rounds: int = 1, word_edge: bool = True) -> DataFrame:
     """Per row: key, learns, n_tokens, n_known, train_tokens, base_score, score. `train`: the condition of training rows."""
     spark = docs.sparkSession
     parts = buckets(docs)
@@ -155,6 +147,7 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
     code = encoded(docs, F.coalesce(train, F.lit(False)), key, text, parts)
     vocab = vocabulary(code)
     logp = piece_weights(vocab, model, rounds)
+    sent = spark.sparkContext.broadcast(logp.reshape(-1, 1))
     words, distinct, single = vocab.agg(F.sum("total"), F.sum("distinct"), F.sum("single")).first()
     texts = docs.where(train).count()
     n, v = int(words or 0) + texts, int(distinct or 0) + (texts > 0)
@@ -162,7 +155,9 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
     end = (texts + 0.1) / ((words or 0) + texts + 0.2)
     new = (single + 1.0) / (words + 2.0) if words else 1.0
     known = (1 - new) / words if words else 0.0
-    sent = spark.sparkContext.broadcast(logp.reshape(-1, 1))
+    if not word_edge:
+        new, known = 1.0, 0.0
+    dropped(vocab)
 
     def value(key, pdf):
         import pandas as pd
@@ -174,10 +169,10 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
         scores = np.empty(len(first))
         lat = lattice(model)
         for at in range(0, len(first), 50_000):
-            scores[at : at + 50_000] = lat.run(*spelled(_packed(w, first[at : at + 50_000]).split()), sent.value)[:, 0]
+            scores[at : at + 50_000] = lat.run(*spelled(W.packed(w, first[at : at + 50_000]).split()), sent.value)[:, 0]
         with np.errstate(divide="ignore"):  # the whole word is an edge too, if training texts have it
             scores = np.logaddexp(scores + np.log(new), np.log(total * known)) + np.log1p(-end)
-        scores, total = (scores / np.log(10))[number], total.astype(np.uint32)[number]
+        scores, total = (scores / np.log(10))[number], total.astype(np.int64)[number]
         return pd.DataFrame({"slice": pdf["slice"], "bucket": key[0], "total": [total[p].tobytes() for p in places], "scores": [scores[p].tobytes() for p in places]})
 
     values = code.where("kind = 'words'").select("slice", "bucket", "words", "counts").groupBy("bucket").applyInPandas(value, "slice string, bucket int, total binary, scores binary")
@@ -189,7 +184,7 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
         import zstandard
 
         right = right.sort_values("bucket")
-        total = np.concatenate([np.frombuffer(x, np.uint32) for x in right["total"]] or [np.zeros(0, np.uint32)]).astype(float)
+        total = np.concatenate([np.frombuffer(x, np.int64) for x in right["total"]] or [np.zeros(0, np.int64)]).astype(float)
         own = np.concatenate([np.frombuffer(x, float) for x in right["scores"]] or [np.zeros(0)])
         out = []
         for ids, tokens, sizes in zip(left["ids"], left["tokens"], left["sizes"], strict=True):

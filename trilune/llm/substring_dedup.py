@@ -49,18 +49,6 @@ SUFFIXES = "slice string, bucket int, words binary, places binary, ids binary"
 _NO_ID = np.iinfo(np.int64).max
 
 
-def packed(w: W.Words, of: np.ndarray) -> bytes:
-    """The words with the given numbers, each followed by a blank."""
-    size = w.end[of] - w.start[of] + 1
-    to = np.cumsum(size) - size
-    text = np.full(int(size.sum()), 32, np.uint8)
-    inner = np.ones(len(text), bool)
-    inner[to + size - 1] = False
-    if len(of):
-        text[inner] = w.buffer[np.repeat(w.start[of] - (to - np.arange(len(to))), size - 1) + np.arange(len(text) - len(to))]
-    return text.tobytes()
-
-
 def anchors(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows' first words, their anchors' places, and fingerprints of the grams from each word on."""
     gram = min(GRAM, size)
@@ -95,16 +83,6 @@ def dealt(bucket: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(parts + 1, dtype=bucket.dtype))
 
 
-def numbered(w: W.Words) -> np.ndarray:
-    """A number for each word, equal for equal words and for no others."""
-    import pyarrow as pa
-
-    text = np.append(w.buffer[: w.end[-1]], np.uint8(32)) if len(w.end) else w.buffer[:0]
-    edges = np.stack([w.start, w.end], axis=1).ravel().astype(np.int64)
-    both = pa.Array.from_buffers(pa.large_binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges), pa.py_buffer(text)])
-    return np.asarray(both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode().indices)
-
-
 def _ids(batch, key: str) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -227,7 +205,7 @@ def settled(w: W.Words, ids: np.ndarray, copies: np.ndarray, size: int):
     begin[1:] = g[order[1:]] != g[order[:-1]]
     again = np.flatnonzero(~begin)
     if len(again):  # equal fingerprints: the words decide
-        number = numbered(w)
+        number = W.numbered(w)
         if any((number[at[order[again]] + i] != number[at[order[again - 1]] + i]).any() for i in range(size)):
             words = np.stack([number[at + i] for i in range(size)], axis=1)
             g = np.unique(words, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
@@ -270,7 +248,7 @@ def candidates(code: DataFrame, keys: DataFrame, key: str, text: str, size: int,
             begin, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
             n = last - begin + size
             of = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append((name, z.compress(packed(w, of)), n.astype(np.uint32).tobytes(), begin.astype(np.uint32).tobytes(), ids[w.doc[begin]].tobytes(), len(at)))
+            out.append((name, z.compress(W.packed(w, of)), n.astype(np.uint32).tobytes(), begin.astype(np.uint32).tobytes(), ids[w.doc[begin]].tobytes(), len(at)))
         return pd.DataFrame(out, columns=["slice", "words", "sizes", "begins", "ids", "suffixes"])
 
     docs = code.where("kind = 'docs'").select("slice", "data")
@@ -365,7 +343,7 @@ def subtree_repeats(runs: DataFrame, size: int) -> DataFrame:
                 rows = []
                 for p in np.flatnonzero(np.diff(cut)):
                     x = order[cut[p] : cut[p + 1]]
-                    text = packed(w, (starts[x][:, None] + np.arange(size)).ravel())
+                    text = W.packed(w, (starts[x][:, None] + np.arange(size)).ravel())
                     rows.append((name, int(p), z.compress(text), place[x].astype(np.uint32).tobytes(), own[x].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SUFFIXES.split(", ")])
                 W.returned()
@@ -380,7 +358,7 @@ def subtree_repeats(runs: DataFrame, size: int) -> DataFrame:
         w = W.split_buffer(data, np.array([0, len(data)]), hashes=False)
         ids, place = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("ids", np.int64), ("places", np.uint32)))
         of = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["ids"]])
-        hit = repeated_leaves(*subtree(numbered(w).reshape(-1, size)), ids, size)
+        hit = repeated_leaves(*subtree(W.numbered(w).reshape(-1, size)), ids, size)
         return pd.DataFrame({"slice": pdf["slice"], "places": split_by(place[hit], of[hit], len(pdf))})
 
     rows = runs.select("slice", "words", "sizes", "begins", "ids").mapInArrow(deal, SUFFIXES)
@@ -414,7 +392,7 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
             n = w.counts()
             removed = np.bincount(w.doc[gone], minlength=len(n))
             kept = np.flatnonzero(~gone)
-            whole = packed(w, kept)
+            whole = W.packed(w, kept)
             length = np.bincount(w.doc[kept], (w.end - w.start + 1)[kept], len(n)).astype(np.int64)
             end = np.cumsum(length)
             texts = [whole[e - m : max(e - 1, e - m)] for e, m in zip(end, length, strict=True)]

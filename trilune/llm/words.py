@@ -163,6 +163,29 @@ def inside_one(doc: np.ndarray, n: int) -> np.ndarray:
     return np.zeros(0, bool) if m <= 0 else doc[:m] == doc[n - 1 :]
 
 
+def packed(w: Words, of: np.ndarray) -> bytes:
+    """The words with the given numbers, each followed by a blank."""
+    size = w.end[of] - w.start[of] + 1
+    to = np.cumsum(size) - size
+    text = np.full(int(size.sum()), 32, np.uint8)
+    inner = np.ones(len(text), bool)
+    inner[to + size - 1] = False
+    if len(of):
+        text[inner] = w.buffer[np.repeat(w.start[of] - (to - np.arange(len(to))), size - 1) + np.arange(len(text) - len(to))]
+    return text.tobytes()
+
+
+def numbered(w: Words) -> np.ndarray:
+    """A number for each word, equal for equal words and for no others."""
+    import pyarrow as pa
+
+    if not len(w.end):
+        return np.zeros(0, np.int32)
+    edges = np.stack([w.start, w.end], axis=1).ravel().astype(np.int64)
+    both = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(w.buffer))])
+    return np.asarray(both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode().indices)
+
+
 def from_arrow(column) -> tuple[np.ndarray, np.ndarray]:
     """The byte buffer and offsets of an Arrow string column, nulls as empty texts, without making Python strings."""
     import pyarrow as pa
