@@ -24,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilune.llm.common import new_folder, opened, table, written
+from trilune.llm.common import SENT_BYTES, new_folder, opened, table, written
 
 INDEX = "id string, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to string"
 RECORD = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, intact boolean"
@@ -106,8 +106,16 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
         .where("_n > 1")
         .drop("_n")
     )
+    held = written(spark, held, "warc-held")
+    # Payloads are only exchanged where the repeated ones are too many to send, and then not the small ones, which all may share a digest.
+    few = (held.agg(F.sum(F.coalesce(F.octet_length(F.col("_holder").cast("string")), F.lit(0)) + 56)).first()[0] or 0) <= SENT_BYTES
+    large, small = rows.where(F.col("_bytes") >= least), rows.where(F.col("_bytes") < least)
+    if few:
+        rows = rows.join(F.broadcast(held), "_digest", "left")
+    else:
+        rows = large.join(held, "_digest", "left").unionByName(small.withColumn("_holder", F.lit(None).cast(pages.schema[key].dataType)))
     refers = F.when((F.col("_bytes") >= least) & ~F.col("_key").eqNullSafe(F.col("_holder")), F.col("_holder"))
-    rows = rows.join(held, "_digest", "left").select(
+    rows = rows.select(
         F.col("_key").cast("string").alias("id"),
         "url",
         F.when(refers.isNull(), F.col("_payload")).alias("payload"),
@@ -149,14 +157,16 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     return written(spark, rows.mapInArrow(append, INDEX), "warc-index")
 
 
-def read(index: DataFrame, block_bytes: int = 8 << 20, gap_bytes: int = 64 << 10) -> DataFrame:
+def read(index: DataFrame, block_bytes: int = 8 << 20, gap_bytes: int = 64 << 10, task_bytes: int = 32 << 20) -> DataFrame:
     """Records (RECORD) of the given index rows, and of no others.
 
-    Blocks of an archive are dealt over the cluster; in each, ranges less than gap_bytes
-    apart are read at once, up to block_bytes.
+    Blocks of an archive are dealt over the cluster, so many to a task as make task_bytes of what is wanted; in
+    each, ranges less than gap_bytes apart are read at once, up to block_bytes.
     """
     wanted = index.select("archive", "offset", "length", (F.col("offset") / block_bytes).cast("long").alias("_block"))
-    wanted = wanted.repartition("archive", "_block").sortWithinPartitions("archive", "offset").drop("_block")
+    # A number of tasks that is asked for is not merged again by adaptive execution, for which the index is small.
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    wanted = wanted.repartition(tasks, "archive", "_block").sortWithinPartitions("archive", "offset").drop("_block")
 
     def fetch(batches):
         import pyarrow as pa
