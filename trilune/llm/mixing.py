@@ -2,8 +2,12 @@
 
 Tokens are summed per source, targets follow from weights, and the repetition
 rate of a source is target / size. Each document is emitted floor(rate) times
-plus one copy with probability rate - floor(rate), decided by a hash of its id,
-so that reruns agree whatever the partitioning.
+plus one copy with probability rate - floor(rate), decided by a hash of its id, or of its text where
+it has none, so that reruns agree whatever the partitioning.
+
+Rows with a null text have size 0. A null source is a source of its own. Rows with the same id, or without
+one and with the same text, draw alike: ties are decided together. Empty tables give empty results.
+Names of columns never clash inside, whatever documents' columns are called.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilune.llm.common import WORD
+from trilune.llm.common import SENT_BYTES, WORD, written
 
 
 def word_count(text):
@@ -57,57 +61,73 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
     ).withColumn("_rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
 
 
-def draw(key, seed: str = "mix"):
-    """A number from [0, 1) that depends on the key's text and the seed alone."""
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def draw(key, text, seed: str = "mix"):
+    """A number from [0, 1) that depends on the key's text, or for null keys on the text, and on the seed alone."""
+    own = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    hashed = F.md5(F.concat(F.lit(seed + ":"), own).cast("binary"))
     return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """All rows and columns of docs, with size, source_size, target, rate and copies (0, 1, 2 ...).
+RESULTS = ("size", "source_size", "target", "rate", "copies")
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str, size: str | None, weights, share: float, most: float, salts: int = 32) -> DataFrame:
+    """docs' columns as c0, c1 ... and RESULTS with a leading underscore.
 
-    Rows with a null text have size 0. A null source is a source of its own. Rows with
-    the same key draw alike. Empty tables give empty results. Columns of docs that
-    have the names of results are replaced. A source's sizes reach the rows by a join on
-    its name, which Spark turns into a broadcast only below its own size threshold
-    and otherwise splits where one source holds many rows.
+    A source's rate reaches its rows by a broadcast, if the sources' table is small, so that no document is exchanged. A larger
+    one is joined by source and salt, so that a source with many rows is many tasks.
     """
-    names = ["size", "source_size", "target", "rate", "copies"]
-    kept = docs.drop(*[n for n in names if n not in (key, text, source)])
-    sized = kept.withColumn("size", word_count(F.col(text)))
-    sizes = sized.groupBy(F.col(source).alias("_source")).agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most)
-    rate = F.col("_rate")
-    extra = (draw(F.col(key)) < rate - F.floor(rate)).cast("long")
-    return (
-        sized.join(goal, sized[source].eqNullSafe(goal["_source"]))
-        .withColumn("copies", F.floor(rate) + extra)
-        .withColumnRenamed("_rate", "rate")
-        .drop("_source")
-    )
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*at.values())
+    words = word_count(F.col(at[text])) if size is None else F.col(at[size])
+    sized = plain.withColumn("_size", words)
+    sizes = sized.groupBy(F.col(at[source]).alias("_source")).agg(F.sum("_size").alias("source_size"))
+    goal = written(docs.sparkSession, targets(sizes, weights, share, most), "rates")
+    goal = goal.select("_source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_rate")
+    few = (goal.agg(F.sum(F.coalesce(F.octet_length(F.col("_source").cast("string")), F.lit(0)) + 40)).first()[0] or 0) <= SENT_BYTES
+    same = F.col(at[source]).eqNullSafe(F.col("_source"))
+    if few:
+        rows = sized.join(F.broadcast(goal), same)
+    else:
+        rows = sized.withColumn("_salt", F.pmod(F.xxhash64(*at.values()), F.lit(salts)))
+        rows = rows.join(goal.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), same & (F.col("_salt") == F.col("_of")))
+    extra = (draw(F.col(at[key]), F.col(at[text])) < F.col("_rate") - F.floor("_rate")).cast("long")
+    return rows.withColumn("_copies", F.floor("_rate") + extra)
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """All rows and columns of docs, with size, source_size, target, rate and copies (0, 1, 2 ...), which replace columns of these names.
+
+    `size` names a column that holds the sizes already.
+    """
+    out = _mixed(docs, key, text, source, size, weights, share, most)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in RESULTS or c in (key, text, source)]
+    return out.select(*kept, *[F.col(f"_{c}").alias(c) for c in RESULTS])
 
 
-def emitted(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its copy number from 0 on."""
-    columns = docs.columns
-    out = mixed(docs, **how)
-    return out.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))
+def emitted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, number: str = "copy") -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as it is taken, with its copy number from 0 on; `number` names that, with underscores behind it while docs has such a column."""
+    out = _mixed(docs, key, text, source, None, weights, share, most)
+    while number in docs.columns:
+        number += "_"
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return out.where("_copies > 0").select(*kept, F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias(number))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from trilune.llm.common import table
 
+    # Words are counted once; texts are only needed again for documents without an id.
     docs = table(spark, sf_dir, "documents")
-    return mixed(docs.select("doc_id", "text", "source")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    sized = written(spark, docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"), "source", word_count(F.col("text")).alias("words")), "sized")
+    return mixed(sized, size="words").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_SQL_WORD}')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, coalesce(len(regexp_extract_all(text, '{_SQL_WORD}')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -125,7 +145,7 @@ t AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size = 0 THEN 0 ELSE t.target / t.source_size END AS rate,
-    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'text:' || d.text_md5)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken FROM r
