@@ -8,6 +8,10 @@ likeliest parts, as many as reach the wanted recall on sample rows that the clas
 did not learn from (all of them, if the sample has no such rows), and further ones until they
 hold k rows beside its own; what they hold is ranked by exact inner products in double precision.
 
+The number of parts follows the number of rows. Where one classifier would have to tell more parts apart than its
+sample can teach (a twentieth of it), there are two levels: the parts that it tells apart are cut again, each
+by a partition and a classifier of its own, learned in a task of its own from a bounded sample of its rows.
+
 Parts and the queries sent to them are dealt out in blocks of bounded size, so that a
 part with many rows, such as copies of one vector, is many tasks. In a block, copies are
 compared once; of one vector's copies only the smallest ids can be among the nearest.
@@ -25,9 +29,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trilune.llm.common import table, written
+from trilune.llm.common import dropped, table, written
 
-CELLS = 8
+LEAST_CELLS = 8
+PART_ROWS = 800
 
 
 @dataclass
@@ -43,6 +48,49 @@ class Router:
         return np.maximum((x - self.mean) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
+@dataclass
+class Levels:
+    """A router, and for each of its parts the one that cuts it again, if any; parts are numbered through."""
+
+    top: Router
+    below: list[Router | None]
+
+    @property
+    def first(self) -> np.ndarray:
+        """Number of each top part's first part; at the end, of all parts."""
+        return np.cumsum([0, *(1 if r is None else r.w2.shape[1] for r in self.below)])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest part of each row."""
+        part = self.top.logits(x).argmax(axis=1)
+        out = self.first[part]
+        for p in np.unique(part):
+            if self.below[p] is not None:
+                own = part == p
+                out[own] += self.below[p].logits(x[own]).argmax(axis=1)
+        return out
+
+    def searched(self, x: np.ndarray, held: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+        """Parts that each row searches: the likeliest ones, and then further ones until they hold the rows wanted."""
+        order = np.argsort(-self.top.logits(x), axis=1, kind="stable")
+        first = self.first
+        inner = {p: np.argsort(-r.logits(x), axis=1, kind="stable") for p, r in enumerate(self.below) if r is not None}
+        out = []
+        for i, tops in enumerate(order):
+            now, later = [], []
+            for place, p in enumerate(tops):
+                own = first[p] + (inner[p][i] if p in inner else np.zeros(1, np.int64))
+                n = 0 if place >= self.top.probes else len(own) if p not in inner else self.below[p].probes
+                now.append(own[:n])
+                later.append(own[n:])
+            now, later = np.concatenate(now), np.concatenate(later)
+            missing = wanted[i] - held[now].sum()
+            if missing > 0:
+                now = np.append(now, later[: 1 + int(np.searchsorted(np.cumsum(held[later]), missing))])
+            out.append(now)
+        return out
+
+
 def neighbours(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     """The k rows with the largest inner product with each row, but itself."""
     out = np.empty((len(x), k), np.int64)
@@ -99,7 +147,7 @@ def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, hidden
     r, n, d = np.random.default_rng(seed), len(x), x.shape[1]
     k = min(k, n - 1)
     if parts < 2 or k < 1:
-        return Router(np.zeros(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+        return Router(np.zeros(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))  # one part
     graph = neighbours(x, k)
     part = balanced_parts(x, graph, parts)
     goal = np.zeros((n, parts))
@@ -169,59 +217,89 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
         F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     )
     total = clean.count()
-    parts = parts or max(1, min(256, total // 800))
-    chosen = clean.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30)))).orderBy("id").select("x").toArrow().column(0)
+    parts = parts or max(1, total // PART_ROWS)
+    chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30))
+    chosen = clean.where(chance < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30)))).orderBy("id").select("x").toArrow().column(0)
     length = np.asarray(chosen.combine_chunks().value_lengths()) if len(chosen) else np.zeros(0, int)
     size = int(np.bincount(length).argmax()) if len(length) else 0
     if not size:
         x = np.zeros((0, 1))
     else:
         x = np.array([v for v in chosen.to_pylist() if len(v) == size])
-    router = learned(np.unique(x, axis=0), min(parts, max(1, len(x) // 20)), min(k, 20), recall)
-    sent = spark.sparkContext.broadcast((router, size))
-    p_all = router.w2.shape[1]
-
-    def route(batches):
-        import pyarrow as pa
-
-        m, size = sent.value
-        for batch in batches:
-            column = batch.column(1)
-            if not len(batch):
-                continue
-            x = np.asarray(column.flatten(), float).reshape(len(batch), size)
-            z = m.logits(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(z.argmax(axis=1), pa.int32()), batch.column(2)], names=["id", "x", "home", "asks"])
-
-    routed = written(spark, clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, asks boolean"), "routed")
-    held = np.zeros(p_all, np.int64)  # rows of each part; one row per part
-    for part, n in routed.groupBy("home").count().collect():
-        held[part] = n
+    top = min(parts, max(1, len(x) // 20))
+    levels = parts > top > 1
+    router = learned(np.unique(x, axis=0), top, min(k, 20), np.sqrt(recall) if levels else recall)
+    tree = Levels(router, [None] * router.w2.shape[1])
+
+    def put(tree: Levels) -> DataFrame:
+        sent = spark.sparkContext.broadcast(tree)  # of a size that the sample bounds
+
+        def route(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                if len(batch):
+                    x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), size)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(sent.value.home(x), pa.int32()), batch.column(2)], names=["id", "x", "home", "asks"])
+
+        return written(spark, clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, asks boolean"), "routed")
+
+    def rows_in(routed: DataFrame, n: int) -> np.ndarray:
+        held = np.zeros(n, np.int64)  # one number per part
+        for part, rows in routed.groupBy("home").count().collect():
+            held[part] = rows
+        return held
+
+    routed = put(tree)
+    if levels:
+        held = rows_in(routed, len(tree.below))
+        share = F.array(*[F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))) for n in held])
+        again = -(-parts // top)
+
+        def cut(key, pdf):
+            import pickle
+
+            import pandas as pd
+
+            x = np.frombuffer(b"".join(pdf["x"]), float).reshape(len(pdf), size)
+            fine = min(-(-int(held[key[0]]) * again * top // max(total, 1)), len(x) // 20)
+            r = learned(np.unique(x, axis=0), fine, min(k, 20), np.sqrt(recall), hidden=32)
+            return pd.DataFrame({"home": [key[0]], "router": [pickle.dumps(r)]})
+
+        import pickle
+
+        some = routed.where(F.pmod(F.xxhash64(F.lit("again"), "id"), F.lit(1 << 30)) < F.element_at(share, F.col("home") + 1)).select("home", "x")
+        for p, r in some.groupBy("home").applyInPandas(cut, "home int, router binary").collect():  # one per top part
+            r = pickle.loads(r)
+            tree.below[p] = r if r.w2.shape[1] > 1 else None
+        dropped(routed)
+        routed = put(tree)
+    p_all = int(tree.first[-1])
+    held = rows_in(routed, p_all)
+    sent = spark.sparkContext.broadcast((tree, held))
 
     def probe(batches):
         import pyarrow as pa
 
-        m, size = sent.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(len(batch), size)
-            top = np.argsort(-m.logits(x), axis=1, kind="stable")
-            short = np.cumsum(held[top], axis=1) < k + np.asarray(batch.column(2))[:, None]
-            n = np.maximum(m.probes, 1 + short.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t[:i].tolist() for t, i in zip(top, n, strict=True)], pa.list_(pa.int32()))], names=["id", "x", "probes"])
+            if len(batch):
+                tree, held = sent.value
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(len(batch), size)
+                found = tree.searched(x, held, k + np.asarray(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tolist() for t in found], pa.list_(pa.int32()))], names=["id", "x", "probes"])
 
     own = routed.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
     asking = routed.where("asks").select("id", "x").join(own, "id", "left").select("id", "x", F.coalesce("own", F.lit(1)).alias("own"))
     probed = written(spark, asking.mapInArrow(probe, "id long, x binary, probes array<int>"), "probed")
     # Parts lie in cells; a task searches the parts of one cell that each of its queries probes, and passes on one list per query.
-    per = -(-p_all // CELLS)
+    cells = max(LEAST_CELLS, -(-p_all // 32))
+    per = -(-p_all // cells)
     cell = lambda c: F.floor(c / per).cast("int")
     routed = routed.withColumn("cell", cell(F.col("home")))
     asked = probed.select("id", "x", "probes", F.explode(F.array_distinct(F.transform("probes", cell))).alias("cell"))
     # How many blocks each cell's rows and queries make; one row per cell.
     rows_of, queries_of = ({r[0]: -(-r[1] // block) for r in df.groupBy("cell").count().collect()} for df in (routed, asked))
-    blocks = lambda found: F.element_at(F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(CELLS)]), F.col("cell") + 1)
+    blocks = lambda found: F.element_at(F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(cells)]), F.col("cell") + 1)
     salt = lambda found: F.pmod(F.xxhash64(F.lit("block"), "id"), blocks(found)).cast("int")
     every = lambda found: F.explode(F.sequence(F.lit(0), blocks(found) - 1))
     base = routed.select("id", "x", "home", "cell", salt(rows_of).alias("b"), every(queries_of).alias("q"))
