@@ -223,7 +223,7 @@ def test_contamination(spark, docs, rows, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in contamination.contamination(docs, bench).collect()}
     assert got == brute_contamination([r[:2] for r in rows], items)
-    again = {r.doc_id: r.items_sha256 for r in contamination.contamination(docs, bench, most_windows=3).collect()}
+    again = {r.doc_id: r.items_sha256 for r in contamination.contamination(docs, bench, most_terms=30).collect()}
     assert again == {d: v[3] for d, v in got.items()}
     assert contamination.contamination(empty, bench).collect() == []
     none = contamination.contamination(docs, bench.where("item_id is null")).collect()
