@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "kg", "retrieval", "learner", "quality", "align", "sources", "streaming")
+MODULES: tuple[str, ...] = ("text", "kg", "retrieval", "learner", "quality", "align", "sources", "streaming", "scheduling", "passages", "evidence")
 
 
 def _merged(name: str) -> dict:

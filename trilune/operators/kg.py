@@ -86,7 +86,9 @@ def statistics(entities: DataFrame, relations: DataFrame) -> DataFrame:
     by = entities.groupingSets([["type"], ["language"], []], "type", "language").agg(F.count(F.lit(1)).alias("n"), F.grouping_id("type", "language").alias("g"))
     ent = by.select(F.when(F.col("g") == 1, "type").when(F.col("g") == 2, "language").otherwise("entities").alias("kind"), F.coalesce("type", "language").alias("key"), "n")
     rel = relations.rollup("rel").agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("rel").isNull(), "relations").otherwise("relation").alias("kind"), F.col("rel").alias("key"), "n")
-    return ent.unionByName(rel)
+    both = rel.where("kind = 'relations'").select(F.col("n").alias("r")).crossJoin(ent.where("kind = 'entities'").select(F.col("n").alias("e")))  # a row each
+    degree = both.select(F.lit("degree").alias("kind"), F.lit(None).cast("string").alias("key"), F.round(F.try_divide(100 * F.col("r"), "e")).cast("long").alias("n"))
+    return ent.unionByName(rel).unionByName(degree)
 
 
 def schema_report(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -149,20 +151,25 @@ def remapped(entities: DataFrame, relations: DataFrame, mapping: DataFrame) -> t
     return entities.join(mapping, "id", "left_anti"), added_relations(relations)
 
 
-def triples(entities: DataFrame, relations: DataFrame, base: str) -> DataFrame:
-    """N-Triples lines: header, type, label with language, comment and aliases of entities, and relations."""
+# Names of the header's and of entities' properties.
+RDF, RDFS, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
+
+
+def triples(entities: DataFrame, relations: DataFrame, base: str, label: str = "French Learning Ontology", version: str = "1.0") -> DataFrame:
+    """N-Triples lines: header, type, label, comment and aliases of entities with their language, and relations."""
     iri = lambda c: F.concat(F.lit(f"<{base}"), c, F.lit(">"))
-    text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
-    line = lambda s, p, o: F.concat(s, F.lit(" "), p, F.lit(" "), o, F.lit(" .")).alias("line")
-    known = {"type": "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "label": "<http://www.w3.org/2000/01/rdf-schema#label>", "comment": "<http://www.w3.org/2000/01/rdf-schema#comment>", "alias": "<http://www.w3.org/2004/02/skos/core#altLabel>"}
-    p = {k: F.lit(v) for k, v in known.items()}
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    text = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"@'), F.col("language"))
+    line = lambda s, p, o: F.concat(s, F.lit(f" <{p}> "), o, F.lit(" .")).alias("line")
     id_ = iri(F.col("id"))
+    header = [f"<{base}> <{RDF}type> <{OWL}Ontology> .", f'<{base}> <{RDFS}label> "{label}" .', f'<{base}> <{OWL}versionInfo> "{version}" .']
     parts = [
-        entities.select(line(id_, p["type"], iri(F.col("type")))),
-        entities.select(line(id_, p["label"], F.concat(text(F.col("name")), F.lit("@"), F.col("language")))),
-        entities.where("description is not null").select(line(id_, p["comment"], text(F.col("description")))),
-        entities.select("id", F.explode("aliases").alias("alias")).select(line(id_, p["alias"], text(F.col("alias")))),
-        relations.select(line(iri(F.col("src")), iri(F.col("rel")), iri(F.col("dst")))),
+        entities.sparkSession.createDataFrame([(x,) for x in header], "line string"),
+        entities.select(line(id_, f"{RDF}type", iri(F.col("type")))),
+        entities.select(line(id_, f"{RDFS}label", text(F.col("name")))),
+        entities.where("description is not null").select(line(id_, f"{RDFS}comment", text(F.col("description")))),
+        entities.select("id", "language", F.explode("aliases").alias("alias")).select(line(id_, f"{base}alias", text(F.col("alias")))),
+        relations.select(F.concat(iri(F.col("src")), F.lit(" "), iri(F.col("rel")), F.lit(" "), iri(F.col("dst")), F.lit(" .")).alias("line")),
     ]
     out = parts[0]
     for x in parts[1:]:

@@ -45,6 +45,23 @@ class Bm25Index:
         """The best per query; ties to the larger document id; scores of 0 and less left out."""
         return top(self.scores(queries, query, text), top_k, query, F.desc(self.key)).where("score > 0")
 
+    def save(self, path: str) -> None:
+        """Postings in order of terms, weights, lengths and settings under a folder."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        kept = [(self.key, self.language, float(self.k1), float(self.b), int(self.n), float(self.avgdl))]
+        spark = self.postings.sparkSession
+        spark.createDataFrame(kept, "key string, language string, k1 double, b double, n long, avgdl double").write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Bm25Index:
+        """A saved index; a query then reads the terms that it asks for."""
+        out = cls.__new__(cls)
+        out.key, out.language, out.k1, out.b, out.n, out.avgdl = spark.read.parquet(f"{path}/settings").first()
+        out.postings, out.weights, out.lengths = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "weights", "lengths"))
+        return out
+
     def statistics(self) -> DataFrame:
         terms_ = self.weights.agg(F.count(F.lit(1)).alias("vocabulary"))
         return self.lengths.agg(F.count(F.lit(1)).alias("documents"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).join(F.broadcast(terms_))
@@ -119,6 +136,17 @@ class IvfIndex:
         return top(found, top_k, "query_id", F.col("doc_id"))
 
 
+def save_vectors(items: DataFrame, path: str, settings: dict[str, str] | None = None) -> None:
+    """Vectors (id, x) and what is to be known of them under a folder."""
+    items.select("id", "x").write.mode("overwrite").parquet(f"{path}/vectors")
+    rows = list((settings or {}).items())
+    items.sparkSession.createDataFrame(rows, "name string, value string").write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_vectors(spark, path: str) -> tuple[DataFrame, dict[str, str]]:
+    return spark.read.parquet(f"{path}/vectors"), {r.name: r.value for r in spark.read.parquet(f"{path}/settings").collect()}
+
+
 def fuse(parts: dict[str, DataFrame], weights: dict[str, float], normalize: bool = True) -> DataFrame:
     """(query_id, doc_id, parts..., final): full outer join of score lists, missing 0, each scaled to 0..1 per query, weighted sum.
 
@@ -138,15 +166,15 @@ def fuse(parts: dict[str, DataFrame], weights: dict[str, float], normalize: bool
 
 
 def mentions(texts: DataFrame, key: str, text: str, entities: DataFrame, language: str | None = None) -> DataFrame:
-    """(key, id): entities whose lower-cased name the lower-cased text contains as whole tokens, up to three; by an equi-join on token n-grams.
+    """(key, id): entities whose lower-cased name the lower-cased text contains as whole tokens; by an equi-join on token n-grams as long as the longest name.
 
     language: a column of texts that must equal the entity's language.
     """
     tokens = tokenize(F.col(text))
-    size = 3
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: i + n <= F.size(tokens)), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))))
-    single = entities.agg(F.max(F.size(F.split("name", " ")))).first()[0] in (None, 1)
-    spans = tokens if single else spans
+    longest = entities.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    starts = lambda n: F.sequence(F.lit(1), F.size(tokens) - n + 1)
+    grams = lambda n: F.when(F.size(tokens) >= n, F.transform(starts(n), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    spans = F.flatten(F.array(tokens, *[grams(n) for n in range(2, longest + 1)]))
     rows = texts.select(key, *([language] if language else []), F.explode(F.array_distinct(spans)).alias("_span"))
     names = entities.select("id", F.lower("name").alias("_span"), F.col("language").alias("_l"))
     out = rows.join(names, "_span")

@@ -163,7 +163,7 @@ _SIM = "1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(
 SQL = {
     "kg_entities": LEX + " SELECT id, name, type, language, confidence, r, lower(type) || '_' || language || '_' || substr(md5(type || '¦' || language || '¦' || lower(name)), 1, 8) AS generated FROM ent",
     "kg_relations": LEX + " SELECT src, dst, rel, confidence, ord FROM rel",
-    "kg_stats": LEX + " SELECT 'type' AS kind, type AS key, count(*) AS n FROM ent GROUP BY type UNION ALL SELECT 'language', language, count(*) FROM ent GROUP BY language UNION ALL SELECT 'entities', NULL, count(*) FROM ent UNION ALL SELECT 'relation', rel, count(*) FROM rel GROUP BY rel UNION ALL SELECT 'relations', NULL, count(*) FROM rel",
+    "kg_stats": LEX + " SELECT 'type' AS kind, type AS key, count(*) AS n FROM ent GROUP BY type UNION ALL SELECT 'language', language, count(*) FROM ent GROUP BY language UNION ALL SELECT 'entities', NULL, count(*) FROM ent UNION ALL SELECT 'relation', rel, count(*) FROM rel GROUP BY rel UNION ALL SELECT 'relations', NULL, count(*) FROM rel UNION ALL SELECT 'degree', NULL, round(100.0::DOUBLE * (SELECT count(*) FROM rel) / (SELECT count(*) FROM ent))::BIGINT",
     "kg_validate": LEX + ", l AS (SELECT unnest(['zh', 'fr', 'en']) AS language) SELECT l.language, count(e.id) AS n, count(e.id) FILTER (e.id NOT IN (SELECT src FROM rel UNION SELECT dst FROM rel)) AS isolated, round(count(e.id) * 100.0::DOUBLE / (SELECT count(*) FROM ent), 6) AS percent FROM l LEFT JOIN ent e ON e.language = l.language GROUP BY l.language",
     "kg_isolated": LEX + " SELECT id FROM ent WHERE id NOT IN (SELECT src FROM rel WHERE rel = 'translatedAs' UNION SELECT dst FROM rel WHERE rel = 'translatedAs')",
     "kg_valid_relations": LEX + ", c AS (SELECT src, dst, rel FROM rel UNION ALL SELECT src, dst, 'hasPrereq' FROM rel WHERE rel = 'translatedAs' UNION ALL SELECT src, dst, 'translatedAs' FROM rel WHERE rel = 'hasPrereq') SELECT c.rel, count(*) AS n FROM c JOIN ent a ON a.id = src JOIN ent b ON b.id = dst WHERE CASE c.rel WHEN 'translatedAs' THEN a.type = b.type AND a.language <> b.language WHEN 'hasPrereq' THEN a.language = b.language ELSE TRUE END GROUP BY c.rel",
@@ -181,7 +181,7 @@ SQL = {
     "kg_degrees": LEX + ", x AS (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) SELECT ent.id, count(x.id) AS degree FROM ent LEFT JOIN x ON x.id = ent.id GROUP BY ent.id",
     "kg_subgraph": LEX + ", n AS (SELECT id FROM ent WHERE language = 'en' AND type = 'Word') SELECT src, dst, rel FROM rel WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
     "kg_search_nodes": LEX + " SELECT id, 'label' AS match_type FROM ent WHERE contains(lower(name), 'ti')",
-    "kg_triples": LEX + ", i AS (SELECT '<http://example.org/kg/' AS b) SELECT b || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || b || type || '> .' AS line FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2004/02/skos/core#altLabel> \"' || translate(name, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"') || '\" .' FROM ent, i UNION ALL SELECT b || src || '> ' || b || rel || '> ' || b || dst || '> .' FROM rel, i",
+    "kg_triples": LEX + ", i AS (SELECT '<http://example.org/kg/' AS b) SELECT b || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || b || type || '> .' AS line FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT b || id || '> ' || b || 'alias> \"' || translate(name, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"') || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT unnest(['<http://example.org/kg/> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Ontology> .', '<http://example.org/kg/> <http://www.w3.org/2000/01/rdf-schema#label> \"French Learning Ontology\" .', '<http://example.org/kg/> <http://www.w3.org/2002/07/owl#versionInfo> \"1.0\" .']) UNION ALL SELECT b || src || '> ' || b || rel || '> ' || b || dst || '> .' FROM rel, i",
     "kg_split_triples": LEX + " SELECT CASE WHEN language = 'zh' THEN 'kg1' ELSE 'kg2' END AS side, src, rel, dst FROM rel JOIN ent ON ent.id = src WHERE language IN ('zh', 'fr', 'en')",
     "kg_vocabulary": LEX + " SELECT language, name, dense_rank() OVER (PARTITION BY language ORDER BY name) - 1 AS number FROM ent",
     "catalogue_components": "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), x AS (SELECT a AS id, 'r' || n_regionkey AS root FROM (SELECT a, CASE WHEN b LIKE 'n%' THEN substr(b, 2)::INT ELSE substr(a, 2)::INT END AS k FROM e) JOIN nation ON n_nationkey = k UNION SELECT 'r' || n_regionkey, 'r' || n_regionkey FROM nation), c AS (SELECT id, min(id) OVER (PARTITION BY root) AS component FROM x) SELECT component, count(*) AS n FROM c GROUP BY component",

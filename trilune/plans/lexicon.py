@@ -1,4 +1,5 @@
-"""A knowledge graph over the corpus' own words: the 50 most widespread words of each language, linked by rank."""
+"""A knowledge graph over the corpus' own words, linked by rank: the most widespread words of each language, one for every
+hundred documents of the corpus and at least LEAST, so that the graph grows with the data."""
 
 from __future__ import annotations
 
@@ -8,15 +9,16 @@ from pyspark.sql import functions as F
 from trilune.functions.text import ascii_upper, tokenize
 from trilune.sources.tables import stored, table
 
-SIZE = 50
+LEAST, EVERY = 50, 100
 
 
 def entities(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").where(F.col("lang").isin("en", "fr", "es", "de"))
+    size = max(LEAST, table(spark, d, "documents").count() // EVERY)
     words = docs.select("lang", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")).where(F.length("token") >= 4)
     df = words.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
     r = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token")) - 1
-    top = df.withColumn("r", r.cast("long")).where(F.col("r") < SIZE)
+    top = df.withColumn("r", r.cast("long")).where(F.col("r") < size)
     ids = F.concat_ws(":", "lang", "token")
     return stored(
         top.select(ids.alias("id"), F.col("token").alias("name"), F.when(F.col("r") % 10 == 9, "Grammar").otherwise("Word").alias("type"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("description"), F.array(ascii_upper(F.col("token"))).alias("aliases"), (1 / (1 + F.col("r") % 4)).alias("confidence"), "r", F.row_number().over(Window.orderBy("lang", "r")).cast("long").alias("ord")),
@@ -50,7 +52,7 @@ SQL = rf"""WITH RECURSIVE lex_w AS (
 ), lex_df AS (SELECT lang, token, count(*) AS df FROM lex_w WHERE length(token) >= 4 GROUP BY lang, token
 ), lex_r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, token) - 1 AS r FROM lex_df
 ), ent AS (SELECT lang || ':' || token AS id, token AS name, CASE WHEN r % 10 = 9 THEN 'Grammar' ELSE 'Word' END AS type, lang AS language, 1.0::DOUBLE / (1 + r % 4) AS confidence, r,
-  row_number() OVER (ORDER BY lang, r) AS ord FROM lex_r WHERE r < {SIZE}
+  row_number() OVER (ORDER BY lang, r) AS ord FROM lex_r WHERE r < greatest({LEAST}, (SELECT count(*) FROM documents) // {EVERY})
 ), rel0 AS (
   SELECT a.id AS src, b.id AS dst, 'translatedAs' AS rel, a.confidence FROM ent a JOIN ent b ON a.language = 'en' AND b.language = 'fr' AND a.r = b.r
   UNION ALL SELECT a.id, b.id, 'hasPrereq', a.confidence FROM ent a JOIN ent b ON a.language = b.language AND a.r >= 1 AND a.r // 2 = b.r

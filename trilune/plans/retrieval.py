@@ -11,7 +11,7 @@ from trilune.operators import metrics as M
 from trilune.operators import retrieval as R
 from trilune.plans.lexicon import SQL as LEX
 from trilune.plans.lexicon import graph
-from trilune.sources.tables import stored, table
+from trilune.sources.tables import scratch, stored, table
 
 WEIGHTS = {"dense": 0.4, "bm25": 0.3, "kg": 0.3}
 
@@ -28,6 +28,13 @@ def bm25_topk(spark, d):
     return index(spark, d).search(items(spark, d)).select("query_id", "rank", "doc_id", "score")
 
 
+def bm25_saved(spark, d):
+    """The search over an index that was saved and loaded."""
+    path = scratch(spark, "bm25")
+    index(spark, d).save(path)
+    return R.Bm25Index.load(spark, path).search(items(spark, d)).select("query_id", "rank", "doc_id", "score")
+
+
 def bm25_lucene(spark, d):
     return index(spark, d, idf="lucene").search(items(spark, d)).select("query_id", "rank", "doc_id", "score")
 
@@ -56,6 +63,17 @@ def dense_topk(spark, d):
     return dense_run(spark, d)[2].select("query_id", "rank", "doc_id", "score")
 
 
+def dense_saved(spark, d):
+    """The search over vectors that were saved and loaded."""
+    path = scratch(spark, "dense")
+    R.save_vectors(vectors(spark, d), path, {"measure": "inner product"})
+    v, settings = R.load_vectors(spark, path)
+    if settings != {"measure": "inner product"}:
+        raise RuntimeError(f"settings changed on the way: {settings}")
+    q = stored(label_queries(vectors(spark, d)), "queries")
+    return R.dense_search(q, v.join(q.select("id"), "id", "left_anti"), 20).select("query_id", "rank", "doc_id", "score")
+
+
 def dense_ivf(spark, d):
     v = stored(vectors(spark, d), "vectors")
     q = label_queries(v)
@@ -176,7 +194,7 @@ def significance(spark, d):
     return spark.createDataFrame([(n, t, student_t_p(t, n - 1), *bootstrap_ci(x, y))], "n long, t double, p double, mean double, low double, high double")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_lucene, bm25_stats, dense_topk, dense_ivf, dense_stats, hybrid_half, kg_query_entities, kg_expand_query, kg_doc_score, fused_search, fused_explain, rerank_jaccard, ir_metrics, system_comparison, significance)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_saved, dense_saved, bm25_lucene, bm25_stats, dense_topk, dense_ivf, dense_stats, hybrid_half, kg_query_entities, kg_expand_query, kg_doc_score, fused_search, fused_explain, rerank_jaccard, ir_metrics, system_comparison, significance)}
 
 _FR = ", ".join(f"'{w}'" for w in STOPWORDS["fr"])
 _T = rf"unnest(list_filter(regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\p{{L}}\p{{N}}_]+'), lambda x: x NOT IN ({_FR})))"
@@ -242,3 +260,4 @@ SQL = {
     "ir_metrics": f"WITH {_LQ}, {_JUDGED}, {_metrics(10, 'm')} SELECT query_id, " + ", ".join(f"{_M.format(c) if n != 'hit' else c} AS {n}" for n, c in _columns(10).items()) + " FROM m",
     "system_comparison": f"WITH {_LQ}, {_JUDGED}, {_metrics(5, 'm5')}, {_metrics(10, 'm10')}, {_metrics(20, 'm20')}, c AS ({_COMPARE}) SELECT k, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(coalesce((ndcg - (SELECT ndcg FROM c WHERE k = 5)) / nullif((SELECT ndcg FROM c WHERE k = 5), 0), 0) * 100, 6) AS change FROM c",
 }
+SQL |= {"bm25_saved": SQL["bm25_topk"], "dense_saved": SQL["dense_topk"]}
