@@ -122,8 +122,12 @@ def test_jaccard_nulls_and_nothing(spark, empty):
 def test_components_fail_aloud_at_a_cap(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "x long, y long")
     with pytest.raises(RuntimeError):
-        jaccard_join.components(spark, links, 1)
-    assert {(r.id, r.component) for r in jaccard_join.components(spark, links).collect()} == {(i, 0) for i in range(41)}
+        jaccard_join.components(spark, links, 1, at_once=0)
+    for at_once in (0, 1000):
+        assert {(r.id, r.component) for r in jaccard_join.components(spark, links, at_once=at_once).collect()} == {(i, 0) for i in range(41)}
+    mixed = spark.createDataFrame([(i * 7 % 50, i * i % 50) for i in range(30)], "x long, y long")
+    found = [{(r.id, r.component) for r in jaccard_join.components(spark, mixed, at_once=n).collect()} for n in (0, 1000)]
+    assert found[0] == found[1]
 
 
 def test_tokens_equal_the_library(docs, rows, empty):

@@ -233,9 +233,38 @@ def pairs_of_short(lists: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared"))
 
 
-def components(spark: SparkSession, links: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(id, component) of each node of links (x, y); the component is its smallest id. Large and small stars in turn, until nothing changes; fails where that takes more than most_rounds."""
+def joined_up(batches):
+    """(id, component) of the links (x, y) of one task: labels pass to the smaller end, and jump to their labels' labels."""
+    import pyarrow as pa
+
+    rows = [b for b in batches if len(b)]
+    if not rows:
+        return
+    x, y = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in (0, 1))
+    ids, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = np.split(place, 2)
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "component"])
+
+
+def components(spark: SparkSession, links: DataFrame, most_rounds: int | None = None, at_once: int = 1_000_000) -> DataFrame:
+    """(id, component) of each node of links (x, y); the component is its smallest id.
+
+    Up to at_once links, 16 bytes each, are joined up in one task. More of them take large and small stars in turn, until nothing
+    changes; that fails where it takes more than most_rounds.
+    """
     edges = written(spark, links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    if edges.count() <= at_once:
+        return written(spark, edges.coalesce(1).mapInArrow(joined_up, "id long, component long"), "components")
     state = None
     for n in count():
         if n == most_rounds:
