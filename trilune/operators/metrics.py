@@ -61,3 +61,41 @@ def alignment_metrics(predicted: DataFrame, gold: DataFrame, ks=(1, 5, 10, 50))
     for k in ks:
         hit = F.when(F.col("k") == k, F.col(f"h{k}")).otherwise(hit)
     return out.select("k", precision.alias("precision"), recall.alias("recall"), zero(2 * precision * recall, precision + recall).alias("f1"), hit.alias("hits"), "mrr")
+
+
+def precision_recall(predicted: DataFrame, gold: DataFrame, most: int = 100) -> DataFrame:
+    """(k, precision, recall) of the k most confident predictions (e1, e2, confidence), for k from 1 to at most `most`."""
+    order = [F.desc("confidence"), "e1", "e2"]
+    first = predicted.orderBy(*order).limit(most)
+    known = gold.select("e1", "e2").distinct()
+    rows = first.join(known.withColumn("ok", F.lit(1)), ["e1", "e2"], "left").fillna(0, ["ok"])
+    w = Window.orderBy(*order)  # over at most `most` rows
+    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("hits", F.sum("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("k", (F.col("hits") / F.col("k")).alias("precision"), F.coalesce(F.try_divide("hits", F.lit(known.count())), F.lit(0.0)).alias("recall"))
+
+
+def compared(methods: dict[str, DataFrame], gold: DataFrame, ks=(1, 5, 10, 50)) -> DataFrame:
+    """(metric, a column per method): each method's alignment metrics side by side."""
+    out = None
+    for name, predicted in methods.items():
+        m = alignment_metrics(predicted, gold, ks)
+        long = m.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{c}@"), "k").alias("metric"), F.col(c).alias(name)) for c in ("precision", "recall", "f1", "hits")])).alias("x")).select("x.*")
+        out = long if out is None else out.join(long, "metric")
+    return out
+
+
+# Names of metrics that a specification such as ndcg@10 may have.
+METRICS = {"ndcg": "ndcg", "mrr": "mrr", "recall": "recall", "precision": "precision", "f1": "f1", "hits": "hit", "map": "ap_judged"}
+
+
+def evaluated(run: DataFrame, qrels: DataFrame, specifications: list[str]) -> DataFrame:
+    """(metric, value): means over the queries of metrics such as ndcg@10, recall@100 or map; without a number, of all that was retrieved."""
+    out, all_of = None, max(run.agg(F.max("rank")).first()[0] or 1, 1)
+    for spec in specifications:
+        name, _, k = spec.lower().partition("@")
+        if name not in METRICS or (k and not k.isdigit()):
+            raise ValueError(f"unknown metric: {spec}")
+        m = ranking_metrics(run, qrels, int(k) if k else all_of)
+        row = m.agg(F.avg(METRICS[name]).alias("value")).select(F.lit(spec).alias("metric"), "value")
+        out = row if out is None else out.unionByName(row)
+    return out

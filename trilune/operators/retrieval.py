@@ -78,7 +78,24 @@ def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_search(queries: DataFrame, items: DataFrame, top_k: int, block: int = 100_000) -> DataFrame:
+def blocks_of(queries: DataFrame, block: int = 20_000):
+    """Broadcasts of (ids, matrix) of the queries (id, x), block by block; the driver holds one block at a time."""
+    import numpy as np
+
+    held: list = []
+    rows = queries.select("id", F.col("x").cast("array<double>")).toLocalIterator()
+    send = lambda: queries.sparkSession.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], float)))
+    sent = False
+    for row in rows:
+        held.append(row)
+        if len(held) == block:
+            yield send()
+            held, sent = [], True
+    if held or not sent:
+        yield send()
+
+
+def dense_search(queries: DataFrame, items: DataFrame, top_k: int, block: int = 20_000) -> DataFrame:
     """(query_id, doc_id, score, rank) by inner product; both sides have id and x.
 
     The stated queries go to every part of the items in blocks, so that what is sent is
@@ -86,13 +103,9 @@ def dense_search(queries: DataFrame, items: DataFrame, top_k: int, block: int =
     """
     import numpy as np
 
-    spark = queries.sparkSession
-    rows = queries.select("id", F.col("x").cast("array<double>")).collect()
-    kind = items.schema["id"].dataType.simpleString()
+    asked, kind = (d.schema["id"].dataType.simpleString() for d in (queries, items))
     out = None
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        sent = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], float)))
+    for sent in blocks_of(queries, block):
 
         def best(batches, sent=sent):
             import pyarrow as pa
@@ -102,16 +115,20 @@ def dense_search(queries: DataFrame, items: DataFrame, top_k: int, block: int =
                 if not len(batch):
                     continue
                 x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                s = np.round(q @ x.T, 6)
+                if not len(ids):
+                    continue
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 n = min(top_k, len(own))
-                for i in range(len(ids)):
-                    low = np.partition(s[i], len(own) - n)[len(own) - n]
-                    c = np.flatnonzero(s[i] >= low)
-                    c = c[np.lexsort((own[c], -s[i][c]))][:n]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(c)), pa.array(own[c]), pa.array(s[i][c])], names=["query_id", "doc_id", "score"])
-
-        found = items.select("id", F.col("x").cast("array<double>")).mapInArrow(best, f"query_id long, doc_id {kind}, score double")
+                for a in range(0, len(ids), 512):
+                    s = np.round(q[a : a + 512] @ x.T, 6)
+                    cols = []
+                    for r in s:
+                        c = np.flatnonzero(r >= np.partition(r, len(own) - n)[len(own) - n])
+                        cols.append(c[np.lexsort((own[c], -r[c]))][:n])
+                    rows, c = np.repeat(np.arange(len(s)), n), np.concatenate(cols)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in rows]), pa.array(own[c]), pa.array(s[rows, c])], names=["query_id", "doc_id", "score"])
+
+        found = items.select("id", F.col("x").cast("array<double>")).mapInArrow(best, f"query_id {asked}, doc_id {kind}, score double")
         out = found if out is None else out.unionByName(found)
     return top(out, top_k, "query_id", F.col("doc_id"))
 

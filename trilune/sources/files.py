@@ -46,6 +46,16 @@ def read_run(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return df.select("query_id", F.posexplode("results").alias("i", "r")).select("query_id", (F.col("i") + 1).alias("rank"), "r.doc_id", "r.score")
 
 
+def read_alignments(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """e1, e2, confidence of tab-separated lines; those with fewer columns, or whose third is no number, are left out."""
+    f = F.split("value", "\t")
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.where(~F.col("value").startswith("entity") & ~F.col("value").startswith("e1"))
+    rows = lines.where(F.size(f) >= 3).select(f[0].alias("e1"), f[1].alias("e2"), f[2].try_cast("double").alias("confidence"))
+    return rows.where("confidence is not null")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of an exported graph; ends may be called source and target or subject and object."""
     entity = "struct<id: string, name: string, type: string, language: string, description: string, aliases: array<string>>"
