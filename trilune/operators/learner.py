@@ -65,6 +65,10 @@ def feedback(correct: Column, level: Column, threshold: float = 0.7) -> Column:
 def learning_path(concepts: DataFrame, levels: DataFrame, mastered: DataFrame, most: int, learners: DataFrame | None = None) -> DataFrame:
     """Per learner: concepts not mastered, in order of prerequisite level then id, with difficulty and minutes. mastered: learner, id; learners come from it unless given."""
     learners = (mastered if learners is None else learners).select("learner").distinct()
-    todo = learners.crossJoin(concepts.join(levels, "id")).join(mastered, ["learner", "id"], "left_anti")
+    order = concepts.join(levels, "id").withColumn("place", F.row_number().over(Window.orderBy("level", "id")))  # the graph's concepts
+    # Among the first `most` and as many more as a learner has mastered, there are `most` that are open: no learner meets all concepts.
+    known = mastered.join(order.select("id"), "id", "left_semi").distinct().groupBy("learner").agg(F.count(F.lit(1)).alias("n"))
+    reach = learners.join(known, "learner", "left").select("learner", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(0)).cast("int") + most)).alias("place"))
+    todo = reach.join(order, "place").join(mastered, ["learner", "id"], "left_anti")
     todo = todo.withColumn("step", F.row_number().over(Window.partitionBy("learner").orderBy("level", "id"))).where(F.col("step") <= most)
     return todo.select("learner", "step", "id", lookup(DIFFICULTY, F.col("type"), 0.5).alias("difficulty"), lookup(MINUTES, F.col("type"), 20).cast("long").alias("minutes"))

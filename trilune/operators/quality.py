@@ -28,11 +28,26 @@ RULES = {
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "yyyy", "yyyy-MM", "MM/yyyy"]
 
 
-def metric_values() -> dict[str, Column]:
-    """Each metric as a column, null where it does not apply."""
+# Dates of a record, in the order in which they should be.
+DATE_FIELDS = ["publish_date", "created_date", "modified_date"]
+
+
+def date_consistency(fields: list[str]) -> Column:
+    """1 if the given dates are in order, or fewer than two; a half if they are not or one is no date."""
+    given = F.filter(F.array(*[F.struct(F.col(c).alias("raw"), parsed_date(F.col(c)).alias("at")) for c in fields]), lambda x: F.coalesce(x["raw"], F.lit("")) != "")
+    ordered = F.aggregate(
+        given,
+        F.struct(F.lit(True).alias("ok"), F.lit(None).cast("timestamp").alias("last")),
+        lambda s, x: F.struct((s["ok"] & x["at"].isNotNull() & F.coalesce(x["at"] >= s["last"], F.lit(True))).alias("ok"), x["at"].alias("last")),
+        lambda s: s["ok"],
+    )
+    return F.when(ordered, 1.0).otherwise(0.5)
+
+
+def metric_values(dates: list[str], pieces: Column) -> dict[str, Column]:
+    """Each metric as a column, null where it does not apply. pieces: the content between sentence ends."""
     content, title = F.coalesce("content", F.lit("")), F.coalesce("title", F.lit(""))
     some, present = content != "", lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    pieces = F.split(content, SENTENCE_END)
     mean_sentence = F.aggregate(pieces, F.lit(0), lambda s, x: s + F.length(F.trim(x))) / F.size(pieces)
     guess = heuristic_language(F.col("content"))
     cap = lambda c: F.least(c, F.lit(1.0))
@@ -52,16 +67,19 @@ def metric_values() -> dict[str, Column]:
         "type_consistency": F.lit(1.0),
         "format_consistency": share(~present("doi") | F.col("doi").rlike(r"^10\.\d+/"), ~present("url") | F.col("url").rlike("^https?://"), F.lit(True)),
         "language_consistency": F.when(~some, 0.5).when(F.col("language").isNull(), 0.3).when(F.col("language") == guess, 1.0).otherwise(0.5),
-        "date_consistency": F.lit(1.0),
+        "date_consistency": date_consistency(dates),
         "length_reasonableness": share(between(F.length(title), 5, 200), between(F.length(content), 10, 1_000_000), between(size("authors"), 1, 50), between(size("keywords"), 1, 20)),
     }
 
 
 def assessed(records: DataFrame) -> DataFrame:
     """records with metrics (name, value, threshold, passed, weight), overall and recommendations."""
-    values = metric_values()
-    one = lambda n, v: F.when(v.isNotNull(), F.struct(F.lit(n).alias("name"), F.round(v, 9).alias("value"), F.lit(METRICS[n][0]).alias("threshold"), (F.round(v, 9) >= METRICS[n][0]).alias("passed"), F.lit(METRICS[n][1]).alias("weight")))
-    out = records.withColumn("metrics", F.array_compact(F.array(*[one(n, v) for n, v in values.items()])))
+    # Values are columns of their own before anything refers to them, so that each is computed once.
+    values = metric_values([c for c in DATE_FIELDS if c in records.columns], F.col("_pieces"))
+    out = records.withColumn("_pieces", F.split(F.coalesce("content", F.lit("")), SENTENCE_END))
+    out = out.withColumns({f"_{n}": F.round(v, 9) for n, v in values.items()})
+    one = lambda n: F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value"), F.lit(METRICS[n][0]).alias("threshold"), (F.col(f"_{n}") >= METRICS[n][0]).alias("passed"), F.lit(METRICS[n][1]).alias("weight")))
+    out = out.select(*records.columns, F.array_compact(F.array(*map(one, values))).alias("metrics"))
     total = lambda f: F.aggregate("metrics", F.lit(0.0), lambda s, m: s + f(m))
     overall = F.coalesce(F.try_divide(total(lambda m: m["value"] * m["weight"]), total(lambda m: m["weight"])), F.lit(0.0))
     advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])

@@ -10,13 +10,15 @@ from trilune.sources.tables import stored, table
 
 
 def records(spark, d):
-    t = tokenize(F.col("text"))
-    some = lambda a, n: F.slice(t, a, n)
-    return table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"),
-        some(F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("authors"), some(F.lit(5), (F.col("doc_id") % 7).cast("int")).alias("keywords"),
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy/MM/dd").alias("publish_date"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10."), F.col("doc_id"), F.lit("/x"))).when(F.col("doc_id") % 3 == 1, F.lit("bad")).alias("doi"), F.concat(F.lit("example.org/ "), F.col("doc_id"), F.lit(".")).alias("url"),
+    some = lambda a, n: F.slice("_tokens", a, n)
+    n = F.col("doc_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (n % 365).cast("int"))
+    created = F.when(n % 4 == 1, F.date_format(F.date_sub(day, 1), "yyyy-MM-dd")).when(n % 4 == 2, F.date_format(F.date_add(day, 1), "yyyy-MM-dd")).when(n % 9 == 3, "no date")
+    return table(spark, d, "documents").withColumn("_tokens", tokenize(F.col("text"))).select(
+        n.alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"),
+        some(F.lit(1), (n % 4).cast("int")).alias("authors"), some(F.lit(5), (n % 7).cast("int")).alias("keywords"),
+        F.date_format(day, "yyyy/MM/dd").alias("publish_date"), created.alias("created_date"),
+        F.when(n % 3 == 0, F.concat(F.lit("10."), n, F.lit("/x"))).when(n % 3 == 1, F.lit("bad")).alias("doi"), F.concat(F.lit("example.org/ "), n, F.lit(".")).alias("url"),
     )
 
 
@@ -121,7 +123,7 @@ _VALUES = {
     "sentence_structure": "CASE WHEN content <> '' THEN least(list_sum(list_transform(regexp_split_to_array(content, '[.!?。！？]+'), lambda x: length(trim(x))))::DOUBLE / len(regexp_split_to_array(content, '[.!?。！？]+')) / 50, 1.0) END",
     "title_quality": "CASE WHEN title <> '' THEN CASE WHEN length(title) BETWEEN 5 AND 200 THEN 1.0::DOUBLE ELSE 0.5 END END", "authors_completeness": "least(len(authors) / 3.0::DOUBLE, 1.0)", "keywords_completeness": "least(len(keywords) / 5.0::DOUBLE, 1.0)",
     "date_presence": "1.0::DOUBLE", "identifiers": "CASE WHEN doi IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END + 0.3::DOUBLE", "required_fields": "(1 + (title <> '')::INT + (content <> '')::INT) / 3.0::DOUBLE", "type_consistency": "1.0::DOUBLE",
-    "format_consistency": "((doi IS NULL OR regexp_matches(doi, '^10\\.\\d+/'))::INT + regexp_matches(url, '^https?://')::INT + 1) / 3.0::DOUBLE", "language_consistency": f"CASE WHEN content = '' THEN 0.5::DOUBLE WHEN language IS NULL THEN 0.3 WHEN language = ({_GUESS}) THEN 1.0 ELSE 0.5 END", "date_consistency": "1.0::DOUBLE",
+    "format_consistency": "((doi IS NULL OR regexp_matches(doi, '^10\\.\\d+/'))::INT + regexp_matches(url, '^https?://')::INT + 1) / 3.0::DOUBLE", "language_consistency": f"CASE WHEN content = '' THEN 0.5::DOUBLE WHEN language IS NULL THEN 0.3 WHEN language = ({_GUESS}) THEN 1.0 ELSE 0.5 END", "date_consistency": "CASE WHEN id % 4 = 1 THEN 0.5::DOUBLE WHEN id % 4 = 2 THEN 1.0 WHEN id % 9 = 3 THEN 0.5 ELSE 1.0 END",
     "length_reasonableness": "((length(title) BETWEEN 5 AND 200)::INT + (length(content) BETWEEN 10 AND 1000000)::INT + (len(authors) BETWEEN 1 AND 50)::INT + (len(keywords) BETWEEN 1 AND 20)::INT) / 4.0::DOUBLE",
 }
 _MET = "mt AS (" + " UNION ALL ".join(f"SELECT id, '{n}' AS name, round({v}, 9) AS value, {Q.METRICS[n][0]}::DOUBLE AS threshold, {Q.METRICS[n][1]}::DOUBLE AS weight, {i} AS pos, {repr(Q.ADVICE[n]) if n in Q.ADVICE else 'NULL'} AS advice FROM rc" for i, (n, v) in enumerate(_VALUES.items())) + ")"

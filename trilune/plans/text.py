@@ -69,7 +69,9 @@ def sentence_alignment(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy("doc_id")
-    x = docs(spark, d).select("doc_id", "source", T.sentences(F.col("text")).alias("s")).withColumn("t", F.lead("s").over(w)).where(F.size("t") > 0)
+    after = docs(spark, d).select("doc_id", "source").withColumn("next", F.lead("doc_id").over(w)).where("next is not null").select("doc_id", "next")
+    s = docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    x = after.join(s, "doc_id").join(s.select(F.col("doc_id").alias("next"), F.col("s").alias("t")), "next").where(F.size("t") > 0)
     x = x.withColumn("r", F.size("t") / F.size("s")).select("doc_id", "t", "r", F.posexplode("s").alias("i", "src"))
     lo, hi = F.floor(F.col("i") * F.col("r")).cast("int"), F.least(F.floor((F.col("i") + 1) * F.col("r")).cast("int"), F.size("t"))
     x = x.withColumn("lo", lo).withColumn("hi", hi)
