@@ -27,7 +27,9 @@ def test_head_learns_what_pairs_share():
 
 def test_predictions_are_scaled_by_the_largest_distance(spark):
     one = spark.createDataFrame([("a", [0.0, 0.0])], "id string, x array<double>")
-    many = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 3.0]), ("d", [4.0, 0.0])], "id string, x array<double>").repartition(3)
+    many = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 3.0]), ("d", [4.0, 0.0])], "id string, x array<double>").repartition(
+        3,
+    )
     got = {r.e2: r.confidence for r in N.predicted(one, many, 3, 0.2).collect()}
     assert got == {"b": pytest.approx(0.75), "c": pytest.approx(0.25)}  # the source itself is no partner
     assert [r.e2 for r in N.predicted(one, many, 2, 0.0).collect()] == ["b"]
@@ -42,7 +44,10 @@ def test_pipeline_finds_turned_vectors(spark):
     y = x @ turn
     left = spark.createDataFrame([(f"l{i}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>")
     right = spark.createDataFrame([(f"r{i}", v.tolist()) for i, v in enumerate(y)], "id string, x array<double>")
-    edges = spark.createDataFrame([(f"{s}{i}", f"{s}{(i + 1) % 60}") for s in "lr" for i in range(60)], "src string, dst string")
+    edges = spark.createDataFrame(
+        [(f"{s}{i}", f"{s}{(i + 1) % 60}") for s in "lr" for i in range(60)],
+        "src string, dst string",
+    )
     seeds = spark.createDataFrame([(f"l{i}", f"r{i}") for i in range(0, 60, 3)], "e1 string, e2 string")
     found = N.aligned(left, right, edges, seeds).collect()
     assert len({r.e1 for r in found}) == len(found) == len({r.e2 for r in found})

@@ -51,30 +51,50 @@ def test_bootstrap_repeats():
 
 
 def edges(spark, rows):
-    return spark.createDataFrame([(a, b, "sameAs", 1.0, i) for i, (a, b) in enumerate(rows)], "src string, dst string, rel string, confidence double, ord long")
+    return spark.createDataFrame(
+        [(a, b, "sameAs", 1.0, i) for i, (a, b) in enumerate(rows)],
+        "src string, dst string, rel string, confidence double, ord long",
+    )
 
 
 def test_first_way_counts_not_the_best(spark):
-    e = spark.createDataFrame([("s", "a", "tests", 1.0, 0), ("s", "b", "sameAs", 1.0, 1), ("a", "t", "tests", 1.0, 2), ("b", "t", "sameAs", 1.0, 3)], "src string, dst string, rel string, confidence double, ord long")
+    e = spark.createDataFrame(
+        [
+            ("s", "a", "tests", 1.0, 0),
+            ("s", "b", "sameAs", 1.0, 1),
+            ("a", "t", "tests", 1.0, 2),
+            ("b", "t", "sameAs", 1.0, 3),
+        ],
+        "src string, dst string, rel string, confidence double, ord long",
+    )
     got = {r.id: r.weight for r in G.related(spark.createDataFrame([("s",)], "id string"), e).collect()}
     assert got["t"] == pytest.approx(0.4 * 0.8 * 0.4 * 0.64)
 
 
 def test_cycles_have_no_level(spark):
-    got = {r.id: r.level for r in G.topological_levels(edges(spark, [("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")])).collect()}
+    got = {
+        r.id: r.level
+        for r in G.topological_levels(edges(spark, [("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")])).collect()
+    }
     assert got == {"a": 0, "b": 1, "c": 2}
 
 
 def test_strong_components(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")])
-    got = {r.id: r.component for r in G.strong_components(spark.createDataFrame([(x,) for x in "abcd"], "id string"), e).collect()}
+    got = {
+        r.id: r.component
+        for r in G.strong_components(spark.createDataFrame([(x,) for x in "abcd"], "id string"), e).collect()
+    }
     assert got["a"] == got["b"] == got["c"] != got["d"]
 
 
 def test_caps_of_rounds_fail_aloud(spark):
     ids = [f"n{i}" for i in range(6)]
     nodes, chain = spark.createDataFrame([(x,) for x in ids], "id string"), edges(spark, list(zip(ids[1:], ids, strict=False)))
-    p = spark.createDataFrame([(i, j, -float(i + j)) for i in range(4) for j in range(4)], "e1 long, e2 long, confidence double")
+    p = spark.createDataFrame(
+        [(i, j, -float(i + j)) for i in range(4) for j in range(4)],
+        "e1 long, e2 long, confidence double",
+    )
     for run in (lambda m: G.topological_levels(chain, m), lambda m: G.strong_components(nodes, chain, m), lambda m: G.components(nodes, chain, m), lambda m: A.one_to_one(p, m)):
         with pytest.raises(RuntimeError):
             run(1)
@@ -90,11 +110,24 @@ def test_deep_chains_have_all_levels(spark):
 
 
 def test_fusion_is_idempotent(spark):
-    e = spark.createDataFrame([("1", "colour", "Word", "en", None, [], 0.9, 0), ("2", "colours", "Word", "en", None, [], 0.5, 1), ("3", "tree", "Word", "en", None, [], 0.5, 2)], "id string, name string, type string, language string, description string, aliases array<string>, confidence double, ord long")
+    e = spark.createDataFrame(
+        [
+            ("1", "colour", "Word", "en", None, [], 0.9, 0),
+            ("2", "colours", "Word", "en", None, [], 0.5, 1),
+            ("3", "tree", "Word", "en", None, [], 0.5, 2),
+        ],
+        (
+            "id string, name string, type string, language string, description string, aliases array<string>,"
+            " confidence double, ord long"
+        ),
+    )
     r = edges(spark, [("2", "3"), ("1", "3")])
     pairs = K.similar_names(e)
     assert [(p.a, p.b) for p in pairs.collect()] == [("1", "2")]
-    clusters = G.components(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    clusters = G.components(
+        pairs.select(F.col("a").alias("id")).union(pairs.select("b")),
+        pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")),
+    )
     e2, r2 = K.remapped(e, r, K.representatives(e, clusters))
     assert {x.id for x in e2.collect()} == {"1", "3"}
     assert r2.count() == 1
@@ -102,12 +135,18 @@ def test_fusion_is_idempotent(spark):
 
 
 def test_greedy_matching(spark):
-    p = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.7), (2, 2, 0.1)], "e1 long, e2 long, confidence double")
+    p = spark.createDataFrame(
+        [(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.7), (2, 2, 0.1)],
+        "e1 long, e2 long, confidence double",
+    )
     assert {(r.e1, r.e2) for r in A.one_to_one(p).collect()} == {(1, 1), (2, 2)}
 
 
 def test_ideal_ranking(spark):
-    run = spark.createDataFrame([("q", i, f"d{i}", 1.0) for i in range(1, 4)], "query_id string, rank int, doc_id string, score double")
+    run = spark.createDataFrame(
+        [("q", i, f"d{i}", 1.0) for i in range(1, 4)],
+        "query_id string, rank int, doc_id string, score double",
+    )
     qrels = spark.createDataFrame([("q", "d1", 2), ("q", "d2", 1)], "query_id string, doc_id string, relevance int")
     r = M.ranking_metrics(run, qrels, 10).first()
     assert (r.ndcg, r.mrr, r.recall, r.ap_judged) == (1.0, 1.0, 1.0, 1.0)
@@ -115,7 +154,14 @@ def test_ideal_ranking(spark):
 
 def test_forgetting_of_nothing_and_future(spark):
     at = F.lit("2024-01-01").cast("timestamp")
-    r = spark.range(1).select(L.forgetting(F.lit(None).cast("timestamp"), at).alias("a"), L.forgetting(F.lit("2030-01-01").cast("timestamp"), at).alias("b")).first()
+    r = (
+        spark.range(1)
+        .select(
+            L.forgetting(F.lit(None).cast("timestamp"), at).alias("a"),
+            L.forgetting(F.lit("2030-01-01").cast("timestamp"), at).alias("b"),
+        )
+        .first()
+    )
     assert (r.a, r.b) == (1.0, 1.0)
 
 
@@ -137,10 +183,15 @@ def test_linear_map_of_all_gold_pairs(spark, tmp_path):
     x = r.normal(size=(60, 4))
     label = r.integers(0, 3, 60)
     rows = [(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, label, strict=True))]
-    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"),
+    )
     pairs = [(i, j) for i in range(1, 60, 2) for j in range(0, 60, 2) if label[i] == label[j]]
     m = np.linalg.lstsq(x[[i for i, _ in pairs]], x[[j for _, j in pairs]], rcond=None)[0]
-    first = {n: (min(i for i, j in pairs if label[i] == n), min(j for i, j in pairs if label[i] == n)) for n in range(3)}
+    first = {
+        n: (min(i for i, j in pairs if label[i] == n), min(j for i, j in pairs if label[i] == n))
+        for n in range(3)
+    }
     got = {r.label: r.distance for r in align.align_linear_map(spark, str(tmp_path)).collect()}
     assert got == pytest.approx({n: np.linalg.norm(x[i] @ m - x[j]) for n, (i, j) in first.items()}, abs=1e-4)
     assert min(got.values()) > 0.1
@@ -153,7 +204,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(b"\0")
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+        z.writestr(
+            "word/document.xml",
+            f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
+        )
     got = {r.filename: (r.text, r.error) for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert got["a.txt"] == ("plain", None)
     assert got["b.json"] == ("one 2", None)
@@ -176,8 +230,18 @@ def test_federated_counts_every_row(spark, tmp_path):
     from trilune.plans import sources
 
     n = 1_000_003
-    spark.range(n).selectExpr("format_string('Customer#%09d', id) AS c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
-    spark.range(n - 2, n + 5).selectExpr("format_string('Supplier#%09d', id) AS s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    (
+        spark.range(n)
+        .selectExpr("format_string('Customer#%09d', id) AS c_name")
+        .coalesce(1).write
+        .parquet(str(tmp_path / "customer.parquet"))
+    )
+    (
+        spark.range(n - 2, n + 5)
+        .selectExpr("format_string('Supplier#%09d', id) AS s_name")
+        .coalesce(1).write
+        .parquet(str(tmp_path / "supplier.parquet"))
+    )
     con = duckdb.connect()
     for name in ("customer", "supplier"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
@@ -194,6 +258,8 @@ def test_merged_limits(spark):
 
 
 def test_articles(spark, tmp_path):
-    (tmp_path / "p.xml").write_text("<S><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>A  b</ArticleTitle><Abstract><AbstractText>Text</AbstractText></Abstract><AuthorList><Author><ForeName>Ann</ForeName><LastName>Lee</LastName></Author><Author><ForeName>Bo</ForeName><LastName>Ek</LastName></Author></AuthorList></Article></MedlineCitation></PubmedArticle></S>")
+    (tmp_path / "p.xml").write_text(
+        "<S><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>A  b</ArticleTitle><Abstract><AbstractText>Text</AbstractText></Abstract><AuthorList><Author><ForeName>Ann</ForeName><LastName>Lee</LastName></Author><Author><ForeName>Bo</ForeName><LastName>Ek</LastName></Author></AuthorList></Article></MedlineCitation></PubmedArticle></S>",
+    )
     r = files.read_articles(spark, str(tmp_path / "p.xml")).first()
     assert (r.id, r.title, r.authors) == ("pubmed_7", "A b", ["Ann Lee", "Bo Ek"])

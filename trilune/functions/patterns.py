@@ -41,7 +41,11 @@ RELATIONS = [
     ("zh", "hasPrereq", r'(.+?)\s*是\s*(.+?)\s*的基础'),
     ("zh", "covers", r'(.+?)\s*(?:包含|涵盖|包括)\s*(.+?)(?:[，。；]|$)'),
     ("zh", "tests", r'(.+?)\s*(?:测试|检验|考查)\s*(.+?)(?:[，。；]|$)'),
-    ("fr", "translatedAs", insensitive(r'(.+?)\s+(?:se traduit par|signifie|correspond à|équivaut à)\s+(.+?)(?:[,\.\;]|$)')),
+    (
+        "fr",
+        "translatedAs",
+        insensitive(r'(.+?)\s+(?:se traduit par|signifie|correspond à|équivaut à)\s+(.+?)(?:[,\.\;]|$)'),
+    ),
     ("fr", "sameAs", insensitive(r'(.+?)\s+(?:c\'est-à-dire|soit)\s+(.+?)(?:[,\.\;]|$)')),
     ("fr", "belongsTo", insensitive(r'(.+?)\s+(?:appartient à|est un|fait partie de)\s+(.+?)(?:[,\.\;]|$)')),
     ("fr", "belongsTo", r'(.+?)\s+de\s+(.+?)(?:[,\.\;]|$)'),
@@ -49,7 +53,11 @@ RELATIONS = [
     ("fr", "hasPrereq", insensitive(r'(.+?)\s+(?:nécessite|requiert|exige)\s+(.+?)(?:[,\.\;]|$)')),
     ("fr", "covers", insensitive(r'(.+?)\s+(?:comprend|inclut|contient)\s+(.+?)(?:[,\.\;]|$)')),
     ("fr", "tests", insensitive(r'(.+?)\s+(?:teste|évalue|vérifie)\s+(.+?)(?:[,\.\;]|$)')),
-    ("en", "translatedAs", insensitive(r'(.+?)\s+(?:translates to|means|corresponds to|is equivalent to)\s+(.+?)(?:[,\.\;]|$)')),
+    (
+        "en",
+        "translatedAs",
+        insensitive(r'(.+?)\s+(?:translates to|means|corresponds to|is equivalent to)\s+(.+?)(?:[,\.\;]|$)'),
+    ),
     ("en", "sameAs", insensitive(r'(.+?)\s+(?:i\.e\.|that is)\s+(.+?)(?:[,\.\;]|$)')),
     ("en", "belongsTo", insensitive(r'(.+?)\s+(?:belongs to|is a|is part of)\s+(.+?)(?:[,\.\;]|$)')),
     ("en", "belongsTo", r'(.+?)\s+of\s+(.+?)(?:[,\.\;]|$)'),
@@ -57,7 +65,7 @@ RELATIONS = [
     ("en", "hasPrereq", insensitive(r'(.+?)\s+(?:requires|needs|presupposes)\s+(.+?)(?:[,\.\;]|$)')),
     ("en", "covers", insensitive(r'(.+?)\s+(?:includes|contains|comprises)\s+(.+?)(?:[,\.\;]|$)')),
     ("en", "tests", insensitive(r'(.+?)\s+(?:tests|evaluates|assesses)\s+(.+?)(?:[,\.\;]|$)')),
-]
+]
 
 # What a document says of itself.
 DOI = insensitive(r'(?:doi|DOI)[:：]?\s*(10\.\d+/[^\s]+)')

@@ -54,7 +54,15 @@ def welch_t(n1, m1, s1, n2, m2, s2) -> tuple[Column, Column]:
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, population deviation, extremes, sum and interpolated quartiles."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), *[F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75)])
+    return df.groupBy(*by).agg(
+        F.count(v).alias("count"),
+        F.avg(v).alias("mean"),
+        F.stddev_pop(v).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.sum(v).alias("sum"),
+        *[F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75)],
+    )
 
 
 def min_max(value: Column, window) -> Column:

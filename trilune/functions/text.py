@@ -14,8 +14,54 @@ from pyspark.sql.types import StringType
 # Stop words per language.
 STOPWORDS = {
     "zh": ["的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个"],
-    "fr": ["le", "la", "les", "un", "une", "des", "de", "du", "à", "au", "aux", "et", "ou", "mais", "donc", "car", "ni", "que", "qui", "quoi", "dont", "où"],
-    "en": ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "be", "been", "being"],
+    "fr": [
+        "le",
+        "la",
+        "les",
+        "un",
+        "une",
+        "des",
+        "de",
+        "du",
+        "à",
+        "au",
+        "aux",
+        "et",
+        "ou",
+        "mais",
+        "donc",
+        "car",
+        "ni",
+        "que",
+        "qui",
+        "quoi",
+        "dont",
+        "où",
+    ],
+    "en": [
+        "the",
+        "a",
+        "an",
+        "and",
+        "or",
+        "but",
+        "in",
+        "on",
+        "at",
+        "to",
+        "for",
+        "of",
+        "with",
+        "by",
+        "from",
+        "as",
+        "is",
+        "was",
+        "are",
+        "be",
+        "been",
+        "being",
+    ],
 }
 # Names of the supported languages.
 LANGUAGE_NAMES = {"zh": "中文", "fr": "Français", "en": "English"}
@@ -34,7 +80,11 @@ def nfkc(text: pd.Series) -> pd.Series:
 @pandas_udf(StringType())
 def remove_accents(text: pd.Series) -> pd.Series:
     """Letters without their combining marks."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    return text.map(
+        lambda t: (
+            None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        ),
+    )
 
 
 ASCII_LOWER, ASCII_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,7 +99,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize_text(text: Column, lowercase: bool = True, remove_punctuation: bool = False, remove_extra_spaces: bool = True, normalize_unicode: bool = True) -> Column:
+def normalize_text(
+    text: Column,
+    lowercase: bool = True,
+    remove_punctuation: bool = False,
+    remove_extra_spaces: bool = True,
+    normalize_unicode: bool = True,
+) -> Column:
     """'' for null; compatibility form, lower case, ASCII punctuation to blanks, white space collapsed, as asked."""
     out = F.coalesce(text, F.lit(""))
     if normalize_unicode:
@@ -97,7 +153,11 @@ def truncate_text(text: Column, most: int, strategy: str = "head") -> Column:
 def string_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; equal: 1, one empty: 0."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    return (
+        F.when(a == b, 1.0)
+        .when((F.length(a) == 0) | (F.length(b) == 0), 0.0)
+        .otherwise(1 - F.levenshtein(a, b) / longer)
+    )
 
 
 def heuristic_language(text: Column) -> Column:

@@ -13,14 +13,32 @@ from trilune.sources.tables import stored
 
 def candidates(left: DataFrame, right: DataFrame, top_k: int, least: float) -> DataFrame:
     """(e1, e2, confidence): each left vector's nearest right ones, first the top_k, then those of at least `least`."""
-    return dense_search(left, right, top_k).where(F.col("score") >= least).select(F.col("query_id").alias("e1"), F.col("doc_id").alias("e2"), F.col("score").alias("confidence"))
+    return (
+        dense_search(left, right, top_k)
+        .where(F.col("score") >= least)
+        .select(F.col("query_id").alias("e1"), F.col("doc_id").alias("e2"), F.col("score").alias("confidence"))
+    )
 
 
 def fused(a: DataFrame, b: DataFrame, wa: float = 0.5, wb: float = 0.5) -> DataFrame:
     """Full outer join of candidates: weighted where both have a confidence that is not 0, else the one, with its source."""
-    x = a.select("e1", "e2", F.col("confidence").alias("a")).join(b.select("e1", "e2", F.col("confidence").alias("b")), ["e1", "e2"], "full")
+    x = a.select("e1", "e2", F.col("confidence").alias("a")).join(
+        b.select("e1", "e2", F.col("confidence").alias("b")),
+        ["e1", "e2"],
+        "full",
+    )
     has = lambda c: F.coalesce(F.col(c), F.lit(0.0)) != 0
-    return x.select("e1", "e2", F.when(has("a") & has("b"), wa * F.col("a") + wb * F.col("b")).when(has("a"), F.col("a")).otherwise(F.col("b")).alias("confidence"), F.when(has("a") & has("b"), "fused").when(has("a"), "first").otherwise("second").alias("source"))
+    return x.select(
+        "e1",
+        "e2",
+        (
+            F.when(has("a") & has("b"), wa * F.col("a") + wb * F.col("b"))
+            .when(has("a"), F.col("a"))
+            .otherwise(F.col("b"))
+            .alias("confidence")
+        ),
+        F.when(has("a") & has("b"), "fused").when(has("a"), "first").otherwise("second").alias("source"),
+    )
 
 
 def one_to_one(pairs: DataFrame, most: int | None = None) -> DataFrame:
@@ -28,7 +46,10 @@ def one_to_one(pairs: DataFrame, most: int | None = None) -> DataFrame:
     left, taken = stored(pairs.where("e1 is not null and e2 is not null").select("e1", "e2", "confidence").distinct(), "left"), None
     for _ in rounds(most):
         order = [F.desc("confidence"), "e1", "e2"]
-        best = left.withColumn("r1", F.row_number().over(Window.partitionBy("e1").orderBy(*order))).withColumn("r2", F.row_number().over(Window.partitionBy("e2").orderBy(*order)))
+        best = left.withColumn("r1", F.row_number().over(Window.partitionBy("e1").orderBy(*order))).withColumn(
+            "r2",
+            F.row_number().over(Window.partitionBy("e2").orderBy(*order)),
+        )
         won = stored(best.where("r1 = 1 and r2 = 1").select("e1", "e2", "confidence"), "won")
         taken = won if taken is None else stored(taken.unionByName(won), "taken")
         left = stored(left.join(won.select("e1"), "e1", "left_anti").join(won.select("e2"), "e2", "left_anti"), "left")
@@ -46,17 +67,36 @@ def linear_map(pairs: DataFrame) -> np.ndarray:
         for batch in batches:
             if len(batch):
                 x, y = (np.asarray(c.flatten(), float).reshape(len(batch), -1) for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array([(x.T @ x).ravel().tolist()]), pa.array([(x.T @ y).ravel().tolist()])], names=["g", "h"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(x.T @ x).ravel().tolist()]), pa.array([(x.T @ y).ravel().tolist()])],
+                    names=["g", "h"],
+                )
 
     cast = lambda c: F.col(c).cast("array<double>").alias(c)
     rows = pairs.select(cast("x"), cast("y")).mapInArrow(moments, "g array<double>, h array<double>")
-    total = lambda c: rows.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").select("v").collect()
+    total = lambda c: (
+        rows.select(F.posexplode(c).alias("i", "v"))
+        .groupBy("i")
+        .agg(F.sum("v").alias("v"))
+        .orderBy("i")
+        .select("v")
+        .collect()
+    )
     g, h = (np.array([r[0] for r in total(c)]) for c in ("g", "h"))
     d = int(round(len(g) ** 0.5))
     return np.linalg.lstsq(g.reshape(d, d), h.reshape(d, -1), rcond=None)[0]
 
 
-def trans_e(triples: DataFrame, by: str, size: int = 16, epochs: int = 50, rate: float = 0.05, margin: float = 1.0, negatives: int = 5, seed: int = 1) -> DataFrame:
+def trans_e(
+    triples: DataFrame,
+    by: str,
+    size: int = 16,
+    epochs: int = 50,
+    rate: float = 0.05,
+    margin: float = 1.0,
+    negatives: int = 5,
+    seed: int = 1,
+) -> DataFrame:
     """(by, name, x): embeddings of h, r, t triples of each group, trained with a margin against corrupted triples. Groups are vocabularies of one language."""
 
     def train(key, pdf):
@@ -82,7 +122,11 @@ def trans_e(triples: DataFrame, by: str, size: int = 16, epochs: int = 50, rate:
             e /= np.maximum(1, np.linalg.norm(e, axis=1))[:, None]
         return pd.DataFrame({by: key[0], "name": names, "x": list(e)})
 
-    return triples.select(by, "h", "r", "t").groupBy(by).applyInPandas(train, f"{by} string, name string, x array<double>")
+    return (
+        triples.select(by, "h", "r", "t")
+        .groupBy(by)
+        .applyInPandas(train, f"{by} string, name string, x array<double>")
+    )
 
 
 def propagated(nodes: DataFrame, edges: DataFrame, layers: int = 2) -> DataFrame:
@@ -92,6 +136,14 @@ def propagated(nodes: DataFrame, edges: DataFrame, layers: int = 2) -> DataFrame
     for _ in range(layers):
         long = x.select("id", F.posexplode("x").alias("i", "v"))
         near = both.join(long, both["src"] == long["id"]).select(F.col("dst").alias("id"), "i", "v").unionByName(long)
-        x = stored(near.groupBy("id", "i").agg(F.avg("v").alias("v")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x")), "layer")
+        x = stored(
+            (
+                near.groupBy("id", "i")
+                .agg(F.avg("v").alias("v"))
+                .groupBy("id")
+                .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
+            ),
+            "layer",
+        )
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     return x.select("id", F.transform("x", lambda v: v / F.greatest(norm, F.lit(1e-12))).alias("x"))

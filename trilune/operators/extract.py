@@ -24,7 +24,12 @@ def per_language(catalogue, build):
 def entities(texts: DataFrame, catalogue=None) -> DataFrame:
     """(doc, language, type, name) of every match in texts (doc, text, language)."""
     one = lambda kind: lambda m: F.struct(F.lit(kind).alias("type"), F.trim(m).alias("name"))
-    found = per_language(catalogue or ENTITY_PATTERNS, lambda ps: F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), one(k)) for _, k, p in ps])))
+    found = per_language(
+        catalogue or ENTITY_PATTERNS,
+        lambda ps: F.flatten(
+            F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), one(k)) for _, k, p in ps]),
+        ),
+    )
     return texts.select("doc", "language", F.inline(found))
 
 
@@ -34,37 +39,79 @@ def kept_entities(found: DataFrame, stop: dict[str, list[str]], least: int = 2,
     for lang, words in stop.items():
         c = (F.col("language") == lang) & F.lower("name").isin(words)
         bad = c if bad is None else bad | c
-    ok = (F.length("name") >= least) & ~F.coalesce(bad, F.lit(False)) & ~F.col("name").rlike(r"^\p{Nd}+$") & F.col("name").rlike(r"[\p{L}\p{N}]")
+    ok = (
+        (F.length("name") >= least)
+        & ~F.coalesce(bad, F.lit(False))
+        & ~F.col("name").rlike(r"^\p{Nd}+$")
+        & F.col("name").rlike(r"[\p{L}\p{N}]")
+    )
     return best_entities(found.where(ok).withColumn("confidence", F.lit(confidence)).withColumn("ord", F.col("doc")))
 
 
 def relation_spans(texts: DataFrame, catalogue=None) -> DataFrame:
     """(doc, rel, left, right): trimmed texts of the two groups of every match."""
-    both = lambda k, p: F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("b")), lambda m: F.struct(F.lit(k).alias("rel"), F.trim(m["a"]).alias("left"), F.trim(m["b"]).alias("right")))
-    return texts.select("doc", "language", F.inline(per_language(catalogue or RELATION_PATTERNS, lambda ps: F.flatten(F.array(*[both(k, p) for _, k, p in ps])))))
+    both = lambda k, p: F.transform(
+        F.arrays_zip(
+            F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("a"),
+            F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("b"),
+        ),
+        lambda m: F.struct(F.lit(k).alias("rel"), F.trim(m["a"]).alias("left"), F.trim(m["b"]).alias("right")),
+    )
+    return texts.select(
+        "doc",
+        "language",
+        F.inline(
+            per_language(
+                catalogue or RELATION_PATTERNS,
+                lambda ps: F.flatten(F.array(*[both(k, p) for _, k, p in ps])),
+            ),
+        ),
+    )
 
 
 def related_entities(spans: DataFrame, names: DataFrame, confidence: float = 0.85) -> DataFrame:
     """Relations whose sides are known names (ids of names: id, name), matched by lower-cased equality."""
     n = names.select("id", F.lower("name").alias("_n"))
-    out = spans.join(n.select(F.col("id").alias("src"), F.col("_n").alias("l")), F.lower("left") == F.col("l")).join(n.select(F.col("id").alias("dst"), F.col("_n").alias("r")), F.lower("right") == F.col("r"))
-    return best_relations(out.select("src", "dst", "rel", F.lit(confidence).alias("confidence"), F.col("doc").alias("ord")))
+    out = spans.join(n.select(F.col("id").alias("src"), F.col("_n").alias("l")), F.lower("left") == F.col("l")).join(
+        n.select(F.col("id").alias("dst"), F.col("_n").alias("r")),
+        F.lower("right") == F.col("r"),
+    )
+    return best_relations(
+        out.select("src", "dst", "rel", F.lit(confidence).alias("confidence"), F.col("doc").alias("ord")),
+    )
 
 
 def cooccurrences(found: DataFrame, window: int = 50) -> DataFrame:
     """Ordered pairs of different names of one text whose places differ by at most `window` characters: a join on cells of that width and their neighbours. found: doc, name, at."""
     a = found.withColumn("cell", F.floor(F.col("at") / window))
-    b = a.select("doc", F.col("name").alias("name2"), F.col("at").alias("at2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    return a.join(b, ["doc", "cell"]).where((F.col("name") != F.col("name2")) & (F.abs(F.col("at") - F.col("at2")) <= window)).select("doc", "name", "name2", "at", "at2")
+    b = a.select(
+        "doc",
+        F.col("name").alias("name2"),
+        F.col("at").alias("at2"),
+        F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"),
+    )
+    return (
+        a.join(b, ["doc", "cell"])
+        .where((F.col("name") != F.col("name2")) & (F.abs(F.col("at") - F.col("at2")) <= window))
+        .select("doc", "name", "name2", "at", "at2")
+    )
 
 
 def places(texts: DataFrame, pattern: str) -> DataFrame:
     """(doc, name, at): matches of a pattern with their character places, by the lengths of what lies between them."""
     gaps = F.split("text", pattern)
     names = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(names)), names, lambda g, n: F.struct(F.length(g).alias("gap"), n.alias("name")))
+    zipped = F.zip_with(
+        F.slice(gaps, 1, F.size(names)),
+        names,
+        lambda g,
+        n: F.struct(F.length(g).alias("gap"), n.alias("name")),
+    )
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<name:string,at:int>>").alias("out"))
-    step = lambda s, x: F.struct((s["end"] + x["gap"] + F.length(x["name"])).alias("end"), F.concat(s["out"], F.array(F.struct(x["name"].alias("name"), (s["end"] + x["gap"]).alias("at")))).alias("out"))
+    step = lambda s, x: F.struct(
+        (s["end"] + x["gap"] + F.length(x["name"])).alias("end"),
+        F.concat(s["out"], F.array(F.struct(x["name"].alias("name"), (s["end"] + x["gap"]).alias("at")))).alias("out"),
+    )
     return texts.select("doc", F.inline(F.aggregate(zipped, start, step, lambda s: s["out"])))
 
 

@@ -48,7 +48,19 @@ def hits_at_1(e: np.ndarray, left: np.ndarray, right: np.ndarray) -> float:
     return float((((e[left] @ e[right].T).argmax(axis=1)) == np.arange(len(left))).mean())
 
 
-def trained(z: np.ndarray, left: np.ndarray, right: np.ndarray, size: int = 32, hidden: int = 64, epochs: int = 100, rate: float = 5e-3, margin: float = 1.0, patience: int = 3, held: float = 0.2, seed: int = 1) -> Head:
+def trained(
+    z: np.ndarray,
+    left: np.ndarray,
+    right: np.ndarray,
+    size: int = 32,
+    hidden: int = 64,
+    epochs: int = 100,
+    rate: float = 5e-3,
+    margin: float = 1.0,
+    patience: int = 3,
+    held: float = 0.2,
+    seed: int = 1,
+) -> Head:
     """A head that brings pairs of rows of z together; every ten epochs it is judged on pairs held out, and the best one is kept."""
     r = np.random.default_rng(seed)
     d = z.shape[1]
@@ -94,7 +106,13 @@ def fitted(vectors: DataFrame, seeds: DataFrame, most: int = 5000, **how) -> Hea
     """A head from at most `most` seeds (e1, e2) between rows of vectors (id, x), chosen by hash."""
     some = seeds.orderBy(F.xxhash64("e1", "e2"), "e1", "e2").limit(most)
     own = lambda i, n: vectors.select(F.col("id").alias(i), F.col("x").alias(n))
-    rows = some.join(own("e1", "a"), "e1").join(own("e2", "b"), "e2").orderBy("e1", "e2").select("e1", "e2", "a", "b").collect()
+    rows = (
+        some.join(own("e1", "a"), "e1")
+        .join(own("e2", "b"), "e2")
+        .orderBy("e1", "e2")
+        .select("e1", "e2", "a", "b")
+        .collect()
+    )
     ids = sorted({r.e1 for r in rows} | {r.e2 for r in rows})
     at = {x: i for i, x in enumerate(ids)}
     z = np.zeros((len(ids), len(rows[0].a)))
@@ -113,10 +131,16 @@ def embedded(vectors: DataFrame, head: Head) -> DataFrame:
         for batch in batches:
             if len(batch):
                 z = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sent.value(z)), pa.list_(pa.float64()))], names=["id", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(list(sent.value(z)), pa.list_(pa.float64()))],
+                    names=["id", "x"],
+                )
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.select("id", F.col("x").cast("array<double>").alias("x")).mapInArrow(apply, f"id {kind}, x array<double>")
+    return vectors.select("id", F.col("x").cast("array<double>").alias("x")).mapInArrow(
+        apply,
+        f"id {kind}, x array<double>",
+    )
 
 
 def predicted(source: DataFrame, target: DataFrame, top_k: int = 10, least: float = 0.8) -> DataFrame:
@@ -143,29 +167,65 @@ def predicted(source: DataFrame, target: DataFrame, top_k: int = 10, least: floa
                 n = min(top_k, len(own))
                 for a in range(0, len(ids), 512):
                     p = q[a : a + 512]
-                    d = np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * p @ x.T, 0))
+                    d = np.sqrt(
+                        np.maximum((p * p).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * p @ x.T, 0),
+                    )
                     best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :n]
                     rows = np.repeat(np.arange(len(p)), n)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in rows]), pa.array(own[best.ravel()]), pa.array(d[rows, best.ravel()]), pa.array(np.repeat(d.max(axis=1), n))], names=["e1", "e2", "d", "far"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[a + i] for i in rows]),
+                            pa.array(own[best.ravel()]),
+                            pa.array(d[rows, best.ravel()]),
+                            pa.array(np.repeat(d.max(axis=1), n)),
+                        ],
+                        names=["e1", "e2", "d", "far"],
+                    )
 
         found = items.mapInArrow(near, f"e1 {kinds[0]}, e2 {kinds[1]}, d double, far double")
         out = found if out is None else out.unionByName(found)
     from pyspark.sql import Window
 
     own = Window.partitionBy("e1")
-    out = out.withColumn("far", F.max("far").over(own)).withColumn("n", F.row_number().over(own.orderBy(F.round("d", 9), "e2"))).where(F.col("n") <= top_k)
+    out = (
+        out.withColumn("far", F.max("far").over(own))
+        .withColumn("n", F.row_number().over(own.orderBy(F.round("d", 9), "e2")))
+        .where(F.col("n") <= top_k)
+    )
     score = F.round(1 - F.col("d") / (F.col("far") + 1e-8), 9)
-    return out.where(F.col("e1") != F.col("e2")).select("e1", "e2", score.alias("confidence")).where(F.col("confidence") >= least)
-
-
-def aligned(left: DataFrame, right: DataFrame, edges: DataFrame, seeds: DataFrame, sure: float = 0.95, least: float = 0.8, layers: int = 2) -> DataFrame:
+    return (
+        out.where(F.col("e1") != F.col("e2"))
+        .select("e1", "e2", score.alias("confidence"))
+        .where(F.col("confidence") >= least)
+    )
+
+
+def aligned(
+    left: DataFrame,
+    right: DataFrame,
+    edges: DataFrame,
+    seeds: DataFrame,
+    sure: float = 0.95,
+    least: float = 0.8,
+    layers: int = 2,
+) -> DataFrame:
     """Two stages. First a linear map over the seeds takes the left vectors (id, x) to the right; its surest candidates join the seeds.
 
     Then a head over neighbourhood averages is trained on these; both stages' candidates are fused and matched one to one.
     """
     own = lambda v, i, n: v.select(F.col("id").alias(i), F.col("x").alias(n))
     m = A.linear_map(seeds.join(own(left, "e1", "x"), "e1").join(own(right, "e2", "y"), "e2").select("x", "y"))
-    taken = F.array(*[F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in m[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for j in range(m.shape[1])])
+    taken = F.array(
+        *[
+            F.aggregate(
+                F.zip_with("x", F.array(*[F.lit(float(w)) for w in m[:, j]]), lambda a, b: a * b),
+                F.lit(0.0),
+                lambda s,
+                v: s + v,
+            )
+            for j in range(m.shape[1])
+        ],
+    )
     length = F.greatest(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), F.lit(1e-12))
     unit = lambda v: v.select("id", F.transform("x", lambda c: c / length).alias("x"))
     mapped = stored(unit(left.select("id", taken.alias("x"))), "mapped")
@@ -173,5 +233,10 @@ def aligned(left: DataFrame, right: DataFrame, edges: DataFrame, seeds: DataFram
     more = seeds.select("e1", "e2").union(first.where(F.col("confidence") >= sure).select("e1", "e2")).distinct()
     both = stored(A.propagated(mapped.unionByName(unit(right)), edges, layers), "averaged")
     x = stored(embedded(both, fitted(both, stored(more, "pseudo"))), "encoded")
-    second = predicted(x.join(left.select("id"), "id", "left_semi"), x.join(right.select("id"), "id", "left_semi"), 10, least)
+    second = predicted(
+        x.join(left.select("id"), "id", "left_semi"),
+        x.join(right.select("id"), "id", "left_semi"),
+        10,
+        least,
+    )
     return A.one_to_one(A.fused(first, second))

@@ -10,7 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The closed domains of types, relations and languages.
-ENTITY_TYPES = ["Word", "Grammar", "Pragmatics", "Culture", "Topic", "Exercise", "Task", "Test", "Outcome", "CEFR_Skill", "Textbook", "Reference", "Article", "Media", "LexCorpus", "Course", "Level"]
+ENTITY_TYPES = [
+    "Word",
+    "Grammar",
+    "Pragmatics",
+    "Culture",
+    "Topic",
+    "Exercise",
+    "Task",
+    "Test",
+    "Outcome",
+    "CEFR_Skill",
+    "Textbook",
+    "Reference",
+    "Article",
+    "Media",
+    "LexCorpus",
+    "Course",
+    "Level",
+]
 RELATION_TYPES = ["belongsTo", "supports", "tests", "covers", "hasPrereq", "translatedAs", "sameAs"]
 LANGUAGES = ["zh", "fr", "en"]
 
@@ -28,7 +46,9 @@ def entity_id(name: Column, kind: Column, language: Column) -> Column:
 
 
 def checked_language(language: Column) -> Column:
-    return F.when(language.isin(LANGUAGES), language).otherwise(F.raise_error(F.concat(F.lit("unsupported language: "), F.coalesce(language, F.lit("null")))))
+    return F.when(language.isin(LANGUAGES), language).otherwise(
+        F.raise_error(F.concat(F.lit("unsupported language: "), F.coalesce(language, F.lit("null")))),
+    )
 
 
 def added_entities(entities: DataFrame) -> DataFrame:
@@ -46,14 +66,29 @@ def resolved(names: DataFrame, column: str, entities: DataFrame) -> DataFrame:
     """names with `resolved`: the id that the column is, or that its lower-cased text names; else null."""
     ids = entities.select(F.col("id").alias("_id")).distinct()
     index = name_index(entities).select(F.col("key").alias("_key"), F.col("id").alias("_by_name"))
-    out = names.join(ids, names[column] == F.col("_id"), "left").join(index, F.lower(names[column]) == F.col("_key"), "left")
+    out = names.join(ids, names[column] == F.col("_id"), "left").join(
+        index,
+        F.lower(names[column]) == F.col("_key"),
+        "left",
+    )
     return out.withColumn("resolved", F.coalesce("_id", "_by_name")).drop("_id", "_key", "_by_name")
 
 
 def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations with known ends; translations cross languages within a type, prerequisites stay in a language."""
-    end = lambda c: entities.select(F.col("id").alias(c), F.col("type").alias(f"{c}_type"), F.col("language").alias(f"{c}_language"))
-    ok = F.when(F.col("rel") == "translatedAs", (F.col("src_type") == F.col("dst_type")) & (F.col("src_language") != F.col("dst_language"))).when(F.col("rel") == "hasPrereq", F.col("src_language") == F.col("dst_language")).otherwise(True)
+    end = lambda c: entities.select(
+        F.col("id").alias(c),
+        F.col("type").alias(f"{c}_type"),
+        F.col("language").alias(f"{c}_language"),
+    )
+    ok = (
+        F.when(
+            F.col("rel") == "translatedAs",
+            (F.col("src_type") == F.col("dst_type")) & (F.col("src_language") != F.col("dst_language")),
+        )
+        .when(F.col("rel") == "hasPrereq", F.col("src_language") == F.col("dst_language"))
+        .otherwise(True)
+    )
     return relations.join(end("src"), "src").join(end("dst"), "dst").where(ok).select(*relations.columns)
 
 
@@ -76,18 +111,48 @@ def without_conflicts(relations: DataFrame, pairs=(("belongsTo", "sameAs"),)) ->
     for a, b in pairs:
         w = Window.partitionBy("src", "dst")
         both = F.max(F.col("rel") == a).over(w) & F.max(F.col("rel") == b).over(w)
-        among = F.row_number().over(Window.partitionBy("src", "dst", F.col("rel").isin(a, b)).orderBy(F.desc("confidence"), "ord"))
-        relations = relations.withColumn("_both", both).withColumn("_n", among).where(~(F.col("_both") & F.col("rel").isin(a, b) & (F.col("_n") > 1))).drop("_both", "_n")
+        among = F.row_number().over(
+            Window.partitionBy("src", "dst", F.col("rel").isin(a, b)).orderBy(F.desc("confidence"), "ord"),
+        )
+        relations = (
+            relations.withColumn("_both", both)
+            .withColumn("_n", among)
+            .where(~(F.col("_both") & F.col("rel").isin(a, b) & (F.col("_n") > 1)))
+            .drop("_both", "_n")
+        )
     return relations
 
 
 def statistics(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(kind, key, n): entities by type and language, relations by type, totals; and the average out-degree, times 100."""
-    by = entities.groupingSets([["type"], ["language"], []], "type", "language").agg(F.count(F.lit(1)).alias("n"), F.grouping_id("type", "language").alias("g"))
-    ent = by.select(F.when(F.col("g") == 1, "type").when(F.col("g") == 2, "language").otherwise("entities").alias("kind"), F.coalesce("type", "language").alias("key"), "n")
-    rel = relations.rollup("rel").agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("rel").isNull(), "relations").otherwise("relation").alias("kind"), F.col("rel").alias("key"), "n")
-    both = rel.where("kind = 'relations'").select(F.col("n").alias("r")).crossJoin(ent.where("kind = 'entities'").select(F.col("n").alias("e")))  # a row each
-    degree = both.select(F.lit("degree").alias("kind"), F.lit(None).cast("string").alias("key"), F.round(F.try_divide(100 * F.col("r"), "e")).cast("long").alias("n"))
+    by = entities.groupingSets([["type"], ["language"], []], "type", "language").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.grouping_id("type", "language").alias("g"),
+    )
+    ent = by.select(
+        F.when(F.col("g") == 1, "type").when(F.col("g") == 2, "language").otherwise("entities").alias("kind"),
+        F.coalesce("type", "language").alias("key"),
+        "n",
+    )
+    rel = (
+        relations.rollup("rel")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            F.when(F.col("rel").isNull(), "relations").otherwise("relation").alias("kind"),
+            F.col("rel").alias("key"),
+            "n",
+        )
+    )
+    both = (  # a row each
+        rel.where("kind = 'relations'")
+        .select(F.col("n").alias("r"))
+        .crossJoin(ent.where("kind = 'entities'").select(F.col("n").alias("e")))
+    )
+    degree = both.select(
+        F.lit("degree").alias("kind"),
+        F.lit(None).cast("string").alias("key"),
+        F.round(F.try_divide(100 * F.col("r"), "e")).cast("long").alias("n"),
+    )
     return ent.unionByName(rel).unionByName(degree)
 
 
@@ -97,7 +162,11 @@ def schema_report(entities: DataFrame, relations: DataFrame) -> DataFrame:
     alone = entities.join(ends, "id", "left_anti").groupBy("language").agg(F.count(F.lit(1)).alias("isolated"))
     total = entities.count()
     domain = entities.sparkSession.createDataFrame([(x,) for x in LANGUAGES], "language string")
-    out = domain.join(entities.groupBy("language").agg(F.count(F.lit(1)).alias("n")), "language", "left").join(alone, "language", "left").fillna(0)
+    out = (
+        domain.join(entities.groupBy("language").agg(F.count(F.lit(1)).alias("n")), "language", "left")
+        .join(alone, "language", "left")
+        .fillna(0)
+    )
     return out.withColumn("percent", F.round(F.col("n") * 100.0 / max(total, 1), 6))
 
 
@@ -118,21 +187,55 @@ def similar_names(entities: DataFrame, least: float = 0.85, same_type: bool = Tr
     share = F.lit(1 - least)
     edits = lambda size: F.floor(share * size + F.lit(1e-9)).cast("int")
     # Every length that a partner may have is a key; cuts are made for the shorter name's length at the allowed edits of the longer.
-    keys = e.withColumn("long", F.explode(F.sequence(n, F.floor(n / least + F.lit(1e-9)).cast("int")))).withColumn("cuts", edits(F.col("long")) + 1)
-    piece = lambda i: F.struct(i.alias("i"), F.expr("substring(name, cast(floor(i * length(name) / cuts) as int) + 1, cast(floor((i + 1) * length(name) / cuts) - floor(i * length(name) / cuts) as int))").alias("part"))
-    a = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("id", "type", "name", "long", F.length("name").alias("short"), "i", piece(F.col("i")).getField("part").alias("part"))
+    keys = e.withColumn("long", F.explode(F.sequence(n, F.floor(n / least + F.lit(1e-9)).cast("int")))).withColumn(
+        "cuts",
+        edits(F.col("long")) + 1,
+    )
+    piece = lambda i: F.struct(
+        i.alias("i"),
+        F.expr("substring(name, cast(floor(i * length(name) / cuts) as int) + 1, cast(floor((i + 1) * length(name) / cuts) - floor(i * length(name) / cuts) as int))").alias(
+            "part",
+        ),
+    )
+    a = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
+        "id",
+        "type",
+        "name",
+        "long",
+        F.length("name").alias("short"),
+        "i",
+        piece(F.col("i")).getField("part").alias("part"),
+    )
     # The longer name offers every substring of a cut's size at most `edits` off the cut's place.
-    b = e.withColumn("long", n).withColumn("short", F.explode(F.sequence(F.ceil(n * least - F.lit(1e-9)).cast("int"), n))).withColumn("cuts", edits(F.col("long")) + 1)
+    b = (
+        e.withColumn("long", n)
+        .withColumn("short", F.explode(F.sequence(F.ceil(n * least - F.lit(1e-9)).cast("int"), n)))
+        .withColumn("cuts", edits(F.col("long")) + 1)
+    )
     b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     at, end = F.floor(F.col("i") * F.col("short") / F.col("cuts")).cast("int"), F.floor((F.col("i") + 1) * F.col("short") / F.col("cuts")).cast("int")
-    b = b.withColumn("at", at).withColumn("size", end - at).withColumn("shift", F.explode(F.sequence(-(F.col("cuts") - 1), F.col("cuts") - 1)))
-    b = b.where((F.col("at") + F.col("shift") >= 0) & (F.col("at") + F.col("shift") + F.col("size") <= F.col("long"))).select(F.col("id").alias("id2"), F.col("type").alias("type2"), F.col("name").alias("name2"), "long", "short", "i", F.expr("substring(name, at + shift + 1, size)").alias("part"))
+    b = (
+        b.withColumn("at", at)
+        .withColumn("size", end - at)
+        .withColumn("shift", F.explode(F.sequence(-(F.col("cuts") - 1), F.col("cuts") - 1)))
+    )
+    b = b.where((F.col("at") + F.col("shift") >= 0) & (F.col("at") + F.col("shift") + F.col("size") <= F.col("long"))).select(
+        F.col("id").alias("id2"),
+        F.col("type").alias("type2"),
+        F.col("name").alias("name2"),
+        "long",
+        "short",
+        "i",
+        F.expr("substring(name, at + shift + 1, size)").alias("part"),
+    )
     on = ["long", "short", "i", "part"]
     both = a.join(b, on).where(F.col("id") != F.col("id2"))
     if same_type:
         both = both.where(F.col("type") == F.col("type2"))
     pairs = both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(F.col("id") < F.col("id2"), F.col("name")).otherwise(F.col("name2")).alias("name_a"), F.when(F.col("id") < F.col("id2"), F.col("name2")).otherwise(F.col("name")).alias("name_b")).distinct()
-    score = F.when(F.col("name_a") == F.col("name_b"), 1.0).otherwise(1 - F.levenshtein("name_a", "name_b") / F.greatest(F.length("name_a"), F.length("name_b")))
+    score = F.when(F.col("name_a") == F.col("name_b"), 1.0).otherwise(
+        1 - F.levenshtein("name_a", "name_b") / F.greatest(F.length("name_a"), F.length("name_b")),
+    )
     return pairs.withColumn("similarity", score).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
@@ -147,7 +250,11 @@ def representatives(entities: DataFrame, clusters: DataFrame, strategy: str = "c
 def remapped(entities: DataFrame, relations: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph with merged entities gone and relations led to their representatives, equal ones once."""
     for c in ("src", "dst"):
-        relations = relations.join(mapping.select(F.col("id").alias(c), F.col("new").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+        relations = (
+            relations.join(mapping.select(F.col("id").alias(c), F.col("new").alias("_new")), c, "left")
+            .withColumn(c, F.coalesce("_new", c))
+            .drop("_new")
+        )
     return entities.join(mapping, "id", "left_anti"), added_relations(relations)
 
 
@@ -155,21 +262,41 @@ def remapped(entities: DataFrame, relations: DataFrame, mapping: DataFrame) -> t
 RDF, RDFS, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 
 
-def triples(entities: DataFrame, relations: DataFrame, base: str, label: str = "French Learning Ontology", version: str = "1.0") -> DataFrame:
+def triples(
+    entities: DataFrame,
+    relations: DataFrame,
+    base: str,
+    label: str = "French Learning Ontology",
+    version: str = "1.0",
+) -> DataFrame:
     """N-Triples lines: header, type, label, comment and aliases of entities with their language, and relations."""
     iri = lambda c: F.concat(F.lit(f"<{base}"), c, F.lit(">"))
-    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    escaped = lambda c: F.replace(
+        F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
+        F.lit("\n"),
+        F.lit("\\n"),
+    )
     text = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"@'), F.col("language"))
     line = lambda s, p, o: F.concat(s, F.lit(f" <{p}> "), o, F.lit(" .")).alias("line")
     id_ = iri(F.col("id"))
-    header = [f"<{base}> <{RDF}type> <{OWL}Ontology> .", f'<{base}> <{RDFS}label> "{label}" .', f'<{base}> <{OWL}versionInfo> "{version}" .']
+    header = [
+        f"<{base}> <{RDF}type> <{OWL}Ontology> .",
+        f'<{base}> <{RDFS}label> "{label}" .',
+        f'<{base}> <{OWL}versionInfo> "{version}" .',
+    ]
     parts = [
         entities.sparkSession.createDataFrame([(x,) for x in header], "line string"),
         entities.select(line(id_, f"{RDF}type", iri(F.col("type")))),
         entities.select(line(id_, f"{RDFS}label", text(F.col("name")))),
         entities.where("description is not null").select(line(id_, f"{RDFS}comment", text(F.col("description")))),
-        entities.select("id", "language", F.explode("aliases").alias("alias")).select(line(id_, f"{base}alias", text(F.col("alias")))),
-        relations.select(F.concat(iri(F.col("src")), F.lit(" "), iri(F.col("rel")), F.lit(" "), iri(F.col("dst")), F.lit(" .")).alias("line")),
+        entities.select("id", "language", F.explode("aliases").alias("alias")).select(
+            line(id_, f"{base}alias", text(F.col("alias"))),
+        ),
+        relations.select(
+            F.concat(iri(F.col("src")), F.lit(" "), iri(F.col("rel")), F.lit(" "), iri(F.col("dst")), F.lit(" .")).alias(
+                "line",
+            ),
+        ),
     ]
     out = parts[0]
     for x in parts[1:]:

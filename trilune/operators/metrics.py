@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run with relevance (0 if not judged) and the number of relevant documents of its query."""
     total = qrels.where("relevance > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return run.join(qrels, ["query_id", "doc_id"], "left").join(total, "query_id", "left").fillna(0, ["relevance", "total"])
+    return (
+        run.join(qrels, ["query_id", "doc_id"], "left")
+        .join(total, "query_id", "left")
+        .fillna(0, ["relevance", "total"])
+    )
 
 
 def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
@@ -20,8 +24,14 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     within = F.col("rank") <= k
     ideal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "rank"))
     top = j.where(within).withColumn("ideal", ideal)
-    ndcg = top.groupBy("query_id").agg(F.sum(gain(F.col("rank"))).alias("dcg"), F.sum(gain(F.col("ideal"))).alias("idcg"))
-    j = j.withColumn("seen", F.sum(hit).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    ndcg = top.groupBy("query_id").agg(
+        F.sum(gain(F.col("rank"))).alias("dcg"),
+        F.sum(gain(F.col("ideal"))).alias("idcg"),
+    )
+    j = j.withColumn(
+        "seen",
+        F.sum(hit).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)),
+    )
     out = j.groupBy("query_id").agg(
         F.max("total").alias("total"),
         F.min(F.when(hit > 0, F.col("rank"))).alias("first"),
@@ -32,19 +42,33 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     precision, recall = F.col("hits") / k, zero(F.col("hits"), F.col("total"))
     return out.join(ndcg, "query_id", "left").select(
-        "query_id", zero(F.col("dcg"), F.col("idcg")).alias("ndcg"), zero(F.lit(1.0), F.col("first")).alias("mrr"), recall.alias("recall"), precision.alias("precision"),
-        zero(2 * precision * recall, precision + recall).alias("f1"), (F.col("hits") > 0).cast("int").alias("hit"), zero(F.col("ap"), F.col("found")).alias("ap_retrieved"), zero(F.col("ap"), F.col("total")).alias("ap_judged"),
-    )
+        "query_id",
+        zero(F.col("dcg"), F.col("idcg")).alias("ndcg"),
+        zero(F.lit(1.0), F.col("first")).alias("mrr"),
+        recall.alias("recall"),
+        precision.alias("precision"),
+        zero(2 * precision * recall, precision + recall).alias("f1"),
+        (F.col("hits") > 0).cast("int").alias("hit"),
+        zero(F.col("ap"), F.col("found")).alias("ap_retrieved"),
+        zero(F.col("ap"), F.col("total")).alias("ap_judged"),
+    )
 
 
 def alignment_metrics(predicted: DataFrame, gold: DataFrame, ks=(1, 5, 10, 50)) -> DataFrame:
     """Per k: precision, recall, f1 of the most confident k, hits per source, and mrr. predicted: e1, e2, confidence."""
-    p = predicted.join(gold.select("e1", "e2").distinct().withColumn("ok", F.lit(1)), ["e1", "e2"], "left").fillna(0, ["ok"])
+    p = predicted.join(gold.select("e1", "e2").distinct().withColumn("ok", F.lit(1)), ["e1", "e2"], "left").fillna(
+        0,
+        ["ok"],
+    )
     order = [F.desc("confidence"), "e1", "e2"]
     p = p.withColumn("own", F.row_number().over(Window.partitionBy("e1").orderBy(F.desc("confidence"), "e2")))
     n, m = predicted.count(), gold.count()
     per = p.groupBy("e1").agg(F.min(F.when(F.col("ok") == 1, F.col("own"))).alias("first"))
-    sources = per.agg(F.count(F.lit(1)).alias("sources"), F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("first")), F.lit(0.0))).alias("mrr"), *[F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))).alias(f"h{k}") for k in ks])
+    sources = per.agg(
+        F.count(F.lit(1)).alias("sources"),
+        F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("first")), F.lit(0.0))).alias("mrr"),
+        *[F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))).alias(f"h{k}") for k in ks],
+    )
     # The most confident k of all: a top-k, never a global sort of all predictions.
     parts = []
     for k in ks:
@@ -60,7 +84,14 @@ def alignment_metrics(predicted: DataFrame, gold: DataFrame, ks=(1, 5, 10, 50))
     hit: Column = F.lit(None)
     for k in ks:
         hit = F.when(F.col("k") == k, F.col(f"h{k}")).otherwise(hit)
-    return out.select("k", precision.alias("precision"), recall.alias("recall"), zero(2 * precision * recall, precision + recall).alias("f1"), hit.alias("hits"), "mrr")
+    return out.select(
+        "k",
+        precision.alias("precision"),
+        recall.alias("recall"),
+        zero(2 * precision * recall, precision + recall).alias("f1"),
+        hit.alias("hits"),
+        "mrr",
+    )
 
 
 def precision_recall(predicted: DataFrame, gold: DataFrame, most: int = 100) -> DataFrame:
@@ -70,8 +101,15 @@ def precision_recall(predicted: DataFrame, gold: DataFrame, most: int = 100) ->
     known = gold.select("e1", "e2").distinct()
     rows = first.join(known.withColumn("ok", F.lit(1)), ["e1", "e2"], "left").fillna(0, ["ok"])
     w = Window.orderBy(*order)  # over at most `most` rows
-    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("hits", F.sum("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select("k", (F.col("hits") / F.col("k")).alias("precision"), F.coalesce(F.try_divide("hits", F.lit(known.count())), F.lit(0.0)).alias("recall"))
+    rows = rows.withColumn("k", F.row_number().over(w)).withColumn(
+        "hits",
+        F.sum("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    )
+    return rows.select(
+        "k",
+        (F.col("hits") / F.col("k")).alias("precision"),
+        F.coalesce(F.try_divide("hits", F.lit(known.count())), F.lit(0.0)).alias("recall"),
+    )
 
 
 def compared(methods: dict[str, DataFrame], gold: DataFrame, ks=(1, 5, 10, 50)) -> DataFrame:
@@ -79,13 +117,23 @@ def compared(methods: dict[str, DataFrame], gold: DataFrame, ks=(1, 5, 10, 50))
     out = None
     for name, predicted in methods.items():
         m = alignment_metrics(predicted, gold, ks)
-        long = m.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{c}@"), "k").alias("metric"), F.col(c).alias(name)) for c in ("precision", "recall", "f1", "hits")])).alias("x")).select("x.*")
+        long = m.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{c}@"), "k").alias("metric"), F.col(c).alias(name)) for c in ("precision", "recall", "f1", "hits")])).alias("x")).select(
+            "x.*",
+        )
         out = long if out is None else out.join(long, "metric")
     return out
 
 
 # Names of metrics that a specification such as ndcg@10 may have.
-METRICS = {"ndcg": "ndcg", "mrr": "mrr", "recall": "recall", "precision": "precision", "f1": "f1", "hits": "hit", "map": "ap_judged"}
+METRICS = {
+    "ndcg": "ndcg",
+    "mrr": "mrr",
+    "recall": "recall",
+    "precision": "precision",
+    "f1": "f1",
+    "hits": "hit",
+    "map": "ap_judged",
+}
 
 
 def evaluated(run: DataFrame, qrels: DataFrame, specifications: list[str]) -> DataFrame:

@@ -29,7 +29,12 @@ def captions(texts: DataFrame, pattern: str) -> DataFrame:
     """(doc, index, title, at) of tables or figures that a text (doc, text) names; at: characters before it."""
     found = places(texts, pattern)
     index = F.row_number().over(_in_text()) - 1
-    return found.select("doc", index.cast("long").alias("index"), collapse_ends(F.regexp_extract("name", pattern, 1)).alias("title"), "at")
+    return found.select(
+        "doc",
+        index.cast("long").alias("index"),
+        collapse_ends(F.regexp_extract("name", pattern, 1)).alias("title"),
+        "at",
+    )
 
 
 def _in_text():
@@ -41,7 +46,10 @@ def _in_text():
 def concepts(texts: DataFrame, table=None) -> DataFrame:
     """(doc, type, name, definition, confidence): a row for each match of each pattern."""
     both = lambda k, p: F.transform(
-        F.arrays_zip(F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(2)).alias("b")),
+        F.arrays_zip(
+            F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(1)).alias("a"),
+            F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(2)).alias("b"),
+        ),
         lambda m: F.struct(F.lit(k).alias("type"), m["a"].alias("name"), m["b"].alias("definition")),
     )
     found = F.flatten(F.array(*[both(k, p) for k, p in (table or P.CONCEPTS)]))
@@ -54,9 +62,21 @@ def near_concepts(found: DataFrame, within: int = 100) -> DataFrame:
     They meet on cells of that width and the next, so that a long text is no pairing of all with all.
     """
     a = found.withColumn("cell", F.floor(F.col("at") / within))
-    b = a.select("doc", F.col("name").alias("object"), F.col("at").alias("at2"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
+    b = a.select(
+        "doc",
+        F.col("name").alias("object"),
+        F.col("at").alias("at2"),
+        F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"),
+    )
     both = a.join(b, ["doc", "cell"]).where((F.col("at2") > F.col("at")) & (F.col("at2") - F.col("at") < within))
-    return both.select("doc", F.col("name").alias("subject"), "object", "at", "at2", (1 - (F.col("at2") - F.col("at")) / within).alias("confidence"))
+    return both.select(
+        "doc",
+        F.col("name").alias("subject"),
+        "object",
+        "at",
+        "at2",
+        (1 - (F.col("at2") - F.col("at")) / within).alias("confidence"),
+    )
 
 
 def between(text: Column, at: Column, at2: Column, after: int = 100) -> Column:
@@ -67,7 +87,10 @@ def between(text: Column, at: Column, at2: Column, after: int = 100) -> Column:
 
 def verb_relations(texts: DataFrame, known: DataFrame, table=None) -> DataFrame:
     """(doc, subject, object, confidence) of verbs between two words that are both concepts (doc, name) of the text."""
-    both = lambda p: F.arrays_zip(F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(1)).alias("subject"), F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(2)).alias("object"))
+    both = lambda p: F.arrays_zip(
+        F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(1)).alias("subject"),
+        F.regexp_extract_all("text", F.lit(UNICODE + p), F.lit(2)).alias("object"),
+    )
     spans = texts.select("doc", F.inline(F.flatten(F.array(*[both(p) for p in (table or P.CONCEPT_RELATIONS)]))))
     names = known.select("doc", "name").distinct()
     for side in ("subject", "object"):
@@ -78,6 +101,16 @@ def verb_relations(texts: DataFrame, known: DataFrame, table=None) -> DataFrame:
 def alignment_score(aligned: Column, sentences: Column, same_language: Column, names: Column, names2: Column) -> Column:
     """0 without aligned sentences; else half their share, 0.3 for one language (0.15 for two) and 0.2 of what the lower-cased names share, at most 1."""
     low = lambda a: F.array_distinct(F.transform(a, F.lower))
-    shared = F.coalesce(F.try_divide(F.size(F.array_intersect(low(names), low(names2))), F.size(F.array_union(low(names), low(names2)))), F.lit(0.0))
-    score = 0.5 * F.coalesce(F.try_divide(aligned, sentences), F.lit(0.0)) + 0.3 * F.when(same_language, 1.0).otherwise(0.5) + 0.2 * shared
+    shared = F.coalesce(
+        F.try_divide(
+            F.size(F.array_intersect(low(names), low(names2))),
+            F.size(F.array_union(low(names), low(names2))),
+        ),
+        F.lit(0.0),
+    )
+    score = (
+        0.5 * F.coalesce(F.try_divide(aligned, sentences), F.lit(0.0))
+        + 0.3 * F.when(same_language, 1.0).otherwise(0.5)
+        + 0.2 * shared
+    )
     return F.when(aligned > 0, F.least(score, F.lit(1.0))).otherwise(0.0)

@@ -9,22 +9,43 @@ from trilune.functions.text import SENTENCE_END, heuristic_language
 
 # Threshold and weight of each metric.
 METRICS = {
-    "content_length": (0.3, 0.15), "language_confidence": (0.7, 0.1), "sentence_structure": (0.4, 0.1), "title_quality": (0.8, 0.1),
-    "authors_completeness": (0.3, 0.08), "keywords_completeness": (0.2, 0.06), "date_presence": (0.5, 0.05), "identifiers": (0.3, 0.06),
-    "required_fields": (0.8, 0.15), "type_consistency": (0.9, 0.1), "format_consistency": (0.8, 0.05),
-    "language_consistency": (0.7, 0.08), "date_consistency": (0.8, 0.05), "length_reasonableness": (0.6, 0.07),
-}
+    "content_length": (0.3, 0.15),
+    "language_confidence": (0.7, 0.1),
+    "sentence_structure": (0.4, 0.1),
+    "title_quality": (0.8, 0.1),
+    "authors_completeness": (0.3, 0.08),
+    "keywords_completeness": (0.2, 0.06),
+    "date_presence": (0.5, 0.05),
+    "identifiers": (0.3, 0.06),
+    "required_fields": (0.8, 0.15),
+    "type_consistency": (0.9, 0.1),
+    "format_consistency": (0.8, 0.05),
+    "language_consistency": (0.7, 0.08),
+    "date_consistency": (0.8, 0.05),
+    "length_reasonableness": (0.6, 0.07),
+}
 # Advice for failed metrics.
 ADVICE = {
-    "content_length": "add detail to the content", "language_confidence": "check the language of the text", "sentence_structure": "divide the content into sentences and paragraphs", "title_quality": "improve the wording and length of the title",
-    "authors_completeness": "complete the list of authors", "keywords_completeness": "add keywords", "date_presence": "add the date of publication", "identifiers": "add a DOI or URL", "required_fields": "fill in the required fields", "language_consistency": "check the declared language against the content",
-}
+    "content_length": "add detail to the content",
+    "language_confidence": "check the language of the text",
+    "sentence_structure": "divide the content into sentences and paragraphs",
+    "title_quality": "improve the wording and length of the title",
+    "authors_completeness": "complete the list of authors",
+    "keywords_completeness": "add keywords",
+    "date_presence": "add the date of publication",
+    "identifiers": "add a DOI or URL",
+    "required_fields": "fill in the required fields",
+    "language_consistency": "check the declared language against the content",
+}
 GOOD = "good quality: keep it up"
 # Rules by name: least and greatest length, or a pattern and its field.
 RULES = {
-    "title_length": (5, 200, None, None), "content_length": (50, 100_000, None, None), "language_detection": (None, None, r"^[a-z]{2}$", "language"),
-    "doi_format": (None, None, r"^10\.\d+/", "doi"), "url_format": (None, None, r"^https?://", "url"),
-}
+    "title_length": (5, 200, None, None),
+    "content_length": (50, 100_000, None, None),
+    "language_detection": (None, None, r"^[a-z]{2}$", "language"),
+    "doi_format": (None, None, r"^10\.\d+/", "doi"),
+    "url_format": (None, None, r"^https?://", "url"),
+}
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "yyyy", "yyyy-MM", "MM/yyyy"]
 
 
@@ -34,11 +55,15 @@ DATE_FIELDS = ["publish_date", "created_date", "modified_date"]
 
 def date_consistency(fields: list[str]) -> Column:
     """1 if the given dates are in order, or fewer than two; a half if they are not or one is no date."""
-    given = F.filter(F.array(*[F.struct(F.col(c).alias("raw"), parsed_date(F.col(c)).alias("at")) for c in fields]), lambda x: F.coalesce(x["raw"], F.lit("")) != "")
+    given = F.filter(
+        F.array(*[F.struct(F.col(c).alias("raw"), parsed_date(F.col(c)).alias("at")) for c in fields]),
+        lambda x: F.coalesce(x["raw"], F.lit("")) != "",
+    )
     ordered = F.aggregate(
         given,
         F.struct(F.lit(True).alias("ok"), F.lit(None).cast("timestamp").alias("last")),
-        lambda s, x: F.struct((s["ok"] & x["at"].isNotNull() & F.coalesce(x["at"] >= s["last"], F.lit(True))).alias("ok"), x["at"].alias("last")),
+        lambda s,
+        x: F.struct((s["ok"] & x["at"].isNotNull() & F.coalesce(x["at"] >= s["last"], F.lit(True))).alias("ok"), x["at"].alias("last")),
         lambda s: s["ok"],
     )
     return F.when(ordered, 1.0).otherwise(0.5)
@@ -65,10 +90,24 @@ def metric_values(dates: list[str], pieces: Column) -> dict[str, Column]:
         "identifiers": F.when(present("doi"), 0.5).otherwise(0.0) + F.when(present("url"), 0.3).otherwise(0.0),
         "required_fields": share(F.col("id").isNotNull(), title != "", some),
         "type_consistency": F.lit(1.0),
-        "format_consistency": share(~present("doi") | F.col("doi").rlike(r"^10\.\d+/"), ~present("url") | F.col("url").rlike("^https?://"), F.lit(True)),
-        "language_consistency": F.when(~some, 0.5).when(F.col("language").isNull(), 0.3).when(F.col("language") == guess, 1.0).otherwise(0.5),
+        "format_consistency": share(
+            ~present("doi") | F.col("doi").rlike(r"^10\.\d+/"),
+            ~present("url") | F.col("url").rlike("^https?://"),
+            F.lit(True),
+        ),
+        "language_consistency": (
+            F.when(~some, 0.5)
+            .when(F.col("language").isNull(), 0.3)
+            .when(F.col("language") == guess, 1.0)
+            .otherwise(0.5)
+        ),
         "date_consistency": date_consistency(dates),
-        "length_reasonableness": share(between(F.length(title), 5, 200), between(F.length(content), 10, 1_000_000), between(size("authors"), 1, 50), between(size("keywords"), 1, 20)),
+        "length_reasonableness": share(
+            between(F.length(title), 5, 200),
+            between(F.length(content), 10, 1_000_000),
+            between(size("authors"), 1, 50),
+            between(size("keywords"), 1, 20),
+        ),
     }
 
 
@@ -78,13 +117,30 @@ def assessed(records: DataFrame) -> DataFrame:
     values = metric_values([c for c in DATE_FIELDS if c in records.columns], F.col("_pieces"))
     out = records.withColumn("_pieces", F.split(F.coalesce("content", F.lit("")), SENTENCE_END))
     out = out.withColumns({f"_{n}": F.round(v, 9) for n, v in values.items()})
-    one = lambda n: F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value"), F.lit(METRICS[n][0]).alias("threshold"), (F.col(f"_{n}") >= METRICS[n][0]).alias("passed"), F.lit(METRICS[n][1]).alias("weight")))
+    one = lambda n: F.when(
+        F.col(f"_{n}").isNotNull(),
+        F.struct(
+            F.lit(n).alias("name"),
+            F.col(f"_{n}").alias("value"),
+            F.lit(METRICS[n][0]).alias("threshold"),
+            (F.col(f"_{n}") >= METRICS[n][0]).alias("passed"),
+            F.lit(METRICS[n][1]).alias("weight"),
+        ),
+    )
     out = out.select(*records.columns, F.array_compact(F.array(*map(one, values))).alias("metrics"))
     total = lambda f: F.aggregate("metrics", F.lit(0.0), lambda s, m: s + f(m))
-    overall = F.coalesce(F.try_divide(total(lambda m: m["value"] * m["weight"]), total(lambda m: m["weight"])), F.lit(0.0))
+    overall = F.coalesce(
+        F.try_divide(total(lambda m: m["value"] * m["weight"]), total(lambda m: m["weight"])),
+        F.lit(0.0),
+    )
     advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])
-    found = F.array_compact(F.transform(F.filter("metrics", lambda m: ~m["passed"]), lambda m: F.element_at(advice, m["name"])))
-    return out.withColumn("overall", overall).withColumn("recommendations", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(GOOD))))
+    found = F.array_compact(
+        F.transform(F.filter("metrics", lambda m: ~m["passed"]), lambda m: F.element_at(advice, m["name"])),
+    )
+    return out.withColumn("overall", overall).withColumn(
+        "recommendations",
+        F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(GOOD))),
+    )
 
 
 def rule_passes(name: str) -> Column:
@@ -128,7 +184,14 @@ def clean_url(url: Column) -> Column:
 
 def cleaned(records: DataFrame) -> DataFrame:
     """records with cleaned fields, null where nothing is left, and the names of those that changed."""
-    new = {"title": clean_field(F.col("title")), "content": clean_field(F.col("content")), "authors": clean_names(F.col("authors")), "keywords": clean_keywords(F.col("keywords")), "url": clean_url(F.col("url")), "publish_date": F.date_format(parsed_date(F.col("publish_date")), "yyyy-MM-dd")}
+    new = {
+        "title": clean_field(F.col("title")),
+        "content": clean_field(F.col("content")),
+        "authors": clean_names(F.col("authors")),
+        "keywords": clean_keywords(F.col("keywords")),
+        "url": clean_url(F.col("url")),
+        "publish_date": F.date_format(parsed_date(F.col("publish_date")), "yyyy-MM-dd"),
+    }
     actions = F.array_compact(F.array(*[F.when(~F.col(k).eqNullSafe(v), F.lit(k)) for k, v in new.items()]))
     out = records.withColumn("actions", actions).withColumns(new)
     return out.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("title", "content", "url", "publish_date")})

@@ -19,7 +19,16 @@ def terms(df: DataFrame, key: str, text: str, language: str = "fr") -> DataFrame
 class Bm25Index:
     """Postings (doc_id, term, tf), document lengths and term weights, as tables."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "fr", k1: float = 1.5, b: float = 0.75, idf: str = "okapi"):
+    def __init__(
+        self,
+        docs: DataFrame,
+        key: str = "doc_id",
+        text: str = "text",
+        language: str = "fr",
+        k1: float = 1.5,
+        b: float = 0.75,
+        idf: str = "okapi",
+    ):
         self.key, self.language, self.k1, self.b = key, language, k1, b
         self.postings = stored(terms(docs, key, text, language), "postings")
         lengths = self.postings.groupBy(key).agg(F.sum("tf").alias("dl"))
@@ -41,30 +50,50 @@ class Bm25Index:
         tf = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / self.avgdl))
         return hits.groupBy(query, self.key).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
 
-    def search(self, queries: DataFrame, top_k: int = 10, query: str = "query_id", text: str = "query_text") -> DataFrame:
+    def search(
+        self,
+        queries: DataFrame,
+        top_k: int = 10,
+        query: str = "query_id",
+        text: str = "query_text",
+    ) -> DataFrame:
         """The best per query; ties to the larger document id; scores of 0 and less left out."""
         return top(self.scores(queries, query, text), top_k, query, F.desc(self.key)).where("score > 0")
 
     def save(self, path: str) -> None:
         """Postings in order of terms, weights, lengths and settings under a folder."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        (
+            self.postings.repartitionByRange("term")
+            .sortWithinPartitions("term").write
+            .mode("overwrite")
+            .parquet(f"{path}/postings")
+        )
         self.weights.write.mode("overwrite").parquet(f"{path}/weights")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         kept = [(self.key, self.language, float(self.k1), float(self.b), int(self.n), float(self.avgdl))]
         spark = self.postings.sparkSession
-        spark.createDataFrame(kept, "key string, language string, k1 double, b double, n long, avgdl double").write.mode("overwrite").parquet(f"{path}/settings")
+        (
+            spark.createDataFrame(kept, "key string, language string, k1 double, b double, n long, avgdl double").write
+            .mode("overwrite")
+            .parquet(f"{path}/settings")
+        )
 
     @classmethod
     def load(cls, spark, path: str) -> Bm25Index:
         """A saved index; a query then reads the terms that it asks for."""
         out = cls.__new__(cls)
         out.key, out.language, out.k1, out.b, out.n, out.avgdl = spark.read.parquet(f"{path}/settings").first()
-        out.postings, out.weights, out.lengths = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "weights", "lengths"))
+        out.postings, out.weights, out.lengths = (
+            spark.read.parquet(f"{path}/{t}")
+            for t in ("postings", "weights", "lengths")
+        )
         return out
 
     def statistics(self) -> DataFrame:
         terms_ = self.weights.agg(F.count(F.lit(1)).alias("vocabulary"))
-        return self.lengths.agg(F.count(F.lit(1)).alias("documents"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).join(F.broadcast(terms_))
+        return self.lengths.agg(F.count(F.lit(1)).alias("documents"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).join(
+            F.broadcast(terms_),
+        )
 
 
 def top(scored: DataFrame, k: int, query: str, tie: Column) -> DataFrame:
@@ -75,7 +104,12 @@ def top(scored: DataFrame, k: int, query: str, tie: Column) -> DataFrame:
 
 def inner(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y),
+        F.lit(0.0),
+        lambda s,
+        x: s + x,
+    )
 
 
 def blocks_of(queries: DataFrame, block: int = 20_000):
@@ -84,7 +118,9 @@ def blocks_of(queries: DataFrame, block: int = 20_000):
 
     held: list = []
     rows = queries.select("id", F.col("x").cast("array<double>")).toLocalIterator()
-    send = lambda: queries.sparkSession.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], float)))
+    send = lambda: queries.sparkSession.sparkContext.broadcast(
+        ([r[0] for r in held], np.array([r[1] for r in held], float)),
+    )
     sent = False
     for row in rows:
         held.append(row)
@@ -126,9 +162,15 @@ def dense_search(queries: DataFrame, items: DataFrame, top_k: int, block: int =
                         c = np.flatnonzero(r >= np.partition(r, len(own) - n)[len(own) - n])
                         cols.append(c[np.lexsort((own[c], -r[c]))][:n])
                     rows, c = np.repeat(np.arange(len(s)), n), np.concatenate(cols)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in rows]), pa.array(own[c]), pa.array(s[rows, c])], names=["query_id", "doc_id", "score"])
-
-        found = items.select("id", F.col("x").cast("array<double>")).mapInArrow(best, f"query_id {asked}, doc_id {kind}, score double")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[a + i] for i in rows]), pa.array(own[c]), pa.array(s[rows, c])],
+                        names=["query_id", "doc_id", "score"],
+                    )
+
+        found = items.select("id", F.col("x").cast("array<double>")).mapInArrow(
+            best,
+            f"query_id {asked}, doc_id {kind}, score double",
+        )
         out = found if out is None else out.unionByName(found)
     return top(out, top_k, "query_id", F.col("doc_id"))
 
@@ -142,14 +184,31 @@ class IvfIndex:
 
         vectors = items.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
         share = min(1.0, sample / max(1, items.count()))  # `sample` bounds what is fitted on; all rows get a cell
-        self.model = KMeans(k=cells, seed=seed, maxIter=10, predictionCol="cell").fit(vectors if share == 1 else vectors.sample(share, seed))
+        self.model = KMeans(k=cells, seed=seed, maxIter=10, predictionCol="cell").fit(
+            vectors if share == 1 else vectors.sample(share, seed),
+        )
         self.rows = stored(self.model.transform(vectors).select("id", "x", "cell"), "cells")
 
     def search(self, queries: DataFrame, top_k: int, nprobe: int = 10) -> DataFrame:
         centers = [c.tolist() for c in self.model.clusterCenters()]
-        near = F.array_sort(F.array(*[F.struct((-inner(F.col("x"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)]))
-        probes = queries.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.explode(F.slice(near, 1, nprobe)).alias("n")).select("query_id", "q", F.col("n.cell").alias("cell"))
-        found = self.rows.join(probes, "cell").select("query_id", F.col("id").alias("doc_id"), F.round(inner(F.col("q"), F.col("x")), 6).alias("score"))
+        near = F.array_sort(
+            F.array(
+                *[
+                    F.struct((-inner(F.col("x"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell"))
+                    for i, c in enumerate(centers)
+                ],
+            ),
+        )
+        probes = queries.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.explode(F.slice(near, 1, nprobe)).alias("n")).select(
+            "query_id",
+            "q",
+            F.col("n.cell").alias("cell"),
+        )
+        found = self.rows.join(probes, "cell").select(
+            "query_id",
+            F.col("id").alias("doc_id"),
+            F.round(inner(F.col("q"), F.col("x")), 6).alias("score"),
+        )
         return top(found, top_k, "query_id", F.col("doc_id"))
 
 
@@ -157,7 +216,11 @@ def save_vectors(items: DataFrame, path: str, settings: dict[str, str] | None =
     """Vectors (id, x) and what is to be known of them under a folder."""
     items.select("id", "x").write.mode("overwrite").parquet(f"{path}/vectors")
     rows = list((settings or {}).items())
-    items.sparkSession.createDataFrame(rows, "name string, value string").write.mode("overwrite").parquet(f"{path}/settings")
+    (
+        items.sparkSession.createDataFrame(rows, "name string, value string").write
+        .mode("overwrite")
+        .parquet(f"{path}/settings")
+    )
 
 
 def load_vectors(spark, path: str) -> tuple[DataFrame, dict[str, str]]:
@@ -190,7 +253,9 @@ def mentions(texts: DataFrame, key: str, text: str, entities: DataFrame, languag
     tokens = tokenize(F.col(text))
     longest = entities.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
     starts = lambda n: F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    grams = lambda n: F.when(F.size(tokens) >= n, F.transform(starts(n), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = lambda n: F.when(F.size(tokens) >= n, F.transform(starts(n), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(
+        F.array().cast("array<string>"),
+    )
     spans = F.flatten(F.array(tokens, *[grams(n) for n in range(2, longest + 1)]))
     rows = texts.select(key, *([language] if language else []), F.explode(F.array_distinct(spans)).alias("_span"))
     names = entities.select("id", F.lower("name").alias("_span"), F.col("language").alias("_l"))
@@ -202,14 +267,40 @@ def mentions(texts: DataFrame, key: str, text: str, entities: DataFrame, languag
 
 def graph_scores(query_entities: DataFrame, doc_entities: DataFrame, related: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): over pairs of a query's and a document's entities, 1 for the same and the relation's weight for related ones; the mean over pairs that hit, at most 1."""
-    near = query_entities.select("query_id", "id", F.lit(1.0).alias("w")).unionByName(query_entities.withColumnRenamed("id", "source").join(related, "source").select("query_id", "id", F.col("weight").alias("w")))
-    return near.join(doc_entities, "id").groupBy("query_id", "doc_id").agg(F.least(F.round(F.avg("w"), 9), F.lit(1.0)).alias("score"))
-
-
-def expanded(query_entities: DataFrame, related: DataFrame, entities: DataFrame, top_k: int = 10, least: float = 0.1) -> DataFrame:
+    near = query_entities.select("query_id", "id", F.lit(1.0).alias("w")).unionByName(
+        (
+            query_entities.withColumnRenamed("id", "source")
+            .join(related, "source")
+            .select("query_id", "id", F.col("weight").alias("w"))
+        ),
+    )
+    return (
+        near.join(doc_entities, "id")
+        .groupBy("query_id", "doc_id")
+        .agg(F.least(F.round(F.avg("w"), 9), F.lit(1.0)).alias("score"))
+    )
+
+
+def expanded(
+    query_entities: DataFrame,
+    related: DataFrame,
+    entities: DataFrame,
+    top_k: int = 10,
+    least: float = 0.1,
+) -> DataFrame:
     """(query_id, name, weight): related entities' weights summed over a query's entities, those of at least `least`, by name, scaled by the largest."""
-    w = query_entities.withColumnRenamed("id", "source").join(related, "source").groupBy("query_id", "id").agg(F.sum("weight").alias("w"))
-    w = w.where(F.round("w", 9) >= least).join(entities.select("id", "name", "ord"), "id").groupBy("query_id", "name").agg(F.max_by("w", "ord").alias("w"))
+    w = (
+        query_entities.withColumnRenamed("id", "source")
+        .join(related, "source")
+        .groupBy("query_id", "id")
+        .agg(F.sum("weight").alias("w"))
+    )
+    w = (
+        w.where(F.round("w", 9) >= least)
+        .join(entities.select("id", "name", "ord"), "id")
+        .groupBy("query_id", "name")
+        .agg(F.max_by("w", "ord").alias("w"))
+    )
     w = w.withColumn("score", F.round(F.col("w") / F.max("w").over(Window.partitionBy("query_id")), 6))
     return top(w, top_k, "query_id", F.col("name")).select("query_id", "name", F.col("score").alias("weight"), "rank")
 
@@ -217,5 +308,15 @@ def expanded(query_entities: DataFrame, related: DataFrame, entities: DataFrame,
 def weighted_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): sum of smaller over sum of larger weights. a: query_id, name, w; b: doc_id, name, w. Pairs that share no name are left out: they score 0."""
     ta, tb = a.groupBy("query_id").agg(F.sum("w").alias("ta")), b.groupBy("doc_id").agg(F.sum("w").alias("tb"))
-    both = a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), "name").groupBy("query_id", "doc_id").agg(F.sum(F.least("wa", "wb")).alias("m"))
-    return both.join(ta, "query_id").join(tb, "doc_id").select("query_id", "doc_id", F.col("m"), (F.col("ta") + F.col("tb") - F.col("m")).alias("u")).select("query_id", "doc_id", F.try_divide("m", "u").alias("score"))
+    both = (
+        a.withColumnRenamed("w", "wa")
+        .join(b.withColumnRenamed("w", "wb"), "name")
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum(F.least("wa", "wb")).alias("m"))
+    )
+    return (
+        both.join(ta, "query_id")
+        .join(tb, "doc_id")
+        .select("query_id", "doc_id", F.col("m"), (F.col("ta") + F.col("tb") - F.col("m")).alias("u"))
+        .select("query_id", "doc_id", F.try_divide("m", "u").alias("score"))
+    )

@@ -52,11 +52,20 @@ def next_run(schedule: Column, last: Column, as_of: Column) -> Column:
     every = F.regexp_extract(schedule, r"^every_(\d+)([a-z]+)$", 1)
     unit = F.regexp_extract(schedule, r"^every_(\d+)([a-z]+)$", 2)
     clock = r"(?:^daily|^weekly_[a-z]+)_(\d{1,2}):(\d{2})$"
-    at = F.regexp_extract(schedule, clock, 1).try_cast("long") * 3600 + F.regexp_extract(schedule, clock, 2).try_cast("long") * 60
+    at = (
+        F.regexp_extract(schedule, clock, 1).try_cast("long") * 3600
+        + F.regexp_extract(schedule, clock, 2).try_cast("long") * 60
+    )
     since = F.coalesce(last, as_of)
     today = F.floor(since / 86400) * 86400
     daily = today + at + F.when(today + at <= since, 86400).otherwise(0)
-    wanted = F.array_position(F.array(*map(F.lit, DAYS)), F.substring(F.regexp_extract(schedule, r"^weekly_([a-z]+)_", 1), 1, 3)) - 1
+    wanted = (
+        F.array_position(
+            F.array(*map(F.lit, DAYS)),
+            F.substring(F.regexp_extract(schedule, r"^weekly_([a-z]+)_", 1), 1, 3),
+        )
+        - 1
+    )
     weekday = F.pmod(F.floor(since / 86400) + 3, F.lit(7))  # the first day of 1970 was a Thursday
     first = today + F.pmod(wanted - weekday, F.lit(7)) * 86400 + at
     weekly = first + F.when(first <= since, 7 * 86400).otherwise(0)
@@ -96,9 +105,18 @@ def due(tasks: DataFrame, executions: DataFrame, as_of: int, most_running: int |
 
 def retries(tasks: DataFrame, executions: DataFrame) -> DataFrame:
     """(task_id, attempt, at) of tasks whose newest executions failed, while there are retries left: a delay after the last one."""
-    rows = executions.withColumn("_ok", F.max(F.when(F.col("status") != FAILED, F.struct("started", "execution_id"))).over(Window.partitionBy("task_id")))
+    rows = executions.withColumn(
+        "_ok",
+        F.max(F.when(F.col("status") != FAILED, F.struct("started", "execution_id"))).over(
+            Window.partitionBy("task_id"),
+        ),
+    )
     failed = F.col("_ok").isNull() | (F.struct("started", "execution_id") > F.col("_ok"))
-    run = rows.where(failed).groupBy("task_id").agg(F.count(F.lit(1)).alias("attempt"), F.max("finished").alias("finished"))
+    run = (
+        rows.where(failed)
+        .groupBy("task_id")
+        .agg(F.count(F.lit(1)).alias("attempt"), F.max("finished").alias("finished"))
+    )
     out = enabled(tasks).join(run, "task_id").where(F.col("attempt") <= F.col("max_retries"))
     return out.select("task_id", "attempt", (F.col("finished") + F.col("retry_delay")).alias("at"))
 
@@ -117,7 +135,12 @@ def timed_out(tasks: DataFrame, executions: DataFrame, as_of: int) -> DataFrame:
 def cancelled(executions: DataFrame, task_id: str, as_of: int) -> DataFrame:
     """Executions, of which the running ones of a task are cancelled now."""
     hit = (F.col("status") == RUNNING) & (F.col("task_id") == task_id)
-    return executions.withColumns({"finished": F.when(hit, F.lit(as_of)).otherwise(F.col("finished")), "status": F.when(hit, CANCELLED).otherwise(F.col("status"))})
+    return executions.withColumns(
+        {
+            "finished": F.when(hit, F.lit(as_of)).otherwise(F.col("finished")),
+            "status": F.when(hit, CANCELLED).otherwise(F.col("status")),
+        },
+    )
 
 
 def recent(executions: DataFrame, each: int) -> DataFrame:
@@ -135,7 +158,13 @@ def removed(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def run(tasks: DataFrame, actions: dict[str, Callable], as_of: int, callbacks: tuple[Callable, ...] = (), alert: Callable | None = None) -> DataFrame:
+def run(
+    tasks: DataFrame,
+    actions: dict[str, Callable],
+    as_of: int,
+    callbacks: tuple[Callable, ...] = (),
+    alert: Callable | None = None,
+) -> DataFrame:
     """Runs tasks one after the other and returns their executions. An action takes the task's row and returns a number of records.
 
     Failures, also of callbacks, stay with their execution; `alert` is told of them.

@@ -31,7 +31,10 @@ def align_cosine(spark, d):
 
 def align_fused(spark, d):
     p = pairs(spark, d)
-    return A.fused(p.where("confidence < 0.35"), p.where("confidence > 0.3").withColumn("confidence", F.col("confidence") * 0.5)).withColumn("confidence", F.round("confidence", 9))
+    return A.fused(p.where("confidence < 0.35"), p.where("confidence > 0.3").withColumn("confidence", F.col("confidence") * 0.5)).withColumn(
+        "confidence",
+        F.round("confidence", 9),
+    )
 
 
 def align_one_to_one(spark, d):
@@ -40,7 +43,11 @@ def align_one_to_one(spark, d):
 
 def gold(spark, d):
     left, right = sides(spark, d)
-    return left.select(F.col("id").alias("e1"), "label").join(right.select(F.col("id").alias("e2"), "label"), "label").select("e1", "e2")
+    return (
+        left.select(F.col("id").alias("e1"), "label")
+        .join(right.select(F.col("id").alias("e2"), "label"), "label")
+        .select("e1", "e2")
+    )
 
 
 def align_metrics(spark, d):
@@ -70,18 +77,32 @@ def align_file(spark, d):
 def align_gcn(spark, d):
     """Entities of the word graph, whose vectors are their rank's digits: predicted partners of English words among French ones."""
     e, r = graph(spark, d)
-    x = e.select("id", "language", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.col("r") % 8 == i, 1.0).otherwise(0.1)).alias("x"))
+    x = e.select(
+        "id",
+        "language",
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.col("r") % 8 == i, 1.0).otherwise(0.1)).alias(
+            "x",
+        ),
+    )
     z = stored(A.propagated(x, r.where("rel <> 'translatedAs'")), "averaged")
     side = lambda lang: z.join(e.where(F.col("language") == lang).select("id"), "id", "left_semi")
     return N.predicted(side("en"), side("fr"), 3, 0.5).select("e1", "e2", F.round("confidence", 4).alias("confidence"))
 
 
 def align_statistics(spark, d):
-    return pairs(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean"), F.countDistinct("e1").alias("sources"))
+    return pairs(spark, d).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("confidence"), 6).alias("mean"),
+        F.countDistinct("e1").alias("sources"),
+    )
 
 
 def align_tsv(spark, d):
-    return pairs(spark, d).select(F.concat_ws("\t", "e1", "e2", F.format_string("%.4f", F.col("confidence") + 1e-9), F.lit("cosine")).alias("line"))
+    return pairs(spark, d).select(
+        F.concat_ws("\t", "e1", "e2", F.format_string("%.4f", F.col("confidence") + 1e-9), F.lit("cosine")).alias(
+            "line",
+        ),
+    )
 
 
 def align_linear_map(spark, d):
@@ -93,27 +114,69 @@ def align_linear_map(spark, d):
     first = lambda v, n: v.groupBy("label").agg(F.min_by("x", "id").alias(n))
     both = stored(first(left, "x").join(first(right, "y"), "label"), "seeds")
     n = right.where("x is not null").groupBy("label").agg(F.sqrt(F.count(F.lit(1))).alias("w"))
-    mean = right.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("y"))
+    mean = (
+        right.select("label", F.posexplode("x").alias("i", "v"))
+        .groupBy("label", "i")
+        .agg(F.avg("v").alias("v"))
+        .groupBy("label")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("y"))
+    )
     weighted = lambda c: F.transform(c, lambda v: v * F.col("w")).alias(c)
-    m = A.linear_map(left.where("x is not null").join(mean.join(n, "label"), "label").select(weighted("x"), weighted("y")))
-    image = F.array(*[F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in m[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for j in range(m.shape[1])])
-    return both.select("label", F.round(F.sqrt(F.aggregate(F.zip_with(image, "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)), 4).alias("distance"))
+    m = A.linear_map(
+        left.where("x is not null").join(mean.join(n, "label"), "label").select(weighted("x"), weighted("y")),
+    )
+    image = F.array(
+        *[
+            F.aggregate(
+                F.zip_with("x", F.array(*[F.lit(float(w)) for w in m[:, j]]), lambda a, b: a * b),
+                F.lit(0.0),
+                lambda s,
+                v: s + v,
+            )
+            for j in range(m.shape[1])
+        ],
+    )
+    return both.select(
+        "label",
+        F.round(F.sqrt(F.aggregate(F.zip_with(image, "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)), 4).alias(
+            "distance",
+        ),
+    )
 
 
 def kg_embeddings(spark, d):
     e, r = graph(spark, d)
-    t = r.join(e.select(F.col("id").alias("src"), "language"), "src").select("language", F.col("src").alias("h"), F.col("rel").alias("r"), F.col("dst").alias("t"))
+    t = r.join(e.select(F.col("id").alias("src"), "language"), "src").select(
+        "language",
+        F.col("src").alias("h"),
+        F.col("rel").alias("r"),
+        F.col("dst").alias("t"),
+    )
     return A.trans_e(t, "language").select("language", "name", F.size("x").alias("size"))
 
 
 def kg_propagated(spark, d):
     e, r = graph(spark, d)
-    x = e.select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.col("r") % 8 == i, 1.0).otherwise(0.0)).alias("x"))
-    return A.propagated(x, r).select("id", F.transform("x", lambda v: F.round(v, 4)).alias("x")).select("id", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"))
+    x = e.select(
+        "id",
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.col("r") % 8 == i, 1.0).otherwise(0.0)).alias(
+            "x",
+        ),
+    )
+    return (
+        A.propagated(x, r)
+        .select("id", F.transform("x", lambda v: F.round(v, 4)).alias("x"))
+        .select("id", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"))
+    )
 
 
 #: The corpus is invented prose, so patterns over its own endings and stop words stand in for the grammar's.
-WORDS = [("en", "Word", r"\b[a-z]+ing\b"), ("en", "Grammar", r"\b[a-z]+tion\b"), ("fr", "Word", r"\p{L}+ment"), ("fr", "Grammar", r"\p{L}+tion")]
+WORDS = [
+    ("en", "Word", r"\b[a-z]+ing\b"),
+    ("en", "Grammar", r"\b[a-z]+tion\b"),
+    ("fr", "Word", r"\p{L}+ment"),
+    ("fr", "Grammar", r"\p{L}+tion"),
+]
 
 
 def texts(spark, d):
@@ -121,7 +184,12 @@ def texts(spark, d):
 
 
 def extract_entities(spark, d):
-    return X.kept_entities(X.entities(texts(spark, d), WORDS), STOPWORDS, 4).select("language", "type", F.lower("name").alias("name"), "doc")
+    return X.kept_entities(X.entities(texts(spark, d), WORDS), STOPWORDS, 4).select(
+        "language",
+        "type",
+        F.lower("name").alias("name"),
+        "doc",
+    )
 
 
 def extract_counts(spark, d):
@@ -141,7 +209,11 @@ def pattern_relations(spark, d):
 
 
 def relation_sentences(spark, d):
-    return X.relation_spans(texts(spark, d)).groupBy("language", "rel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("left")).alias("left_chars"))
+    return (
+        X.relation_spans(texts(spark, d))
+        .groupBy("language", "rel")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("left")).alias("left_chars"))
+    )
 
 
 def cooccurrence_window(spark, d):
@@ -149,14 +221,55 @@ def cooccurrence_window(spark, d):
     return X.cooccurrences(p).groupBy("name", "name2").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (align_cosine, align_fused, align_one_to_one, align_metrics, align_precision_recall, align_compare, align_file, align_gcn, align_statistics, align_tsv, align_linear_map, kg_embeddings, kg_propagated, extract_entities, extract_counts, extract_grammar, pattern_relations, relation_sentences, cooccurrence_window)}
-
-_P = "pr AS (SELECT e1, e2, confidence FROM (SELECT a.vec_id AS e1, b.vec_id AS e2, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS confidence, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0) WHERE k <= 5 AND confidence >= 0.2)"
-_RAW = "en AS (" + " UNION ALL ".join(f"SELECT doc_id AS doc, lang AS language, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS name FROM documents WHERE lang = '{l}'" for l, k, p in WORDS) + ")"
-_AT = "pl AS (SELECT doc, m AS name, off AS pos FROM (SELECT doc, unnest(n) AS m, unnest(list_transform(range(len(n)), lambda i: coalesce(list_sum(list_transform(n[1:i], lambda s: length(s))), 0)::BIGINT + list_sum(list_transform(g[1:i + 1], lambda s: length(s)))::BIGINT)) AS off FROM (SELECT doc_id AS doc, regexp_extract_all(text, '[a-z]+tion') AS n, regexp_split_to_array(text, '[a-z]+tion') AS g FROM documents)))"
+QUERIES = {
+    f.__name__: f
+    for f in (align_cosine, align_fused, align_one_to_one, align_metrics, align_precision_recall, align_compare, align_file, align_gcn, align_statistics, align_tsv, align_linear_map, kg_embeddings, kg_propagated, extract_entities, extract_counts, extract_grammar, pattern_relations, relation_sentences, cooccurrence_window)
+}
 
-_METRICS = "WITH {0}, g AS (SELECT a.vec_id AS e1, b.vec_id AS e2 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 1 AND b.vec_id % 2 = 0), h AS (SELECT pr.*, (g.e1 IS NOT NULL)::INT AS ok, row_number() OVER (ORDER BY confidence DESC, pr.e1, pr.e2) AS n, row_number() OVER (PARTITION BY pr.e1 ORDER BY confidence DESC, pr.e2) AS own FROM pr LEFT JOIN g USING (e1, e2)), s AS (SELECT e1, min(CASE WHEN ok = 1 THEN own END) AS first FROM h GROUP BY e1), k AS (SELECT unnest([1, 5, 10, 50]) AS k), c AS (SELECT k, least(k, (SELECT count(*) FROM pr)) AS size, (SELECT sum(ok) FROM h WHERE n <= k) AS hits, (SELECT avg(coalesce((first <= k)::INT, 0)) FROM s) AS hk, (SELECT avg(coalesce(1.0::DOUBLE / first, 0)) FROM s) AS mrr, (SELECT count(*) FROM g) AS m FROM k) SELECT k, round(hits::DOUBLE / size, 6) AS precision, round(hits::DOUBLE / m, 6) AS recall, round(CASE WHEN hits = 0 THEN 0 ELSE 2 * (hits::DOUBLE / size) * (hits::DOUBLE / m) / (hits::DOUBLE / size + hits::DOUBLE / m) END, 6) AS f1, round(hk, 6) AS hits, round(mrr, 6) AS mrr FROM c"
-_GOLD = "g AS (SELECT a.vec_id AS e1, b.vec_id AS e2 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)"
+_P = (
+    "pr AS (SELECT e1, e2, confidence FROM (SELECT a.vec_id AS e1, b.vec_id AS e2,"
+    " round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS confidence,"
+    " row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[],"
+    " b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1"
+    " AND b.vec_id % 2 = 0) WHERE k <= 5 AND confidence >= 0.2)"
+)
+_RAW = (
+    "en AS ("
+    + " UNION ALL ".join(
+        (
+            f"SELECT doc_id AS doc, lang AS language, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS name"
+            f" FROM documents WHERE lang = '{l}'"
+        )
+        for l, k, p in WORDS
+    )
+    + ")"
+)
+_AT = (
+    "pl AS (SELECT doc, m AS name, off AS pos FROM (SELECT doc, unnest(n) AS m, unnest(list_transform(range(len(n)),"
+    " lambda i: coalesce(list_sum(list_transform(n[1:i], lambda s: length(s))),"
+    " 0)::BIGINT + list_sum(list_transform(g[1:i + 1], lambda s: length(s)))::BIGINT)) AS off"
+    " FROM (SELECT doc_id AS doc, regexp_extract_all(text, '[a-z]+tion') AS n, regexp_split_to_array(text,"
+    " '[a-z]+tion') AS g FROM documents)))"
+)
+
+_METRICS = (
+    "WITH {0}, g AS (SELECT a.vec_id AS e1, b.vec_id AS e2 FROM embeddings a JOIN embeddings b ON a.label = b.label"
+    " AND a.vec_id % 2 = 1 AND b.vec_id % 2 = 0), h AS (SELECT pr.*, (g.e1 IS NOT NULL)::INT AS ok,"
+    " row_number() OVER (ORDER BY confidence DESC, pr.e1, pr.e2) AS n, row_number() OVER (PARTITION BY pr.e1"
+    " ORDER BY confidence DESC, pr.e2) AS own FROM pr LEFT JOIN g USING (e1, e2)), s AS (SELECT e1, min(CASE"
+    " WHEN ok = 1 THEN own END) AS first FROM h GROUP BY e1), k AS (SELECT unnest([1, 5, 10, 50]) AS k),"
+    " c AS (SELECT k, least(k, (SELECT count(*) FROM pr)) AS size, (SELECT sum(ok) FROM h"
+    " WHERE n <= k) AS hits, (SELECT avg(coalesce((first <= k)::INT, 0))"
+    " FROM s) AS hk, (SELECT avg(coalesce(1.0::DOUBLE / first, 0)) FROM s) AS mrr, (SELECT count(*) FROM g) AS m"
+    " FROM k) SELECT k, round(hits::DOUBLE / size, 6) AS precision, round(hits::DOUBLE / m, 6) AS recall, round(CASE"
+    " WHEN hits = 0 THEN 0"
+    " ELSE 2 * (hits::DOUBLE / size) * (hits::DOUBLE / m) / (hits::DOUBLE / size + hits::DOUBLE / m) END, 6) AS f1,"
+    " round(hk, 6) AS hits, round(mrr, 6) AS mrr FROM c"
+)
+_GOLD = (
+    "g AS (SELECT a.vec_id AS e1, b.vec_id AS e2 FROM embeddings a JOIN embeddings b ON a.label = b.label"
+    " AND a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)"
+)
 
 
 def _long(least: str) -> str:

@@ -33,7 +33,13 @@ def found(spark, d):
 
 def exercise_evidence(spark, d):
     x = found(spark, d)
-    return x.select("query_id", "place", "id", F.round("score", 6).alias("score"), F.array_join("near", ", ").alias("near"))
+    return x.select(
+        "query_id",
+        "place",
+        "id",
+        F.round("score", 6).alias("score"),
+        F.array_join("near", ", ").alias("near"),
+    )
 
 
 def exercise_mock(spark, d):
@@ -48,15 +54,33 @@ def exercise_prompt(spark, d):
 def exercise_answers(spark, d):
     """What a model may have answered to an item: exercises in JSON with words around, or no JSON."""
     n = F.col("item_id").cast("string")
-    one = lambda i: F.concat(F.lit(f'{{"id": "q{i}", "type": "cloze", "question": "'), n, F.lit(f'-{i}", "answer": "a'), n, F.lit('"}'))
-    good = F.concat(F.lit('Here it is:\n{"exercises": ['), one(1), F.lit(", "), one(2), F.lit(", "), one(3), F.lit("]}\nGood luck"))
+    one = lambda i: F.concat(
+        F.lit(f'{{"id": "q{i}", "type": "cloze", "question": "'),
+        n,
+        F.lit(f'-{i}", "answer": "a'),
+        n,
+        F.lit('"}'),
+    )
+    good = F.concat(
+        F.lit('Here it is:\n{"exercises": ['),
+        one(1),
+        F.lit(", "),
+        one(2),
+        F.lit(", "),
+        one(3),
+        F.lit("]}\nGood luck"),
+    )
     text = F.when(F.col("item_id") % 4 == 0, F.lit("no {json here}")).otherwise(good)
     return E.answered(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text")), 2)
 
 
 def kg_path_text(spark, d):
     e, r = graph(spark, d)
-    pairs = e.where("language = 'en'").select(F.col("id").alias("src")).crossJoin(F.broadcast(e.where("r = 0").select(F.col("id").alias("dst"))))
+    pairs = (
+        e.where("language = 'en'")
+        .select(F.col("id").alias("src"))
+        .crossJoin(F.broadcast(e.where("r = 0").select(F.col("id").alias("dst"))))
+    )
     return G.shortest_paths(pairs, r).select("src", "dst", "length", "path")
 
 
@@ -65,7 +89,11 @@ def kg_paths_between(spark, d):
     e, r = graph(spark, d)
     order = e.select("id", "ord")
     q = P.query_entities(spark, d, e).join(order, "id")
-    docs = table(spark, d, "documents").join(P.items(spark, d).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    docs = table(spark, d, "documents").join(
+        P.items(spark, d).select(F.col("query_id").alias("doc_id")),
+        "doc_id",
+        "left_semi",
+    )
     t = stored(R.mentions(docs, "doc_id", "text", e), "dent").join(order, "id")
     pairs = P.items(spark, d).select("query_id", F.col("query_id").alias("doc_id"))
     return E.paths_between(pairs, q, t, r)
@@ -73,7 +101,11 @@ def kg_paths_between(spark, d):
 
 def kg_either_way(spark, d):
     e, r = graph(spark, d)
-    pairs = e.where("r between 3 and 7").select(F.col("id").alias("src")).crossJoin(F.broadcast(e.where("r = 1").select(F.col("id").alias("dst"))))
+    pairs = (
+        e.where("r between 3 and 7")
+        .select(F.col("id").alias("src"))
+        .crossJoin(F.broadcast(e.where("r = 1").select(F.col("id").alias("dst"))))
+    )
     return E.either_way(pairs, r).select("src", "dst", "length", "path", "directed")
 
 
@@ -88,11 +120,21 @@ def kg_of_level(spark, d):
 
 
 def kg_node_table(spark, d):
-    return E.node_table(graph(spark, d)[0]).select(F.col("id:ID").alias("id"), "name", "language", F.col(":LABEL").alias("label"))
+    return E.node_table(graph(spark, d)[0]).select(
+        F.col("id:ID").alias("id"),
+        "name",
+        "language",
+        F.col(":LABEL").alias("label"),
+    )
 
 
 def kg_edge_table(spark, d):
-    return E.edge_table(graph(spark, d)[1]).select(F.col(":START_ID").alias("src"), F.col(":END_ID").alias("dst"), F.col(":TYPE").alias("kind"), "confidence")
+    return E.edge_table(graph(spark, d)[1]).select(
+        F.col(":START_ID").alias("src"),
+        F.col(":END_ID").alias("dst"),
+        F.col(":TYPE").alias("kind"),
+        "confidence",
+    )
 
 
 def kg_digraph(spark, d):
@@ -101,11 +143,18 @@ def kg_digraph(spark, d):
 
 def search_results(spark, d):
     """The fused search with what a user sees of a document."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.concat(F.substring("text", 1, 300), F.lit("...")).alias("preview"))
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        "lang",
+        F.concat(F.substring("text", 1, 300), F.lit("...")).alias("preview"),
+    )
     return P.fused_search(spark, d).join(docs, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (kg_query_entities_full, exercise_evidence, exercise_mock, exercise_prompt, exercise_answers, kg_path_text, kg_paths_between, kg_either_way, kg_around, kg_of_level, kg_node_table, kg_edge_table, kg_digraph, search_results)}
+QUERIES = {
+    f.__name__: f
+    for f in (kg_query_entities_full, exercise_evidence, exercise_mock, exercise_prompt, exercise_answers, kg_path_text, kg_paths_between, kg_either_way, kg_around, kg_of_level, kg_node_table, kg_edge_table, kg_digraph, search_results)
+}
 
 
 def _paths(edges: str, sources: str, tag: str) -> str:
@@ -116,13 +165,19 @@ def _paths(edges: str, sources: str, tag: str) -> str:
 ), {tag}1 AS (SELECT src, pos, path, 1 AS length, row_number() OVER (PARTITION BY src ORDER BY ord) AS place FROM {tag}f1 WHERE k = 1)"""
     ]
     for n in (2, 3):
-        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {tag}{i} s WHERE s.src = p.src AND s.pos = e.dst)" for i in range(1, n))
+        seen = " AND ".join(
+            f"NOT EXISTS (SELECT 1 FROM {tag}{i} s WHERE s.src = p.src AND s.pos = e.dst)"
+            for i in range(1, n)
+        )
         steps.append(
             f"""{tag}f{n} AS (SELECT p.src, e.dst AS pos, p.path || ' -(' || e.rel || ')-> ' || e.dst AS path, p.place, e.ord,
   row_number() OVER (PARTITION BY p.src, e.dst ORDER BY p.place, e.ord) AS k FROM {tag}{n - 1} p JOIN {edges} e ON e.src = p.pos WHERE e.dst <> p.src AND {seen}
 ), {tag}{n} AS (SELECT src, pos, path, {n} AS length, row_number() OVER (PARTITION BY src ORDER BY place, ord) AS place FROM {tag}f{n} WHERE k = 1)"""
         )
-    return ", ".join(steps) + f", {tag}all AS (SELECT * FROM {tag}1 UNION ALL SELECT * FROM {tag}2 UNION ALL SELECT * FROM {tag}3)"
+    return (
+        ", ".join(steps)
+        + f", {tag}all AS (SELECT * FROM {tag}1 UNION ALL SELECT * FROM {tag}2 UNION ALL SELECT * FROM {tag}3)"
+    )
 
 
 _ASK = f"""q AS (SELECT item_id AS query_id, lower(text) AS t FROM benchmark UNION ALL SELECT -ord, substr(name, 1, 3) FROM ent WHERE r = 0

@@ -14,11 +14,25 @@ from trilune.sources.tables import table
 
 def doubled(e):
     """The entities, and again with lower confidence and later, as a second extraction gives them."""
-    return e.unionByName(e.withColumn("ord", F.col("ord") + 1000).withColumn("name", F.initcap("name")).withColumn("confidence", F.col("confidence") * 0.5))
+    return e.unionByName(
+        (
+            e.withColumn("ord", F.col("ord") + 1000)
+            .withColumn("name", F.initcap("name"))
+            .withColumn("confidence", F.col("confidence") * 0.5)
+        ),
+    )
 
 
 def kg_entities(spark, d):
-    return graph(spark, d)[0].select("id", "name", "type", "language", "confidence", "r", K.entity_id(F.col("name"), F.col("type"), F.col("language")).alias("generated"))
+    return graph(spark, d)[0].select(
+        "id",
+        "name",
+        "type",
+        "language",
+        "confidence",
+        "r",
+        K.entity_id(F.col("name"), F.col("type"), F.col("language")).alias("generated"),
+    )
 
 
 def kg_relations(spark, d):
@@ -42,7 +56,9 @@ def kg_isolated(spark, d):
 
 def kg_valid_relations(spark, d):
     e, r = graph(spark, d)
-    crossed = r.unionByName(r.where("rel = 'translatedAs'").withColumn("rel", F.lit("hasPrereq"))).unionByName(r.where("rel = 'hasPrereq'").withColumn("rel", F.lit("translatedAs")))
+    crossed = r.unionByName(r.where("rel = 'translatedAs'").withColumn("rel", F.lit("hasPrereq"))).unionByName(
+        r.where("rel = 'hasPrereq'").withColumn("rel", F.lit("translatedAs")),
+    )
     return K.valid_relations(crossed, e).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -52,7 +68,11 @@ def kg_dedup_entities(spark, d):
 
 def kg_dedup_relations(spark, d):
     r = graph(spark, d)[1]
-    again = r.withColumn("ord", F.col("ord") + 1000).withColumn("confidence", F.lit(0.99)).withColumn("src", ascii_upper(F.col("src")))
+    again = (
+        r.withColumn("ord", F.col("ord") + 1000)
+        .withColumn("confidence", F.lit(0.99))
+        .withColumn("src", ascii_upper(F.col("src")))
+    )
     return K.best_relations(r.unionByName(again)).select("src", "dst", "rel", "confidence")
 
 
@@ -62,14 +82,22 @@ def kg_conflicts(spark, d):
 
 def kg_resolve(spark, d):
     e, r = graph(spark, d)
-    names = e.select(ascii_upper(F.col("name")).alias("text")).union(e.select("id")).union(table(spark, d, "nation").select("n_name"))
+    names = (
+        e.select(ascii_upper(F.col("name")).alias("text"))
+        .union(e.select("id"))
+        .union(table(spark, d, "nation").select("n_name"))
+    )
     return K.resolved(names, "text", e).select("text", "resolved")
 
 
 def kg_similar(spark, d):
     """Lexicon words, and supplier names, that are alike."""
     e, _ = graph(spark, d)
-    parts = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("id"), F.lit("Supplier").alias("type"), F.col("s_name").alias("name"))
+    parts = table(spark, d, "supplier").select(
+        F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("id"),
+        F.lit("Supplier").alias("type"),
+        F.col("s_name").alias("name"),
+    )
     rows = e.where(~F.col("name").rlike(r"[^\x00-\x7F]")).select("id", "type", "name").unionByName(parts)
     return K.similar_names(rows).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -78,9 +106,16 @@ def kg_fused(spark, d):
     """Alike words of a type become one: clusters, representatives, relations led over."""
     e, r = graph(spark, d)
     pairs = K.similar_names(e.where(~F.col("name").rlike(r"[^\x00-\x7F]")), 0.75)
-    clusters = G.components(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    clusters = G.components(
+        pairs.select(F.col("a").alias("id")).union(pairs.select("b")),
+        pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")),
+    )
     e2, r2 = K.remapped(e, r, K.representatives(e, clusters))
-    return r2.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources")).crossJoin(F.broadcast(e2.agg(F.count(F.lit(1)).alias("entities"))))
+    return (
+        r2.groupBy("rel")
+        .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"))
+        .crossJoin(F.broadcast(e2.agg(F.count(F.lit(1)).alias("entities"))))
+    )
 
 
 def kg_components(spark, d):
@@ -91,7 +126,11 @@ def kg_components(spark, d):
 def kg_strong_components(spark, d):
     e, r = graph(spark, d)
     turned = r.where("rel = 'sameAs'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.strong_components(e, r.where("rel in ('sameAs', 'hasPrereq')").select("src", "dst").union(turned)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        G.strong_components(e, r.where("rel in ('sameAs', 'hasPrereq')").select("src", "dst").union(turned))
+        .groupBy("component")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def kg_neighbours(spark, d):
@@ -106,7 +145,11 @@ def kg_related(spark, d):
 
 def kg_shortest_path(spark, d):
     e, r = graph(spark, d)
-    pairs = e.where("language = 'en'").select(F.col("id").alias("src")).crossJoin(e.where("r = 0").select(F.col("id").alias("dst")))
+    pairs = (
+        e.where("language = 'en'")
+        .select(F.col("id").alias("src"))
+        .crossJoin(e.where("r = 0").select(F.col("id").alias("dst")))
+    )
     return G.shortest_paths(pairs, r).select("src", "dst", "length")
 
 
@@ -137,52 +180,250 @@ def kg_split_triples(spark, d):
     """Relations by the language of their source: zh on one side, fr and en on the other."""
     e, r = graph(spark, d)
     ends = e.select(F.col("id").alias("src"), "language")
-    return r.join(ends, "src").where("language in ('zh', 'fr', 'en')").select(F.when(F.col("language") == "zh", "kg1").otherwise("kg2").alias("side"), "src", "rel", "dst")
+    return (
+        r.join(ends, "src")
+        .where("language in ('zh', 'fr', 'en')")
+        .select(F.when(F.col("language") == "zh", "kg1").otherwise("kg2").alias("side"), "src", "rel", "dst")
+    )
 
 
 def kg_vocabulary(spark, d):
     from pyspark.sql import Window
 
-    return graph(spark, d)[0].select("language", "name", (F.dense_rank().over(Window.partitionBy("language").orderBy("name")) - 1).cast("long").alias("number"))
+    return graph(spark, d)[0].select(
+        "language",
+        "name",
+        (F.dense_rank().over(Window.partitionBy("language").orderBy("name")) - 1).cast("long").alias("number"),
+    )
 
 
 def catalogue_components(spark, d):
     """Customers, suppliers, nations and regions by what connects them."""
     n, c, s = table(spark, d, "nation"), table(spark, d, "customer"), table(spark, d, "supplier")
     name = lambda p, k: F.concat(F.lit(p), F.col(k))
-    e = n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")).union(c.select(name("c", "c_custkey"), name("n", "c_nationkey"))).union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey")))
+    e = (
+        n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
+        .union(c.select(name("c", "c_custkey"), name("n", "c_nationkey")))
+        .union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey")))
+    )
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst"))
     return G.components(nodes, e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (kg_entities, kg_relations, kg_stats, kg_validate, kg_isolated, kg_valid_relations, kg_dedup_entities, kg_dedup_relations, kg_conflicts, kg_resolve, kg_similar, kg_fused, kg_components, kg_strong_components, kg_neighbours, kg_related, kg_shortest_path, kg_topo_levels, kg_degrees, kg_subgraph, kg_search_nodes, kg_triples, kg_split_triples, kg_vocabulary, catalogue_components)}
+QUERIES = {
+    f.__name__: f
+    for f in (kg_entities, kg_relations, kg_stats, kg_validate, kg_isolated, kg_valid_relations, kg_dedup_entities, kg_dedup_relations, kg_conflicts, kg_resolve, kg_similar, kg_fused, kg_components, kg_strong_components, kg_neighbours, kg_related, kg_shortest_path, kg_topo_levels, kg_degrees, kg_subgraph, kg_search_nodes, kg_triples, kg_split_triples, kg_vocabulary, catalogue_components)
+}
 
-_W = "CASE rel " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in G.RELATION_WEIGHTS.items()) + f" ELSE {G.OTHER_WEIGHT}::DOUBLE END"
+_W = (
+    "CASE rel "
+    + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in G.RELATION_WEIGHTS.items())
+    + f" ELSE {G.OTHER_WEIGHT}::DOUBLE END"
+)
 _SIM = "1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name))"
 
 SQL = {
-    "kg_entities": LEX + " SELECT id, name, type, language, confidence, r, lower(type) || '_' || language || '_' || substr(md5(type || '¦' || language || '¦' || lower(name)), 1, 8) AS generated FROM ent",
+    "kg_entities": (
+        LEX
+        + (
+            " SELECT id, name, type, language, confidence, r,"
+            " lower(type) || '_' || language || '_' || substr(md5(type || '¦' || language || '¦' || lower(name)), 1,"
+            " 8) AS generated FROM ent"
+        )
+    ),
     "kg_relations": LEX + " SELECT src, dst, rel, confidence, ord FROM rel",
-    "kg_stats": LEX + " SELECT 'type' AS kind, type AS key, count(*) AS n FROM ent GROUP BY type UNION ALL SELECT 'language', language, count(*) FROM ent GROUP BY language UNION ALL SELECT 'entities', NULL, count(*) FROM ent UNION ALL SELECT 'relation', rel, count(*) FROM rel GROUP BY rel UNION ALL SELECT 'relations', NULL, count(*) FROM rel UNION ALL SELECT 'degree', NULL, round(100.0::DOUBLE * (SELECT count(*) FROM rel) / (SELECT count(*) FROM ent))::BIGINT",
-    "kg_validate": LEX + ", l AS (SELECT unnest(['zh', 'fr', 'en']) AS language) SELECT l.language, count(e.id) AS n, count(e.id) FILTER (e.id NOT IN (SELECT src FROM rel UNION SELECT dst FROM rel)) AS isolated, round(count(e.id) * 100.0::DOUBLE / (SELECT count(*) FROM ent), 6) AS percent FROM l LEFT JOIN ent e ON e.language = l.language GROUP BY l.language",
-    "kg_isolated": LEX + " SELECT id FROM ent WHERE id NOT IN (SELECT src FROM rel WHERE rel = 'translatedAs' UNION SELECT dst FROM rel WHERE rel = 'translatedAs')",
-    "kg_valid_relations": LEX + ", c AS (SELECT src, dst, rel FROM rel UNION ALL SELECT src, dst, 'hasPrereq' FROM rel WHERE rel = 'translatedAs' UNION ALL SELECT src, dst, 'translatedAs' FROM rel WHERE rel = 'hasPrereq') SELECT c.rel, count(*) AS n FROM c JOIN ent a ON a.id = src JOIN ent b ON b.id = dst WHERE CASE c.rel WHEN 'translatedAs' THEN a.type = b.type AND a.language <> b.language WHEN 'hasPrereq' THEN a.language = b.language ELSE TRUE END GROUP BY c.rel",
+    "kg_stats": (
+        LEX
+        + (
+            " SELECT 'type' AS kind, type AS key, count(*) AS n FROM ent GROUP BY type UNION ALL"
+            " SELECT 'language', language, count(*) FROM ent GROUP BY language UNION ALL SELECT 'entities',"
+            " NULL, count(*) FROM ent UNION ALL SELECT 'relation', rel, count(*) FROM rel GROUP BY rel UNION ALL"
+            " SELECT 'relations', NULL, count(*) FROM rel UNION ALL SELECT 'degree',"
+            " NULL, round(100.0::DOUBLE * (SELECT count(*) FROM rel) / (SELECT count(*) FROM ent))::BIGINT"
+        )
+    ),
+    "kg_validate": (
+        LEX
+        + (
+            ", l AS (SELECT unnest(['zh', 'fr', 'en']) AS language)"
+            " SELECT l.language, count(e.id) AS n, count(e.id) FILTER (e.id NOT IN (SELECT src FROM rel UNION"
+            " SELECT dst FROM rel)) AS isolated, round(count(e.id) * 100.0::DOUBLE / (SELECT count(*)"
+            " FROM ent), 6) AS percent FROM l LEFT JOIN ent e ON e.language = l.language GROUP BY l.language"
+        )
+    ),
+    "kg_isolated": (
+        LEX
+        + (
+            " SELECT id FROM ent WHERE id NOT IN (SELECT src FROM rel WHERE rel = 'translatedAs' UNION SELECT dst"
+            " FROM rel WHERE rel = 'translatedAs')"
+        )
+    ),
+    "kg_valid_relations": (
+        LEX
+        + (
+            ", c AS (SELECT src, dst, rel FROM rel UNION ALL SELECT src, dst, 'hasPrereq' FROM rel"
+            " WHERE rel = 'translatedAs' UNION ALL SELECT src, dst, 'translatedAs' FROM rel WHERE rel = 'hasPrereq')"
+            " SELECT c.rel, count(*) AS n FROM c JOIN ent a ON a.id = src JOIN ent b ON b.id = dst WHERE CASE c.rel"
+            " WHEN 'translatedAs' THEN a.type = b.type AND a.language <> b.language"
+            " WHEN 'hasPrereq' THEN a.language = b.language ELSE TRUE END GROUP BY c.rel"
+        )
+    ),
     "kg_dedup_entities": LEX + " SELECT id, name, confidence FROM ent",
-    "kg_dedup_relations": LEX + ", c AS (SELECT src, dst, rel, confidence, ord FROM rel UNION ALL SELECT translate(src, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"'), dst, rel, 0.99::DOUBLE, ord + 1000 FROM rel), n AS (SELECT *, row_number() OVER (PARTITION BY lower(src), lower(dst), rel ORDER BY confidence DESC, ord) AS k FROM c) SELECT src, dst, rel, confidence FROM n WHERE k = 1",
-    "kg_conflicts": LEX + " SELECT src, dst, rel, confidence FROM rel x WHERE NOT (rel IN ('belongsTo', 'sameAs') AND EXISTS (SELECT 1 FROM rel y WHERE y.src = x.src AND y.dst = x.dst AND y.rel IN ('belongsTo', 'sameAs') AND y.rel <> x.rel AND (y.confidence > x.confidence OR (y.confidence = x.confidence AND y.ord < x.ord))))",
-    "kg_resolve": LEX + ", t AS (SELECT translate(name, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"') AS text FROM ent UNION ALL SELECT id FROM ent UNION ALL SELECT n_name FROM nation), ix AS (SELECT lower(name) AS key, arg_max(id, ord) AS id FROM ent GROUP BY 1) SELECT text, coalesce(e.id, ix.id) AS resolved FROM t LEFT JOIN ent e ON e.id = t.text LEFT JOIN ix ON ix.key = lower(t.text)",
-    "kg_similar": LEX + f", x AS (SELECT id, type, name FROM ent WHERE NOT regexp_matches(name, '[^\\x00-\\x7F]') UNION ALL SELECT 'supplier:' || s_suppkey, 'Supplier', s_name FROM supplier), p AS (SELECT a.id AS a, b.id AS b, {_SIM} AS similarity FROM x a JOIN x b ON a.type = b.type AND a.id < b.id) SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85",
-    "kg_components": LEX + ", e AS (SELECT src AS a, dst AS b FROM rel WHERE rel IN ('sameAs', 'translatedAs') UNION SELECT dst, src FROM rel WHERE rel IN ('sameAs', 'translatedAs')), reach AS (SELECT id, id AS other FROM ent UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id",
-    "kg_strong_components": LEX + ", e AS (SELECT src AS a, dst AS b FROM rel WHERE rel IN ('sameAs', 'hasPrereq') UNION SELECT dst, src FROM rel WHERE rel = 'sameAs'), reach AS (SELECT id, id AS other FROM ent UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other), s AS (SELECT x.id, max(x.other) AS component FROM reach x JOIN reach y ON x.id = y.other AND x.other = y.id GROUP BY x.id) SELECT component, count(*) AS n FROM s GROUP BY component",
-    "kg_neighbours": LEX + ", e AS (SELECT DISTINCT src, dst FROM rel), w AS (SELECT e.src AS source, e.dst AS id, 1 AS hop FROM e UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) SELECT source, id, min(hop)::INT AS hop FROM w WHERE source <> id GROUP BY source, id",
-    "kg_related": LEX + f", w AS (SELECT src, dst, {_W} * confidence AS w, ord FROM rel), h1 AS (SELECT src AS source, dst AS id, 1.0::DOUBLE * w * 0.8::DOUBLE AS weight, ord, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS k FROM w WHERE src <> dst), a AS (SELECT source, id, weight, row_number() OVER (PARTITION BY source ORDER BY ord) AS place FROM h1 WHERE k = 1), h2 AS (SELECT a.source, w.dst AS id, a.weight * w.w * (0.8::DOUBLE * 0.8::DOUBLE) AS weight, row_number() OVER (PARTITION BY a.source, w.dst ORDER BY a.place, w.ord) AS k FROM a JOIN w ON w.src = a.id WHERE w.dst <> a.source AND NOT EXISTS (SELECT 1 FROM a x WHERE x.source = a.source AND x.id = w.dst)) SELECT source, id, round(weight, 6) AS weight, 1 AS hop FROM a UNION ALL SELECT source, id, round(weight, 6), 2 FROM h2 WHERE k = 1",
-    "kg_shortest_path": LEX + ", e AS (SELECT DISTINCT src, dst FROM rel), w AS (SELECT id AS src, id AS pos, 0 AS length FROM ent WHERE language = 'en' UNION SELECT w.src, e.dst, length + 1 FROM w JOIN e ON e.src = w.pos WHERE length < 3) SELECT w.src, pos AS dst, min(length)::INT AS length FROM w JOIN ent ON ent.id = w.pos AND ent.r = 0 GROUP BY w.src, pos",
-    "kg_topo_levels": LEX + ", e AS (SELECT DISTINCT src, dst FROM rel WHERE rel = 'hasPrereq' AND src <> dst), w AS (SELECT dst AS id, 0 AS level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, level + 1 FROM w JOIN e ON e.dst = w.id) SELECT id, max(level)::INT AS level FROM w GROUP BY id",
-    "kg_degrees": LEX + ", x AS (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) SELECT ent.id, count(x.id) AS degree FROM ent LEFT JOIN x ON x.id = ent.id GROUP BY ent.id",
-    "kg_subgraph": LEX + ", n AS (SELECT id FROM ent WHERE language = 'en' AND type = 'Word') SELECT src, dst, rel FROM rel WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
+    "kg_dedup_relations": (
+        LEX
+        + ", c AS (SELECT src, dst, rel, confidence, ord FROM rel UNION ALL SELECT translate(src, '"
+        + ASCII_LOWER
+        + "', '"
+        + ASCII_UPPER
+        + (
+            "'), dst, rel, 0.99::DOUBLE, ord + 1000 FROM rel), n AS (SELECT *,"
+            " row_number() OVER (PARTITION BY lower(src), lower(dst), rel ORDER BY confidence DESC, ord) AS k FROM c)"
+            " SELECT src, dst, rel, confidence FROM n WHERE k = 1"
+        )
+    ),
+    "kg_conflicts": (
+        LEX
+        + (
+            " SELECT src, dst, rel, confidence FROM rel x WHERE NOT (rel IN ('belongsTo', 'sameAs')"
+            " AND EXISTS (SELECT 1 FROM rel y WHERE y.src = x.src AND y.dst = x.dst"
+            " AND y.rel IN ('belongsTo', 'sameAs') AND y.rel <> x.rel AND (y.confidence > x.confidence"
+            " OR (y.confidence = x.confidence AND y.ord < x.ord))))"
+        )
+    ),
+    "kg_resolve": (
+        LEX
+        + ", t AS (SELECT translate(name, '"
+        + ASCII_LOWER
+        + "', '"
+        + ASCII_UPPER
+        + (
+            "') AS text FROM ent UNION ALL SELECT id FROM ent UNION ALL SELECT n_name"
+            " FROM nation), ix AS (SELECT lower(name) AS key, arg_max(id, ord) AS id FROM ent GROUP BY 1)"
+            " SELECT text, coalesce(e.id, ix.id) AS resolved FROM t LEFT JOIN ent e ON e.id = t.text LEFT"
+            " JOIN ix ON ix.key = lower(t.text)"
+        )
+    ),
+    "kg_similar": (
+        LEX
+        + (
+            f", x AS (SELECT id, type, name FROM ent WHERE NOT regexp_matches(name, '[^\\x00-\\x7F]') UNION ALL"
+            f" SELECT 'supplier:' || s_suppkey, 'Supplier', s_name FROM supplier), p AS (SELECT a.id AS a, b.id AS b,"
+            f" {_SIM} AS similarity FROM x a JOIN x b ON a.type = b.type AND a.id < b.id)"
+            f" SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85"
+        )
+    ),
+    "kg_components": (
+        LEX
+        + (
+            ", e AS (SELECT src AS a, dst AS b FROM rel WHERE rel IN ('sameAs', 'translatedAs') UNION SELECT dst, src"
+            " FROM rel WHERE rel IN ('sameAs', 'translatedAs')), reach AS (SELECT id, id AS other FROM ent UNION"
+            " SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other) SELECT id, min(other) AS component"
+            " FROM reach GROUP BY id"
+        )
+    ),
+    "kg_strong_components": (
+        LEX
+        + (
+            ", e AS (SELECT src AS a, dst AS b FROM rel WHERE rel IN ('sameAs', 'hasPrereq') UNION SELECT dst, src"
+            " FROM rel WHERE rel = 'sameAs'), reach AS (SELECT id, id AS other FROM ent UNION SELECT reach.id, e.b"
+            " FROM reach JOIN e ON e.a = reach.other), s AS (SELECT x.id, max(x.other) AS component FROM reach x"
+            " JOIN reach y ON x.id = y.other AND x.other = y.id GROUP BY x.id) SELECT component, count(*) AS n FROM s"
+            " GROUP BY component"
+        )
+    ),
+    "kg_neighbours": (
+        LEX
+        + (
+            ", e AS (SELECT DISTINCT src, dst FROM rel), w AS (SELECT e.src AS source, e.dst AS id, 1 AS hop FROM e"
+            " UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) SELECT source, id, min(hop)::INT AS hop"
+            " FROM w WHERE source <> id GROUP BY source, id"
+        )
+    ),
+    "kg_related": (
+        LEX
+        + (
+            f", w AS (SELECT src, dst, {_W} * confidence AS w, ord FROM rel), h1 AS (SELECT src AS source, dst AS id,"
+            f" 1.0::DOUBLE * w * 0.8::DOUBLE AS weight, ord, row_number() OVER (PARTITION BY src, dst"
+            f" ORDER BY ord) AS k FROM w WHERE src <> dst), a AS (SELECT source, id, weight,"
+            f" row_number() OVER (PARTITION BY source ORDER BY ord) AS place FROM h1"
+            f" WHERE k = 1), h2 AS (SELECT a.source, w.dst AS id,"
+            f" a.weight * w.w * (0.8::DOUBLE * 0.8::DOUBLE) AS weight, row_number() OVER (PARTITION BY a.source, w.dst"
+            f" ORDER BY a.place, w.ord) AS k FROM a JOIN w ON w.src = a.id WHERE w.dst <> a.source"
+            f" AND NOT EXISTS (SELECT 1 FROM a x WHERE x.source = a.source AND x.id = w.dst))"
+            f" SELECT source, id, round(weight, 6) AS weight, 1 AS hop FROM a UNION ALL"
+            f" SELECT source, id, round(weight, 6), 2 FROM h2 WHERE k = 1"
+        )
+    ),
+    "kg_shortest_path": (
+        LEX
+        + (
+            ", e AS (SELECT DISTINCT src, dst FROM rel), w AS (SELECT id AS src, id AS pos, 0 AS length FROM ent"
+            " WHERE language = 'en' UNION SELECT w.src, e.dst, length + 1 FROM w JOIN e ON e.src = w.pos"
+            " WHERE length < 3) SELECT w.src, pos AS dst, min(length)::INT AS length FROM w JOIN ent ON ent.id = w.pos"
+            " AND ent.r = 0 GROUP BY w.src, pos"
+        )
+    ),
+    "kg_topo_levels": (
+        LEX
+        + (
+            ", e AS (SELECT DISTINCT src, dst FROM rel WHERE rel = 'hasPrereq'"
+            " AND src <> dst), w AS (SELECT dst AS id, 0 AS level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION"
+            " SELECT e.src, level + 1 FROM w JOIN e ON e.dst = w.id) SELECT id, max(level)::INT AS level FROM w"
+            " GROUP BY id"
+        )
+    ),
+    "kg_degrees": (
+        LEX
+        + (
+            ", x AS (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) SELECT ent.id, count(x.id) AS degree"
+            " FROM ent LEFT JOIN x ON x.id = ent.id GROUP BY ent.id"
+        )
+    ),
+    "kg_subgraph": (
+        LEX
+        + (
+            ", n AS (SELECT id FROM ent WHERE language = 'en' AND type = 'Word') SELECT src, dst, rel FROM rel"
+            " WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)"
+        )
+    ),
     "kg_search_nodes": LEX + " SELECT id, 'label' AS match_type FROM ent WHERE contains(lower(name), 'ti')",
-    "kg_triples": LEX + ", i AS (SELECT '<http://example.org/kg/' AS b) SELECT b || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || b || type || '> .' AS line FROM ent, i UNION ALL SELECT b || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT b || id || '> ' || b || 'alias> \"' || translate(name, '"+ASCII_LOWER+"', '"+ASCII_UPPER+"') || '\"@' || language || ' .' FROM ent, i UNION ALL SELECT unnest(['<http://example.org/kg/> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Ontology> .', '<http://example.org/kg/> <http://www.w3.org/2000/01/rdf-schema#label> \"French Learning Ontology\" .', '<http://example.org/kg/> <http://www.w3.org/2002/07/owl#versionInfo> \"1.0\" .']) UNION ALL SELECT b || src || '> ' || b || rel || '> ' || b || dst || '> .' FROM rel, i",
-    "kg_split_triples": LEX + " SELECT CASE WHEN language = 'zh' THEN 'kg1' ELSE 'kg2' END AS side, src, rel, dst FROM rel JOIN ent ON ent.id = src WHERE language IN ('zh', 'fr', 'en')",
-    "kg_vocabulary": LEX + " SELECT language, name, dense_rank() OVER (PARTITION BY language ORDER BY name) - 1 AS number FROM ent",
-    "catalogue_components": "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), x AS (SELECT a AS id, 'r' || n_regionkey AS root FROM (SELECT a, CASE WHEN b LIKE 'n%' THEN substr(b, 2)::INT ELSE substr(a, 2)::INT END AS k FROM e) JOIN nation ON n_nationkey = k UNION SELECT 'r' || n_regionkey, 'r' || n_regionkey FROM nation), c AS (SELECT id, min(id) OVER (PARTITION BY root) AS component FROM x) SELECT component, count(*) AS n FROM c GROUP BY component",
+    "kg_triples": (
+        LEX
+        + (
+            ", i AS (SELECT '<http://example.org/kg/' AS b)"
+            " SELECT b || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || b || type || '> .' AS line"
+            " FROM ent, i UNION ALL"
+            " SELECT b || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || name || '\"@' || language || ' .'"
+            " FROM ent, i UNION ALL SELECT b || id || '> ' || b || 'alias> \"' || translate(name, '"
+        )
+        + ASCII_LOWER
+        + "', '"
+        + ASCII_UPPER
+        + (
+            "') || '\"@' || language || ' .' FROM ent, i UNION ALL"
+            " SELECT unnest(['<http://example.org/kg/> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Ontology> .',"
+            " '<http://example.org/kg/> <http://www.w3.org/2000/01/rdf-schema#label> \"French Learning Ontology\" .',"
+            " '<http://example.org/kg/> <http://www.w3.org/2002/07/owl#versionInfo> \"1.0\" .']) UNION ALL"
+            " SELECT b || src || '> ' || b || rel || '> ' || b || dst || '> .' FROM rel, i"
+        )
+    ),
+    "kg_split_triples": (
+        LEX
+        + (
+            " SELECT CASE WHEN language = 'zh' THEN 'kg1' ELSE 'kg2' END AS side, src, rel, dst FROM rel"
+            " JOIN ent ON ent.id = src WHERE language IN ('zh', 'fr', 'en')"
+        )
+    ),
+    "kg_vocabulary": (
+        LEX + " SELECT language, name, dense_rank() OVER (PARTITION BY language ORDER BY name) - 1 AS number FROM ent"
+    ),
+    "catalogue_components": (
+        "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION"
+        " SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey"
+        " FROM supplier), x AS (SELECT a AS id, 'r' || n_regionkey AS root FROM (SELECT a, CASE"
+        " WHEN b LIKE 'n%' THEN substr(b, 2)::INT ELSE substr(a, 2)::INT END AS k FROM e)"
+        " JOIN nation ON n_nationkey = k UNION SELECT 'r' || n_regionkey, 'r' || n_regionkey"
+        " FROM nation), c AS (SELECT id, min(id) OVER (PARTITION BY root) AS component FROM x)"
+        " SELECT component, count(*) AS n FROM c GROUP BY component"
+    ),
 }

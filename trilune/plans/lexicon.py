@@ -15,13 +15,25 @@ LEAST, EVERY = 50, 100
 def entities(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").where(F.col("lang").isin("en", "fr", "es", "de"))
     size = max(LEAST, table(spark, d, "documents").count() // EVERY)
-    words = docs.select("lang", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")).where(F.length("token") >= 4)
+    words = docs.select("lang", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")).where(
+        F.length("token") >= 4,
+    )
     df = words.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
     r = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token")) - 1
     top = df.withColumn("r", r.cast("long")).where(F.col("r") < size)
     ids = F.concat_ws(":", "lang", "token")
     return stored(
-        top.select(ids.alias("id"), F.col("token").alias("name"), F.when(F.col("r") % 10 == 9, "Grammar").otherwise("Word").alias("type"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("description"), F.array(ascii_upper(F.col("token"))).alias("aliases"), (1 / (1 + F.col("r") % 4)).alias("confidence"), "r", F.row_number().over(Window.orderBy("lang", "r")).cast("long").alias("ord")),
+        top.select(
+            ids.alias("id"),
+            F.col("token").alias("name"),
+            F.when(F.col("r") % 10 == 9, "Grammar").otherwise("Word").alias("type"),
+            F.col("lang").alias("language"),
+            F.lit(None).cast("string").alias("description"),
+            F.array(ascii_upper(F.col("token"))).alias("aliases"),
+            (1 / (1 + F.col("r") % 4)).alias("confidence"),
+            "r",
+            F.row_number().over(Window.orderBy("lang", "r")).cast("long").alias("ord"),
+        ),
         "lexicon",
     )
 
@@ -31,15 +43,33 @@ def relations(e: DataFrame) -> DataFrame:
     target = e.select(F.col("id").alias("dst"), F.col("language").alias("l2"), F.col("r").alias("r2"))
     links = [
         ("translatedAs", (F.col("language") == "en") & (F.col("l2") == "fr") & (F.col("r") == F.col("r2"))),
-        ("hasPrereq", (F.col("language") == F.col("l2")) & (F.col("r") >= 1) & (F.floor(F.col("r") / 2) == F.col("r2"))),
-        ("belongsTo", (F.col("language") == F.col("l2")) & (F.floor(F.col("r") / 5) * 5 == F.col("r2")) & (F.col("r") != F.col("r2"))),
+        (
+            "hasPrereq",
+            (F.col("language") == F.col("l2")) & (F.col("r") >= 1) & (F.floor(F.col("r") / 2) == F.col("r2")),
+        ),
+        (
+            "belongsTo",
+            (
+                (F.col("language") == F.col("l2"))
+                & (F.floor(F.col("r") / 5) * 5 == F.col("r2"))
+                & (F.col("r") != F.col("r2"))
+            ),
+        ),
         ("sameAs", (F.col("language") == F.col("l2")) & (F.col("r") % 7 == 0) & (F.col("r") + 1 == F.col("r2"))),
     ]
     out = None
     for rel, on in links:
-        x = a.join(target, on).select("src", "dst", F.lit(rel).alias("rel"), (1 / (1 + F.col("r") % 4)).alias("confidence"))
+        x = a.join(target, on).select(
+            "src",
+            "dst",
+            F.lit(rel).alias("rel"),
+            (1 / (1 + F.col("r") % 4)).alias("confidence"),
+        )
         out = x if out is None else out.unionByName(x)
-    return stored(out.withColumn("ord", F.row_number().over(Window.orderBy("rel", "src", "dst")).cast("long")), "relations")
+    return stored(
+        out.withColumn("ord", F.row_number().over(Window.orderBy("rel", "src", "dst")).cast("long")),
+        "relations",
+    )
 
 
 def graph(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -16,10 +16,25 @@ def papers(spark, d):
     n = F.col("doc_id").cast("string")
     plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace("text", r"[^A-Za-z]+", " ")), " +", " "))
     parts = [
-        F.lit("Paper "), n, F.lit("\nAbstract: "), F.substring(plain, 1, 120), F.lit("\n关键词: a\n表 1: prices of "), n,
-        F.lit("\nand more\n图 2：sizes "), n, F.lit("\n表 3 last\nReferences: \n1. "), n, F.lit(" first entry, long enough to stay\n2. short\n[3] "), n, F.lit(" third entry, long enough too"),
-    ]
-    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.trim(F.substring(plain, 1, 120)).alias("plain"), F.concat(*parts).alias("text"))
+        F.lit("Paper "),
+        n,
+        F.lit("\nAbstract: "),
+        F.substring(plain, 1, 120),
+        F.lit("\n关键词: a\n表 1: prices of "),
+        n,
+        F.lit("\nand more\n图 2：sizes "),
+        n,
+        F.lit("\n表 3 last\nReferences: \n1. "),
+        n,
+        F.lit(" first entry, long enough to stay\n2. short\n[3] "),
+        n,
+        F.lit(" third entry, long enough too"),
+    ]
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("doc"),
+        F.trim(F.substring(plain, 1, 120)).alias("plain"),
+        F.concat(*parts).alias("text"),
+    )
 
 
 def abstracts(spark, d):
@@ -27,7 +42,11 @@ def abstracts(spark, d):
 
 
 def reference_lists(spark, d):
-    return papers(spark, d).select("doc", F.posexplode(A.references(F.col("text"))).alias("at", "entry")).select("doc", F.col("at").cast("long"), "entry")
+    return (
+        papers(spark, d)
+        .select("doc", F.posexplode(A.references(F.col("text"))).alias("at", "entry"))
+        .select("doc", F.col("at").cast("long"), "entry")
+    )
 
 
 def table_captions(spark, d):
@@ -42,15 +61,32 @@ def statements(spark, d):
     """Sentences about parts, in which the pattern tables occur."""
     name = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "")
     a, b = name(F.col("p_brand")), name(F.col("p_type"))
-    said = F.element_at(F.array(*[F.concat(a, F.lit(f" {verb} "), b, F.lit("; ")) for verb in ("means", "is a", "belongs to", "refers to")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    verb = F.element_at(F.array(*[F.concat(a, F.lit(f" {v} "), b) for v in ("requires", "causes", "leads to")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    said = F.element_at(
+        F.array(
+            *[F.concat(a, F.lit(f" {verb} "), b, F.lit("; ")) for verb in ("means", "is a", "belongs to", "refers to")],
+        ),
+        (F.col("p_partkey") % 4 + 1).cast("int"),
+    )
+    verb = F.element_at(
+        F.array(*[F.concat(a, F.lit(f" {v} "), b) for v in ("requires", "causes", "leads to")]),
+        (F.col("p_partkey") % 3 + 1).cast("int"),
+    )
     other = F.concat(b, F.lit(" means x; "))
     text = F.concat(said, F.when(F.col("p_partkey") % 2 == 0, other).otherwise(F.lit("")), F.lit("then; "), verb)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.alias("text"), a.alias("a"), b.alias("b"))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc"),
+        text.alias("text"),
+        a.alias("a"),
+        b.alias("b"),
+    )
 
 
 def concept_patterns(spark, d):
-    return A.concepts(statements(spark, d)).groupBy("doc", "type", "name", "definition").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        A.concepts(statements(spark, d))
+        .groupBy("doc", "type", "name", "definition")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def concept_relations(spark, d):
@@ -60,7 +96,10 @@ def concept_relations(spark, d):
 
 def concept_pairs(spark, d):
     """Words in -tion fewer than 100 characters apart: how often, and how near."""
-    found = stored(X.places(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "[a-z]+tion"), "places")
+    found = stored(
+        X.places(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "[a-z]+tion"),
+        "places",
+    )
     x = A.near_concepts(found)
     return x.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
@@ -76,9 +115,27 @@ def concept_context(spark, d):
 
 def alignment_scores(spark, d):
     """Each document against the next one: sentences of the shorter are aligned, words of eight letters are names."""
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.size(T.sentences(F.col("text"))).alias("s"), F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) == 8)).alias("names"))
-    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("lang2"), F.col("s").alias("s2"), F.col("names").alias("names2"))
-    score = A.alignment_score(F.least("s", "s2"), F.col("s"), F.col("lang").eqNullSafe(F.col("lang2")), F.col("names"), F.col("names2"))
+    rows = table(spark, d, "documents").select(
+        "doc_id",
+        "lang",
+        F.size(T.sentences(F.col("text"))).alias("s"),
+        F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) == 8)).alias(
+            "names",
+        ),
+    )
+    after = rows.select(
+        (F.col("doc_id") - 1).alias("doc_id"),
+        F.col("lang").alias("lang2"),
+        F.col("s").alias("s2"),
+        F.col("names").alias("names2"),
+    )
+    score = A.alignment_score(
+        F.least("s", "s2"),
+        F.col("s"),
+        F.col("lang").eqNullSafe(F.col("lang2")),
+        F.col("names"),
+        F.col("names2"),
+    )
     return rows.join(after, "doc_id").select("doc_id", F.round(score, 6).alias("score"))
 
 
@@ -101,17 +158,35 @@ def lesson_entities(spark, d):
 
 def sentence_relations(spark, d):
     """The catalogue's relations in sentences that state one each."""
-    verbs = [("en", "means", "translatedAs"), ("en", "tests", "tests"), ("en", "includes", "covers"), ("fr", "signifie", "translatedAs"), ("fr", "exige", "hasPrereq"), ("fr", "vérifie", "tests")]
+    verbs = [
+        ("en", "means", "translatedAs"),
+        ("en", "tests", "tests"),
+        ("en", "includes", "covers"),
+        ("fr", "signifie", "translatedAs"),
+        ("fr", "exige", "hasPrereq"),
+        ("fr", "vérifie", "tests"),
+    ]
     pick = lambda i: F.element_at(F.array(*[F.lit(v[i]) for v in verbs]), (F.col("p_partkey") % 6 + 1).cast("int"))
     text = F.concat(F.col("p_brand"), F.lit(" "), pick(1), F.lit(" "), F.col("p_type"))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), pick(0).alias("language"), text.alias("text"))
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc"),
+        pick(0).alias("language"),
+        text.alias("text"),
+    )
     return X.relation_spans(rows).groupBy("rel", "left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (abstracts, reference_lists, table_captions, figure_captions, concept_patterns, concept_relations, concept_pairs, concept_context, alignment_scores, lesson_entities, sentence_relations)}
+QUERIES = {
+    f.__name__: f
+    for f in (abstracts, reference_lists, table_captions, figure_captions, concept_patterns, concept_relations, concept_pairs, concept_context, alignment_scores, lesson_entities, sentence_relations)
+}
 
 _PLAIN = "trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' +', ' ', 'g'))"
-_PAPERS = f"WITH p AS (SELECT doc_id AS doc, trim(substr({_PLAIN}, 1, 120)) AS plain, length('Paper ' || doc_id || e'\\nAbstract: ' || substr({_PLAIN}, 1, 120) || e'\\n关键词: a\\n') AS before, doc_id::VARCHAR AS n FROM documents)"
+_PAPERS = (
+    f"WITH p AS (SELECT doc_id AS doc, trim(substr({_PLAIN}, 1, 120)) AS plain,"
+    f" length('Paper ' || doc_id || e'\\nAbstract: ' || substr({_PLAIN}, 1, 120) || e'\\n关键词: a\\n') AS before,"
+    f" doc_id::VARCHAR AS n FROM documents)"
+)
 _BRAND, _TYPE = "regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')", "regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')"
 _SAID = f"WITH s AS (SELECT p_partkey AS doc, {_BRAND} AS a, {_TYPE} AS b FROM part)"
 _TION = """WITH g AS (SELECT doc_id AS doc, text, regexp_extract_all(text, '[a-z]+tion') AS n, regexp_split_to_array(text, '[a-z]+tion') AS g FROM documents

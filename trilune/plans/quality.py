@@ -13,32 +13,62 @@ def records(spark, d):
     some = lambda a, n: F.slice("_tokens", a, n)
     n = F.col("doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (n % 365).cast("int"))
-    created = F.when(n % 4 == 1, F.date_format(F.date_sub(day, 1), "yyyy-MM-dd")).when(n % 4 == 2, F.date_format(F.date_add(day, 1), "yyyy-MM-dd")).when(n % 9 == 3, "no date")
-    return table(spark, d, "documents").withColumn("_tokens", tokenize(F.col("text"))).select(
-        n.alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"),
-        some(F.lit(1), (n % 4).cast("int")).alias("authors"), some(F.lit(5), (n % 7).cast("int")).alias("keywords"),
-        F.date_format(day, "yyyy/MM/dd").alias("publish_date"), created.alias("created_date"),
-        F.when(n % 3 == 0, F.concat(F.lit("10."), n, F.lit("/x"))).when(n % 3 == 1, F.lit("bad")).alias("doi"), F.concat(F.lit("example.org/ "), n, F.lit(".")).alias("url"),
-    )
+    created = (
+        F.when(n % 4 == 1, F.date_format(F.date_sub(day, 1), "yyyy-MM-dd"))
+        .when(n % 4 == 2, F.date_format(F.date_add(day, 1), "yyyy-MM-dd"))
+        .when(n % 9 == 3, "no date")
+    )
+    return (
+        table(spark, d, "documents")
+        .withColumn("_tokens", tokenize(F.col("text")))
+        .select(
+            n.alias("id"),
+            F.element_at(F.split("text", "\n"), 1).alias("title"),
+            F.col("text").alias("content"),
+            F.col("lang").alias("language"),
+            some(F.lit(1), (n % 4).cast("int")).alias("authors"),
+            some(F.lit(5), (n % 7).cast("int")).alias("keywords"),
+            F.date_format(day, "yyyy/MM/dd").alias("publish_date"),
+            created.alias("created_date"),
+            F.when(n % 3 == 0, F.concat(F.lit("10."), n, F.lit("/x"))).when(n % 3 == 1, F.lit("bad")).alias("doi"),
+            F.concat(F.lit("example.org/ "), n, F.lit(".")).alias("url"),
+        )
+    )
 
 
 def quality_metrics(spark, d):
-    return Q.assessed(records(spark, d)).select("id", F.inline("metrics")).select("id", "name", F.round("value", 6).alias("value"), "passed")
+    return (
+        Q.assessed(records(spark, d))
+        .select("id", F.inline("metrics"))
+        .select("id", "name", F.round("value", 6).alias("value"), "passed")
+    )
 
 
 def quality_overall(spark, d):
-    return Q.assessed(records(spark, d)).select("id", F.round("overall", 6).alias("overall"), F.array_join("recommendations", "; ").alias("recommendations"))
+    return Q.assessed(records(spark, d)).select(
+        "id",
+        F.round("overall", 6).alias("overall"),
+        F.array_join("recommendations", "; ").alias("recommendations"),
+    )
 
 
 def quality_summary(spark, d):
     x = Q.assessed(records(spark, d)).select(F.round("overall", 9).alias("s"))
-    return x.agg(F.count("s").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.min("s"), 6).alias("low"), F.round(F.max("s"), 6).alias("high"), F.count_if(F.col("s") >= 0.7).alias("passed"))
+    return x.agg(
+        F.count("s").alias("n"),
+        F.round(F.avg("s"), 6).alias("mean"),
+        F.round(F.min("s"), 6).alias("low"),
+        F.round(F.max("s"), 6).alias("high"),
+        F.count_if(F.col("s") >= 0.7).alias("passed"),
+    )
 
 
 def quality_histogram(spark, d):
     s = F.col("s")
     x = Q.assessed(records(spark, d)).select(F.round("overall", 9).alias("s"))
-    return x.groupBy(F.when(s >= 0.9, "excellent").when(s >= 0.7, "good").when(s >= 0.5, "fair").otherwise("poor").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(F.when(s >= 0.9, "excellent").when(s >= 0.7, "good").when(s >= 0.5, "fair").otherwise("poor").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 def rule_validation(spark, d):
@@ -47,7 +77,15 @@ def rule_validation(spark, d):
 
 def clean_records(spark, d):
     x = Q.cleaned(records(spark, d))
-    return x.select("id", "title", F.array_join("authors", "|").alias("authors"), F.array_join("keywords", "|").alias("keywords"), "url", "publish_date", F.array_join("actions", ",").alias("actions"))
+    return x.select(
+        "id",
+        "title",
+        F.array_join("authors", "|").alias("authors"),
+        F.array_join("keywords", "|").alias("keywords"),
+        "url",
+        "publish_date",
+        F.array_join("actions", ",").alias("actions"),
+    )
 
 
 def validate_text(spark, d):
@@ -56,9 +94,21 @@ def validate_text(spark, d):
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(F.split(t, "\n"))
     dup = F.coalesce(1 - F.try_divide(F.size(F.array_distinct(lines)), n), F.lit(0.0))
-    score = F.when(F.length(t) < 50, 0.3).otherwise(1.0) * F.when(F.length(t) > 1_000_000, 0.8).otherwise(1.0) * F.when(F.col("lang").isin("zh", "fr", "en"), 1.0).otherwise(0.7)
-    score = score * F.when(F.length(F.trim(t)) / F.length(t) < 0.5, 0.6).otherwise(1.0) * F.when((n > 10) & (dup > 0.7), 0.7).otherwise(1.0)
-    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"), (F.length(t) >= 50).alias("valid"))
+    score = (
+        F.when(F.length(t) < 50, 0.3).otherwise(1.0)
+        * F.when(F.length(t) > 1_000_000, 0.8).otherwise(1.0)
+        * F.when(F.col("lang").isin("zh", "fr", "en"), 1.0).otherwise(0.7)
+    )
+    score = (
+        score
+        * F.when(F.length(F.trim(t)) / F.length(t) < 0.5, 0.6).otherwise(1.0)
+        * F.when((n > 10) & (dup > 0.7), 0.7).otherwise(1.0)
+    )
+    return table(spark, d, "documents").select(
+        "doc_id",
+        F.round(score, 6).alias("score"),
+        (F.length(t) >= 50).alias("valid"),
+    )
 
 
 def corpus_report(spark, d):
@@ -66,14 +116,25 @@ def corpus_report(spark, d):
     norm = F.md5(normalize_text(t, normalize_unicode=False).cast("binary"))
     ratio = lambda keep: F.avg(F.length(F.regexp_replace(t, keep, "")) / F.length(t))
     return table(spark, d, "documents").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.trim(t) != "").cast("double")), 6).alias("non_empty"), F.round(F.avg(F.length(t)), 4).alias("mean_length"), F.countDistinct("doc_id").alias("ids"),
-        (F.count(F.lit(1)) - F.countDistinct(norm)).alias("duplicates"), F.round(F.avg((F.length(t) < 20).cast("double")), 6).alias("short"), F.round(F.avg((F.length(t) > 5000).cast("double")), 6).alias("long"),
-        F.round(ratio(r"[^\x20-\x7E]"), 6).alias("ascii"), F.count_if(F.coalesce("lang", F.lit("")) == "").alias("no_language"),
-    )
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg((F.trim(t) != "").cast("double")), 6).alias("non_empty"),
+        F.round(F.avg(F.length(t)), 4).alias("mean_length"),
+        F.countDistinct("doc_id").alias("ids"),
+        (F.count(F.lit(1)) - F.countDistinct(norm)).alias("duplicates"),
+        F.round(F.avg((F.length(t) < 20).cast("double")), 6).alias("short"),
+        F.round(F.avg((F.length(t) > 5000).cast("double")), 6).alias("long"),
+        F.round(ratio(r"[^\x20-\x7E]"), 6).alias("ascii"),
+        F.count_if(F.coalesce("lang", F.lit("")) == "").alias("no_language"),
+    )
 
 
 def checksum_duplicates(spark, d):
-    x = table(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("checksum")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids")).where("n > 1")
+    x = (
+        table(spark, d, "documents")
+        .groupBy(F.md5(F.col("text").cast("binary")).alias("checksum"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
+        .where("n > 1")
+    )
     return x.select("checksum", "n", F.array_join("ids", ",").alias("ids"))
 
 
@@ -85,49 +146,125 @@ def title_distinct(spark, d):
 
 def doc_store(spark, d):
     """Documents with their judgments, if any; of known languages and quality."""
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").where("lang in ('fr', 'en') and quality >= 1").select("doc_id", "lang", "quality", F.concat(F.substring("text", 1, 300), F.lit("...")).alias("preview"))
+    return (
+        table(spark, d, "documents")
+        .join(table(spark, d, "labels"), "doc_id", "left")
+        .where("lang in ('fr', 'en') and quality >= 1")
+        .select("doc_id", "lang", "quality", F.concat(F.substring("text", 1, 300), F.lit("...")).alias("preview"))
+    )
 
 
 def doc_store_stats(spark, d):
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return x.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg("quality"), F.lit(0.0)), 6).alias("quality"))
+    return x.groupingSets([["lang"], ["source"], []], "lang", "source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.coalesce(F.avg("quality"), F.lit(0.0)), 6).alias("quality"),
+    )
 
 
 def demo_quality(spark, d):
     x = records(spark, d)
-    s = F.when(F.col("title") != "", 0.2).otherwise(0.0) + 0.4 * F.least(F.length("content") / 500, F.lit(1.0)) + 0.2 * F.least(F.size("authors") / 2, F.lit(1.0)) + 0.2 * 0.9
+    s = (
+        F.when(F.col("title") != "", 0.2).otherwise(0.0)
+        + 0.4 * F.least(F.length("content") / 500, F.lit(1.0))
+        + 0.2 * F.least(F.size("authors") / 2, F.lit(1.0))
+        + 0.2 * 0.9
+    )
     return x.select("id", F.round(s, 6).alias("score"), (F.round(s, 9) >= 0.7).alias("passed"))
 
 
 def date_parse(spark, d):
-    forms = F.array(F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy/MM/dd"), F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "yyyy-MM"), F.lit("unknown"))
-    x = table(spark, d, "events").select("event_id", F.element_at(forms, (F.col("event_id") % 5 + 1).cast("int")).alias("raw"))
-    return x.select("event_id", F.date_format(Q.parsed_date(F.col("raw"), F.lit("2024-02-01").cast("timestamp")), "yyyy-MM-dd").alias("day"))
+    forms = F.array(
+        F.date_format("ts", "yyyy-MM-dd"),
+        F.date_format("ts", "yyyy/MM/dd"),
+        F.date_format("ts", "dd/MM/yyyy"),
+        F.date_format("ts", "yyyy-MM"),
+        F.lit("unknown"),
+    )
+    x = table(spark, d, "events").select(
+        "event_id",
+        F.element_at(forms, (F.col("event_id") % 5 + 1).cast("int")).alias("raw"),
+    )
+    return x.select(
+        "event_id",
+        F.date_format(Q.parsed_date(F.col("raw"), F.lit("2024-02-01").cast("timestamp")), "yyyy-MM-dd").alias("day"),
+    )
 
 
 def latest_state(spark, d):
     """Upserts as an append-only log: the newest row of each user."""
     e = table(spark, d, "events")
-    x = e.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("x"), F.min("ts").alias("created"))
-    return x.select("user_id", F.col("x.event_type").alias("event_type"), F.col("x.value").alias("value"), F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"))
-
-
-QUERIES = {f.__name__: f for f in (quality_metrics, quality_overall, quality_summary, quality_histogram, rule_validation, clean_records, validate_text, corpus_report, checksum_duplicates, title_distinct, doc_store, doc_store_stats, demo_quality, date_parse, latest_state)}
+    x = e.groupBy("user_id").agg(
+        F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("x"),
+        F.min("ts").alias("created"),
+    )
+    return x.select(
+        "user_id",
+        F.col("x.event_type").alias("event_type"),
+        F.col("x.value").alias("value"),
+        F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (quality_metrics, quality_overall, quality_summary, quality_histogram, rule_validation, clean_records, validate_text, corpus_report, checksum_duplicates, title_distinct, doc_store, doc_store_stats, demo_quality, date_parse, latest_state)
+}
 
 _TK = r"regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\p{L}\p{N}_]+')"
 _REC = f"""rc AS (SELECT doc_id AS id, string_split(text, e'\\n')[1] AS title, text AS content, lang AS language, CASE WHEN doc_id % 4 = 0 THEN [] ELSE tk[1:doc_id % 4] END AS authors, CASE WHEN doc_id % 7 = 0 THEN [] ELSE tk[5:4 + doc_id % 7] END AS keywords,
  strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y/%m/%d') AS publish_date, CASE doc_id % 3 WHEN 0 THEN '10.' || doc_id || '/x' WHEN 1 THEN 'bad' END AS doi, 'example.org/ ' || doc_id || '.' AS url FROM (SELECT *, {_TK} AS tk FROM documents))"""
-_GUESS = "CASE WHEN length(trim(content)) < 3 THEN NULL WHEN length(regexp_replace(content, '[^一-鿿]', '', 'g')) > length(regexp_replace(content, '[^A-Za-z]', '', 'g')) THEN 'zh' WHEN length(regexp_replace(content, '[^A-Za-z]', '', 'g')) > 0 THEN 'en' END"
+_GUESS = (
+    "CASE WHEN length(trim(content)) < 3 THEN NULL WHEN length(regexp_replace(content, '[^一-鿿]', '',"
+    " 'g')) > length(regexp_replace(content, '[^A-Za-z]', '', 'g')) THEN 'zh'"
+    " WHEN length(regexp_replace(content, '[^A-Za-z]', '', 'g')) > 0 THEN 'en' END"
+)
 _VALUES = {
-    "content_length": "CASE WHEN content <> '' THEN least(length(content) / 1000.0::DOUBLE, 1.0) END", "language_confidence": "CASE WHEN content <> '' THEN (language IS NOT NULL)::INT::DOUBLE END",
-    "sentence_structure": "CASE WHEN content <> '' THEN least(list_sum(list_transform(regexp_split_to_array(content, '[.!?。！？]+'), lambda x: length(trim(x))))::DOUBLE / len(regexp_split_to_array(content, '[.!?。！？]+')) / 50, 1.0) END",
-    "title_quality": "CASE WHEN title <> '' THEN CASE WHEN length(title) BETWEEN 5 AND 200 THEN 1.0::DOUBLE ELSE 0.5 END END", "authors_completeness": "least(len(authors) / 3.0::DOUBLE, 1.0)", "keywords_completeness": "least(len(keywords) / 5.0::DOUBLE, 1.0)",
-    "date_presence": "1.0::DOUBLE", "identifiers": "CASE WHEN doi IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END + 0.3::DOUBLE", "required_fields": "(1 + (title <> '')::INT + (content <> '')::INT) / 3.0::DOUBLE", "type_consistency": "1.0::DOUBLE",
-    "format_consistency": "((doi IS NULL OR regexp_matches(doi, '^10\\.\\d+/'))::INT + regexp_matches(url, '^https?://')::INT + 1) / 3.0::DOUBLE", "language_consistency": f"CASE WHEN content = '' THEN 0.5::DOUBLE WHEN language IS NULL THEN 0.3 WHEN language = ({_GUESS}) THEN 1.0 ELSE 0.5 END", "date_consistency": "CASE WHEN id % 4 = 1 THEN 0.5::DOUBLE WHEN id % 4 = 2 THEN 1.0 WHEN id % 9 = 3 THEN 0.5 ELSE 1.0 END",
-    "length_reasonableness": "((length(title) BETWEEN 5 AND 200)::INT + (length(content) BETWEEN 10 AND 1000000)::INT + (len(authors) BETWEEN 1 AND 50)::INT + (len(keywords) BETWEEN 1 AND 20)::INT) / 4.0::DOUBLE",
-}
-_MET = "mt AS (" + " UNION ALL ".join(f"SELECT id, '{n}' AS name, round({v}, 9) AS value, {Q.METRICS[n][0]}::DOUBLE AS threshold, {Q.METRICS[n][1]}::DOUBLE AS weight, {i} AS pos, {repr(Q.ADVICE[n]) if n in Q.ADVICE else 'NULL'} AS advice FROM rc" for i, (n, v) in enumerate(_VALUES.items())) + ")"
-_ALL = f"WITH {_REC}, {_MET}, ov AS (SELECT id, sum(value * weight) / sum(weight) AS overall, string_agg(CASE WHEN value < threshold THEN advice END, '; ' ORDER BY pos) AS advice FROM mt WHERE value IS NOT NULL GROUP BY id)"
+    "content_length": "CASE WHEN content <> '' THEN least(length(content) / 1000.0::DOUBLE, 1.0) END",
+    "language_confidence": "CASE WHEN content <> '' THEN (language IS NOT NULL)::INT::DOUBLE END",
+    "sentence_structure": (
+        "CASE WHEN content <> '' THEN least(list_sum(list_transform(regexp_split_to_array(content, '[.!?。！？]+'),"
+        " lambda x: length(trim(x))))::DOUBLE / len(regexp_split_to_array(content, '[.!?。！？]+')) / 50, 1.0) END"
+    ),
+    "title_quality": "CASE WHEN title <> '' THEN CASE WHEN length(title) BETWEEN 5 AND 200 THEN 1.0::DOUBLE ELSE 0.5 END END",
+    "authors_completeness": "least(len(authors) / 3.0::DOUBLE, 1.0)",
+    "keywords_completeness": "least(len(keywords) / 5.0::DOUBLE, 1.0)",
+    "date_presence": "1.0::DOUBLE",
+    "identifiers": "CASE WHEN doi IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END + 0.3::DOUBLE",
+    "required_fields": "(1 + (title <> '')::INT + (content <> '')::INT) / 3.0::DOUBLE",
+    "type_consistency": "1.0::DOUBLE",
+    "format_consistency": (
+        "((doi IS NULL OR regexp_matches(doi, '^10\\.\\d+/'))::INT + regexp_matches(url,"
+        " '^https?://')::INT + 1) / 3.0::DOUBLE"
+    ),
+    "language_consistency": (
+        f"CASE WHEN content = '' THEN 0.5::DOUBLE WHEN language IS NULL THEN 0.3 WHEN language = ({_GUESS}) THEN 1.0"
+        f" ELSE 0.5 END"
+    ),
+    "date_consistency": "CASE WHEN id % 4 = 1 THEN 0.5::DOUBLE WHEN id % 4 = 2 THEN 1.0 WHEN id % 9 = 3 THEN 0.5 ELSE 1.0 END",
+    "length_reasonableness": (
+        "((length(title) BETWEEN 5 AND 200)::INT + (length(content) BETWEEN 10"
+        " AND 1000000)::INT + (len(authors) BETWEEN 1 AND 50)::INT + (len(keywords) BETWEEN 1"
+        " AND 20)::INT) / 4.0::DOUBLE"
+    ),
+}
+_MET = (
+    "mt AS ("
+    + " UNION ALL ".join(
+        (
+            f"SELECT id, '{n}' AS name, round({v}, 9) AS value, {Q.METRICS[n][0]}::DOUBLE AS threshold,"
+            f" {Q.METRICS[n][1]}::DOUBLE AS weight, {i} AS pos,"
+            f" {repr(Q.ADVICE[n]) if n in Q.ADVICE else 'NULL'} AS advice FROM rc"
+        )
+        for i, (n, v) in enumerate(_VALUES.items())
+    )
+    + ")"
+)
+_ALL = (
+    f"WITH {_REC}, {_MET}, ov AS (SELECT id, sum(value * weight) / sum(weight) AS overall, string_agg(CASE"
+    f" WHEN value < threshold THEN advice END, '; ' ORDER BY pos) AS advice FROM mt WHERE value IS NOT NULL"
+    f" GROUP BY id)"
+)
 _CLEANF = r"""trim(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s.,!?;:()\[\]{{}}"''-]', '', 'g'))"""
 
 SQL = {

@@ -71,17 +71,30 @@ def dense_saved(spark, d):
     if settings != {"measure": "inner product"}:
         raise RuntimeError(f"settings changed on the way: {settings}")
     q = stored(label_queries(vectors(spark, d)), "queries")
-    return R.dense_search(q, v.join(q.select("id"), "id", "left_anti"), 20).select("query_id", "rank", "doc_id", "score")
+    return R.dense_search(q, v.join(q.select("id"), "id", "left_anti"), 20).select(
+        "query_id",
+        "rank",
+        "doc_id",
+        "score",
+    )
 
 
 def dense_ivf(spark, d):
     v = stored(vectors(spark, d), "vectors")
     q = label_queries(v)
-    return R.IvfIndex(v.join(q.select("id"), "id", "left_anti"), 16).search(q, 20, 10).select("query_id", "rank", "doc_id", "score")
+    return (
+        R.IvfIndex(v.join(q.select("id"), "id", "left_anti"), 16)
+        .search(q, 20, 10)
+        .select("query_id", "rank", "doc_id", "score")
+    )
 
 
 def dense_stats(spark, d):
-    return vectors(spark, d).agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("x")).cast("long").alias("dimension"), F.round(F.max(F.sqrt(R.inner(F.col("x"), F.col("x")))), 4).alias("longest"))
+    return vectors(spark, d).agg(
+        F.count(F.lit(1)).alias("vectors"),
+        F.max(F.size("x")).cast("long").alias("dimension"),
+        F.round(F.max(F.sqrt(R.inner(F.col("x"), F.col("x")))), 4).alias("longest"),
+    )
 
 
 def dense_list(spark, d, k=100):
@@ -95,7 +108,12 @@ def dense_list(spark, d, k=100):
 def hybrid_half(spark, d):
     bm = index(spark, d).search(items(spark, d), 50).select("query_id", "doc_id", "score")
     out = R.fuse({"dense": dense_list(spark, d, 10), "bm25": bm}, {"dense": 0.5, "bm25": 0.5}, normalize=True)
-    return R.top(out.withColumn("score", F.round("final", 9)), 10, "query_id", F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
+    return R.top(out.withColumn("score", F.round("final", 9)), 10, "query_id", F.col("doc_id")).select(
+        "query_id",
+        "rank",
+        "doc_id",
+        "score",
+    )
 
 
 def query_entities(spark, d, e):
@@ -138,13 +156,21 @@ def fused_explain(spark, d):
     """Parts of every candidate's score, each at most 1, without scaling over the list."""
     out = R.fuse(fused(spark, d), WEIGHTS, normalize=False)
     cut = {k: F.least(F.col(k), F.lit(1.0)) for k in WEIGHTS}
-    return out.select("query_id", "doc_id", *[F.round(c, 6).alias(k) for k, c in cut.items()], F.round(sum((c * F.lit(WEIGHTS[k]) for k, c in cut.items()), F.lit(0.0)), 6).alias("final"))
+    return out.select(
+        "query_id",
+        "doc_id",
+        *[F.round(c, 6).alias(k) for k, c in cut.items()],
+        F.round(sum((c * F.lit(WEIGHTS[k]) for k, c in cut.items()), F.lit(0.0)), 6).alias("final"),
+    )
 
 
 def rerank_jaccard(spark, d):
     """BM25's 20 best of each item again by names they share, weighted and expanded over one hop."""
     e, r = graph(spark, d)
-    hop = stored(G.related(e, r, 1).join(e.select(F.col("id"), "name"), "id").select("source", "name", F.lit(0.8).alias("w")), "hop")
+    hop = stored(
+        G.related(e, r, 1).join(e.select(F.col("id"), "name"), "id").select("source", "name", F.lit(0.8).alias("w")),
+        "hop",
+    )
 
     def weigh(found, key):
         own = found.join(e.select("id", "name"), "id").select(key, "name", F.lit(1.0).alias("w"))
@@ -155,12 +181,23 @@ def rerank_jaccard(spark, d):
     kept = doc_entities(spark, d, e).join(bm.select("doc_id").distinct(), "doc_id", "left_semi")
     kg = R.weighted_jaccard(weigh(query_entities(spark, d, e), "query_id"), weigh(kept, "doc_id"))
     both = bm.join(kg.withColumnRenamed("score", "kg"), ["query_id", "doc_id"], "left").fillna(0.0, ["kg"])
-    return R.top(both.withColumn("score", F.round(0.5 * F.col("score") + 0.5 * F.col("kg"), 9)), 10, "query_id", F.col("doc_id")).select("query_id", "rank", "doc_id", "score", F.round("kg", 9).alias("kg"))
+    return R.top(both.withColumn("score", F.round(0.5 * F.col("score") + 0.5 * F.col("kg"), 9)), 10, "query_id", F.col("doc_id")).select(
+        "query_id",
+        "rank",
+        "doc_id",
+        "score",
+        F.round("kg", 9).alias("kg"),
+    )
 
 
 def judged_run(spark, d):
     q, v, run = dense_run(spark, d)
-    qrels = q.select(F.col("id").alias("query_id"), "label").join(v.select(F.col("id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    qrels = (
+        q.select(F.col("id").alias("query_id"), "label")
+        .join(v.select(F.col("id").alias("doc_id"), "label"), "label")
+        .where("query_id <> doc_id")
+        .select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    )
     return stored(run, "run"), qrels
 
 
@@ -174,16 +211,27 @@ def system_comparison(spark, d):
     run, qrels = judged_run(spark, d)
     out = None
     for k in (5, 10, 20):
-        x = M.ranking_metrics(run, qrels, k).agg(*[F.avg(c).alias(c) for c in ("ndcg", "recall", "precision", "f1")]).withColumn("k", F.lit(k))
+        x = (
+            M.ranking_metrics(run, qrels, k)
+            .agg(*[F.avg(c).alias(c) for c in ("ndcg", "recall", "precision", "f1")])
+            .withColumn("k", F.lit(k))
+        )
         out = x if out is None else out.unionByName(x)
     base = out.where("k = 5").select(F.col("ndcg").alias("base"))
-    return out.join(F.broadcast(base)).select("k", *[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "precision", "f1")], F.round(improvement(F.col("base"), F.col("ndcg")), 6).alias("change"))
+    return out.join(F.broadcast(base)).select(
+        "k",
+        *[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "precision", "f1")],
+        F.round(improvement(F.col("base"), F.col("ndcg")), 6).alias("change"),
+    )
 
 
 def significance(spark, d):
     """Paired t-test, effect size and bootstrap interval of recall at 20 against recall at 10, query by query."""
     run, qrels = judged_run(spark, d)
-    a, b = (M.ranking_metrics(run, qrels, k).select("query_id", F.col("recall").alias(n)) for k, n in ((20, "a"), (10, "b")))
+    a, b = (
+        M.ranking_metrics(run, qrels, k).select("query_id", F.col("recall").alias(n))
+        for k, n in ((20, "a"), (10, "b"))
+    )
     rows = a.join(b, "query_id").orderBy("query_id").collect()  # one row per query
     x, y = [r["a"] for r in rows], [r["b"] for r in rows]
     n = len(rows)
@@ -191,17 +239,30 @@ def significance(spark, d):
     mean = sum(diff) / n
     sd = (sum((v - mean) ** 2 for v in diff) / (n - 1)) ** 0.5 if n > 1 else 0.0
     t = mean / (sd / n**0.5) if sd else 0.0
-    return spark.createDataFrame([(n, t, student_t_p(t, n - 1), *bootstrap_ci(x, y))], "n long, t double, p double, mean double, low double, high double")
+    return spark.createDataFrame(
+        [(n, t, student_t_p(t, n - 1), *bootstrap_ci(x, y))],
+        "n long, t double, p double, mean double, low double, high double",
+    )
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_saved, dense_saved, bm25_lucene, bm25_stats, dense_topk, dense_ivf, dense_stats, hybrid_half, kg_query_entities, kg_expand_query, kg_doc_score, fused_search, fused_explain, rerank_jaccard, ir_metrics, system_comparison, significance)}
+QUERIES = {
+    f.__name__: f
+    for f in (bm25_topk, bm25_saved, dense_saved, bm25_lucene, bm25_stats, dense_topk, dense_ivf, dense_stats, hybrid_half, kg_query_entities, kg_expand_query, kg_doc_score, fused_search, fused_explain, rerank_jaccard, ir_metrics, system_comparison, significance)
+}
 
 _FR = ", ".join(f"'{w}'" for w in STOPWORDS["fr"])
-_T = rf"unnest(list_filter(regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\p{{L}}\p{{N}}_]+'), lambda x: x NOT IN ({_FR})))"
+_T = (
+    rf"unnest(list_filter(regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))),"
+    rf" '[\p{{L}}\p{{N}}_]+'), lambda x: x NOT IN ({_FR})))"
+)
 
 
 def _bm25(k: int, idf: str = "okapi") -> str:
-    weight = "SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws" if idf == "okapi" else "SELECT term, lraw AS idf FROM raws"
+    weight = (
+        "SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws"
+        if idf == "okapi"
+        else "SELECT term, lraw AS idf FROM raws"
+    )
     return f"""pt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_T} AS term FROM documents) GROUP BY ALL),
 dl AS (SELECT d.doc_id, coalesce(sum(tf), 0)::BIGINT AS dl FROM documents d LEFT JOIN pt ON pt.doc_id = d.doc_id GROUP BY d.doc_id), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 raws AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS lraw FROM (SELECT term, count(*) AS df FROM pt GROUP BY term), st),
@@ -218,13 +279,45 @@ de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 _LQ = """lq AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY label),
 ds AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN lq ON q.vec_id = lq.id, embeddings v WHERE v.vec_id NOT IN (SELECT id FROM lq)),
 de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 20)"""
-_REL = f"w AS (SELECT src, dst, CASE rel {' '.join(f'''WHEN '{k}' THEN {v}::DOUBLE''' for k, v in G.RELATION_WEIGHTS.items())} ELSE 0.3::DOUBLE END * confidence AS w, ord FROM rel), h1 AS (SELECT src AS source, dst AS id, 1.0::DOUBLE * w * 0.8::DOUBLE AS weight, ord, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS k FROM w WHERE src <> dst), a1 AS (SELECT source, id, weight, row_number() OVER (PARTITION BY source ORDER BY ord) AS place FROM h1 WHERE k = 1), h2 AS (SELECT a1.source, w.dst AS id, a1.weight * w.w * (0.8::DOUBLE * 0.8::DOUBLE) AS weight, row_number() OVER (PARTITION BY a1.source, w.dst ORDER BY a1.place, w.ord) AS k FROM a1 JOIN w ON w.src = a1.id WHERE w.dst <> a1.source AND NOT EXISTS (SELECT 1 FROM a1 x WHERE x.source = a1.source AND x.id = w.dst)), rl AS (SELECT source, id, weight FROM a1 UNION ALL SELECT source, id, weight FROM h2 WHERE k = 1)"
+_REL = (
+    f"w AS (SELECT src, dst,"
+    f" CASE rel {' '.join(f'''WHEN '{k}' THEN {v}::DOUBLE''' for k, v in G.RELATION_WEIGHTS.items())}"
+    f" ELSE 0.3::DOUBLE END * confidence AS w, ord FROM rel), h1 AS (SELECT src AS source, dst AS id,"
+    f" 1.0::DOUBLE * w * 0.8::DOUBLE AS weight, ord, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS k FROM w"
+    f" WHERE src <> dst), a1 AS (SELECT source, id, weight, row_number() OVER (PARTITION BY source"
+    f" ORDER BY ord) AS place FROM h1 WHERE k = 1), h2 AS (SELECT a1.source, w.dst AS id,"
+    f" a1.weight * w.w * (0.8::DOUBLE * 0.8::DOUBLE) AS weight, row_number() OVER (PARTITION BY a1.source, w.dst"
+    f" ORDER BY a1.place, w.ord) AS k FROM a1 JOIN w ON w.src = a1.id WHERE w.dst <> a1.source AND NOT EXISTS (SELECT 1"
+    f" FROM a1 x WHERE x.source = a1.source AND x.id = w.dst)), rl AS (SELECT source, id, weight FROM a1 UNION ALL"
+    f" SELECT source, id, weight FROM h2 WHERE k = 1)"
+)
 _TOKENS = r"unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')))"
-_ENTS = f"qe AS (SELECT DISTINCT query_id, ent.id FROM (SELECT item_id AS query_id, {_TOKENS} AS t FROM benchmark) JOIN ent ON ent.name = t), te AS (SELECT DISTINCT doc_id, ent.id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) JOIN ent ON ent.name = t)"
-_KG = f"{_REL}, {_ENTS}, ne AS (SELECT query_id, id, 1.0::DOUBLE AS w FROM qe UNION ALL SELECT query_id, rl.id, weight FROM qe JOIN rl ON rl.source = qe.id), ks AS (SELECT query_id, doc_id, least(round(avg(w), 9), 1.0) AS score FROM ne JOIN te ON te.id = ne.id GROUP BY query_id, doc_id), cand AS (SELECT query_id, doc_id FROM bm UNION SELECT query_id, doc_id FROM de), kg AS (SELECT c.query_id, c.doc_id, coalesce(ks.score, 0) AS score FROM cand c LEFT JOIN ks USING (query_id, doc_id))"
-_MM = "CASE WHEN max({0}) OVER q = min({0}) OVER q THEN 1.0::DOUBLE ELSE ({0} - min({0}) OVER q) / (max({0}) OVER q - min({0}) OVER q) END"
-_JOINED = "jo AS (SELECT c.query_id, c.doc_id, coalesce(de.score, 0.0::DOUBLE) AS dense, coalesce(bm.score, 0.0::DOUBLE) AS bm25, coalesce(kg.score, 0.0::DOUBLE) AS kg FROM cand c LEFT JOIN de USING (query_id, doc_id) LEFT JOIN bm USING (query_id, doc_id) LEFT JOIN kg USING (query_id, doc_id))"
-_JUDGED = "jd AS (SELECT de.query_id, de.doc_id, de.rank, (qv.label = dv.label)::INT AS rel, (SELECT count(*) - 1 FROM embeddings x WHERE x.label = qv.label) AS total FROM de JOIN embeddings qv ON qv.vec_id = query_id JOIN embeddings dv ON dv.vec_id = doc_id)"
+_ENTS = (
+    f"qe AS (SELECT DISTINCT query_id, ent.id FROM (SELECT item_id AS query_id, {_TOKENS} AS t FROM benchmark)"
+    f" JOIN ent ON ent.name = t), te AS (SELECT DISTINCT doc_id, ent.id FROM (SELECT doc_id, {_TOKENS} AS t"
+    f" FROM documents) JOIN ent ON ent.name = t)"
+)
+_KG = (
+    f"{_REL}, {_ENTS}, ne AS (SELECT query_id, id, 1.0::DOUBLE AS w FROM qe UNION ALL SELECT query_id, rl.id, weight"
+    f" FROM qe JOIN rl ON rl.source = qe.id), ks AS (SELECT query_id, doc_id, least(round(avg(w), 9), 1.0) AS score"
+    f" FROM ne JOIN te ON te.id = ne.id GROUP BY query_id, doc_id), cand AS (SELECT query_id, doc_id FROM bm UNION"
+    f" SELECT query_id, doc_id FROM de), kg AS (SELECT c.query_id, c.doc_id, coalesce(ks.score, 0) AS score FROM cand c"
+    f" LEFT JOIN ks USING (query_id, doc_id))"
+)
+_MM = (
+    "CASE WHEN max({0}) OVER q = min({0}) OVER q THEN 1.0::DOUBLE"
+    " ELSE ({0} - min({0}) OVER q) / (max({0}) OVER q - min({0}) OVER q) END"
+)
+_JOINED = (
+    "jo AS (SELECT c.query_id, c.doc_id, coalesce(de.score, 0.0::DOUBLE) AS dense, coalesce(bm.score,"
+    " 0.0::DOUBLE) AS bm25, coalesce(kg.score, 0.0::DOUBLE) AS kg FROM cand c LEFT JOIN de USING (query_id, doc_id)"
+    " LEFT JOIN bm USING (query_id, doc_id) LEFT JOIN kg USING (query_id, doc_id))"
+)
+_JUDGED = (
+    "jd AS (SELECT de.query_id, de.doc_id, de.rank, (qv.label = dv.label)::INT AS rel, (SELECT count(*) - 1"
+    " FROM embeddings x WHERE x.label = qv.label) AS total FROM de JOIN embeddings qv ON qv.vec_id = query_id"
+    " JOIN embeddings dv ON dv.vec_id = doc_id)"
+)
 
 
 def _metrics(k: int, name: str) -> str:
@@ -239,25 +332,98 @@ _REC, _PRE = "CASE WHEN total = 0 THEN 0 ELSE hits::DOUBLE / total END", "hits::
 
 def _columns(k: int) -> dict[str, str]:
     rec, pre = _REC, _PRE.format(k=k)
-    return {"ndcg": "CASE WHEN idcg = 0 THEN 0 ELSE dcg / idcg END", "mrr": "coalesce(1.0::DOUBLE / first, 0)", "recall": rec, "precision": pre, "f1": f"CASE WHEN hits = 0 THEN 0 ELSE 2 * ({pre}) * ({rec}) / (({pre}) + ({rec})) END", "hit": "(hits > 0)::INT", "ap_retrieved": "CASE WHEN found = 0 THEN 0 ELSE ap / found END", "ap_judged": "CASE WHEN total = 0 THEN 0 ELSE ap / total END"}
-
-
-_COMPARE = " UNION ALL ".join(f"SELECT {k} AS k, " + ", ".join(f"avg({_columns(k)[c]}) AS {c}" for c in ("ndcg", "recall", "precision", "f1")) + f" FROM m{k}" for k in (5, 10, 20))
+    return {
+        "ndcg": "CASE WHEN idcg = 0 THEN 0 ELSE dcg / idcg END",
+        "mrr": "coalesce(1.0::DOUBLE / first, 0)",
+        "recall": rec,
+        "precision": pre,
+        "f1": f"CASE WHEN hits = 0 THEN 0 ELSE 2 * ({pre}) * ({rec}) / (({pre}) + ({rec})) END",
+        "hit": "(hits > 0)::INT",
+        "ap_retrieved": "CASE WHEN found = 0 THEN 0 ELSE ap / found END",
+        "ap_judged": "CASE WHEN total = 0 THEN 0 ELSE ap / total END",
+    }
+
+
+_COMPARE = " UNION ALL ".join(
+    (
+        f"SELECT {k} AS k, "
+        + ", ".join(f"avg({_columns(k)[c]}) AS {c}" for c in ("ndcg", "recall", "precision", "f1"))
+        + f" FROM m{k}"
+    )
+    for k in (5, 10, 20)
+)
 
 SQL = {
     "bm25_topk": f"WITH {_bm25(10)} SELECT query_id, rank::INT AS rank, doc_id, score FROM bm",
     "bm25_lucene": f"WITH {_bm25(10, 'lucene')} SELECT query_id, rank::INT AS rank, doc_id, score FROM bm",
-    "bm25_stats": f"WITH {_bm25(10)} SELECT (SELECT count(*) FROM dl) AS documents, (SELECT round(avg(dl), 6) FROM dl) AS avgdl, (SELECT sum(dl)::BIGINT FROM dl) AS tokens, (SELECT count(*) FROM wt) AS vocabulary",
+    "bm25_stats": (
+        f"WITH {_bm25(10)} SELECT (SELECT count(*) FROM dl) AS documents, (SELECT round(avg(dl), 6)"
+        f" FROM dl) AS avgdl, (SELECT sum(dl)::BIGINT FROM dl) AS tokens, (SELECT count(*) FROM wt) AS vocabulary"
+    ),
     "dense_topk": f"WITH {_LQ} SELECT query_id, rank::INT AS rank, doc_id, score FROM de",
-    "dense_stats": "SELECT count(*) AS vectors, max(len(embedding))::BIGINT AS dimension, round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS longest FROM embeddings",
-    "hybrid_half": f"WITH {_bm25(50)}, {_dense(10)}, cand AS (SELECT query_id, doc_id FROM bm UNION SELECT query_id, doc_id FROM de), jo AS (SELECT c.query_id, c.doc_id, coalesce(de.score, 0.0::DOUBLE) AS dense, coalesce(bm.score, 0.0::DOUBLE) AS bm25 FROM cand c LEFT JOIN de USING (query_id, doc_id) LEFT JOIN bm USING (query_id, doc_id)), f AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {_MM.format('dense')} + 0.5::DOUBLE * {_MM.format('bm25')}, 9) AS score FROM jo WINDOW q AS (PARTITION BY query_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10",
+    "dense_stats": (
+        "SELECT count(*) AS vectors, max(len(embedding))::BIGINT AS dimension,"
+        " round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS longest FROM embeddings"
+    ),
+    "hybrid_half": (
+        f"WITH {_bm25(50)}, {_dense(10)}, cand AS (SELECT query_id, doc_id FROM bm UNION SELECT query_id, doc_id"
+        f" FROM de), jo AS (SELECT c.query_id, c.doc_id, coalesce(de.score, 0.0::DOUBLE) AS dense, coalesce(bm.score,"
+        f" 0.0::DOUBLE) AS bm25 FROM cand c LEFT JOIN de USING (query_id, doc_id) LEFT"
+        f" JOIN bm USING (query_id, doc_id)), f AS (SELECT query_id, doc_id,"
+        f" round(0.5::DOUBLE * {_MM.format('dense')} + 0.5::DOUBLE * {_MM.format('bm25')}, 9) AS score"
+        f" FROM jo WINDOW q AS (PARTITION BY query_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id"
+        f" ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, rank::INT AS rank, doc_id, score FROM r"
+        f" WHERE rank <= 10"
+    ),
     "kg_query_entities": f"{LEX}, {_ENTS} SELECT query_id, id FROM qe",
-    "kg_expand_query": f"{LEX}, {_REL}, {_ENTS}, s AS (SELECT query_id, rl.id, sum(weight) AS w FROM qe JOIN rl ON rl.source = qe.id GROUP BY query_id, rl.id), n AS (SELECT query_id, name, arg_max(w, ord) AS w FROM s JOIN ent ON ent.id = s.id WHERE round(w, 9) >= 0.1 GROUP BY query_id, name), x AS (SELECT query_id, name, round(w / max(w) OVER (PARTITION BY query_id), 6) AS weight FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, name) AS rank FROM x) SELECT query_id, name, weight, rank::INT AS rank FROM r WHERE rank <= 10",
+    "kg_expand_query": (
+        f"{LEX}, {_REL}, {_ENTS}, s AS (SELECT query_id, rl.id, sum(weight) AS w FROM qe JOIN rl ON rl.source = qe.id"
+        f" GROUP BY query_id, rl.id), n AS (SELECT query_id, name, arg_max(w, ord) AS w FROM s"
+        f" JOIN ent ON ent.id = s.id WHERE round(w, 9) >= 0.1 GROUP BY query_id, name), x AS (SELECT query_id, name,"
+        f" round(w / max(w) OVER (PARTITION BY query_id), 6) AS weight"
+        f" FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, name) AS rank"
+        f" FROM x) SELECT query_id, name, weight, rank::INT AS rank FROM r WHERE rank <= 10"
+    ),
     "kg_doc_score": f"{LEX}, {_bm25(100)}, {_dense(100)}, {_KG} SELECT query_id, doc_id, round(score, 6) AS score FROM kg",
-    "fused_search": f"{LEX}, {_bm25(100)}, {_dense(100)}, {_KG}, {_JOINED}, f AS (SELECT query_id, doc_id, round(0.4::DOUBLE * {_MM.format('dense')} + 0.3::DOUBLE * {_MM.format('bm25')} + 0.3::DOUBLE * {_MM.format('kg')}, 6) AS score FROM jo WINDOW q AS (PARTITION BY query_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10",
-    "fused_explain": f"{LEX}, {_bm25(100)}, {_dense(100)}, {_KG}, {_JOINED} SELECT query_id, doc_id, round(least(dense, 1), 6) AS dense, round(least(bm25, 1), 6) AS bm25, round(least(kg, 1), 6) AS kg, round(0.4::DOUBLE * least(dense, 1) + 0.3::DOUBLE * least(bm25, 1) + 0.3::DOUBLE * least(kg, 1), 6) AS final FROM jo",
-    "rerank_jaccard": f"{LEX}, {_bm25(20)}, {_ENTS}, hp AS (SELECT DISTINCT src AS source, e.name FROM rel JOIN ent e ON e.id = dst WHERE src <> dst), qn AS (SELECT query_id, name, max(w) AS w FROM (SELECT query_id, name, 1.0::DOUBLE AS w FROM qe JOIN ent ON ent.id = qe.id UNION ALL SELECT query_id, name, 0.8::DOUBLE FROM qe JOIN hp ON hp.source = qe.id) GROUP BY ALL), tn AS (SELECT doc_id, name, max(w) AS w FROM (SELECT doc_id, name, 1.0::DOUBLE AS w FROM te JOIN ent ON ent.id = te.id UNION ALL SELECT doc_id, name, 0.8::DOUBLE FROM te JOIN hp ON hp.source = te.id) GROUP BY ALL), m AS (SELECT bm.query_id, bm.doc_id, sum(least(qn.w, tn.w)) AS m FROM bm JOIN qn ON qn.query_id = bm.query_id JOIN tn ON tn.doc_id = bm.doc_id AND tn.name = qn.name GROUP BY ALL), j AS (SELECT bm.query_id, bm.doc_id, bm.score, coalesce(m.m / ((SELECT sum(w) FROM qn WHERE qn.query_id = bm.query_id) + (SELECT sum(w) FROM tn WHERE tn.doc_id = bm.doc_id) - m.m), 0) AS kg FROM bm LEFT JOIN m USING (query_id, doc_id)), f AS (SELECT query_id, doc_id, round(kg, 9) AS kg, round(0.5::DOUBLE * score + 0.5::DOUBLE * kg, 9) AS score FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, rank::INT AS rank, doc_id, score, kg FROM r WHERE rank <= 10",
-    "ir_metrics": f"WITH {_LQ}, {_JUDGED}, {_metrics(10, 'm')} SELECT query_id, " + ", ".join(f"{_M.format(c) if n != 'hit' else c} AS {n}" for n, c in _columns(10).items()) + " FROM m",
-    "system_comparison": f"WITH {_LQ}, {_JUDGED}, {_metrics(5, 'm5')}, {_metrics(10, 'm10')}, {_metrics(20, 'm20')}, c AS ({_COMPARE}) SELECT k, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(coalesce((ndcg - (SELECT ndcg FROM c WHERE k = 5)) / nullif((SELECT ndcg FROM c WHERE k = 5), 0), 0) * 100, 6) AS change FROM c",
+    "fused_search": (
+        f"{LEX}, {_bm25(100)}, {_dense(100)}, {_KG}, {_JOINED}, f AS (SELECT query_id, doc_id,"
+        f" round(0.4::DOUBLE * {_MM.format('dense')} + 0.3::DOUBLE * {_MM.format('bm25')} + 0.3::DOUBLE * {_MM.format('kg')},"
+        f" 6) AS score FROM jo WINDOW q AS (PARTITION BY query_id)), r AS (SELECT *,"
+        f" row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"
+        f" SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"
+    ),
+    "fused_explain": (
+        f"{LEX}, {_bm25(100)}, {_dense(100)}, {_KG}, {_JOINED} SELECT query_id, doc_id, round(least(dense, 1),"
+        f" 6) AS dense, round(least(bm25, 1), 6) AS bm25, round(least(kg, 1), 6) AS kg,"
+        f" round(0.4::DOUBLE * least(dense, 1) + 0.3::DOUBLE * least(bm25, 1) + 0.3::DOUBLE * least(kg, 1), 6) AS final"
+        f" FROM jo"
+    ),
+    "rerank_jaccard": (
+        f"{LEX}, {_bm25(20)}, {_ENTS}, hp AS (SELECT DISTINCT src AS source, e.name FROM rel JOIN ent e ON e.id = dst"
+        f" WHERE src <> dst), qn AS (SELECT query_id, name, max(w) AS w FROM (SELECT query_id, name, 1.0::DOUBLE AS w"
+        f" FROM qe JOIN ent ON ent.id = qe.id UNION ALL SELECT query_id, name, 0.8::DOUBLE FROM qe"
+        f" JOIN hp ON hp.source = qe.id) GROUP BY ALL), tn AS (SELECT doc_id, name, max(w) AS w"
+        f" FROM (SELECT doc_id, name, 1.0::DOUBLE AS w FROM te JOIN ent ON ent.id = te.id UNION ALL"
+        f" SELECT doc_id, name, 0.8::DOUBLE FROM te JOIN hp ON hp.source = te.id)"
+        f" GROUP BY ALL), m AS (SELECT bm.query_id, bm.doc_id, sum(least(qn.w, tn.w)) AS m FROM bm"
+        f" JOIN qn ON qn.query_id = bm.query_id JOIN tn ON tn.doc_id = bm.doc_id AND tn.name = qn.name"
+        f" GROUP BY ALL), j AS (SELECT bm.query_id, bm.doc_id, bm.score, coalesce(m.m / ((SELECT sum(w) FROM qn"
+        f" WHERE qn.query_id = bm.query_id) + (SELECT sum(w) FROM tn WHERE tn.doc_id = bm.doc_id) - m.m), 0) AS kg"
+        f" FROM bm LEFT JOIN m USING (query_id, doc_id)), f AS (SELECT query_id, doc_id, round(kg, 9) AS kg,"
+        f" round(0.5::DOUBLE * score + 0.5::DOUBLE * kg, 9) AS score"
+        f" FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank"
+        f" FROM f) SELECT query_id, rank::INT AS rank, doc_id, score, kg FROM r WHERE rank <= 10"
+    ),
+    "ir_metrics": (
+        f"WITH {_LQ}, {_JUDGED}, {_metrics(10, 'm')} SELECT query_id, "
+        + ", ".join(f"{_M.format(c) if n != 'hit' else c} AS {n}" for n, c in _columns(10).items())
+        + " FROM m"
+    ),
+    "system_comparison": (
+        f"WITH {_LQ}, {_JUDGED}, {_metrics(5, 'm5')}, {_metrics(10, 'm10')}, {_metrics(20, 'm20')}, c AS ({_COMPARE})"
+        f" SELECT k, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1,"
+        f" 6) AS f1, round(coalesce((ndcg - (SELECT ndcg FROM c WHERE k = 5)) / nullif((SELECT ndcg FROM c"
+        f" WHERE k = 5), 0), 0) * 100, 6) AS change FROM c"
+    ),
 }
 SQL |= {"bm25_saved": SQL["bm25_topk"], "dense_saved": SQL["dense_topk"]}

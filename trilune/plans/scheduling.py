@@ -12,8 +12,23 @@ AS_OF = 1_000_000_000  # a fixed now
 
 def tasks(spark, d):
     o = table(spark, d, "orders")
-    forms = F.array(F.lit("every_5m"), F.lit("every_2h"), F.lit("daily_08:30"), F.lit("weekly_wed_06:15"), F.lit("every_3x"), F.lit("yearly"))
-    config = F.when(F.col("o_orderkey") % 11 == 0, "not json").otherwise(F.concat(F.lit('{"connector": "c'), F.col("o_custkey") % 5, F.lit('", "query": "q", "max_results": '), F.col("o_orderkey") % 50, F.lit("}")))
+    forms = F.array(
+        F.lit("every_5m"),
+        F.lit("every_2h"),
+        F.lit("daily_08:30"),
+        F.lit("weekly_wed_06:15"),
+        F.lit("every_3x"),
+        F.lit("yearly"),
+    )
+    config = F.when(F.col("o_orderkey") % 11 == 0, "not json").otherwise(
+        F.concat(
+            F.lit('{"connector": "c'),
+            F.col("o_custkey") % 5,
+            F.lit('", "query": "q", "max_results": '),
+            F.col("o_orderkey") % 50,
+            F.lit("}"),
+        ),
+    )
     return o.select(
         F.col("o_orderkey").cast("string").alias("task_id"),
         F.when(F.col("o_orderkey") % 13 != 0, F.concat(F.lit("task "), "o_orderkey")).alias("name"),
@@ -29,8 +44,17 @@ def tasks(spark, d):
 
 def executions(spark, d):
     """Started at the shipping second; what was returned has failed, what is open runs."""
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.unix_timestamp("l_shipdate").alias("started"))
-    state = F.when(F.col("l_returnflag") == "R", S.FAILED).when(F.col("l_returnflag") == "A", S.COMPLETED).otherwise(S.RUNNING)
+    x = table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_returnflag",
+        F.unix_timestamp("l_shipdate").alias("started"),
+    )
+    state = (
+        F.when(F.col("l_returnflag") == "R", S.FAILED)
+        .when(F.col("l_returnflag") == "A", S.COMPLETED)
+        .otherwise(S.RUNNING)
+    )
     return x.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "started").alias("execution_id"),
         F.col("l_orderkey").cast("string").alias("task_id"),
@@ -42,7 +66,11 @@ def executions(spark, d):
 
 
 def interval_seconds(spark, d):
-    x = table(spark, d, "events").select("event_id", (F.col("event_id") % 90).alias("value"), F.element_at(F.array(*map(F.lit, "smhdx")), (F.col("event_id") % 5 + 1).cast("int")).alias("unit"))
+    x = table(spark, d, "events").select(
+        "event_id",
+        (F.col("event_id") % 90).alias("value"),
+        F.element_at(F.array(*map(F.lit, "smhdx")), (F.col("event_id") % 5 + 1).cast("int")).alias("unit"),
+    )
     return x.select("event_id", S.interval_seconds(F.col("value"), F.col("unit")).alias("seconds"))
 
 
@@ -52,11 +80,18 @@ def task_valid(spark, d):
 
 
 def task_typed(spark, d):
-    return S.typed(tasks(spark, d)).select("task_id", "config.connector", F.coalesce("config.max_results", F.lit(-1)).alias("max_results"))
+    return S.typed(tasks(spark, d)).select(
+        "task_id",
+        "config.connector",
+        F.coalesce("config.max_results", F.lit(-1)).alias("max_results"),
+    )
 
 
 def task_next(spark, d):
-    return S.scheduled(tasks(spark, d), executions(spark, d), AS_OF).select("task_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("last", "next")])
+    return S.scheduled(tasks(spark, d), executions(spark, d), AS_OF).select(
+        "task_id",
+        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("last", "next")],
+    )
 
 
 def task_due(spark, d):
@@ -78,7 +113,11 @@ def task_retries(spark, d):
 
 
 def task_timeouts(spark, d):
-    return S.timed_out(tasks(spark, d), executions(spark, d), AS_OF).groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("finished"), F.lit(-1)).alias("finished"))
+    return (
+        S.timed_out(tasks(spark, d), executions(spark, d), AS_OF)
+        .groupBy("status", "error")
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("finished"), F.lit(-1)).alias("finished"))
+    )
 
 
 def task_history(spark, d):
@@ -87,12 +126,19 @@ def task_history(spark, d):
 
 def task_replaced(spark, d):
     t = tasks(spark, d)
-    new = t.where("task_id % 3 = 0").withColumn("name", F.lit("new")).unionByName(t.where("task_id = '1'").withColumn("task_id", F.lit("added")))
+    new = (
+        t.where("task_id % 3 = 0")
+        .withColumn("name", F.lit("new"))
+        .unionByName(t.where("task_id = '1'").withColumn("task_id", F.lit("added")))
+    )
     kept = S.removed(t, t.where("task_id % 5 = 0"), "task_id")
     return S.replaced(kept, new, "task_id").select("task_id", "name")
 
 
-QUERIES = {f.__name__: f for f in (interval_seconds, task_valid, task_typed, task_next, task_due, task_admitted, task_status, task_retries, task_timeouts, task_history, task_replaced)}
+QUERIES = {
+    f.__name__: f
+    for f in (interval_seconds, task_valid, task_typed, task_next, task_due, task_admitted, task_status, task_retries, task_timeouts, task_history, task_replaced)
+}
 
 _TASKS = """WITH t AS (
   SELECT o_orderkey::VARCHAR AS task_id, CASE WHEN o_orderkey % 13 <> 0 THEN 'task ' || o_orderkey END AS name,

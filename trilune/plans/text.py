@@ -14,7 +14,11 @@ def docs(spark, d):
 
 
 def normalize(spark, d):
-    return docs(spark, d).select("doc_id", T.normalize_text(F.col("text")).alias("normalized"), T.normalize_text(F.col("text"), remove_punctuation=True).alias("bare"))
+    return docs(spark, d).select(
+        "doc_id",
+        T.normalize_text(F.col("text")).alias("normalized"),
+        T.normalize_text(F.col("text"), remove_punctuation=True).alias("bare"),
+    )
 
 
 def clean(spark, d):
@@ -28,12 +32,20 @@ def token_freq(spark, d):
 
 def stopwords(spark, d):
     k = lambda lang: F.size(T.remove_stopwords(T.tokenize(F.col("text")), lang))
-    return docs(spark, d).select("doc_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("n_tokens"), k("en").cast("long").alias("n_en"), k("fr").cast("long").alias("n_fr"))
+    return docs(spark, d).select(
+        "doc_id",
+        F.size(T.tokenize(F.col("text"))).cast("long").alias("n_tokens"),
+        k("en").cast("long").alias("n_en"),
+        k("fr").cast("long").alias("n_fr"),
+    )
 
 
 def type_token_ratio(spark, d):
     t = T.tokenize(F.col("text"))
-    return docs(spark, d).select("doc_id", F.round(F.coalesce(F.try_divide(F.size(F.array_distinct(t)), F.size(t)), F.lit(0.0)), 6).alias("ttr"))
+    return docs(spark, d).select(
+        "doc_id",
+        F.round(F.coalesce(F.try_divide(F.size(F.array_distinct(t)), F.size(t)), F.lit(0.0)), 6).alias("ttr"),
+    )
 
 
 def truncate(spark, d):
@@ -47,21 +59,37 @@ def accents(spark, d):
 
 def similarity(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return p.select("p_partkey", F.round(T.string_similarity(F.col("p_name"), F.col("p_type")), 6).alias("name_type"), F.round(T.string_similarity(F.col("p_brand"), F.col("p_type")), 6).alias("brand_type"))
+    return p.select(
+        "p_partkey",
+        F.round(T.string_similarity(F.col("p_name"), F.col("p_type")), 6).alias("name_type"),
+        F.round(T.string_similarity(F.col("p_brand"), F.col("p_type")), 6).alias("brand_type"),
+    )
 
 
 def lang_heuristic(spark, d):
     x = docs(spark, d).select("lang", T.heuristic_language(F.col("text")).alias("guess"))
-    return x.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("n"), F.first(T.language_name(F.col("guess"))).alias("name"))
+    return x.groupBy("lang", "guess").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.first(T.language_name(F.col("guess"))).alias("name"),
+    )
 
 
 def filter_language(spark, d):
-    return docs(spark, d).where(T.heuristic_language(F.col("text")) == "en").select("doc_id", F.col("lang").isin("zh", "fr", "en").alias("supported"))
+    return (
+        docs(spark, d)
+        .where(T.heuristic_language(F.col("text")) == "en")
+        .select("doc_id", F.col("lang").isin("zh", "fr", "en").alias("supported"))
+    )
 
 
 def sentence_split(spark, d):
     s = T.sentences(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.try_element_at(s, F.lit(1)).alias("first"), F.try_element_at(s, F.lit(-1)).alias("last"))
+    return docs(spark, d).select(
+        "doc_id",
+        F.size(s).cast("long").alias("n_sentences"),
+        F.try_element_at(s, F.lit(1)).alias("first"),
+        F.try_element_at(s, F.lit(-1)).alias("last"),
+    )
 
 
 def sentence_alignment(spark, d):
@@ -69,33 +97,75 @@ def sentence_alignment(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy("doc_id")
-    after = docs(spark, d).select("doc_id", "source").withColumn("next", F.lead("doc_id").over(w)).where("next is not null").select("doc_id", "next")
+    after = (
+        docs(spark, d)
+        .select("doc_id", "source")
+        .withColumn("next", F.lead("doc_id").over(w))
+        .where("next is not null")
+        .select("doc_id", "next")
+    )
     s = docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
-    x = after.join(s, "doc_id").join(s.select(F.col("doc_id").alias("next"), F.col("s").alias("t")), "next").where(F.size("t") > 0)
+    x = (
+        after.join(s, "doc_id")
+        .join(s.select(F.col("doc_id").alias("next"), F.col("s").alias("t")), "next")
+        .where(F.size("t") > 0)
+    )
     x = x.withColumn("r", F.size("t") / F.size("s")).select("doc_id", "t", "r", F.posexplode("s").alias("i", "src"))
     lo, hi = F.floor(F.col("i") * F.col("r")).cast("int"), F.least(F.floor((F.col("i") + 1) * F.col("r")).cast("int"), F.size("t"))
     x = x.withColumn("lo", lo).withColumn("hi", hi)
-    return x.select("doc_id", F.col("i").cast("long").alias("i"), F.array_join(F.slice("t", F.col("lo") + 1, F.greatest(F.col("hi") - F.col("lo"), F.lit(0))), " ").alias("target"), F.when(F.col("hi") == F.col("lo") + 1, "1-1").otherwise("1-n").alias("kind"))
+    return x.select(
+        "doc_id",
+        F.col("i").cast("long").alias("i"),
+        F.array_join(F.slice("t", F.col("lo") + 1, F.greatest(F.col("hi") - F.col("lo"), F.lit(0))), " ").alias(
+            "target",
+        ),
+        F.when(F.col("hi") == F.col("lo") + 1, "1-1").otherwise("1-n").alias("kind"),
+    )
 
 
 def text_scores(spark, d):
     """Per document: quality of a processed text, and its parts."""
     c = F.col("text")
     words, sents = F.size(T.tokenize(c)), F.size(T.sentences(c))
-    q = 0.3 * F.least(F.length(c) / 1000, F.lit(1.0)) + 0.25 * F.least(F.coalesce(F.try_divide(words, sents), F.lit(0.0)) / 20, F.lit(1.0)) + 0.2 * F.lit(1.0)
-    compression = F.coalesce(F.try_divide(F.length(T.normalize_text(c, normalize_unicode=False)), F.length(c)), F.lit(0.0))
-    return docs(spark, d).select("doc_id", words.cast("long").alias("n_words"), sents.cast("long").alias("n_sentences"), F.round(F.least(q, F.lit(1.0)), 6).alias("quality"), F.round(compression, 6).alias("compression"))
+    q = (
+        0.3 * F.least(F.length(c) / 1000, F.lit(1.0))
+        + 0.25 * F.least(F.coalesce(F.try_divide(words, sents), F.lit(0.0)) / 20, F.lit(1.0))
+        + 0.2 * F.lit(1.0)
+    )
+    compression = F.coalesce(
+        F.try_divide(F.length(T.normalize_text(c, normalize_unicode=False)), F.length(c)),
+        F.lit(0.0),
+    )
+    return docs(spark, d).select(
+        "doc_id",
+        words.cast("long").alias("n_words"),
+        sents.cast("long").alias("n_sentences"),
+        F.round(F.least(q, F.lit(1.0)), 6).alias("quality"),
+        F.round(compression, 6).alias("compression"),
+    )
 
 
 def html_to_text(spark, d):
     """Visible text of pages: scripts and styles dropped, tags cut, entities decoded, blank lines removed."""
     h = F.col("html")
     title = T.collapse_ends(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    body = F.regexp_replace(F.regexp_replace(h, r"(?is)<script.*?</script>|<style.*?</style>", ""), r"(?s)<[^>]+>", "\n")
+    body = F.regexp_replace(
+        F.regexp_replace(h, r"(?is)<script.*?</script>|<style.*?</style>", ""),
+        r"(?s)<[^>]+>",
+        "\n",
+    )
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")):
         body = F.replace(body, F.lit(a), F.lit(b))
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
-    return table(spark, d, "pages").select("page_id", F.substring(F.md5(F.concat(F.lit("url_"), "url").cast("binary")), 1, 16).alias("doc_id"), title.alias("title"), F.array_join(lines, "\n").alias("text"))
+    lines = F.filter(
+        F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")),
+        lambda x: x != "",
+    )
+    return table(spark, d, "pages").select(
+        "page_id",
+        F.substring(F.md5(F.concat(F.lit("url_"), "url").cast("binary")), 1, 16).alias("doc_id"),
+        title.alias("title"),
+        F.array_join(lines, "\n").alias("text"),
+    )
 
 
 # Patterns of entities, with their confidence.
@@ -107,17 +177,37 @@ ENTITY_PATTERNS = [
 
 
 def regex_entities(spark, d):
-    rows = docs(spark, d).select("doc_id", "text").unionByName(table(spark, d, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.col("html").alias("text")))
+    rows = (
+        docs(spark, d)
+        .select("doc_id", "text")
+        .unionByName(
+            table(spark, d, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.col("html").alias("text")),
+        )
+    )
     as_rows = lambda n, c: lambda m: F.struct(F.lit(n).alias("label"), m.alias("match"), F.lit(c).alias("confidence"))
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), as_rows(n, c)) for n, p, c in ENTITY_PATTERNS]))
-    return rows.select("doc_id", F.inline(found)).groupBy("doc_id", "label", "match", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    found = F.flatten(
+        F.array(
+            *[
+                F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), as_rows(n, c))
+                for n, p, c in ENTITY_PATTERNS
+            ],
+        ),
+    )
+    return (
+        rows.select("doc_id", F.inline(found))
+        .groupBy("doc_id", "label", "match", "confidence")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def metadata(spark, d):
     """Title, identifiers and citations read out of each text."""
     t = F.col("text")
     lines = F.transform(F.slice(F.split(t, "\n"), 1, 5), T.collapse_ends)
-    title = F.try_element_at(F.filter(lines, lambda x: (F.length(x) > 5) & (F.length(x) < 200) & ~x.rlike(r"[.!?。！？]$")), F.lit(1))
+    title = F.try_element_at(
+        F.filter(lines, lambda x: (F.length(x) > 5) & (F.length(x) < 200) & ~x.rlike(r"[.!?。！？]$")),
+        F.lit(1),
+    )
     urls = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY_PATTERNS[1][1]), F.lit(0)))
     cites = F.array_distinct(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in P.CITATIONS]))
     date = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
@@ -137,27 +227,57 @@ def sections(spark, d):
     tidy = lambda a, n: F.array_distinct(F.filter(F.transform(a, T.collapse_ends), lambda x: F.length(x) > n))
     authors = tidy(split(many(*P.AUTHORS), P.AUTHOR_ENDS), 0)
     keywords = tidy(split(many(*P.KEYWORDS), P.KEYWORD_ENDS), 1)
-    return docs(spark, d).select("doc_id", F.array_join(F.array_sort(authors), "|").alias("authors"), F.array_join(F.array_sort(keywords), "|").alias("keywords"))
+    return docs(spark, d).select(
+        "doc_id",
+        F.array_join(F.array_sort(authors), "|").alias("authors"),
+        F.array_join(F.array_sort(keywords), "|").alias("keywords"),
+    )
 
 
 def prepared_corpus(spark, d):
     """Trimmed and cleaned texts with a language, none empty."""
-    x = docs(spark, d).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("doc")).alias("doc_id"), T.clean_text(F.trim("text")).alias("text"), F.coalesce("lang", T.heuristic_language(F.col("text")), F.lit("en")).alias("language"))
+    x = docs(spark, d).select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("doc")).alias("doc_id"),
+        T.clean_text(F.trim("text")).alias("text"),
+        F.coalesce("lang", T.heuristic_language(F.col("text")), F.lit("en")).alias("language"),
+    )
     return x.where(F.col("text") != "")
 
 
 _TOK = r"regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\p{L}\p{N}_]+')"
-_SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda s: trim(s, e' \n\t\r')), lambda s: s <> '')"
+_SENT = (
+    r"list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda s: trim(s, e' \n\t\r')),"
+    r" lambda s: s <> '')"
+)
 _IN = lambda lang: ", ".join(f"'{w}'" for w in T.STOPWORDS[lang])
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 QUERIES = {
-    "text_normalize": normalize, "text_clean": clean, "token_freq": token_freq, "stopword_counts": stopwords, "type_token_ratio": type_token_ratio, "truncate_modes": truncate,
-    "remove_accents": accents, "string_similarity": similarity, "lang_heuristic": lang_heuristic, "filter_language": filter_language, "sentence_split": sentence_split,
-    "sentence_alignment": sentence_alignment, "text_scores": text_scores, "html_to_text": html_to_text, "regex_entities": regex_entities, "metadata_extract": metadata, "authors_keywords": sections, "prepared_corpus": prepared_corpus,
-}
+    "text_normalize": normalize,
+    "text_clean": clean,
+    "token_freq": token_freq,
+    "stopword_counts": stopwords,
+    "type_token_ratio": type_token_ratio,
+    "truncate_modes": truncate,
+    "remove_accents": accents,
+    "string_similarity": similarity,
+    "lang_heuristic": lang_heuristic,
+    "filter_language": filter_language,
+    "sentence_split": sentence_split,
+    "sentence_alignment": sentence_alignment,
+    "text_scores": text_scores,
+    "html_to_text": html_to_text,
+    "regex_entities": regex_entities,
+    "metadata_extract": metadata,
+    "authors_keywords": sections,
+    "prepared_corpus": prepared_corpus,
+}
 
-_CLEAN = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, 'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+', '', 'g'), '<[^>]+>', '', 'g'), '\S+@\S+', '', 'g'), '\n+', ' ', 'g'), '\s+', ' ', 'g')))"
+_CLEAN = (
+    r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({},"
+    r" 'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+', '', 'g'), '<[^>]+>', '',"
+    r" 'g'), '\S+@\S+', '', 'g'), '\n+', ' ', 'g'), '\s+', ' ', 'g')))"
+)
 
 SQL = {
     "text_normalize": rf"SELECT doc_id, {_NORM.format('lower(text)')} AS normalized, {_NORM.format(r'''regexp_replace(lower(text), '[!-/:-@\[-`{-~]', ' ', 'g')''')} AS bare FROM documents",

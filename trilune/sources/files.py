@@ -32,9 +32,17 @@ def read_delimited(spark: SparkSession, path: str, schema, sep: str = "\t", head
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """query_id, doc_id, relevance of lines with exactly four fields and a whole number; of repeated pairs the last line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("f"),
+        F.monotonically_increasing_id().alias("n"),
+    )
     f = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(F.size(f) == 4).select(f[0].alias("query_id"), f[2].alias("doc_id"), f[3].try_cast("int").alias("relevance"), "f", "n").where("relevance is not null")
+    rows = (
+        lines.where(F.size(f) == 4)
+        .select(f[0].alias("query_id"), f[2].alias("doc_id"), f[3].try_cast("int").alias("relevance"), "f", "n")
+        .where("relevance is not null")
+    )
     last = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("f"), F.desc("n")))
     return rows.withColumn("_n", last).where("_n = 1").select("query_id", "doc_id", "relevance")
 
@@ -43,7 +51,12 @@ def read_run(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """query_id, rank, doc_id, score of a JSON array or JSON lines of {query_id, query, results: [{doc_id, score}]}."""
     schema = "query_id string, query string, results array<struct<doc_id: string, score: double>>"
     df = spark.read.schema(schema).option("multiLine", not lines).json(path)
-    return df.select("query_id", F.posexplode("results").alias("i", "r")).select("query_id", (F.col("i") + 1).alias("rank"), "r.doc_id", "r.score")
+    return df.select("query_id", F.posexplode("results").alias("i", "r")).select(
+        "query_id",
+        (F.col("i") + 1).alias("rank"),
+        "r.doc_id",
+        "r.score",
+    )
 
 
 def read_alignments(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
@@ -52,7 +65,11 @@ def read_alignments(spark: SparkSession, path: str, header: bool = False) -> Dat
     lines = spark.read.text(path)
     if header:
         lines = lines.where(~F.col("value").startswith("entity") & ~F.col("value").startswith("e1"))
-    rows = lines.where(F.size(f) >= 3).select(f[0].alias("e1"), f[1].alias("e2"), f[2].try_cast("double").alias("confidence"))
+    rows = lines.where(F.size(f) >= 3).select(
+        f[0].alias("e1"),
+        f[1].alias("e2"),
+        f[2].try_cast("double").alias("confidence"),
+    )
     return rows.where("confidence is not null")
 
 
@@ -60,7 +77,11 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of an exported graph; ends may be called source and target or subject and object."""
     entity = "struct<id: string, name: string, type: string, language: string, description: string, aliases: array<string>>"
     relation = "struct<source: string, target: string, subject: string, object: string, type: string, confidence: double>"
-    df = spark.read.schema(f"entities array<{entity}>, relations array<{relation}>").option("multiLine", True).json(path)
+    df = (
+        spark.read.schema(f"entities array<{entity}>, relations array<{relation}>")
+        .option("multiLine", True)
+        .json(path)
+    )
     e = df.select(F.posexplode("entities").alias("ord", "e")).select("e.*", F.col("ord").cast("long"))
     r = df.select(F.posexplode("relations").alias("ord", "r"))
     return e, r.select(F.coalesce("r.source", "r.subject").alias("src"), F.coalesce("r.target", "r.object").alias("dst"), F.col("r.type").alias("rel"), F.coalesce("r.confidence", F.lit(1.0)).alias("confidence"), F.col("ord").cast("long"))
@@ -68,9 +89,22 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_graph(entities: DataFrame, relations: DataFrame, path: str, base: str) -> None:
     """One JSON document, for graphs of a size to be read as one; larger ones are two tables."""
-    e = entities.agg(F.sort_array(F.collect_list(F.struct("id", "name", "type", "language", "description", "aliases"))).alias("entities"))
-    r = relations.agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("type"), "confidence"))).alias("relations"))
-    e.crossJoin(F.broadcast(r)).select(F.lit("1.0").alias("version"), F.lit(base).alias("base_uri"), "entities", "relations").coalesce(1).write.json(path)
+    e = entities.agg(
+        F.sort_array(F.collect_list(F.struct("id", "name", "type", "language", "description", "aliases"))).alias(
+            "entities",
+        ),
+    )
+    r = relations.agg(
+        F.sort_array(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("type"), "confidence"))).alias(
+            "relations",
+        ),
+    )
+    (
+        e.crossJoin(F.broadcast(r))
+        .select(F.lit("1.0").alias("version"), F.lit(base).alias("base_uri"), "entities", "relations")
+        .coalesce(1).write
+        .json(path)
+    )
 
 
 def _docx(data: bytes) -> str:
@@ -123,7 +157,11 @@ def _plain(data: bytes) -> str:
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {"txt": _plain, "csv": _plain, "md": _plain, "docx": _docx, "json": lambda b: " ".join(_leaves(json.loads(b))), "jsonl": _jsonl}
 
 
-def read_documents(spark: SparkSession, path: str, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def read_documents(
+    spark: SparkSession,
+    path: str,
+    extractors: dict[str, Callable[[bytes], str]] | None = None,
+) -> DataFrame:
     """filename, size, file_type, checksum, doc_id, text, error of files by extension; unknown and empty ones have an error."""
     known = {**EXTRACTORS, **(extractors or {})}
 
@@ -142,7 +180,13 @@ def read_documents(spark: SparkSession, path: str, extractors: dict[str, Callabl
 
     name = F.element_at(F.split("path", "/"), -1)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    df = df.select(name.alias("filename"), F.col("length").alias("size"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_type"), F.md5("content").alias("checksum"), "content")
+    df = df.select(
+        name.alias("filename"),
+        F.col("length").alias("size"),
+        F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_type"),
+        F.md5("content").alias("checksum"),
+        "content",
+    )
     df = df.withColumn("doc_id", F.substring(F.md5(F.concat_ws("_", "filename", "checksum").cast("binary")), 1, 16))
     schema = "filename string, size long, file_type string, checksum string, doc_id string, text string, error string"
     return df.select("filename", "size", "file_type", "checksum", "doc_id", "content").mapInPandas(extract, schema)
@@ -150,20 +194,43 @@ def read_documents(spark: SparkSession, path: str, extractors: dict[str, Callabl
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Records of a bibliographic XML file with rows <PubmedArticle>; those without id or title are left out."""
-    schema = "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: string>, AuthorList: struct<Author: array<struct<ForeName: string, LastName: string>>>, Journal: struct<JournalIssue: struct<PubDate: struct<Year: string>>>>>"
-    df = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path).select("MedlineCitation.PMID", "MedlineCitation.Article.*")
+    schema = (
+        "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string,"
+        " Abstract: struct<AbstractText: string>, AuthorList: struct<Author: array<struct<ForeName: string,"
+        " LastName: string>>>, Journal: struct<JournalIssue: struct<PubDate: struct<Year: string>>>>>"
+    )
+    df = (
+        spark.read.format("xml")
+        .option("rowTag", "PubmedArticle")
+        .schema(schema)
+        .load(path)
+        .select("MedlineCitation.PMID", "MedlineCitation.Article.*")
+    )
     tidy = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\s+", " "))
     return df.where("PMID is not null and ArticleTitle is not null").select(
-        F.concat(F.lit("pubmed_"), "PMID").alias("id"), tidy(F.col("ArticleTitle")).alias("title"), F.transform("AuthorList.Author", lambda a: F.concat_ws(" ", a["ForeName"], a["LastName"])).alias("authors"),
-        tidy(F.col("Abstract.AbstractText")).alias("content"), F.col("Journal.JournalIssue.PubDate.Year").alias("publish_date"), F.lit("en").alias("language"),
-    )
-
-
-def merged(sources: list[tuple[str, DataFrame]], per_source: int | None, most: int | None, title: str = "title") -> DataFrame:
+        F.concat(F.lit("pubmed_"), "PMID").alias("id"),
+        tidy(F.col("ArticleTitle")).alias("title"),
+        F.transform("AuthorList.Author", lambda a: F.concat_ws(" ", a["ForeName"], a["LastName"])).alias("authors"),
+        tidy(F.col("Abstract.AbstractText")).alias("content"),
+        F.col("Journal.JournalIssue.PubDate.Year").alias("publish_date"),
+        F.lit("en").alias("language"),
+    )
+
+
+def merged(
+    sources: list[tuple[str, DataFrame]],
+    per_source: int | None,
+    most: int | None,
+    title: str = "title",
+) -> DataFrame:
     """A federated search: at most per_source rows of each, of equal trimmed lower-cased titles the first in order of sources, at most `most` in all; None is no limit."""
     out = None
     for i, (name, df) in enumerate(sources):
-        x = (df if per_source is None else df.limit(per_source)).withColumn("source", F.lit(name)).withColumn("_s", F.lit(i))
+        x = (
+            (df if per_source is None else df.limit(per_source))
+            .withColumn("source", F.lit(name))
+            .withColumn("_s", F.lit(i))
+        )
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy(F.lower(F.trim(title))).orderBy("_s", title))
     out = out.withColumn("_n", first).where("_n = 1").orderBy("_s", title)

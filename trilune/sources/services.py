@@ -35,60 +35,193 @@ def _record(**columns) -> list[Column]:
         value = value if isinstance(value, Column) else F.lit(value)
         if name in ("authors", "keywords"):
             value = _list(value if name in columns else F.lit(None).cast("array<string>"))
-        out.append((value if name in columns or name in ("authors", "keywords") else F.lit(None)).cast("map<string,string>" if kind == "map" else kind).alias(name))
+        out.append(
+            (
+                (value if name in columns or name in ("authors", "keywords") else F.lit(None))
+                .cast("map<string,string>" if kind == "map" else kind)
+                .alias(name)
+            ),
+        )
     return out
 
 
 def _ieee() -> list[Column]:
     words = F.col("index_terms.ieee_terms.terms")
-    return _record(id=F.concat(F.lit("ieee_"), _text("article_number")), title=_text("title"), authors=F.col("authors.authors"), abstract=_text("abstract"), content=_text("abstract"), source="IEEE Xplore", url=_text("pdf_url"), doi=_text("doi"), publish_date=_text("publication_date"), language="en", keywords=words, category=_text("publication_title"))
+    return _record(
+        id=F.concat(F.lit("ieee_"), _text("article_number")),
+        title=_text("title"),
+        authors=F.col("authors.authors"),
+        abstract=_text("abstract"),
+        content=_text("abstract"),
+        source="IEEE Xplore",
+        url=_text("pdf_url"),
+        doi=_text("doi"),
+        publish_date=_text("publication_date"),
+        language="en",
+        keywords=words,
+        category=_text("publication_title"),
+    )
 
 
 def _arxiv() -> list[Column]:
     key = F.element_at(F.split("entry_id", "/"), -1)
-    return _record(id=F.concat(F.lit("arxiv_"), key), title=F.col("title"), authors=F.col("authors"), abstract=F.col("summary"), content=F.col("summary"), source="arXiv", url=F.col("entry_id"), doi=F.col("doi"), publish_date=F.date_format(F.try_to_timestamp("published"), "yyyy-MM-dd"), language="en", category=F.col("primary_category"))
+    return _record(
+        id=F.concat(F.lit("arxiv_"), key),
+        title=F.col("title"),
+        authors=F.col("authors"),
+        abstract=F.col("summary"),
+        content=F.col("summary"),
+        source="arXiv",
+        url=F.col("entry_id"),
+        doi=F.col("doi"),
+        publish_date=F.date_format(F.try_to_timestamp("published"), "yyyy-MM-dd"),
+        language="en",
+        category=F.col("primary_category"),
+    )
 
 
 def _scholar() -> list[Column]:
     names = F.transform(F.split(F.col("bib.author"), " and "), lambda a: F.trim(a))
     said = F.coalesce("bib.abstract", F.lit(""))
-    return _record(id=F.concat(F.lit("gscholar_"), F.md5(_text("pub_url").cast("binary"))), title=F.coalesce("bib.title", F.lit("")), authors=names, abstract=said, content=said, source="Google Scholar", url=_text("pub_url"), doi=F.coalesce("bib.doi", F.lit("")), publish_date=F.col("bib.pub_year"), language="en", category=F.coalesce("bib.venue", F.lit("")))
+    return _record(
+        id=F.concat(F.lit("gscholar_"), F.md5(_text("pub_url").cast("binary"))),
+        title=F.coalesce("bib.title", F.lit("")),
+        authors=names,
+        abstract=said,
+        content=said,
+        source="Google Scholar",
+        url=_text("pub_url"),
+        doi=F.coalesce("bib.doi", F.lit("")),
+        publish_date=F.col("bib.pub_year"),
+        language="en",
+        category=F.coalesce("bib.venue", F.lit("")),
+    )
 
 
 def _hugging_face() -> list[Column]:
-    facts = _facts(downloads=F.coalesce("downloads", F.lit(0)), likes=F.coalesce("likes", F.lit(0)), last_modified=F.col("lastModified"))
-    return _record(id=F.concat(F.lit("hf_"), "id"), title=F.col("id"), abstract=_text("description"), content=_text("description"), source="HuggingFace", url=F.concat(F.lit("https://huggingface.co/datasets/"), "id"), keywords=F.col("tags"), category=F.array_join(_list(F.col("task_categories")), ", "), metadata=facts)
+    facts = _facts(
+        downloads=F.coalesce("downloads", F.lit(0)),
+        likes=F.coalesce("likes", F.lit(0)),
+        last_modified=F.col("lastModified"),
+    )
+    return _record(
+        id=F.concat(F.lit("hf_"), "id"),
+        title=F.col("id"),
+        abstract=_text("description"),
+        content=_text("description"),
+        source="HuggingFace",
+        url=F.concat(F.lit("https://huggingface.co/datasets/"), "id"),
+        keywords=F.col("tags"),
+        category=F.array_join(_list(F.col("task_categories")), ", "),
+        metadata=facts,
+    )
 
 
 def _hugging_face_info() -> list[Column]:
-    facts = _facts(features=F.col("features"), splits=F.array_join("splits", ","), download_size=F.col("download_size"), dataset_size=F.col("dataset_size"))
+    facts = _facts(
+        features=F.col("features"),
+        splits=F.array_join("splits", ","),
+        download_size=F.col("download_size"),
+        dataset_size=F.col("dataset_size"),
+    )
     cited = F.when(F.coalesce("citation", F.lit("")) != "", F.array(F.split("citation", "\n")[0]))
-    return _record(id=F.concat(F.lit("hf_"), "id"), title=F.col("builder_name"), authors=cited, abstract=F.col("description"), content=F.col("description"), source="HuggingFace", url=F.concat(F.lit("https://huggingface.co/datasets/"), "id"), keywords=F.col("tags"), metadata=facts)
+    return _record(
+        id=F.concat(F.lit("hf_"), "id"),
+        title=F.col("builder_name"),
+        authors=cited,
+        abstract=F.col("description"),
+        content=F.col("description"),
+        source="HuggingFace",
+        url=F.concat(F.lit("https://huggingface.co/datasets/"), "id"),
+        keywords=F.col("tags"),
+        metadata=facts,
+    )
 
 
 def _kaggle() -> list[Column]:
-    facts = _facts(ref=F.col("ref"), size=F.col("size"), last_updated=F.col("lastUpdated"), download_count=F.col("totalDownloads"), vote_count=F.col("usabilityRating"))
-    return _record(id=F.concat(F.lit("kaggle_"), "ref"), title=F.col("title"), authors=F.array("author"), abstract=_text("subtitle"), content=_text("subtitle"), source="Kaggle", url=F.concat(F.lit("https://www.kaggle.com/"), "ref"), keywords=F.col("tags"), category="Dataset", metadata=facts)
+    facts = _facts(
+        ref=F.col("ref"),
+        size=F.col("size"),
+        last_updated=F.col("lastUpdated"),
+        download_count=F.col("totalDownloads"),
+        vote_count=F.col("usabilityRating"),
+    )
+    return _record(
+        id=F.concat(F.lit("kaggle_"), "ref"),
+        title=F.col("title"),
+        authors=F.array("author"),
+        abstract=_text("subtitle"),
+        content=_text("subtitle"),
+        source="Kaggle",
+        url=F.concat(F.lit("https://www.kaggle.com/"), "ref"),
+        keywords=F.col("tags"),
+        category="Dataset",
+        metadata=facts,
+    )
 
 
 def _marc() -> list[Column]:
     sub = lambda tag: F.coalesce(F.element_at(F.filter("fields", lambda f: f["tag"] == tag), 1)["a"], F.lit(""))
-    author = F.when(F.try_element_at(F.filter("fields", lambda f: f["tag"] == "100"), F.lit(1)).isNotNull() & (sub("100") != ""), F.array(sub("100")))
-    return _record(id=F.concat(F.lit("z3950_"), "number"), title=sub("245"), authors=author, abstract="", content="", source=F.col("library"))
+    author = F.when(
+        F.try_element_at(F.filter("fields", lambda f: f["tag"] == "100"), F.lit(1)).isNotNull() & (sub("100") != ""),
+        F.array(sub("100")),
+    )
+    return _record(
+        id=F.concat(F.lit("z3950_"), "number"),
+        title=sub("245"),
+        authors=author,
+        abstract="",
+        content="",
+        source=F.col("library"),
+    )
 
 
 def _twitter() -> list[Column]:
-    facts = _facts(retweet_count=F.col("retweet_count"), like_count=F.col("favorite_count"), user_followers=F.col("user.followers_count"))
+    facts = _facts(
+        retweet_count=F.col("retweet_count"),
+        like_count=F.col("favorite_count"),
+        user_followers=F.col("user.followers_count"),
+    )
     day = F.date_format(F.try_to_timestamp("created_at"), "yyyy-MM-dd")
     link = F.concat(F.lit("https://twitter.com/"), "user.screen_name", F.lit("/status/"), "id")
-    return _record(id=F.concat(F.lit("twitter_"), "id"), title="", authors=F.array("user.screen_name"), abstract=F.substring("full_text", 1, 500), content=F.col("full_text"), source="Twitter", url=link, publish_date=day, language=F.col("lang"), category="Social Media", metadata=facts)
+    return _record(
+        id=F.concat(F.lit("twitter_"), "id"),
+        title="",
+        authors=F.array("user.screen_name"),
+        abstract=F.substring("full_text", 1, 500),
+        content=F.col("full_text"),
+        source="Twitter",
+        url=link,
+        publish_date=day,
+        language=F.col("lang"),
+        category="Social Media",
+        metadata=facts,
+    )
 
 
 def _reddit() -> list[Column]:
-    facts = _facts(subreddit=F.col("subreddit"), score=F.col("score"), num_comments=F.col("num_comments"), upvote_ratio=F.col("upvote_ratio"))
+    facts = _facts(
+        subreddit=F.col("subreddit"),
+        score=F.col("score"),
+        num_comments=F.col("num_comments"),
+        upvote_ratio=F.col("upvote_ratio"),
+    )
     flair = F.filter(F.split(F.col("link_flair_text"), r"\s+"), lambda w: w != "")
     day = F.date_format(F.timestamp_seconds(F.col("created_utc")), "yyyy-MM-dd")
-    return _record(id=F.concat(F.lit("reddit_"), "id"), title=F.col("title"), authors=F.array("author"), abstract=F.substring(_text("selftext"), 1, 500), content=F.col("selftext"), source="Reddit", url=F.col("url"), publish_date=day, language="en", keywords=flair, category="Social Media", metadata=facts)
+    return _record(
+        id=F.concat(F.lit("reddit_"), "id"),
+        title=F.col("title"),
+        authors=F.array("author"),
+        abstract=F.substring(_text("selftext"), 1, 500),
+        content=F.col("selftext"),
+        source="Reddit",
+        url=F.col("url"),
+        publish_date=day,
+        language="en",
+        keywords=flair,
+        category="Social Media",
+        metadata=facts,
+    )
 
 
 #: Of each service: the shape of an entry, and the columns of its record.
@@ -105,11 +238,22 @@ SERVICES: dict[str, tuple[str, Callable[[], list[Column]]]] = {
 }
 
 
-def read_service(spark: SparkSession, path: str, service: str, lines: bool = True, entries: str | None = None) -> DataFrame:
+def read_service(
+    spark: SparkSession,
+    path: str,
+    service: str,
+    lines: bool = True,
+    entries: str | None = None,
+) -> DataFrame:
     """Records of a service's entries: one per line, or with lines=False an array per file; `entries` names the field that holds them."""
     schema, columns = SERVICES[service]
     if entries is not None:
-        df = spark.read.schema(f"{entries} array<struct<{_colons(schema)}>>").option("multiLine", not lines).json(path).select(F.inline(entries))
+        df = (
+            spark.read.schema(f"{entries} array<struct<{_colons(schema)}>>")
+            .option("multiLine", not lines)
+            .json(path)
+            .select(F.inline(entries))
+        )
     else:
         df = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return df.select(*columns())
@@ -147,7 +291,21 @@ def sample_catalogue(spark: SparkSession, query: str, most: int = 5) -> DataFram
     """Up to five made-up records on a question, as a catalogue without an open interface gives them."""
     put = lambda table, i: table[i % len(table)].replace("{}", query)
     rows = [
-        (f"cnki_{i + 1:06d}", put(SAMPLE_TITLES, i), [put(SAMPLE_AUTHORS, i)], put(SAMPLE_ABSTRACTS, i), "", "CNKI", f"http://kns.cnki.net/kcms/detail/detail.aspx?dbcode=CJFD&dbname=CJFDLAST{i + 1}", None, f"202{i}-0{i + 1}-01", "zh", [query, "法语学习", "教学方法"], "教育学", None)
+        (
+            f"cnki_{i + 1:06d}",
+            put(SAMPLE_TITLES, i),
+            [put(SAMPLE_AUTHORS, i)],
+            put(SAMPLE_ABSTRACTS, i),
+            "",
+            "CNKI",
+            f"http://kns.cnki.net/kcms/detail/detail.aspx?dbcode=CJFD&dbname=CJFDLAST{i + 1}",
+            None,
+            f"202{i}-0{i + 1}-01",
+            "zh",
+            [query, "法语学习", "教学方法"],
+            "教育学",
+            None,
+        )
         for i in range(min(most, len(SAMPLE_TITLES)))
     ]
     return spark.createDataFrame(rows, RECORD)
@@ -156,7 +314,21 @@ def sample_catalogue(spark: SparkSession, query: str, most: int = 5) -> DataFram
 def sample_posts(spark: SparkSession, query: str, most: int = 10) -> DataFrame:
     """Up to ten made-up posts on a question."""
     rows = [
-        (f"weibo_mock_{i}", "", [f"用户{i + 1}"], f"关于{query}的微博内容{i + 1}", f"这是关于{query}的一条微博内容示例。", "微博", f"https://weibo.com/1234567890/{i}", None, "2024-01-01", "zh", [query], "Social Media", None)
+        (
+            f"weibo_mock_{i}",
+            "",
+            [f"用户{i + 1}"],
+            f"关于{query}的微博内容{i + 1}",
+            f"这是关于{query}的一条微博内容示例。",
+            "微博",
+            f"https://weibo.com/1234567890/{i}",
+            None,
+            "2024-01-01",
+            "zh",
+            [query],
+            "Social Media",
+            None,
+        )
         for i in range(min(most, 10))
     ]
     return spark.createDataFrame(rows, RECORD)

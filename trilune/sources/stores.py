@@ -15,9 +15,18 @@ TABLES = {
     ),
     "document_content": "doc_id string, text string, original_text string",
     "learners": "learner_id string, current_level string, mastery_threshold double, created_at string",
-    "concept_mastery": "learner_id string, concept_id string, attempts long, successes long, last_attempt_at string, last_success_at string",
-    "exercise_log": "id string, learner_id string, concept_id string, question_id string, difficulty double, success int, response_time double, created_at string",
-    "quality_reports": "id string, record_id string, overall_score double, issues_count long, recommendations_count long, report_data string, created_at string",
+    "concept_mastery": (
+        "learner_id string, concept_id string, attempts long, successes long, last_attempt_at string,"
+        " last_success_at string"
+    ),
+    "exercise_log": (
+        "id string, learner_id string, concept_id string, question_id string, difficulty double, success int,"
+        " response_time double, created_at string"
+    ),
+    "quality_reports": (
+        "id string, record_id string, overall_score double, issues_count long, recommendations_count long,"
+        " report_data string, created_at string"
+    ),
     "cleaning_records": "id string, record_id string, cleaning_actions string, created_at string",
     "tasks": TASKS,
     "task_executions": EXECUTIONS,
@@ -40,13 +49,19 @@ def append(rows: DataFrame, folder: str, name: str) -> None:
     unknown = set(rows.columns) - {f.name for f in fields}
     if unknown:
         raise ValueError(f"{name} has no columns {sorted(unknown)}")
-    have = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    have = [
+        F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in fields
+    ]
     rows.select(*have).write.mode("append").parquet(f"{folder}/{name}")
 
 
 def iso(seconds: Column) -> Column:
     """A time in UTC as text."""
-    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.date_format(
+        F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()),
+        "yyyy-MM-dd'T'HH:mm:ss",
+    )
 
 
 def log_exercises(rows: DataFrame, folder: str) -> None:
@@ -59,8 +74,11 @@ def mastery(log: DataFrame) -> DataFrame:
     """concept_mastery out of the log, for each learner and concept."""
     won = F.when(F.col("success") == 1, F.col("created_at"))
     return log.groupBy("learner_id", "concept_id").agg(
-        F.count(F.lit(1)).alias("attempts"), F.sum(F.col("success").cast("long")).alias("successes"), F.max("created_at").alias("last_attempt_at"), F.max(won).alias("last_success_at")
-    )
+        F.count(F.lit(1)).alias("attempts"),
+        F.sum(F.col("success").cast("long")).alias("successes"),
+        F.max("created_at").alias("last_attempt_at"),
+        F.max(won).alias("last_success_at"),
+    )
 
 
 def save_reports(assessed: DataFrame, folder: str, at: str) -> None:
@@ -68,14 +86,27 @@ def save_reports(assessed: DataFrame, folder: str, at: str) -> None:
     failed = F.size(F.filter("metrics", lambda m: ~m["passed"])).cast("long")
     report = F.to_json(F.struct("overall", "metrics", "recommendations"))
     key = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(at)).cast("binary"))
-    rows = assessed.select(key.alias("id"), F.col("id").cast("string").alias("record_id"), F.col("overall").alias("overall_score"), failed.alias("issues_count"), F.size("recommendations").cast("long").alias("recommendations_count"), report.alias("report_data"), F.lit(at).alias("created_at"))
+    rows = assessed.select(
+        key.alias("id"),
+        F.col("id").cast("string").alias("record_id"),
+        F.col("overall").alias("overall_score"),
+        failed.alias("issues_count"),
+        F.size("recommendations").cast("long").alias("recommendations_count"),
+        report.alias("report_data"),
+        F.lit(at).alias("created_at"),
+    )
     append(rows, folder, "quality_reports")
 
 
 def save_cleaning(cleaned: DataFrame, folder: str, at: str) -> None:
     """Appends which fields of records (id, actions) were cleaned, for those where any was."""
     key = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(at)).cast("binary"))
-    rows = cleaned.where(F.size("actions") > 0).select(key.alias("id"), F.col("id").cast("string").alias("record_id"), F.to_json("actions").alias("cleaning_actions"), F.lit(at).alias("created_at"))
+    rows = cleaned.where(F.size("actions") > 0).select(
+        key.alias("id"),
+        F.col("id").cast("string").alias("record_id"),
+        F.to_json("actions").alias("cleaning_actions"),
+        F.lit(at).alias("created_at"),
+    )
     append(rows, folder, "cleaning_records")
 
 
@@ -91,10 +122,16 @@ def with_content(documents: DataFrame, content: DataFrame, doc_id: str | None =
     return documents.join(content, "doc_id", "left")
 
 
-def decoded(documents: DataFrame, columns: tuple[str, ...] = ("metadata", "processing_metadata", "validation")) -> DataFrame:
+def decoded(
+    documents: DataFrame,
+    columns: tuple[str, ...] = ("metadata", "processing_metadata", "validation"),
+) -> DataFrame:
     """JSON columns as maps of texts; what is no such JSON stays as it is, under the name "raw"."""
     kind = "map<string,string>"
-    as_map = lambda c: F.coalesce(F.from_json(c, kind), F.when(F.col(c).isNotNull(), F.create_map(F.lit("raw"), F.col(c))))
+    as_map = lambda c: F.coalesce(
+        F.from_json(c, kind),
+        F.when(F.col(c).isNotNull(), F.create_map(F.lit("raw"), F.col(c))),
+    )
     return documents.withColumns({c: as_map(c) for c in columns if c in documents.columns})
 
 

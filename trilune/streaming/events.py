@@ -13,10 +13,19 @@ def event_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A stream reads a folder, and events may be one file in it.
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    df = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files)
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
+    )
     is_dir = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = is_dir.getFileSystem(spark._jsc.hadoopConfiguration())
-    source = df.parquet(path) if fs.getFileStatus(is_dir).isDirectory() else df.option("pathGlobFilter", "events.parquet").parquet(folder)
+    source = (
+        df.parquet(path)
+        if fs.getFileStatus(is_dir).isDirectory()
+        else df.option("pathGlobFilter", "events.parquet").parquet(folder)
+    )
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -31,7 +40,13 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}/rows")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = (
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(sink)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").schema(stream.schema.add("batch", "integer")).parquet(out)
 
@@ -44,12 +59,20 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
 
 def counters(stream: DataFrame) -> DataFrame:
     """Running attempts and successes per learner and concept."""
-    return stream.groupBy(F.col("user_id").alias("learner"), F.col("event_type").alias("concept")).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") >= 60).alias("successes"))
+    return stream.groupBy(F.col("user_id").alias("learner"), F.col("event_type").alias("concept")).agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.count_if(F.col("value") >= 60).alias("successes"),
+    )
 
 
 def rate_windows(stream: DataFrame, every: str = "60 seconds", late: str = "1 day") -> DataFrame:
     """Requests per key and window; windows are emitted once the watermark has passed them."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", every), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "user_id", "n")
+    return (
+        stream.withWatermark("ts", late)
+        .groupBy(F.window("ts", every), "user_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("window.start").alias("start"), "user_id", "n")
+    )
 
 
 def first_event_windows(stream: DataFrame, seconds: int = 60, limit: int = 70) -> DataFrame:
@@ -61,7 +84,11 @@ def first_event_windows(stream: DataFrame, seconds: int = 60, limit: int = 70) -
 
         opened, n = state.get if state.exists else (None, 0)
         out = []
-        times = sorted(t for pdf in frames for t in (pdf["ts"].astype("int64") // 1000 if str(pdf["ts"].dtype).endswith("[ns]") or "ns" in str(pdf["ts"].dtype) else pdf["ts"].astype("int64")))
+        times = sorted(
+            t
+            for pdf in frames
+            for t in (pdf["ts"].astype("int64") // 1000 if str(pdf["ts"].dtype).endswith("[ns]") or "ns" in str(pdf["ts"].dtype) else pdf["ts"].astype("int64"))
+        )
         for t in times:
             if opened is None or t - opened >= seconds * 1_000_000:
                 if opened is not None:
@@ -71,4 +98,10 @@ def first_event_windows(stream: DataFrame, seconds: int = 60, limit: int = 70) -
         state.update((opened, n))
         yield pd.DataFrame(out, columns=["user_id", "opened", "n", "blocked"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, opened long, n long, blocked boolean", "opened long, n long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(
+        step,
+        "user_id long, opened long, n long, blocked boolean",
+        "opened long, n long",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
