@@ -27,7 +27,10 @@ TWINS = [thue_morse(n, t) for n in (1024, 2048, 4096) for t in (False, True)]
 def twin_rows():
     """Texts that differ in one word only, of which the one's polynomial equals the other's modulo every power of two."""
     rest = " ".join(f"w{i}" for i in range(20))
-    return [(i, f"{rest[:40]} {t} {rest[41:]}") for i, t in enumerate(TWINS)] + [(i + 10, " ".join([t] * 15)) for i, t in enumerate(TWINS)]
+    return (
+        [(i, f"{rest[:40]} {t} {rest[41:]}") for i, t in enumerate(TWINS)]
+        + [(i + 10, " ".join([t] * 15)) for i, t in enumerate(TWINS)]
+    )
 
 
 def test_words_of_thue_and_morse_differ(spark):
@@ -39,9 +42,15 @@ def test_words_of_thue_and_morse_differ(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicated(docs).collect()}
     assert got == brute_dedup(rows)
     items = [(1, TWINS[0]), (2, rows[2][1]), (3, rows[-1][1])]
-    got = {r.doc_id: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in contamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {
+        r.doc_id: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+        for r in contamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
     assert got == brute_contamination(rows, items)
-    known = {r.doc_id: r.n_known for r in lm_scoring.lm_scores(docs, F.col("doc_id").isin(0, 2, 10), MODEL, rounds=0).collect()}
+    known = {
+        r.doc_id: r.n_known
+        for r in lm_scoring.lm_scores(docs, F.col("doc_id").isin(0, 2, 10), MODEL, rounds=0).collect()
+    }
     seen = {x for i, t in rows if i in (0, 2, 10) for x in t.split()}
     assert known == {i: sum(x in seen for x in t.split()) + 1 for i, t in rows}
 
@@ -60,7 +69,13 @@ def test_shards_compare_terms_as_text(monkeypatch):
     found = contamination.block([(0, "a", "one two"), (1, "b", "three")], 13)
     w = W.split(["three one", "two"], W.NOT_TERM)
     order = np.argsort(W.numbered(w), kind="stable")
-    shard = contamination.Shard(w.first.astype(np.uint32).tobytes(), np.zeros(3, np.uint64).tobytes(), W.packed(w, order), np.arange(1, 4, dtype=np.uint32).tobytes(), (np.arange(3) + w.doc)[order].astype(np.uint32).tobytes())
+    shard = contamination.Shard(
+        w.first.astype(np.uint32).tobytes(),
+        np.zeros(3, np.uint64).tobytes(),
+        W.packed(w, order),
+        np.arange(1, 4, dtype=np.uint32).tobytes(),
+        (np.arange(3) + w.doc)[order].astype(np.uint32).tobytes(),
+    )
     starts, lengths, items = shard.search(found, 0)
     assert items == [(0, 1, "b")] and starts.tolist() == [0] and lengths.tolist() == [1]
 
@@ -92,7 +107,29 @@ def test_a_word_of_a_megabyte_ends_in_seconds(spark):
     assert sum(r.n_removed for r in substring_dedup.deduplicated(docs).collect()) == 0
 
 
-CLASH = ["size", "copies", "copy", "rate", "_rate", "_source", "target", "source_size", "_text_hash", "score", "id", "part", "mark", "slice", "bucket", "kind", "n", "c0", "text_", "_size", "_copies"]
+CLASH = [
+    "size",
+    "copies",
+    "copy",
+    "rate",
+    "_rate",
+    "_source",
+    "target",
+    "source_size",
+    "_text_hash",
+    "score",
+    "id",
+    "part",
+    "mark",
+    "slice",
+    "bucket",
+    "kind",
+    "n",
+    "c0",
+    "text_",
+    "_size",
+    "_copies",
+]
 
 
 def test_columns_that_clash_are_kept(spark, data):
@@ -111,13 +148,23 @@ def test_columns_that_clash_are_kept(spark, data):
     for got in (jaccard_join.linked_components(wide), token_counts.token_counts(wide, MODEL), contamination.contamination(wide, docs.select(F.col("doc_id").alias("item_id"), "text")), lm_scoring.lm_scores(wide, F.lit(True), MODEL)):
         assert got.count() == 12
     assert language_id.languages(wide, ([], np.zeros((lattice.lattice(MODEL).size, 0))), MODEL).count() == 12
-    pages = wide.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), F.lit(1).alias("_digest"), F.lit(2).alias("archive"), F.lit("x").alias("_key"))
+    pages = wide.select(
+        F.col("doc_id").alias("page_id"),
+        F.lit("u").alias("url"),
+        F.col("text").alias("html"),
+        F.lit(1).alias("_digest"),
+        F.lit(2).alias("archive"),
+        F.lit("x").alias("_key"),
+    )
     assert warc.read(warc.write(pages)).where("intact").count() == 12
 
 
 def test_warc_holds_long_payloads_and_reads_in_many_tasks(spark):
     long = "<p>é</p>" * 200_000
-    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", None)] + [(i, "u", "x" * i) for i in range(4, 30)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [(1, "u", long), (2, "u", long), (3, "u", None)] + [(i, "u", "x" * i) for i in range(4, 30)],
+        "page_id long, url string, html string",
+    )
     index = warc.write(pages)
     got = {r.id: r for r in warc.read(index, task_bytes=100).collect()}
     assert warc.read(index, task_bytes=100).rdd.getNumPartitions() > 4
@@ -126,8 +173,14 @@ def test_warc_holds_long_payloads_and_reads_in_many_tasks(spark):
 
 
 def test_warc_without_a_broadcast(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, "u", "y" * (900 + 200 * (i % 3))) for i in range(20)] + [(None, "u", "z" * 1500), (99, None, "z" * 1500)], "page_id long, url string, html string")
-    rows = lambda: sorted((r.id or "", r.record_type, r.refers_to or "") for r in warc.read(warc.write(pages)).collect())
+    pages = spark.createDataFrame(
+        [(i, "u", "y" * (900 + 200 * (i % 3))) for i in range(20)] + [(None, "u", "z" * 1500), (99, None, "z" * 1500)],
+        "page_id long, url string, html string",
+    )
+    rows = lambda: sorted(
+        (r.id or "", r.record_type, r.refers_to or "")
+        for r in warc.read(warc.write(pages)).collect()
+    )
     want = rows()
     monkeypatch.setattr(warc, "SENT_BYTES", -1)
     assert rows() == want
@@ -142,7 +195,10 @@ def test_mixing_by_salt_and_near_targets(spark, data, monkeypatch):
         taken[r.source] += r.size * r.copies
         target[r.source] = r.target
         largest[r.source] = max(largest[r.source], r.size)
-    sizes = {r.source: r["sum(q)"] for r in mixing.mixed(docs).selectExpr("source", "size * size as q").groupBy("source").sum("q").collect()}
+    sizes = {
+        r.source: r["sum(q)"]
+        for r in mixing.mixed(docs).selectExpr("source", "size * size as q").groupBy("source").sum("q").collect()
+    }
     for s, t in target.items():
         assert abs(taken[s] - t) <= 4 * 0.5 * math.sqrt(sizes[s]) + 1  # four standard deviations of the fractional copies
     monkeypatch.setattr(mixing, "SENT_BYTES", -1)
@@ -150,7 +206,10 @@ def test_mixing_by_salt_and_near_targets(spark, data, monkeypatch):
 
 
 def test_documents_without_ids_draw_apart(spark):
-    docs = spark.createDataFrame([(None, f"a b c {i}", "s" if i % 2 else "t") for i in range(400)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame(
+        [(None, f"a b c {i}", "s" if i % 2 else "t") for i in range(400)],
+        "doc_id long, text string, source string",
+    )
     copies = Counter((r.source, r.copies) for r in mixing.mixed(docs).collect())
     assert all(sum(n for (s, _), n in copies.items() if s == x) == 200 for x in "st")
     taken = {x: sum(c * n * 4 for (s, c), n in copies.items() if s == x) for x in "st"}
@@ -180,9 +239,20 @@ def brute_pieces(lat, counts, logp):
 def test_lm_score_by_hand(spark, edge):
     import sentencepiece
 
-    texts = ["the cat sat on the mat", "The cat ate", "a dog sat", "the dog and the bird fly", None, "", "unseen words here"]
+    texts = [
+        "the cat sat on the mat",
+        "The cat ate",
+        "a dog sat",
+        "the dog and the bird fly",
+        None,
+        "",
+        "unseen words here",
+    ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, F.col("doc_id") < 4, MODEL, rounds=1, word_edge=edge).collect()}
+    got = {
+        r.doc_id: r.score
+        for r in lm_scoring.lm_scores(docs, F.col("doc_id") < 4, MODEL, rounds=1, word_edge=edge).collect()
+    }
     lat, sp = lattice.lattice(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     counts = Counter(w for t in texts[:4] for w in t.lower().encode().split())
     place = {p: i for i, p in reversed(list(enumerate(lat.pieces)))}
@@ -238,7 +308,10 @@ def test_convolution_by_hand(spark):
         x = np.concatenate([m.weights["e"][own].sum(axis=1).reshape(-1, m.size), np.zeros((max(m.widths), m.size))])
         tops = []
         for k in m.widths:
-            responses = [sum(x[p + j] @ m.weights[f"w{k}"][j] for j in range(k)) for p in range(len(own) + max(m.widths) - k + 1)]
+            responses = [
+                sum(x[p + j] @ m.weights[f"w{k}"][j] for j in range(k))
+                for p in range(len(own) + max(m.widths) - k + 1)
+            ]
             tops.append(np.max(responses, axis=0) + m.weights[f"b{k}"])
         assert z[i] == pytest.approx(float(np.tanh(np.concatenate(tops)) @ m.weights["out"] + m.weights["bias"][0]), abs=1e-4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
@@ -255,7 +328,10 @@ def test_toxicity_held_out_accuracy(spark, data):
 
 
 def test_toxicity_fits_within_its_bytes(spark):
-    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} text {i} " * 20, "en") for i in range(200)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(
+        [(i, f"{'bad' if i % 2 else 'good'} text {i} " * 20, "en") for i in range(200)],
+        "doc_id long, text string, lang string",
+    )
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, most_bytes=8000)
     got = toxicity.scored(docs, model).groupBy(F.col("doc_id") % 2).agg(F.avg("predicted")).collect()
@@ -270,7 +346,10 @@ def test_nearest_recall_at_two_sizes_and_levels(spark, n, sample, parts):
     x /= np.linalg.norm(x, axis=1)[:, None]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())]  # a repeated id
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    got = {q: g.sort_values("rank") for q, g in nearest.nearest(v, F.col("vec_id") % 100 == 0, sample=sample, parts=parts).toPandas().groupby("query_id")}
+    got = {
+        q: g.sort_values("rank")
+        for q, g in nearest.nearest(v, F.col("vec_id") % 100 == 0, sample=sample, parts=parts).toPandas().groupby("query_id")
+    }
     hits = 0
     for q in range(0, n, 100):
         want = exact_nearest(x, q)

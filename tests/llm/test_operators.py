@@ -30,7 +30,20 @@ def corpus():
             w[r.randrange(len(w))] = f"x{r.randint(0, 99)}"
         texts.append(" ".join(w))
     texts += [" ".join(doc(r.randint(3, 20)) + passage + doc(r.randint(3, 20))) for _ in range(20)]
-    texts += ["", None, "one two", "One  TWO", "a b c d", "a b c d", "a b c d e", " \n ", "x " * 500, "x " * 700, "é ü\tÉ\x0bz", " ".join(doc(9000))]
+    texts += [
+        "",
+        None,
+        "one two",
+        "One  TWO",
+        "a b c d",
+        "a b c d",
+        "a b c d e",
+        " \n ",
+        "x " * 500,
+        "x " * 700,
+        "é ü\tÉ\x0bz",
+        " ".join(doc(9000)),
+    ]
     ids = [i * 7 % 1009 for i in range(len(texts))]
     return [(i, t, "en" if i % 2 else "fr", f"s{i % 3}" if i % 5 else None, 0) for i, t in zip(ids, texts, strict=True)]
 
@@ -69,8 +82,20 @@ def test_words_equal_a_plain_split():
 
 def test_warc_round_trip(spark):
     big = "p" * 1200
-    rows = [(1, "http://a\r\nX: y", big), (5, None, big), (5, None, big), (None, "u", big), (2, "u", "small"), (3, "u", "small"), (4, "u", None), (6, "", "é" * 700)]
-    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), roll_bytes=400)
+    rows = [
+        (1, "http://a\r\nX: y", big),
+        (5, None, big),
+        (5, None, big),
+        (None, "u", big),
+        (2, "u", "small"),
+        (3, "u", "small"),
+        (4, "u", None),
+        (6, "", "é" * 700),
+    ]
+    index = warc.write(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2),
+        roll_bytes=400,
+    )
     got = warc.read(index, gap_bytes=10).collect()
     assert all(r.intact for r in got) and len(got) == len(rows)
     kinds = Counter((r.id, r.record_type, r.refers_to) for r in got)
@@ -126,7 +151,10 @@ def test_components_fail_aloud_at_a_cap(spark):
     for at_once in (0, 1000):
         assert {(r.id, r.component) for r in jaccard_join.components(spark, links, at_once=at_once).collect()} == {(i, 0) for i in range(41)}
     mixed = spark.createDataFrame([(i * 7 % 50, i * i % 50) for i in range(30)], "x long, y long")
-    found = [{(r.id, r.component) for r in jaccard_join.components(spark, mixed, at_once=n).collect()} for n in (0, 1000)]
+    found = [
+        {(r.id, r.component) for r in jaccard_join.components(spark, mixed, at_once=n).collect()}
+        for n in (0, 1000)
+    ]
     assert found[0] == found[1]
 
 
@@ -146,7 +174,12 @@ def test_tokens_equal_the_library(docs, rows, empty):
 def test_mixing_reaches_targets(spark, docs, empty):
     got = mixing.mixed(docs.withColumn("rate", F.lit("clash"))).collect()
     assert len(got) == docs.count()
-    total = sum({(r.source, r.source_size) for r in got and [r for r in got]} and [s for _, s in {(r.source, r.source_size) for r in got}])
+    total = sum(
+        (
+            {(r.source, r.source_size) for r in got and [r for r in got]}
+            and [s for _, s in {(r.source, r.source_size) for r in got}]
+        ),
+    )
     targets = {(r.source, r.target, r.source_size) for r in got}
     assert sum(t for _, t, _ in targets) == pytest.approx(1.5 * total)
     assert all(t <= 2 * s + 1e-6 for _, t, s in targets)
@@ -169,14 +202,21 @@ def brute_dedup(rows, size=13):
         for k in range(len(w) - size + 1):
             if first[tuple(w[k : k + size])] < i:
                 gone[k : k + size] = [True] * size
-        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+        out[i] = (
+            len(w),
+            sum(gone),
+            hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest(),
+        )
     return out
 
 
 @pytest.mark.parametrize(("slice_bytes", "group"), [(4 << 20, 200_000), (300, 3)])
 def test_substring_dedup(docs, rows, slice_bytes, group, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicated(docs, slice_bytes=slice_bytes).collect()}
+    got = {
+        r.doc_id: (r.n_words, r.n_removed, r.kept_sha256)
+        for r in substring_dedup.deduplicated(docs, slice_bytes=slice_bytes).collect()
+    }
     assert got == brute_dedup([r[:2] for r in rows])
 
 
@@ -195,14 +235,20 @@ def test_substring_dedup_rows_with_one_id(spark, slices, whole):
     twice = [(5, f"{words('a', 6)} {passage}"), (5, f"{words('a' if whole else 'b', 6)} {passage}")]
     rows = [(2, f"{passage} {words('c', 4)}"), *twice]
     parts = [rows[:1], twice] if slices == 1 else [rows[:1], twice[:1], twice[1:]]
-    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    docs = spark.createDataFrame(
+        spark.sparkContext.parallelize(parts, len(parts)).flatMap(list),
+        "doc_id long, text string",
+    )
     assert docs.rdd.getNumPartitions() == len(parts)  # each is a slice
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.deduplicated(docs).collect()]
     assert sorted(got) == [(2, 19, 0), (5, 21, 15), (5, 21, 15)]
 
 
 def brute_contamination(docs, items, size=13):
-    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))
+    terms = lambda t: re.findall(
+        r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+        "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")),
+    )
     held, out = defaultdict(set), {}
     for i, t in items:
         w = terms(t)
@@ -218,14 +264,23 @@ def brute_contamination(docs, items, size=13):
                     found |= x
                     hit[k : k + n] = [1] * n
         names = sorted(map(str, found))
-        out[d] = (len(w), sum(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w))
+        out[d] = (
+            len(w),
+            sum(hit),
+            len(names),
+            hashlib.sha256(",".join(names).encode()).hexdigest(),
+            sum(hit) > 0 and 20 * sum(hit) >= len(w),
+        )
     return out
 
 
 def test_contamination(spark, docs, rows, empty):
     items = [(1, rows[45][1]), (2, rows[0][1].upper()), (3, "one-two"), (4, None), (5, "!!"), (10, "a b, c"), (11, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in contamination.contamination(docs, bench).collect()}
+    got = {
+        r.doc_id: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+        for r in contamination.contamination(docs, bench).collect()
+    }
     assert got == brute_contamination([r[:2] for r in rows], items)
     again = {r.doc_id: r.items_sha256 for r in contamination.contamination(docs, bench, most_terms=30).collect()}
     assert again == {d: v[3] for d, v in got.items()}
@@ -250,7 +305,12 @@ def test_lattice_sums_all_segmentations():
 
 
 def test_language_id(spark, data, empty):
-    out = language_id.query(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    out = (
+        language_id.query(spark, data)
+        .join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id")
+        .where("held_out")
+        .toPandas()
+    )
     assert (out.lang == out.lang_pred).mean() > 0.9
     model = (["en", "fr"], np.full((lattice.lattice(MODEL).size, 2), -10.0))
     odd = spark.createDataFrame([(1, None), (2, "123 !"), (3, "a"), (3, "a"), (None, "")], "doc_id long, text string")
@@ -276,7 +336,12 @@ def test_lm_scores(docs, rows, empty):
 
 
 def test_toxicity(spark, data, docs, empty):
-    out = toxicity.query(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    out = (
+        toxicity.query(spark, data)
+        .join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
+        .where("held_out")
+        .toPandas()
+    )
     assert out.score.between(0, 1).all()
     assert ((out.score >= 0.7).astype(int) == out.predicted).all()
     assert {(r.score, r.predicted) for r in toxicity.scored(docs, None).collect()} == {(0.0, 0)}
@@ -292,7 +357,17 @@ def test_nearest(spark):
     x = r.normal(size=(1200, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
     x[100:200] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0, None] + [0.0] * 14), (None, x[0].tolist()), (5004, [1.0])]
+    rows = (
+        [(i, v.tolist()) for i, v in enumerate(x)]
+        + [
+            (5000, None),
+            (5001, [0.0] * 16),
+            (5002, [float("nan")] * 16),
+            (5003, [1.0, None] + [0.0] * 14),
+            (None, x[0].tolist()),
+            (5004, [1.0]),
+        ]
+    )
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest.nearest(v, F.col("vec_id") % 20 == 0, parts=8, block=300).toPandas()
     hits = 0

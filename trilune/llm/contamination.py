@@ -34,7 +34,10 @@ from trilune.llm.common import small_batches, table, without, written
 
 SHARD = "shard string, ids binary, first binary, terms binary, texts binary, ends binary, postings binary"
 HITS = "shard string, starts binary, lengths binary, found binary"
-VERDICT = "_key string, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
+VERDICT = (
+    "_key string, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string,"
+    " contaminated boolean"
+)
 
 
 @dataclass
@@ -63,7 +66,16 @@ def block(rows: list[tuple[int, str, str]], size: int) -> Block:
     windows = np.where(n > 0, n - length + 1, 0)
     of = np.repeat(np.arange(len(n)), windows)
     start = w.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return Block(w.hash[pick], np.frombuffer(W.packed(w, pick), np.uint8), (w.end - w.start)[pick], place[exact], start, length[of], np.array([i for i, _, _ in rows])[of], {i: name for i, name, _ in rows})
+    return Block(
+        w.hash[pick],
+        np.frombuffer(W.packed(w, pick), np.uint8),
+        (w.end - w.start)[pick],
+        place[exact],
+        start,
+        length[of],
+        np.array([i for i, _, _ in rows])[of],
+        {i: name for i, name, _ in rows},
+    )
 
 
 def blocks(items: DataFrame, size: int, item: str, text: str, most_terms: int) -> Iterator[Block]:
@@ -94,10 +106,22 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes:
                 place = np.arange(len(w.hash), dtype=np.uint32) + w.doc.astype(np.uint32)  # a gap after each document
                 number = W.numbered(w)
                 order = np.lexsort((number, w.hash))  # terms with equal fingerprints are apart
-                begin = np.flatnonzero(np.append(True, number[order[1:]] != number[order[:-1]])) if len(order) else order
+                begin = (
+                    np.flatnonzero(np.append(True, number[order[1:]] != number[order[:-1]])) if len(order) else order
+                )
                 ends = np.append(begin[1:], len(order)).astype(np.uint32)[: len(begin)]
-                row = [pickle.dumps(ids[a:b]), w.first.astype(np.uint32).tobytes(), w.hash[order[begin]].tobytes(), W.packed(w, order[begin]), ends.tobytes(), place[order].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in SHARD.split(", ")])
+                row = [
+                    pickle.dumps(ids[a:b]),
+                    w.first.astype(np.uint32).tobytes(),
+                    w.hash[order[begin]].tobytes(),
+                    W.packed(w, order[begin]),
+                    ends.tobytes(),
+                    place[order].tobytes(),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in row)],
+                    names=[c.split()[0] for c in SHARD.split(", ")],
+                )
 
     return written(docs.sparkSession, docs.select(key, text).mapInArrow(build, SHARD), "postings")
 
@@ -153,7 +177,10 @@ class Shard:
                 starts.append(places)
                 lengths.append(np.full(len(places), n))
                 i = int(block.item[q])
-                found.update((int(d), i, block.names[i]) for d in np.unique(np.searchsorted(self.doc_at, places, "right") - 1))
+                found.update(
+                    (int(d), i, block.names[i])
+                    for d in np.unique(np.searchsorted(self.doc_at, places, "right") - 1)
+                )
         return np.concatenate(starts), np.concatenate(lengths), sorted(found)
 
     def meet(self, at: np.ndarray, slop: int = 0) -> np.ndarray:
@@ -181,7 +208,14 @@ class Shard:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def verdicts(self, ids: list, starts: np.ndarray, lengths: np.ndarray, found: list[tuple[int, int, str]], share: int):
+    def verdicts(
+        self,
+        ids: list,
+        starts: np.ndarray,
+        lengths: np.ndarray,
+        found: list[tuple[int, int, str]],
+        share: int,
+    ):
         """Rows of VERDICT for the shard's documents."""
         import pyarrow as pa
 
@@ -195,15 +229,34 @@ class Shard:
         for d, i, name in found:
             of.setdefault(d, {})[i] = name
         lists = [sorted(set(of.get(d, {}).values())) for d in range(len(ids))]
-        return pa.RecordBatch.from_pydict({
-            "_key": pa.array([None if i is None else str(i) for i in ids], pa.string()), "n_words": pa.array(n, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-            "n_items": pa.array([len(of.get(d, ())) for d in range(len(ids))], pa.int64()), "items": pa.array(lists, pa.list_(pa.string())),
-            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
-            "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n), pa.bool_()),
-        })
-
-
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, slop: int = 0, share: int = 20, most_terms: int = 8_000_000) -> DataFrame:
+        return pa.RecordBatch.from_pydict(
+            {
+                "_key": pa.array([None if i is None else str(i) for i in ids], pa.string()),
+                "n_words": pa.array(n, pa.int64()),
+                "n_hit": pa.array(n_hit, pa.int64()),
+                "n_items": pa.array([len(of.get(d, ())) for d in range(len(ids))], pa.int64()),
+                "items": pa.array(lists, pa.list_(pa.string())),
+                "items_sha256": pa.array(
+                    [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists],
+                    pa.string(),
+                ),
+                "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n), pa.bool_()),
+            },
+        )
+
+
+def contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    size: int = 13,
+    slop: int = 0,
+    share: int = 20,
+    most_terms: int = 8_000_000,
+) -> DataFrame:
     """Per document: key, n_words, n_hit, n_items, items (their ids), items_sha256, contaminated."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -234,7 +287,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                     if found:
                         rows.append((name, starts.tobytes(), lengths.tobytes(), pickle.dumps(found)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in zip(*rows, strict=True)],
+                        names=[c.split()[0] for c in HITS.split(", ")],
+                    )
 
         return search
 
@@ -245,10 +301,15 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
         out = []
         for row in left[columns].itertuples(index=False):
-            starts, lengths = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right[c])]) for c in ("starts", "lengths"))
+            starts, lengths = (
+                np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right[c])])
+                for c in ("starts", "lengths")
+            )
             found = [f for x in right["found"] for f in pickle.loads(x)]
             out.append(Shard(*row[2:]).verdicts(pickle.loads(row[1]), starts, lengths, found, share).to_pandas())
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in VERDICT.split(", ")], dtype=object)
+        return (
+            pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in VERDICT.split(", ")], dtype=object)
+        )
 
     parts = blocks(items, size, item, item_text, most_terms)
     first, second = next(parts), next(parts, None)
@@ -276,5 +337,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     while name in docs.columns:
         name += "_"
     hashed = docs.withColumn(name, F.sha2(F.coalesce("text", F.lit("")), 256))
-    bad = contamination(hashed.select(name, "text"), table(spark, sf_dir, "benchmark"), key=name).where("contaminated").select(name)
+    bad = (
+        contamination(hashed.select(name, "text"), table(spark, sf_dir, "benchmark"), key=name)
+        .where("contaminated")
+        .select(name)
+    )
     return without(hashed, bad, name, bytes_each=64).select(*docs.columns)

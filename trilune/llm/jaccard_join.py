@@ -59,7 +59,15 @@ def overlap_needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def frequent(docs: DataFrame, text: str, size: int, local: int = 3, least: int = 32, most: int = 200_000, at_once: int = 8_000_000) -> np.ndarray:
+def frequent(
+    docs: DataFrame,
+    text: str,
+    size: int,
+    local: int = 3,
+    least: int = 32,
+    most: int = 200_000,
+    at_once: int = 8_000_000,
+) -> np.ndarray:
     """Fingerprints of frequent shingles, most frequent last: at most `most`. They only order, so any set is right.
 
     Tasks count what they hold, at_once shingles at a time, and pass on what they saw `local` times or more.
@@ -124,7 +132,12 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, of
                 rows = h.tobytes()
                 prefix = [rows[8 * x : 8 * (x + y)] for x, y in zip(begin, first, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([m.tobytes() for m in mark], pa.binary()), pa.array(prefix, pa.binary())],
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(n, pa.int64()),
+                        pa.array([m.tobytes() for m in mark], pa.binary()),
+                        pa.array(prefix, pa.binary()),
+                    ],
                     names=["id", "n", "mark", "prefix"],
                 )
 
@@ -161,9 +174,21 @@ def candidate_lists(signed: DataFrame, parts: int) -> DataFrame:
                 x = slice(cut[p], cut[p + 1])
                 if x.stop > x.start:
                     own, local = np.unique(doc[x], return_inverse=True)
-                    rows.append((p, tokens[x].tobytes(), local.astype(np.uint32).tobytes(), ids[one[own]].tobytes(), sizes[one[own]].astype(np.uint32).tobytes(), marks[one[own], 0].tobytes()))
+                    rows.append(
+                        (
+                            p,
+                            tokens[x].tobytes(),
+                            local.astype(np.uint32).tobytes(),
+                            ids[one[own]].tobytes(),
+                            sizes[one[own]].astype(np.uint32).tobytes(),
+                            marks[one[own], 0].tobytes(),
+                        ),
+                    )
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["bucket", "tokens", "doc", "ids", "sizes", "marks"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))],
+                    names=["bucket", "tokens", "doc", "ids", "sizes", "marks"],
+                )
 
     def meet(key, pdf):
         import pandas as pd
@@ -187,9 +212,19 @@ def candidate_lists(signed: DataFrame, parts: int) -> DataFrame:
             some = doc[a : a + m]
             some = some[np.lexsort((ids[some], sizes[some]))]
             lists.setdefault(ids[some].tobytes(), [sizes[some], 0])[1] += 1
-        return pd.DataFrame({"ids": [np.frombuffer(k, np.int64) for k in lists], "sizes": [v[0] for v in lists.values()], "tokens": [v[1] for v in lists.values()]}, dtype=object)
-
-    rows = signed.where("n > 0 and id is not null").mapInArrow(deal, "bucket int, tokens binary, doc binary, ids binary, sizes binary, marks binary")
+        return pd.DataFrame(
+            {
+                "ids": [np.frombuffer(k, np.int64) for k in lists],
+                "sizes": [v[0] for v in lists.values()],
+                "tokens": [v[1] for v in lists.values()],
+            },
+            dtype=object,
+        )
+
+    rows = signed.where("n > 0 and id is not null").mapInArrow(
+        deal,
+        "bucket int, tokens binary, doc binary, ids binary, sizes binary, marks binary",
+    )
     return rows.groupBy("bucket").applyInPandas(meet, "ids array<long>, sizes array<long>, tokens long")
 
 
@@ -208,9 +243,16 @@ def pairs_of_short(lists: DataFrame, percent: int) -> DataFrame:
         turn = rows[:, 0] > rows[:, 1]
         rows[turn] = rows[turn][:, [1, 0, 3, 2, 4]]
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))) if len(rows) else np.zeros(0, int)
+        new = (
+            np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            if len(rows)
+            else np.zeros(0, int)
+        )
         shared = np.add.reduceat(rows[:, 4], new) if len(new) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[new, c]) for c in range(4)), pa.array(shared)], names=["x", "y", "nx", "ny", "shared"])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(rows[new, c]) for c in range(4)), pa.array(shared)],
+            names=["x", "y", "nx", "ny", "shared"],
+        )
 
     def pair(batches):
         held, size = [], 0
@@ -228,7 +270,12 @@ def pairs_of_short(lists: DataFrame, percent: int) -> DataFrame:
             yield told(held)
 
     # Lists of the same documents come together, so that a pair is told about once per task, not once per bucket.
-    lists = lists.where(F.size("ids") <= SHORT).withColumn("_least", F.array_min("ids")).repartition("_least").drop("_least")
+    lists = (
+        lists.where(F.size("ids") <= SHORT)
+        .withColumn("_least", F.array_min("ids"))
+        .repartition("_least")
+        .drop("_least")
+    )
     rows = lists.mapInArrow(pair, "x long, y long, nx long, ny long, shared long")
     return rows.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared"))
 
@@ -256,13 +303,22 @@ def joined_up(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "component"])
 
 
-def components(spark: SparkSession, links: DataFrame, most_rounds: int | None = None, at_once: int = 1_000_000) -> DataFrame:
+def components(
+    spark: SparkSession,
+    links: DataFrame,
+    most_rounds: int | None = None,
+    at_once: int = 1_000_000,
+) -> DataFrame:
     """(id, component) of each node of links (x, y); the component is its smallest id.
 
     Up to at_once links, 16 bytes each, are joined up in one task. More of them take large and small stars in turn, until nothing
     changes; that fails where it takes more than most_rounds.
     """
-    edges = written(spark, links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    edges = written(
+        spark,
+        links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(),
+        "edges",
+    )
     if edges.count() <= at_once:
         return written(spark, edges.coalesce(1).mapInArrow(joined_up, "id long, component long"), "components")
     state = None
@@ -273,7 +329,12 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int | None =
         least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
+        small = (
+            large.join(least, "x")
+            .where("y <> m")
+            .select(F.col("y").alias("x"), F.col("m").alias("y"))
+            .unionByName(least.select("x", F.col("m").alias("y")))
+        )
         old, edges = edges, written(spark, small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
         dropped(old)
         new = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
@@ -302,7 +363,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) ->
                 n = np.bincount(doc, minlength=b - a)
                 at = np.append(0, np.cumsum(n))
                 data = h.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([data[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "n", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(n, pa.int64()),
+                        pa.array([data[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                    ],
+                    names=["id", "n", "set"],
+                )
 
     rows = only(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids)
     return written(docs.sparkSession, rows.mapInArrow(cut, "id long, n long, set binary"), "sets", "none")
@@ -330,12 +398,23 @@ def fragments_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int
                 part = [data[8 * i : 8 * j] for i, j in zip(begin, np.append(begin[1:], len(own)), strict=True)]
                 which = own[begin] // FRAGMENTS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(pa.array(which)), pa.array(own[begin] % FRAGMENTS, pa.int32()), pa.array(n[which], pa.int64()), pa.array(mark[which].view(np.int64)), pa.array(part, pa.binary())],
+                    [
+                        batch.column(0).slice(a, b - a).take(pa.array(which)),
+                        pa.array(own[begin] % FRAGMENTS, pa.int32()),
+                        pa.array(n[which], pa.int64()),
+                        pa.array(mark[which].view(np.int64)),
+                        pa.array(part, pa.binary()),
+                    ],
                     names=["id", "fragment", "n", "mark", "part"],
                 )
 
     rows = only(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids)
-    return written(docs.sparkSession, rows.mapInArrow(cut, "id long, fragment int, n long, mark long, part binary"), "fragments", "none")
+    return written(
+        docs.sparkSession,
+        rows.mapInArrow(cut, "id long, fragment int, n long, mark long, part binary"),
+        "fragments",
+        "none",
+    )
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -365,7 +444,13 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             n = pa.array([shared(u, v) for u, v in zip(a, b, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], n], names=[*names, "overlap"])
 
-    own = lambda i, a, n: parts.select(F.col("id").alias(i), "fragment", F.col("mark").alias(f"r{i}"), F.col("part").alias(a), F.col("n").alias(n))
+    own = lambda i, a, n: parts.select(
+        F.col("id").alias(i),
+        "fragment",
+        F.col("mark").alias(f"r{i}"),
+        F.col("part").alias(a),
+        F.col("n").alias(n),
+    )
     both = pairs.select("x", "y").join(own("y", "b", "n"), "y").join(own("x", "a", "m"), ["x", "fragment"])
     kinds = [f"{c} {'int' if c == 'fragment' else 'long'}" for c in (*names, "overlap")]
     found = both.select(*names, "a", "b").mapInArrow(count, ", ".join(kinds))
@@ -373,7 +458,11 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     once = [F.max(F.when(F.col("fragment") == f, F.col("overlap"))).alias(f"o{f}") for f in range(FRAGMENTS)]
     total = sum((F.coalesce(f"o{f}", F.lit(0)) for f in range(FRAGMENTS)), F.lit(0))
     sums = found.groupBy(*names[:-1]).agg(*once).withColumn("overlap", total)
-    return sums.where(100 * F.col("overlap") >= percent * (F.col("m") + F.col("n") - F.col("overlap"))).select("x", "y").distinct()
+    return (
+        sums.where(100 * F.col("overlap") >= percent * (F.col("m") + F.col("n") - F.col("overlap")))
+        .select("x", "y")
+        .distinct()
+    )
 
 
 def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -384,7 +473,16 @@ def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             x, y, a, m, b, n = (c.to_pylist() for c in batch.columns)
-            ok = [shared(bytes(np.sort(np.frombuffer(u, np.uint64))), bytes(np.sort(np.frombuffer(v, np.uint64)))) + max(i - len(u) // 8, j - len(v) // 8) >= _least(i, j, percent) for u, i, v, j in zip(a, m, b, n, strict=True)]
+            ok = [
+                (
+                    (
+                        shared(bytes(np.sort(np.frombuffer(u, np.uint64))), bytes(np.sort(np.frombuffer(v, np.uint64))))
+                        + max(i - len(u) // 8, j - len(v) // 8)
+                    )
+                    >= _least(i, j, percent)
+                )
+                for u, i, v, j in zip(a, m, b, n, strict=True)
+            ]
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["x", "y"])
 
@@ -423,8 +521,16 @@ def in_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     n = n.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("na")), "part")
     salt = lambda c: F.pmod(F.xxhash64(F.lit("b"), "id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asked.join(n, "part").select("part", "id", "c", salt("na").alias("a"), every("nb").alias("b")).join(sets, "id")
-    right = members.join(n, "part").select("part", "id", "c", salt("nb").alias("b"), every("na").alias("a")).join(sets, "id")
+    left = (
+        asked.join(n, "part")
+        .select("part", "id", "c", salt("na").alias("a"), every("nb").alias("b"))
+        .join(sets, "id")
+    )
+    right = (
+        members.join(n, "part")
+        .select("part", "id", "c", salt("nb").alias("b"), every("na").alias("a"))
+        .join(sets, "id")
+    )
 
     def compare(key, p, q):
         import pandas as pd
@@ -459,21 +565,33 @@ def in_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: in
 
     keys = ["part", "a", "b"]
     left, right = (x.select(*[F.col(c).alias(c) for c in (*keys, "id", "c", "n", "set")]) for x in (left, right))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "x long, y long" if whole else "part long, id long")
+    found = (
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
+        .applyInPandas(compare, "x long, y long" if whole else "part long, id long")
+    )
     return found.distinct()
 
 
 def labelled(frame: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """frame with the component of each column's id as c_<column>; ids without links are their own."""
     for c in columns:
-        frame = frame.join(found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        frame = (
+            frame.join(found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left")
+            .withColumn(f"c_{c}", F.coalesce(f"_{c}", c))
+            .drop(f"_{c}")
+        )
     return frame
 
 
 def equal_sets(signed: DataFrame, many: int = 10_000) -> DataFrame:
     """Links (x, y) of each document with the smallest id of its set. Sets that more than `many` documents have are no key of an exchange: there are at most rows / many of them."""
     spark, rows = signed.sparkSession, signed.where("n > 0 and id is not null").select("id", "mark")
-    same = written(spark, rows.groupBy("mark").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "equal")
+    same = written(
+        spark,
+        rows.groupBy("mark").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"),
+        "equal",
+    )
     few = same.count() * 32 <= SENT_BYTES
     hot = same if few else same.where(F.col("rows") > many)
     links = rows.join(F.broadcast(hot.select("mark", "first")), "mark")
@@ -482,7 +600,13 @@ def equal_sets(signed: DataFrame, many: int = 10_000) -> DataFrame:
     return links.where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
 
 
-def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def linked_components(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    percent: int = 80,
+) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links reach."""
     spark, parts = docs.sparkSession, buckets(docs)
     small_batches(spark)
@@ -491,7 +615,12 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lists = written(spark, candidate_lists(signed, parts), "lists")
     # Candidates: pairs of short lists that share enough, and each long list's members with its smallest id.
     long = lists.where(F.size("ids") > SHORT)
-    member = long.select(F.array_min("ids").alias("part"), "tokens", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("part", "tokens", F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"))
+    member = long.select(F.array_min("ids").alias("part"), "tokens", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select(
+        "part",
+        "tokens",
+        F.col("m.ids").alias("id"),
+        F.col("m.sizes").alias("n"),
+    )
     unseen = written(spark, member.groupBy("id").agg(F.sum("tokens").alias("unseen")), "unseen")
     member = written(spark, member.select("part", "id", "n").distinct(), "members")
     pairs = pairs_of_short(lists, percent)
@@ -499,17 +628,36 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = pairs.join(unseen.select(F.col("id").alias(c), F.col("unseen").alias(f"u{c}")), c, "left")
     need = lambda n: F.floor((F.col(n) * percent + 99) / 100)
     least = F.floor(((F.col("nx") + F.col("ny")) * percent + 99 + percent) / (100 + percent))
-    at_most = F.col("shared") + F.least(F.coalesce("ux", F.lit(0)), F.coalesce("uy", F.lit(0))) + F.greatest(need("nx"), need("ny")) - 1
-    pairs = pairs.where(at_most >= least).select("x", "y", F.least(F.coalesce("ux", F.lit(0)), F.coalesce("uy", F.lit(0))).alias("unseen"))
+    at_most = (
+        F.col("shared")
+        + F.least(F.coalesce("ux", F.lit(0)), F.coalesce("uy", F.lit(0)))
+        + F.greatest(need("nx"), need("ny"))
+        - 1
+    )
+    pairs = pairs.where(at_most >= least).select(
+        "x",
+        "y",
+        F.least(F.coalesce("ux", F.lit(0)), F.coalesce("uy", F.lit(0))).alias("unseen"),
+    )
     leader = member.where("part = id").select("part", F.col("n").alias("nl"))
-    led = member.join(leader, "part").where((F.col("id") != F.col("part")) & (100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")))
+    led = member.join(leader, "part").where(
+        (F.col("id") != F.col("part")) & (100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")),
+    )
     led = led.select(F.col("part").alias("x"), F.col("id").alias("y"), F.lit(1).cast("long").alias("unseen"))
     pairs = written(spark, pairs.unionByName(led).groupBy("x", "y").agg(F.min("unseen").alias("unseen")), "pairs")
     # Where long lists hide what a pair shares, the whole first fragment, the prefix, is compared.
     ids_of = lambda rows: written(spark, rows.select(F.col("x").alias("id")).union(rows.select("y")).distinct(), "ids")
     prefixes = signed.select("id", "n", F.col("prefix").alias("set"))
     unsure = pairs.where("unseen > 0").select("x", "y")
-    pairs = written(spark, pairs.where("unseen = 0").select("x", "y").unionByName(promising(unsure, only(prefixes, ids_of(unsure)), percent)), "promising")
+    pairs = written(
+        spark,
+        (
+            pairs.where("unseen = 0")
+            .select("x", "y")
+            .unionByName(promising(unsure, only(prefixes, ids_of(unsure)), percent))
+        ),
+        "promising",
+    )
     # First each document with its smallest partner, then what that leaves unconnected.
     parts_of = fragments_of(docs, ids_of(pairs), key, text, size, often)
     links = written(spark, verified(pairs.groupBy("y").agg(F.min("x").alias("x")), parts_of, percent), "links")
@@ -521,11 +669,28 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Long lists that are not one component yet: those outside their largest component against all, by prefixes first.
     named = labelled(member.select("part", "id"), found, "id")
     count = named.groupBy("part", "c_id").count()
-    main = count.groupBy("part").agg(F.max_by("c_id", F.struct("count", "c_id")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rest = written(spark, named.join(main, "part").select("part", "id", F.col("c_id").alias("c"), (F.col("c_id") != F.col("main")).alias("asks")), "rest")
+    main = (
+        count.groupBy("part")
+        .agg(F.max_by("c_id", F.struct("count", "c_id")).alias("main"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+    )
+    rest = written(
+        spark,
+        named.join(main, "part").select(
+            "part",
+            "id",
+            F.col("c_id").alias("c"),
+            (F.col("c_id") != F.col("main")).alias("asks"),
+        ),
+        "rest",
+    )
     if not rest.isEmpty():
         halves = lambda r: (r.where("asks").drop("asks"), r.drop("asks"))
-        near = written(spark, in_blocks(*halves(rest), only(prefixes, rest.select("id").distinct()), percent, False), "near")
+        near = written(
+            spark,
+            in_blocks(*halves(rest), only(prefixes, rest.select("id").distinct()), percent, False),
+            "near",
+        )
         rest = written(spark, rest.join(near, ["part", "id"], "left_semi"), "rest")
         sets = sets_of(docs, rest.select("id").distinct(), key, text, size)
         links = written(spark, links.unionByName(in_blocks(*halves(rest), sets, percent, True)), "links")
@@ -534,7 +699,11 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole = components(spark, links.unionByName(equal_sets(signed)))
     dropped(links)
     out = signed.select("id", "n").join(whole, "id", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(
+        F.col("id").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component", "id").alias("component_id"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,20 @@ def sampled(docs: DataFrame, label: str, key: str, most: int) -> DataFrame:
     chance = F.lit(0.0)
     for value, count in n.items():
         chance = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / count))).otherwise(chance)
-    return docs.where((F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance)
-
-
-def fit(train: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 1000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
+    return docs.where(
+        (F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance,
+    )
+
+
+def fit(
+    train: DataFrame,
+    model: str,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    most_docs: int = 1000,
+    rounds: int = 3,
+) -> tuple[list[str], np.ndarray]:
     """Languages in order, and piece x language log probabilities. most_docs bounds each language's sample."""
     counts: dict[str, Counter] = {}
     for name, body in sampled(train.where(F.col(text).isNotNull()).select(key, lang, text), lang, key, most_docs).select(lang, text).toLocalIterator():
@@ -76,9 +86,15 @@ def languages(docs: DataFrame, fitted_model, model: str, key: str = "doc_id", te
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if not has_letter(t):
                     best[i], score[i] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], names=[key, "lang_pred", "score"])
-
-    return docs.select(key, text).mapInArrow(judge, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(best, pa.string()), pa.array(score)],
+                names=[key, "lang_pred", "score"],
+            )
+
+    return docs.select(key, text).mapInArrow(
+        judge,
+        f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,8 +96,17 @@ class Lattice:
                 if used is not None:
                     used += weight[i] * uses
             short = np.flatnonzero(sizes <= LONG)
-            own = np.repeat(starts[short] - (np.cumsum(sizes[short]) - sizes[short]), sizes[short]) + np.arange(int(sizes[short].sum()))
-            rest = self.run(buffer[own], np.cumsum(sizes[short]) - sizes[short], sizes[short], logp, None if used is None else weight[short])
+            own = (
+                np.repeat(starts[short] - (np.cumsum(sizes[short]) - sizes[short]), sizes[short])
+                + np.arange(int(sizes[short].sum()))
+            )
+            rest = self.run(
+                buffer[own],
+                np.cumsum(sizes[short]) - sizes[short],
+                sizes[short],
+                logp,
+                None if used is None else weight[short],
+            )
             out[short] = rest if used is None else rest[0]
             return out if used is None else (out, used + rest[1])
         for a, b in self.blocks(sizes):
@@ -189,7 +198,14 @@ def spelled(words: list[bytes]):
     return np.frombuffer(b"".join(b" " + w for w in words), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def fitted(lat: Lattice, words: list[bytes], counts: np.ndarray, rounds: int = 3, start: np.ndarray | None = None, add: float = 0.1) -> np.ndarray:
+def fitted(
+    lat: Lattice,
+    words: list[bytes],
+    counts: np.ndarray,
+    rounds: int = 3,
+    start: np.ndarray | None = None,
+    add: float = 0.1,
+) -> np.ndarray:
     """Log probabilities of the pieces that make the counted words likely, by expectation maximisation."""
     logp = np.full((lat.size, 1), -np.log(lat.size)) if start is None else start.reshape(-1, 1)
     if len(words):

@@ -56,17 +56,39 @@ def encoded(docs: DataFrame, train, key: str, text: str, parts: int, slice_bytes
                 token = place[number].astype("<u4")
                 counts = np.bincount(number[learns[a:b][w.doc]], minlength=len(keys)).astype(np.uint32)[order]
                 planes = token.view(np.uint8).reshape(-1, 4).T.tobytes()
-                rows = [("docs", name, None, pickle.dumps((ids[a:b], learns[a:b])), z.compress(planes), w.counts().astype(np.uint32).tobytes(), None, None)]
+                rows = [
+                    (
+                        "docs",
+                        name,
+                        None,
+                        pickle.dumps((ids[a:b], learns[a:b])),
+                        z.compress(planes),
+                        w.counts().astype(np.uint32).tobytes(),
+                        None,
+                        None,
+                    ),
+                ]
                 cut = np.searchsorted(of[order], np.arange(parts + 1))
                 for p in range(parts):
                     x = slice(cut[p], cut[p + 1])
                     if x.stop > x.start:
-                        rows.append(("words", name, p, None, None, None, W.packed(w, first[order[x]]), counts[x].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows.append(
+                            ("words", name, p, None, None, None, W.packed(w, first[order[x]]), counts[x].tobytes()),
+                        )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=names,
+                )
 
     spark = docs.sparkSession
     path = new_folder(spark, "encoded")
-    docs.select(key, text, train.alias("_train")).mapInArrow(encode, ENCODED).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    (
+        docs.select(key, text, train.alias("_train"))
+        .mapInArrow(encode, ENCODED).write
+        .partitionBy("kind")
+        .option("compression", "zstd")
+        .parquet(path)
+    )
     return spark.read.schema(ENCODED).parquet(path)
 
 
@@ -88,11 +110,21 @@ def vocabulary(code: DataFrame, most: int = 100_000) -> DataFrame:
         total = np.bincount(number, counts, len(first)).astype(np.int64)
         seen = np.flatnonzero(total)
         parts = [seen[a : a + most] for a in range(0, len(seen), most)]
-        rows = [(W.packed(w, first[x]), total[x].tobytes(), len(x), int(total[x].sum()), int((total[x] == 1).sum())) for x in parts]
+        rows = [
+            (W.packed(w, first[x]), total[x].tobytes(), len(x), int(total[x].sum()), int((total[x] == 1).sum()))
+            for x in parts
+        ]
         return pd.DataFrame(rows, columns=["words", "counts", "distinct", "total", "single"])
 
     rows = code.where("kind = 'words'").select("bucket", "words", "counts")
-    return written(code.sparkSession, rows.groupBy("bucket").applyInPandas(merge, "words binary, counts binary, distinct long, total long, single long"), "vocabulary")
+    return written(
+        code.sparkSession,
+        rows.groupBy("bucket").applyInPandas(
+            merge,
+            "words binary, counts binary, distinct long, total long, single long",
+        ),
+        "vocabulary",
+    )
 
 
 def piece_weights(vocab: DataFrame, model: str, rounds: int = 1, add: float = 0.1) -> np.ndarray:
@@ -109,7 +141,14 @@ def piece_weights(vocab: DataFrame, model: str, rounds: int = 1, add: float = 0.
             place = {p: i for i, p in enumerate(lat.pieces[256:], 256)}
             total = np.zeros(lat.size)
             coder = sentencepiece.SentencePieceProcessor(model_file=model)
-            own = [bytes([int(coder.id_to_piece(i)[1:-1], 16)]) if coder.is_byte(i) else coder.id_to_piece(i).replace("▁", " ").encode() for i in range(coder.get_piece_size())]
+            own = [
+                (
+                    bytes([int(coder.id_to_piece(i)[1:-1], 16)])
+                    if coder.is_byte(i)
+                    else coder.id_to_piece(i).replace("▁", " ").encode()
+                )
+                for i in range(coder.get_piece_size())
+            ]
             number = np.array([b[0] if len(b) == 1 else place.get(b, -1) for b in own])
             for batch in batches:
                 for pack, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -120,7 +159,11 @@ def piece_weights(vocab: DataFrame, model: str, rounds: int = 1, add: float = 0.
                             found = coder.encode([x.decode("utf-8", "replace") for x in some])
                             sizes = np.fromiter(map(len, found), np.int64, len(found))
                             piece = number[np.fromiter((p for x in found for p in x), np.int64, int(sizes.sum()))]
-                            total += np.bincount(np.maximum(piece, 0), np.where(piece < 0, 0, np.repeat(n, sizes)), lat.size)
+                            total += np.bincount(
+                                np.maximum(piece, 0),
+                                np.where(piece < 0, 0, np.repeat(n, sizes)),
+                                lat.size,
+                            )
                         else:
                             total += lat.run(*spelled(some), state.value, n)[1]
             at = np.flatnonzero(total)
@@ -131,7 +174,13 @@ def piece_weights(vocab: DataFrame, model: str, rounds: int = 1, add: float = 0.
     logp = None
     for _ in range(rounds + 1):
         state = None if logp is None else spark.sparkContext.broadcast(logp.reshape(-1, 1))
-        sums = vocab.select("words", "counts").mapInArrow(used(state), "piece int, uses double").groupBy("piece").agg(F.sum("uses")).collect()
+        sums = (
+            vocab.select("words", "counts")
+            .mapInArrow(used(state), "piece int, uses double")
+            .groupBy("piece")
+            .agg(F.sum("uses"))
+            .collect()
+        )
         total = np.full(size, add)
         for piece, n in sums:
             total[piece] += n
@@ -139,7 +188,15 @@ def piece_weights(vocab: DataFrame, model: str, rounds: int = 1, add: float = 0.
     return logp
 
 
-def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str = "text", rounds: int = 1, word_edge: bool = True) -> DataFrame:
+def lm_scores(
+    docs: DataFrame,
+    train,
+    model: str,
+    key: str = "doc_id",
+    text: str = "text",
+    rounds: int = 1,
+    word_edge: bool = True,
+) -> DataFrame:
     """Per row: key, learns, n_tokens, n_known, train_tokens, base_score, score. `train`: the condition of training rows."""
     spark = docs.sparkSession
     parts = buckets(docs)
@@ -173,9 +230,21 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
         with np.errstate(divide="ignore"):  # the whole word is an edge too, if training texts have it
             scores = np.logaddexp(scores + np.log(new), np.log(total * known)) + np.log1p(-end)
         scores, total = (scores / np.log(10))[number], total.astype(np.int64)[number]
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": key[0], "total": [total[p].tobytes() for p in places], "scores": [scores[p].tobytes() for p in places]})
-
-    values = code.where("kind = 'words'").select("slice", "bucket", "words", "counts").groupBy("bucket").applyInPandas(value, "slice string, bucket int, total binary, scores binary")
+        return pd.DataFrame(
+            {
+                "slice": pdf["slice"],
+                "bucket": key[0],
+                "total": [total[p].tobytes() for p in places],
+                "scores": [scores[p].tobytes() for p in places],
+            },
+        )
+
+    values = (
+        code.where("kind = 'words'")
+        .select("slice", "bucket", "words", "counts")
+        .groupBy("bucket")
+        .applyInPandas(value, "slice string, bucket int, total binary, scores binary")
+    )
 
     def score(key, left, right):
         import pickle
@@ -184,7 +253,9 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
         import zstandard
 
         right = right.sort_values("bucket")
-        total = np.concatenate([np.frombuffer(x, np.int64) for x in right["total"]] or [np.zeros(0, np.int64)]).astype(float)
+        total = np.concatenate([np.frombuffer(x, np.int64) for x in right["total"]] or [np.zeros(0, np.int64)]).astype(
+            float,
+        )
         own = np.concatenate([np.frombuffer(x, float) for x in right["scores"]] or [np.zeros(0)])
         out = []
         for ids, tokens, sizes in zip(left["ids"], left["tokens"], left["sizes"], strict=True):
@@ -194,16 +265,42 @@ def lm_scores(docs: DataFrame, train, model: str, key: str = "doc_id", text: str
             doc = np.repeat(np.arange(len(sizes)), sizes)
             base = np.log10((total + 1) / (n + v + 1))
             sums = lambda x: np.bincount(doc, x[token], len(sizes))  # noqa: E731, B023
-            out.append(pd.DataFrame({
-                "_key": [None if i is None else str(i) for i in ids], "learns": learns, "n_tokens": sizes.astype(np.int64) + 1,
-                "n_known": sums((total > 0).astype(float)).round().astype(np.int64) + (texts > 0),
-                "base_score": sums(base) + np.log10((texts + 1) / (n + v + 1)), "score": sums(own) + np.log10(end),
-            }))
-        return pd.concat(out) if out else pd.DataFrame(columns=["_key", "learns", "n_tokens", "n_known", "base_score", "score"], dtype=object)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "_key": [None if i is None else str(i) for i in ids],
+                        "learns": learns,
+                        "n_tokens": sizes.astype(np.int64) + 1,
+                        "n_known": sums((total > 0).astype(float)).round().astype(np.int64) + (texts > 0),
+                        "base_score": sums(base) + np.log10((texts + 1) / (n + v + 1)),
+                        "score": sums(own) + np.log10(end),
+                    },
+                ),
+            )
+        return (
+            pd.concat(out)
+            if out
+            else pd.DataFrame(columns=["_key", "learns", "n_tokens", "n_known", "base_score", "score"], dtype=object)
+        )
 
     slices = code.where("kind = 'docs'").select("slice", "ids", "tokens", "sizes")
-    out = slices.groupBy("slice").cogroup(values.groupBy("slice")).applyInPandas(score, "_key string, learns boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), "learns", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = (
+        slices.groupBy("slice")
+        .cogroup(values.groupBy("slice"))
+        .applyInPandas(
+            score,
+            "_key string, learns boolean, n_tokens long, n_known long, base_score double, score double",
+        )
+    )
+    return out.select(
+        F.col("_key").cast(docs.schema[key].dataType).alias(key),
+        "learns",
+        "n_tokens",
+        "n_known",
+        F.lit(n).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,4 +308,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held = fold(F.col("doc_id"), 7, 2)
     out = lm_scores(table(spark, sf_dir, "documents"), ~held, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(
+        "doc_id",
+        (~F.col("learns")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )

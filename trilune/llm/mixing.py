@@ -71,7 +71,17 @@ def draw(key, text, seed: str = "mix"):
 RESULTS = ("size", "source_size", "target", "rate", "copies")
 
 
-def _mixed(docs: DataFrame, key: str, text: str, source: str, size: str | None, weights, share: float, most: float, salts: int = 32) -> DataFrame:
+def _mixed(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    source: str,
+    size: str | None,
+    weights,
+    share: float,
+    most: float,
+    salts: int = 32,
+) -> DataFrame:
     """docs' columns as c0, c1 ... and RESULTS with a leading underscore.
 
     A source's rate reaches its rows by a broadcast, if the sources' table is small, so that no document is exchanged. A larger
@@ -84,18 +94,33 @@ def _mixed(docs: DataFrame, key: str, text: str, source: str, size: str | None,
     sizes = sized.groupBy(F.col(at[source]).alias("_source")).agg(F.sum("_size").alias("source_size"))
     goal = written(docs.sparkSession, targets(sizes, weights, share, most), "rates")
     goal = goal.select("_source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_rate")
-    few = (goal.agg(F.sum(F.coalesce(F.octet_length(F.col("_source").cast("string")), F.lit(0)) + 40)).first()[0] or 0) <= SENT_BYTES
+    few = (
+        (goal.agg(F.sum(F.coalesce(F.octet_length(F.col("_source").cast("string")), F.lit(0)) + 40)).first()[0] or 0)
+        <= SENT_BYTES
+    )
     same = F.col(at[source]).eqNullSafe(F.col("_source"))
     if few:
         rows = sized.join(F.broadcast(goal), same)
     else:
         rows = sized.withColumn("_salt", F.pmod(F.xxhash64(*at.values()), F.lit(salts)))
-        rows = rows.join(goal.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), same & (F.col("_salt") == F.col("_of")))
+        rows = rows.join(
+            goal.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
+            same & (F.col("_salt") == F.col("_of")),
+        )
     extra = (draw(F.col(at[key]), F.col(at[text])) < F.col("_rate") - F.floor("_rate")).cast("long")
     return rows.withColumn("_copies", F.floor("_rate") + extra)
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    size: str | None = None,
+    weights=(5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+) -> DataFrame:
     """All rows and columns of docs, with size, source_size, target, rate and copies (0, 1, 2 ...), which replace columns of these names.
 
     `size` names a column that holds the sizes already.
@@ -105,13 +130,25 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return out.select(*kept, *[F.col(f"_{c}").alias(c) for c in RESULTS])
 
 
-def emitted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, number: str = "copy") -> DataFrame:
+def emitted(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights=(5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    number: str = "copy",
+) -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as it is taken, with its copy number from 0 on; `number` names that, with underscores behind it while docs has such a column."""
     out = _mixed(docs, key, text, source, None, weights, share, most)
     while number in docs.columns:
         number += "_"
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return out.where("_copies > 0").select(*kept, F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias(number))
+    return out.where("_copies > 0").select(
+        *kept,
+        F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias(number),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -119,8 +156,23 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     # Words are counted once; texts are only needed again for documents without an id.
     docs = table(spark, sf_dir, "documents")
-    sized = written(spark, docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"), "source", word_count(F.col("text")).alias("words")), "sized")
-    return mixed(sized, size="words").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = written(
+        spark,
+        docs.select(
+            "doc_id",
+            F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"),
+            "source",
+            word_count(F.col("text")).alias("words"),
+        ),
+        "sized",
+    )
+    return mixed(sized, size="words").select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
 
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"

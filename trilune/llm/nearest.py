@@ -101,7 +101,14 @@ def neighbours(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     return out
 
 
-def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.15, seed: int = 5) -> np.ndarray:
+def balanced_parts(
+    x: np.ndarray,
+    graph: np.ndarray,
+    parts: int,
+    rounds: int = 12,
+    slack: float = 1.15,
+    seed: int = 5,
+) -> np.ndarray:
     """Part of each vertex: few edges of the graph between parts, none larger than slack times the mean."""
     part = np.zeros(len(x), np.int64)
 
@@ -142,7 +149,15 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return part
 
 
-def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, hidden: int = 96, epochs: int = 30, seed: int = 3) -> Router:
+def learned(
+    x: np.ndarray,
+    parts: int,
+    k: int = 20,
+    recall: float = 0.95,
+    hidden: int = 96,
+    epochs: int = 30,
+    seed: int = 3,
+) -> Router:
     """Partition and classifier from sample vectors, with the probes that reach the recall on a tenth of them."""
     r, n, d = np.random.default_rng(seed), len(x), x.shape[1]
     k = min(k, n - 1)
@@ -155,7 +170,13 @@ def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, hidden
     goal[np.arange(n), part] += 0.5
     test = np.arange(n) % 10 == 9
     train = np.flatnonzero(~test)
-    m = Router(x.mean(axis=0), r.normal(0, 1.4 / np.sqrt(d * x.var()), (d, hidden)), np.zeros(hidden), r.normal(0, 1 / np.sqrt(hidden), (hidden, parts)), np.zeros(parts))
+    m = Router(
+        x.mean(axis=0),
+        r.normal(0, 1.4 / np.sqrt(d * x.var()), (d, hidden)),
+        np.zeros(hidden),
+        r.normal(0, 1 / np.sqrt(hidden), (hidden, parts)),
+        np.zeros(parts),
+    )
     names = ("w1", "b1", "w2", "b2")
     first, second, step = {q: 0.0 for q in names}, {q: 0.0 for q in names}, 0
     for _ in range(epochs):
@@ -170,7 +191,14 @@ def learned(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, hidden
             for q, grad in zip(names, (a.T @ gh, gh.sum(axis=0), h.T @ g, g.sum(axis=0)), strict=True):
                 first[q] = 0.9 * first[q] + 0.1 * grad
                 second[q] = 0.99 * second[q] + 0.01 * grad * grad
-                setattr(m, q, getattr(m, q) - 3e-3 * (first[q] / (1 - 0.9**step)) / (np.sqrt(second[q] / (1 - 0.99**step)) + 1e-8))
+                setattr(
+                    m,
+                    q,
+                    (
+                        getattr(m, q)
+                        - 3e-3 * (first[q] / (1 - 0.9**step)) / (np.sqrt(second[q] / (1 - 0.99**step)) + 1e-8)
+                    ),
+                )
     if not test.any():
         m.probes = parts
         return m
@@ -187,7 +215,10 @@ def best_in_block(q_ids, q, ids, x, k: int):
     """(query row, id, score) of each query's k best, nearest first, ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    _, same = np.unique(
+        np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(),
+        return_inverse=True,
+    )
     by = np.argsort(same, kind="stable")
     run = np.arange(len(by)) - np.repeat(np.flatnonzero(np.append(True, np.diff(same[by]) > 0)), np.bincount(same))
     keep = np.sort(by[run <= k])  # the k + 1 smallest ids of each vector: the query itself may be among them
@@ -210,16 +241,37 @@ def best_in_block(q_ids, q, ids, x, k: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, parts: int | None = None, sample: int = 10_000, recall: float = 0.95, block: int = 20_000) -> DataFrame:
+def nearest(
+    vectors: DataFrame,
+    is_query,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    k: int = 20,
+    parts: int | None = None,
+    sample: int = 10_000,
+    recall: float = 0.95,
+    block: int = 20_000,
+) -> DataFrame:
     """query_id, rank, id and score of each query's k nearest of the rows found. `sample` bounds what is fitted on."""
     spark = vectors.sparkSession
     clean = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(
-        F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
+        (
+            F.col("id").isNotNull()
+            & F.col("x").isNotNull()
+            & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+            & F.exists("x", lambda v: v != 0)
+        ),
     )
     total = clean.count()
     parts = parts or max(1, total // PART_ROWS)
     chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30))
-    chosen = clean.where(chance < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30)))).orderBy("id").select("x").toArrow().column(0)
+    chosen = (
+        clean.where(chance < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30))))
+        .orderBy("id")
+        .select("x")
+        .toArrow()
+        .column(0)
+    )
     length = np.asarray(chosen.combine_chunks().value_lengths()) if len(chosen) else np.zeros(0, int)
     size = int(np.bincount(length).argmax()) if len(length) else 0
     if not size:
@@ -240,9 +292,21 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
             for batch in batches:
                 if len(batch):
                     x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), size)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(sent.value.home(x), pa.int32()), batch.column(2)], names=["id", "x", "home", "asks"])
-
-        return written(spark, clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, asks boolean"), "routed")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0),
+                            pa.array([r.tobytes() for r in x], pa.binary()),
+                            pa.array(sent.value.home(x), pa.int32()),
+                            batch.column(2),
+                        ],
+                        names=["id", "x", "home", "asks"],
+                    )
+
+        return written(
+            spark,
+            clean.where(F.size("x") == size).mapInArrow(route, "id long, x binary, home int, asks boolean"),
+            "routed",
+        )
 
     def rows_in(routed: DataFrame, n: int) -> np.ndarray:
         held = np.zeros(n, np.int64)  # one number per part
@@ -268,7 +332,10 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
 
         import pickle
 
-        some = routed.where(F.pmod(F.xxhash64(F.lit("again"), "id"), F.lit(1 << 30)) < F.element_at(share, F.col("home") + 1)).select("home", "x")
+        some = routed.where(F.pmod(F.xxhash64(F.lit("again"), "id"), F.lit(1 << 30)) < F.element_at(share, F.col("home") + 1)).select(
+            "home",
+            "x",
+        )
         for p, r in some.groupBy("home").applyInPandas(cut, "home int, router binary").collect():  # one per top part
             r = pickle.loads(r)
             tree.below[p] = r if r.w2.shape[1] > 1 else None
@@ -286,10 +353,18 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
                 tree, held = sent.value
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(len(batch), size)
                 found = tree.searched(x, held, k + np.asarray(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tolist() for t in found], pa.list_(pa.int32()))], names=["id", "x", "probes"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([t.tolist() for t in found], pa.list_(pa.int32()))],
+                    names=["id", "x", "probes"],
+                )
 
     own = routed.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
-    asking = routed.where("asks").select("id", "x").join(own, "id", "left").select("id", "x", F.coalesce("own", F.lit(1)).alias("own"))
+    asking = (
+        routed.where("asks")
+        .select("id", "x")
+        .join(own, "id", "left")
+        .select("id", "x", F.coalesce("own", F.lit(1)).alias("own"))
+    )
     probed = written(spark, asking.mapInArrow(probe, "id long, x binary, probes array<int>"), "probed")
     # Parts lie in cells; a task searches the parts of one cell that each of its queries probes, and passes on one list per query.
     cells = max(LEAST_CELLS, -(-p_all // 32))
@@ -298,8 +373,14 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     routed = routed.withColumn("cell", cell(F.col("home")))
     asked = probed.select("id", "x", "probes", F.explode(F.array_distinct(F.transform("probes", cell))).alias("cell"))
     # How many blocks each cell's rows and queries make; one row per cell.
-    rows_of, queries_of = ({r[0]: -(-r[1] // block) for r in df.groupBy("cell").count().collect()} for df in (routed, asked))
-    blocks = lambda found: F.element_at(F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(cells)]), F.col("cell") + 1)
+    rows_of, queries_of = (
+        {r[0]: -(-r[1] // block) for r in df.groupBy("cell").count().collect()}
+        for df in (routed, asked)
+    )
+    blocks = lambda found: F.element_at(
+        F.array(*[F.lit(max(1, found.get(i, 1))) for i in range(cells)]),
+        F.col("cell") + 1,
+    )
     salt = lambda found: F.pmod(F.xxhash64(F.lit("block"), "id"), blocks(found)).cast("int")
     every = lambda found: F.explode(F.sequence(F.lit(0), blocks(found) - 1))
     base = routed.select("id", "x", "home", "cell", salt(rows_of).alias("b"), every(queries_of).alias("q"))
@@ -328,9 +409,17 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
         return pd.DataFrame({"query_id": q_ids[r[o]], "vec_id": c[o], "score": s[o]})
 
     keys = ["cell", "b", "q"]
-    found = ask.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = (
+        ask.groupBy(*keys)
+        .cogroup(base.groupBy(*keys))
+        .applyInPandas(search, "query_id long, vec_id long, score double")
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return (
+        found.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,10 @@ def sliced(docs: DataFrame, key: str, text: str, size: int, parts: int, slice_by
         for batch in batches:
             offsets = W.from_arrow(batch.column(text))[1]
             for a, b in W.slices(offsets, slice_bytes):
-                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], schema=batch.schema)
+                part = pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns],
+                    schema=batch.schema,
+                )
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as out:
                     out.write_batch(part)
@@ -139,8 +142,20 @@ def sliced(docs: DataFrame, key: str, text: str, size: int, parts: int, slice_by
                 own = own[home]
                 for p in np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_own) > 0)):
                     x, y = slice(cut[p], cut[p + 1]), own[cut_own[p] : cut_own[p + 1]]
-                    rows.append(("keys", name, int(p), None, short[x].tobytes() + several[x].astype(np.uint8).tobytes(), mark[y].tobytes() + ids[y].tobytes() + y.astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows.append(
+                        (
+                            "keys",
+                            name,
+                            int(p),
+                            None,
+                            short[x].tobytes() + several[x].astype(np.uint8).tobytes(),
+                            mark[y].tobytes() + ids[y].tobytes() + y.astype(np.uint32).tobytes(),
+                        ),
+                    )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=names,
+                )
                 W.returned()
 
     spark = docs.sparkSession
@@ -188,7 +203,12 @@ def shared_keys(code: DataFrame) -> DataFrame:
             "copies": split_by(local[copy], doc_slice[copy], len(pdf)),
         })
 
-    return code.where("kind = 'keys'").select("slice", "bucket", "anchors", "marks").groupBy("bucket").applyInPandas(meet, "slice string, bucket int, anchors binary, copies binary")
+    return (
+        code.where("kind = 'keys'")
+        .select("slice", "bucket", "anchors", "marks")
+        .groupBy("bucket")
+        .applyInPandas(meet, "slice string, bucket int, anchors binary, copies binary")
+    )
 
 
 def settled(w: W.Words, ids: np.ndarray, copies: np.ndarray, size: int):
@@ -229,7 +249,11 @@ def candidates(code: DataFrame, keys: DataFrame, key: str, text: str, size: int,
         W.returned()
         out, z = [], zstandard.ZstdCompressor(level=1)
         found = [(int(b), np.frombuffer(a, np.uint32)) for b, a in zip(right["bucket"], right["anchors"], strict=True)]
-        known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | a.astype(np.uint64) for b, a in found] or [np.zeros(0, np.uint64)]))
+        known = np.sort(
+            np.concatenate(
+                [(np.uint64(b) << np.uint64(32)) | a.astype(np.uint64) for b, a in found] or [np.zeros(0, np.uint64)],
+            ),
+        )
         copies = np.concatenate([np.frombuffer(c, np.uint32) for c in right["copies"]] or [np.zeros(0, np.uint32)])
         for name, data in zip(left["slice"], left["data"], strict=True):
             batch = _load(data)
@@ -248,14 +272,28 @@ def candidates(code: DataFrame, keys: DataFrame, key: str, text: str, size: int,
             begin, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
             n = last - begin + size
             of = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append((name, z.compress(W.packed(w, of)), n.astype(np.uint32).tobytes(), begin.astype(np.uint32).tobytes(), ids[w.doc[begin]].tobytes(), len(at)))
+            out.append(
+                (
+                    name,
+                    z.compress(W.packed(w, of)),
+                    n.astype(np.uint32).tobytes(),
+                    begin.astype(np.uint32).tobytes(),
+                    ids[w.doc[begin]].tobytes(),
+                    len(at),
+                ),
+            )
         return pd.DataFrame(out, columns=["slice", "words", "sizes", "begins", "ids", "suffixes"])
 
     docs = code.where("kind = 'docs'").select("slice", "data")
     return docs.groupBy("slice").cogroup(keys.groupBy("slice")).applyInPandas(cut, RUNS)
 
 
-def _suffixes(words: bytes, sizes: bytes, size: int, hashes: bool = True) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
+def _suffixes(
+    words: bytes,
+    sizes: bytes,
+    size: int,
+    hashes: bool = True,
+) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
     """The words of runs, where suffixes start in them, and each suffix's run and step in it."""
     import zstandard
 
@@ -297,7 +335,13 @@ def heavy_prefixes(runs: DataFrame, size: int, most: int) -> list[np.ndarray]:
 
     while len(heavy) < size:
         known = runs.sparkSession.sparkContext.broadcast(heavy)
-        rows = runs.select("words", "sizes").mapInArrow(count(known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+        rows = (
+            runs.select("words", "sizes")
+            .mapInArrow(count(known), "h long, n long")
+            .groupBy("h")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") > most)
+        )
         found = np.sort(np.array([r.h for r in rows.collect()], np.int64).view(np.uint64))
         if not len(found):
             break
@@ -344,8 +388,13 @@ def subtree_repeats(runs: DataFrame, size: int) -> DataFrame:
                 for p in np.flatnonzero(np.diff(cut)):
                     x = order[cut[p] : cut[p + 1]]
                     text = W.packed(w, (starts[x][:, None] + np.arange(size)).ravel())
-                    rows.append((name, int(p), z.compress(text), place[x].astype(np.uint32).tobytes(), own[x].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SUFFIXES.split(", ")])
+                    rows.append(
+                        (name, int(p), z.compress(text), place[x].astype(np.uint32).tobytes(), own[x].tobytes()),
+                    )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=[c.split()[0] for c in SUFFIXES.split(", ")],
+                )
                 W.returned()
 
     def build(key, pdf):
@@ -356,7 +405,10 @@ def subtree_repeats(runs: DataFrame, size: int) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         data = np.frombuffer(b"".join(map(z.decompress, pdf["words"])), np.uint8)
         w = W.split_buffer(data, np.array([0, len(data)]), hashes=False)
-        ids, place = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("ids", np.int64), ("places", np.uint32)))
+        ids, place = (
+            np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+            for c, t in (("ids", np.int64), ("places", np.uint32))
+        )
         of = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["ids"]])
         hit = repeated_leaves(*subtree(W.numbered(w).reshape(-1, size)), ids, size)
         return pd.DataFrame({"slice": pdf["slice"], "places": split_by(place[hit], of[hit], len(pdf))})
@@ -365,17 +417,35 @@ def subtree_repeats(runs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(build, "slice string, places binary")
 
 
-def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.StructType, key: str, text: str, size: int, keep: list[str]) -> DataFrame:
+def rewritten(
+    code: DataFrame,
+    keys: DataFrame,
+    repeats: DataFrame,
+    columns: T.StructType,
+    key: str,
+    text: str,
+    size: int,
+    keep: list[str],
+) -> DataFrame:
     """All rows, with the columns to keep, n_words, n_removed and kept_sha256; text, if kept, without the removed words."""
-    schema = T.StructType([columns[c] for c in keep]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    schema = (
+        T.StructType([columns[c] for c in keep])
+        .add("n_words", "long")
+        .add("n_removed", "long")
+        .add("kept_sha256", "string")
+    )
 
     def rewrite(_, left, right):
         import pandas as pd
         import pyarrow as pa
 
         W.returned()
-        copies = np.concatenate([np.frombuffer(c, np.uint32) for c in right["copies"] if c is not None] or [np.zeros(0, np.uint32)])
-        places = np.concatenate([np.frombuffer(p, np.uint32) for p in right["places"] if p is not None] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        copies = np.concatenate(
+            [np.frombuffer(c, np.uint32) for c in right["copies"] if c is not None] or [np.zeros(0, np.uint32)],
+        )
+        places = np.concatenate([np.frombuffer(p, np.uint32) for p in right["places"] if p is not None] or [np.zeros(0, np.uint32)]).astype(
+            np.int64,
+        )
         out = []
         for data in left["data"]:
             batch = _load(data)
@@ -401,7 +471,13 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
                 values[c] = batch.column(c)
                 if c == text:
                     old = values[c].to_pylist()
-                    values[c] = pa.array([t.decode("utf-8", "surrogatepass") if r else o for t, r, o in zip(texts, removed, old, strict=True)], pa.string())
+                    values[c] = pa.array(
+                        [
+                            t.decode("utf-8", "surrogatepass") if r else o
+                            for t, r, o in zip(texts, removed, old, strict=True)
+                        ],
+                        pa.string(),
+                    )
             frame = pa.table(values).to_pandas(integer_object_nulls=True) if keep else pd.DataFrame(index=range(len(n)))
             frame["n_words"], frame["n_removed"] = n, removed
             frame["kept_sha256"] = [hashlib.sha256(t).hexdigest() for t in texts]
@@ -409,11 +485,20 @@ def rewritten(code: DataFrame, keys: DataFrame, repeats: DataFrame, columns: T.S
         return pd.concat(out) if out else pd.DataFrame(columns=schema.names, dtype=object)
 
     docs = code.where("kind = 'docs'").select("slice", "data")
-    both = keys.select("slice", "copies", F.lit(None).cast("binary").alias("places")).unionByName(repeats.select("slice", F.lit(None).cast("binary").alias("copies"), "places"))
+    both = keys.select("slice", "copies", F.lit(None).cast("binary").alias("places")).unionByName(
+        repeats.select("slice", F.lit(None).cast("binary").alias("copies"), "places"),
+    )
     return docs.groupBy("slice").cogroup(both.groupBy("slice")).applyInPandas(rewrite, schema)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, keep: list[str] | None = None, slice_bytes: int = 3 << 20) -> DataFrame:
+def deduplicated(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    size: int = 13,
+    keep: list[str] | None = None,
+    slice_bytes: int = 3 << 20,
+) -> DataFrame:
     """Rows of docs with their columns (or those to keep), n_words, n_removed and kept_sha256; columns of these names are replaced."""
     spark, parts = docs.sparkSession, buckets(docs)
     small_batches(spark)
@@ -429,12 +514,24 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        "kept_sha256",
+    )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; those that consist of them entirely go."""
     out = deduplicated(docs).where("n_removed = 0 or n_removed < n_words")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn(
+            "n_chars",
+            (
+                F.when(F.col("n_removed") > 0, F.length("text"))
+                .otherwise(F.col("n_chars"))
+                .cast(docs.schema["n_chars"].dataType)
+            ),
+        )
     return out.select(*docs.columns)

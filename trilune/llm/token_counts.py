@@ -214,7 +214,12 @@ def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
             n = [0 if x is None else t.count(x) for x in texts]
             size = [0 if x is None else len(x.encode("utf-8", "surrogatepass")) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [
+                    batch.column(0),
+                    pa.array(size, pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array([x > limit for x in n], pa.bool_()),
+                ],
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -26,8 +26,14 @@ from pyspark.sql import functions as F
 
 from trilune.llm.common import SENT_BYTES, new_folder, opened, table, written
 
-INDEX = "id string, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to string"
-RECORD = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, intact boolean"
+INDEX = (
+    "id string, url string, archive string, offset long, length long, payload_bytes long, payload_digest string,"
+    " record_type string, refers_to string"
+)
+RECORD = (
+    "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string,"
+    " payload binary, intact boolean"
+)
 _END = b"\r\n\r\n"
 
 
@@ -53,12 +59,24 @@ def record(key, url, payload: bytes, size: int, digest: str, refers_to) -> bytes
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(key)}", "WARC-Date: 2024-01-01T00:00:00Z"]
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {_name(key)}",
+        "WARC-Date: 2024-01-01T00:00:00Z",
+    ]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_field(url)}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_name(refers_to)}",
+        ]
+    lines += [
+        f"WARC-Payload-Digest: sha1:{digest}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(block)}",
+    ]
     return "\r\n".join(lines).encode() + _END + block + _END
 
 
@@ -86,7 +104,16 @@ def parsed(data: bytes) -> dict:
     }
 
 
-def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, folder: str | None = None, level: int = 3, roll_bytes: int = 1 << 30) -> DataFrame:
+def write(
+    pages: DataFrame,
+    key: str = "page_id",
+    url: str = "url",
+    payload: str = "html",
+    least: int = 1000,
+    folder: str | None = None,
+    level: int = 3,
+    roll_bytes: int = 1 << 30,
+) -> DataFrame:
     """Archives of all rows of pages; returns the index (INDEX), read from its table."""
     spark = pages.sparkSession
     root = folder or new_folder(spark, "warc")
@@ -108,12 +135,17 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     )
     held = written(spark, held, "warc-held")
     # Payloads are only exchanged where the repeated ones are too many to send, and then not the small ones, which all may share a digest.
-    few = (held.agg(F.sum(F.coalesce(F.octet_length(F.col("_holder").cast("string")), F.lit(0)) + 56)).first()[0] or 0) <= SENT_BYTES
+    few = (
+        (held.agg(F.sum(F.coalesce(F.octet_length(F.col("_holder").cast("string")), F.lit(0)) + 56)).first()[0] or 0)
+        <= SENT_BYTES
+    )
     large, small = rows.where(F.col("_bytes") >= least), rows.where(F.col("_bytes") < least)
     if few:
         rows = rows.join(F.broadcast(held), "_digest", "left")
     else:
-        rows = large.join(held, "_digest", "left").unionByName(small.withColumn("_holder", F.lit(None).cast(pages.schema[key].dataType)))
+        rows = large.join(held, "_digest", "left").unionByName(
+            small.withColumn("_holder", F.lit(None).cast(pages.schema[key].dataType)),
+        )
     refers = F.when((F.col("_bytes") >= least) & ~F.col("_key").eqNullSafe(F.col("_holder")), F.col("_holder"))
     rows = rows.select(
         F.col("_key").cast("string").alias("id"),
@@ -128,7 +160,9 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in INDEX.split(", "))])
+        schema = pa.schema(
+            [(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in INDEX.split(", "))],
+        )
         fs, base = opened(root)
         fs.create_dir(base, recursive=True)
         out, at, name = None, 0, ""
@@ -144,12 +178,30 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
                         info = b"software: trilune\r\nformat: WARC File Format 1.1\r\n"
                         head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_name(None)}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
                         at += out.write(m := _member(head.encode() + info + _END, level)) or len(m)
-                    m = _member(record(r["id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"]), level)
+                    m = _member(
+                        record(r["id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"]),
+                        level,
+                    )
                     out.write(m)
-                    found.append((r["id"], r["url"], f"{root}/{name}", at, len(m), r["size"], r["digest"], "response" if r["refers_to"] is None else "revisit", r["refers_to"]))
+                    found.append(
+                        (
+                            r["id"],
+                            r["url"],
+                            f"{root}/{name}",
+                            at,
+                            len(m),
+                            r["size"],
+                            r["digest"],
+                            "response" if r["refers_to"] is None else "revisit",
+                            r["refers_to"],
+                        ),
+                    )
                     at += len(m)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)],
+                        schema=schema,
+                    )
         finally:
             if out is not None:
                 out.close()
@@ -157,7 +209,12 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     return written(spark, rows.mapInArrow(append, INDEX), "warc-index")
 
 
-def read(index: DataFrame, block_bytes: int = 8 << 20, gap_bytes: int = 64 << 10, task_bytes: int = 32 << 20) -> DataFrame:
+def read(
+    index: DataFrame,
+    block_bytes: int = 8 << 20,
+    gap_bytes: int = 64 << 10,
+    task_bytes: int = 32 << 20,
+) -> DataFrame:
     """Records (RECORD) of the given index rows, and of no others.
 
     Blocks of an archive are dealt over the cluster, so many to a task as make task_bytes of what is wanted; in
@@ -165,7 +222,10 @@ def read(index: DataFrame, block_bytes: int = 8 << 20, gap_bytes: int = 64 << 10
     """
     wanted = index.select("archive", "offset", "length", (F.col("offset") / block_bytes).cast("long").alias("_block"))
     # A number of tasks that is asked for is not merged again by adaptive execution, for which the index is small.
-    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    tasks = max(
+        index.sparkSession.sparkContext.defaultParallelism,
+        -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes),
+    )
     wanted = wanted.repartition(tasks, "archive", "_block").sortWithinPartitions("archive", "offset").drop("_block")
 
     def fetch(batches):
@@ -196,7 +256,10 @@ def read(index: DataFrame, block_bytes: int = 8 << 20, gap_bytes: int = 64 << 10
                     source = fs.open_input_file(path)
                 first = run[0][1]
                 data = source.read_at(run[-1][1] + run[-1][2] - first, first)
-                yield pa.RecordBatch.from_pylist([parsed(zlib.decompress(data[o - first : o - first + n], 31)) for _, o, n in run], schema=schema)
+                yield pa.RecordBatch.from_pylist(
+                    [parsed(zlib.decompress(data[o - first : o - first + n], 31)) for _, o, n in run],
+                    schema=schema,
+                )
         finally:
             if source is not None:
                 source.close()
@@ -208,7 +271,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
     return read(write(pages)).select(
-        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "intact"
+        F.col("id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+        "intact",
     )
 
 

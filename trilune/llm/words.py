@@ -41,7 +41,10 @@ def powers(n: int) -> list[np.ndarray]:
         _POWERS[:] = [np.ones(1, np.uint64) for _ in _POINTS]
     while len(_POWERS[0]) < n:
         size = len(_POWERS[0])
-        _POWERS[:] = [np.append(u, folded(u * np.uint64(pow(x, size, _PRIME)))) for u, x in zip(_POWERS, _POINTS, strict=True)]
+        _POWERS[:] = [
+            np.append(u, folded(u * np.uint64(pow(x, size, _PRIME))))
+            for u, x in zip(_POWERS, _POINTS, strict=True)
+        ]
     return _POWERS
 
 
@@ -182,7 +185,11 @@ def numbered(w: Words) -> np.ndarray:
     if not len(w.end):
         return np.zeros(0, np.int32)
     edges = np.stack([w.start, w.end], axis=1).ravel().astype(np.int64)
-    both = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(w.buffer))])
+    both = pa.Array.from_buffers(
+        pa.large_binary(),
+        len(edges) - 1,
+        [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(w.buffer))],
+    )
     return np.asarray(both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode().indices)
 
 
