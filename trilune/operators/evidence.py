@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilune.operators import graph as G
+from trilune.operators.extract import contained
 from trilune.sources.tables import stored
 
-GRAM = 3
-
 
 def forms(entities: DataFrame) -> DataFrame:
     """(id, form, alias) of entities: lower-cased names and aliases, none empty."""
@@ -22,26 +21,6 @@ def forms(entities: DataFrame) -> DataFrame:
     return names.unionByName(others).where(F.length("form") > 0).distinct()
 
 
-def _starts(text: Column) -> Column:
-    return F.substring(text, 1, GRAM)
-
-
-def _grams(text: Column) -> Column:
-    """All stretches of up to GRAM characters, once each."""
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, GRAM + 1)])))
-
-
-def contained(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
-    """Pairs of rows of which the one's text `part` is a stretch of the other's text `whole`.
-
-    They meet on the part's first characters, which the whole has somewhere: an equi-join, confirmed on the texts.
-    """
-    a = inner.where(F.length(part) > 0).withColumn("_gram", _starts(F.col(part)))
-    b = outer.where(F.length(whole) > 0).withColumn("_gram", F.explode(_grams(F.col(whole))))
-    return a.join(b, "_gram").where(F.contains(F.col(whole), F.col(part))).drop("_gram")
-
-
 def matched(texts: DataFrame, key: str, text: str, entities: DataFrame) -> DataFrame:
     """(key, id, by_name, by_alias): entities of which a name or alias is a stretch of the text, or the text one of it, in any letter case."""
     t = texts.select(F.col(key), F.lower(text).alias("_text")).distinct()

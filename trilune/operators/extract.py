@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilune.functions import patterns
@@ -69,16 +69,42 @@ def relation_spans(texts: DataFrame, catalogue=None) -> DataFrame:
     )
 
 
+GRAM = 3
+
+
+def _starts(text: Column) -> Column:
+    return F.substring(text, 1, GRAM)
+
+
+def _grams(text: Column) -> Column:
+    """All stretches of up to GRAM characters, once each."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, GRAM + 1)])))
+
+
+def contained(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
+    """Pairs of rows of which the one's text `part` is a stretch of the other's text `whole`.
+
+    They meet on the part's first characters, which the whole has somewhere: an equi-join, confirmed on the texts.
+    """
+    a = inner.where(F.length(part) > 0).withColumn("_gram", _starts(F.col(part)))
+    b = outer.where(F.length(whole) > 0).withColumn("_gram", F.explode(_grams(F.col(whole))))
+    return a.join(b, "_gram").where(F.contains(F.col(whole), F.col(part))).drop("_gram")
+
+
+def first_matches(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """(column, id): for each distinct text the first of the names (id, name, ord) that equals it, is part of it or has it as a part, in any letter case."""
+    t = texts.select(column).where(F.trim(column) != "").distinct().withColumn("_text", F.lower(F.trim(column)))
+    known = names.select("id", F.lower("name").alias("_name"), "ord")
+    hits = contained(known, t, "_name", "_text").unionByName(contained(t, known, "_text", "_name"), allowMissingColumns=True)
+    return hits.groupBy(column).agg(F.min_by("id", F.struct("ord", "id")).alias("id"))
+
+
 def related_entities(spans: DataFrame, names: DataFrame, confidence: float = 0.85) -> DataFrame:
-    """Relations whose sides are known names (ids of names: id, name), matched by lower-cased equality."""
-    n = names.select("id", F.lower("name").alias("_n"))
-    out = spans.join(n.select(F.col("id").alias("src"), F.col("_n").alias("l")), F.lower("left") == F.col("l")).join(
-        n.select(F.col("id").alias("dst"), F.col("_n").alias("r")),
-        F.lower("right") == F.col("r"),
-    )
-    return best_relations(
-        out.select("src", "dst", "rel", F.lit(confidence).alias("confidence"), F.col("doc").alias("ord")),
-    )
+    """Relations whose sides (left, right) are names: their ids, of equal ones the most confident. Sides that match no name are left out."""
+    ends = {side: first_matches(spans, side, names).withColumnRenamed("id", end) for side, end in (("left", "src"), ("right", "dst"))}
+    out = spans.join(ends["left"], "left").join(ends["right"], "right").where("src <> dst")
+    return best_relations(out.select("src", "dst", "rel", F.lit(confidence).alias("confidence"), F.col("doc").alias("ord")))
 
 
 def cooccurrences(found: DataFrame, window: int = 50) -> DataFrame:
@@ -115,4 +141,4 @@ def places(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("doc", F.inline(F.aggregate(zipped, start, step, lambda s: s["out"])))
 
 
-__all__ = ["context", "cooccurrences", "entities", "kept_entities", "places", "related_entities", "relation_spans"]
+__all__ = ["context", "cooccurrences", "contained", "entities", "first_matches", "kept_entities", "places", "related_entities", "relation_spans"]

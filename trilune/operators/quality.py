@@ -143,13 +143,13 @@ def assessed(records: DataFrame) -> DataFrame:
     )
 
 
-def rule_passes(name: str) -> Column:
-    """Lengths hold for title, abstract and content alike where present; a pattern for its field."""
-    low, high, pattern, field = RULES[name]
+def rule_passes(name: str, rules: dict | None = None, texts: tuple[str, ...] = ("title", "content")) -> Column:
+    """Lengths hold for title, abstract and content (the texts that records have) alike where present; a pattern for its field. `rules` takes other rules than the fixed ones."""
+    low, high, pattern, field = (rules or RULES)[name]
     if pattern:
         return (F.coalesce(F.col(field), F.lit("")) == "") | F.col(field).rlike(pattern)
     ok = F.lit(True)
-    for c in ("title", "content"):
+    for c in texts:
         n = F.length(F.coalesce(F.col(c), F.lit("")))
         ok = ok & ((n == 0) | n.between(low, high))
     return ok

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from trilune.functions import patterns as P
 from trilune.functions import text as T
 from trilune.operators import extract as X
+from trilune.operators import kg as K
 from trilune.operators import passages as A
+from trilune.plans.kg import doubled
+from trilune.plans.lexicon import SQL as LEX
+from trilune.plans.lexicon import graph
 from trilune.sources.tables import stored, table
 
 
@@ -176,9 +180,38 @@ def sentence_relations(spark, d):
     return X.relation_spans(rows).groupBy("rel", "left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stated(spark, d):
+    """Sentences about brands and types with words around them."""
+    text = F.concat(F.lit("The "), F.lower("p_brand"), F.lit(" kind includes "), F.col("p_type"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.lit("en").alias("language"), text.alias("text"))
+
+
+def related_entities(spark, d):
+    """Relations of sentences, led to the names that their sides contain."""
+    part = table(spark, d, "part")
+    names = part.select(F.col("p_brand").alias("id")).union(part.select("p_type")).distinct()
+    names = names.select("id", F.col("id").alias("name"), F.col("id").alias("ord"))
+    return X.related_entities(X.relation_spans(stated(spark, d)), names).select("src", "dst", "rel", "confidence")
+
+
+def entity_contexts(spark, d):
+    """Words in -tion with 50 characters on both sides."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    found = X.places(docs, "[a-z]+tion").join(docs, "doc")
+    around = T.context(F.col("text"), F.col("at"), F.col("at") + F.length("name"), 50)
+    rows = found.select("doc", "name", around.alias("context"))
+    return rows.groupBy("doc", "name", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def added_once(spark, d):
+    """Of entities that are inserted twice, the first one stays."""
+    rows = K.added_entities(doubled(graph(spark, d)[0]))
+    return rows.select("id", "name", "confidence", K.checked_language(F.lit("fr")).alias("language"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (abstracts, reference_lists, table_captions, figure_captions, concept_patterns, concept_relations, concept_pairs, concept_context, alignment_scores, lesson_entities, sentence_relations)
+    for f in (abstracts, reference_lists, table_captions, figure_captions, concept_patterns, concept_relations, concept_pairs, concept_context, alignment_scores, lesson_entities, sentence_relations, related_entities, entity_contexts, added_once)
 }
 
 _PLAIN = "trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' +', ' ', 'g'))"
@@ -193,7 +226,16 @@ _TION = """WITH g AS (SELECT doc_id AS doc, text, regexp_extract_all(text, '[a-z
 ), w AS (SELECT doc, text, unnest(range(len(n))) AS i, n, g FROM g
 ), pl AS (SELECT doc, text, i, (coalesce(list_sum(list_transform(n[1:i], lambda s: length(s))), 0) + list_sum(list_transform(g[1:i + 1], lambda s: length(s))))::BIGINT AS pos FROM w)"""
 
+_NAMES = "n AS (SELECT p_brand AS id FROM part UNION SELECT p_type FROM part)"
+
 SQL = {
+    "added_once": LEX + " SELECT id, name, confidence, 'fr' AS language FROM ent",
+    "related_entities": f"""WITH {_NAMES}, s AS (SELECT p_partkey, 'The ' || lower(p_brand) || ' kind' AS l, p_type AS r FROM part
+), m AS (SELECT p_partkey, (SELECT min(id) FROM n WHERE contains(lower(l), lower(id)) OR contains(lower(id), lower(l))) AS src,
+  (SELECT min(id) FROM n WHERE contains(lower(r), lower(id)) OR contains(lower(id), lower(r))) AS dst FROM s)
+SELECT DISTINCT src, dst, 'covers' AS rel, 0.85::DOUBLE AS confidence FROM m WHERE src <> dst""",
+    "entity_contexts": f"""{_TION}, o AS (SELECT doc, regexp_extract(text[pos + 1:], '^[a-z]+tion') AS name, pos, text FROM pl)
+SELECT doc, name, regexp_replace(text[greatest(pos - 50, 0) + 1 : pos + length(name) + 50], '^\\s+|\\s+$', '', 'g') AS context, count(*) AS n FROM o GROUP BY ALL""",
     "abstracts": f"{_PAPERS} SELECT doc, CASE WHEN length(plain) > 50 THEN plain END AS abstract FROM p",
     "reference_lists": """SELECT doc_id AS doc, 0 AS "at", '1. ' || doc_id || ' first entry, long enough to stay' AS entry FROM documents
 UNION ALL SELECT doc_id, 1, doc_id || ' third entry, long enough too' FROM documents""",

@@ -50,7 +50,7 @@ def vectors(spark, d):
 def label_queries(v):
     """The first vector of each label asks."""
     first = v.groupBy("label").agg(F.min("id").alias("id"))
-    return v.join(F.broadcast(first), ["label", "id"], "left_semi")
+    return v.join(first, ["label", "id"], "left_semi")
 
 
 def dense_run(spark, d, k=20):

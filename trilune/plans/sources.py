@@ -49,14 +49,12 @@ def qrels_source(spark, d):
 
 def run_source(spark, d):
     x = (
-        (
-            table(spark, d, "embeddings")
-            .groupBy(F.col("label").cast("string").alias("query_id"))
-            .agg(
-                F.sort_array(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("doc_id"), (F.col("vec_id") / 2).alias("score")))).alias(
-                    "results",
-                ),
-            )
+        table(spark, d, "embeddings")
+        .groupBy(F.col("label").cast("string").alias("query_id"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("doc_id"), (F.col("vec_id") / 2).alias("score")))).alias(
+                "results",
+            ),
         )
     )
     x.withColumn("query", F.lit("")).write.json(path := scratch(spark, "run"))
