@@ -33,8 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that were named in this process and not removed since, in order.
+MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def written(spark: SparkSession, df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
@@ -50,12 +55,26 @@ def kept_at(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes what `written` wrote, once no result reads it any more."""
     for t in tables:
-        spark, path = t.sparkSession, t._trilune_folder
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(t.sparkSession, t._trilune_folder)
+
+
+def stored_alone(spark: SparkSession, make, what: str) -> DataFrame:
+    """The rows that make() describes, as a table; all folders that were made on the way are removed."""
+    before = set(MADE)
+    out = written(spark, make(), what)
+    for path in [p for p in MADE if p not in before and p != out._trilune_folder]:
+        remove(spark, path)
+    return out
 
 
 #: Keys up to this size are sent to every task; beyond it, a join shuffles.
