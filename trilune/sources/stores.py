@@ -136,7 +136,7 @@ def decoded(
 
 
 def folder_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes) of all files under a folder; their contents are not read."""
+    """(files, bytes) of all files under a folder that are not empty; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
     return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
