@@ -96,15 +96,23 @@ def first_matches(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """(column, id): for each distinct text the first of the names (id, name, ord) that equals it, is part of it or has it as a part, in any letter case."""
     t = texts.select(column).where(F.trim(column) != "").distinct().withColumn("_text", F.lower(F.trim(column)))
     known = names.select("id", F.lower("name").alias("_name"), "ord")
-    hits = contained(known, t, "_name", "_text").unionByName(contained(t, known, "_text", "_name"), allowMissingColumns=True)
+    hits = contained(known, t, "_name", "_text").unionByName(
+        contained(t, known, "_text", "_name"),
+        allowMissingColumns=True,
+    )
     return hits.groupBy(column).agg(F.min_by("id", F.struct("ord", "id")).alias("id"))
 
 
 def related_entities(spans: DataFrame, names: DataFrame, confidence: float = 0.85) -> DataFrame:
     """Relations whose sides (left, right) are names: their ids, of equal ones the most confident. Sides that match no name are left out."""
-    ends = {side: first_matches(spans, side, names).withColumnRenamed("id", end) for side, end in (("left", "src"), ("right", "dst"))}
+    ends = {
+        side: first_matches(spans, side, names).withColumnRenamed("id", end)
+        for side, end in (("left", "src"), ("right", "dst"))
+    }
     out = spans.join(ends["left"], "left").join(ends["right"], "right").where("src <> dst")
-    return best_relations(out.select("src", "dst", "rel", F.lit(confidence).alias("confidence"), F.col("doc").alias("ord")))
+    return best_relations(
+        out.select("src", "dst", "rel", F.lit(confidence).alias("confidence"), F.col("doc").alias("ord")),
+    )
 
 
 def cooccurrences(found: DataFrame, window: int = 50) -> DataFrame:
@@ -141,4 +149,14 @@ def places(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("doc", F.inline(F.aggregate(zipped, start, step, lambda s: s["out"])))
 
 
-__all__ = ["context", "cooccurrences", "contained", "entities", "first_matches", "kept_entities", "places", "related_entities", "relation_spans"]
+__all__ = [
+    "context",
+    "cooccurrences",
+    "contained",
+    "entities",
+    "first_matches",
+    "kept_entities",
+    "places",
+    "related_entities",
+    "relation_spans",
+]

@@ -183,7 +183,11 @@ def sentence_relations(spark, d):
 def stated(spark, d):
     """Sentences about brands and types with words around them."""
     text = F.concat(F.lit("The "), F.lower("p_brand"), F.lit(" kind includes "), F.col("p_type"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.lit("en").alias("language"), text.alias("text"))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc"),
+        F.lit("en").alias("language"),
+        text.alias("text"),
+    )
 
 
 def related_entities(spark, d):
