@@ -1,6 +1,8 @@
 """Connectors, stores and the scheduler, by hand."""
 
 import json
+import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from trilune.operators import kg as K
 from trilune.operators import scheduling as S
 from trilune.sources import connectors as C
+from trilune.sources import files
 from trilune.sources import stores
 
 
@@ -110,3 +113,23 @@ def test_corpus_skips_missing_files(spark, tmp_path):
 def test_unsupported_language_fails(spark):
     with pytest.raises(Exception, match="unsupported language"):
         spark.createDataFrame([("xx",)], "l string").select(K.checked_language(F.col("l"))).collect()
+
+
+def test_spreadsheets_pdf_and_pages(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {link}><sheets><sheet name="One" r:id="x"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="x" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>name</t></si></sst>")
+        rows = '<row><c t="s"><v>0</v></c><c t="inlineStr"><is><t>n</t></is></c></row><row><c><v>4.5</v></c><c/></row>'
+        z.writestr("xl/worksheets/s.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    shown = zlib.compress(rb"BT /F1 12 Tf (Hello \(you\)) Tj ET BT [(a) -3 (b)] TJ ET")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4\nstream\n" + shown + b"\nendstream")
+    (tmp_path / "c.html").write_text("<html><script>no</script><p>A &amp; B</p>\n<p>C</p></html>")
+    (tmp_path / "d.xyz").write_text("?")
+    got = {r.filename: (r.text, r.error is None) for r in files.read_documents(spark, f"file://{tmp_path}").collect()}
+    assert got["a.xlsx"] == ("=== 工作表: One ===\nname | n\n4.5 | ", True)
+    assert got["b.pdf"] == ("Hello (you)\nab", True)
+    assert got["c.html"] == ("A & B\nC", True)
+    assert not got["d.xyz"][1]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import zipfile
+import zlib
 from collections.abc import Callable
 from io import BytesIO
 from xml.etree import ElementTree
@@ -153,8 +155,68 @@ def _plain(data: bytes) -> str:
     return ""
 
 
+def _xlsx(data: bytes) -> str:
+    """Every sheet under a banner with its name: rows as lines, cells joined by ' | '."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    book = zipfile.ZipFile(BytesIO(data))
+    root = lambda path: ElementTree.fromstring(book.read(path))
+    text = lambda x: "".join(t.text or "" for t in x.iter(f"{main}t"))
+    shared = [text(x) for x in root("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+    targets = {x.get("Id"): x.get("Target").removeprefix("/xl/") for x in root("xl/_rels/workbook.xml.rels")}
+    out = []
+    for sheet in root("xl/workbook.xml").iter(f"{main}sheet"):
+        lines = [f"=== 工作表: {sheet.get('name')} ==="]
+        for row in root(f"xl/{targets[sheet.get(link)]}").iter(f"{main}row"):
+            cells = []
+            for c in row.iter(f"{main}c"):
+                value = c.find(f"{main}v")
+                if c.get("t") == "s" and value is not None:
+                    cells.append(shared[int(value.text)])
+                else:
+                    cells.append(text(c) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else ""))
+            lines.append(" | ".join(cells))
+        out.append("\n".join(lines))
+    return "\n\n".join(out)
+
+
+def _pdf(data: bytes) -> str:
+    """Text of the strings that content streams show, a line per text block; fonts with encodings of their own are not decoded."""
+    out = []
+    for stream in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        try:
+            stream = zlib.decompress(stream)
+        except zlib.error:
+            pass  # not compressed
+        for block in re.findall(rb"BT\b(.*?)\bET\b", stream, re.S):
+            shown = re.findall(rb"\(((?:[^()\\]|\\.)*)\)", block)
+            plain = b"".join(re.sub(rb"\\([()\\])", rb"\1", x) for x in shown)
+            out.append(plain.decode("utf-8", "replace") if plain[:2] != b"\xfe\xff" else plain.decode("utf-16", "replace"))
+    return "\n".join(out)
+
+
+def _html(data: bytes) -> str:
+    """What is to be read of a page: without scripts, styles and tags, entities decoded, blank lines left out."""
+    import html
+
+    body = re.sub(r"(?is)<script.*?</script>|<style.*?</style>", "", _plain(data))
+    lines = (x.strip() for x in html.unescape(re.sub(r"(?s)<[^>]+>", "\n", body)).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
 #: Extension -> text of the file's bytes; callers may add their own.
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {"txt": _plain, "csv": _plain, "md": _plain, "docx": _docx, "json": lambda b: " ".join(_leaves(json.loads(b))), "jsonl": _jsonl}
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {
+    "txt": _plain,
+    "csv": _plain,
+    "md": _plain,
+    "docx": _docx,
+    "xlsx": _xlsx,
+    "pdf": _pdf,
+    "html": _html,
+    "htm": _html,
+    "json": lambda b: " ".join(_leaves(json.loads(b))),
+    "jsonl": _jsonl,
+}
 
 
 def read_documents(
