@@ -33,7 +33,7 @@ from trilune.llm.common import SENT_BYTES, buckets, dropped, small_batches, tabl
 
 FRAGMENTS = 4
 SHORT = 100  # lists up to this long give all their pairs of like size
-BLOCK = 2048  # rows and columns of a block of comparisons
+BLOCK = 2048  # rows and columns of a block of comparisons, at most
 
 
 def shingles(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -517,8 +517,10 @@ def in_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     With whole sets: links (x, y) that span what is linked. With prefixes only: (part, id) of the
     documents that may link, on either side.
     """
-    n = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    n = n.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("na")), "part")
+    # Blocks of up to BLOCK rows; groups of fewer than eight such blocks are cut into eight, for as many tasks.
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(-(-BLOCK // 8)), F.ceil(F.count(F.lit(1)) / 8)))
+    blocks = lambda rows, name: rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    n = blocks(members, "nb").join(blocks(asked, "na"), "part")
     salt = lambda c: F.pmod(F.xxhash64(F.lit("b"), "id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = (
