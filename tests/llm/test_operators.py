@@ -429,9 +429,14 @@ def test_nearest_query_reaches_the_recall(spark, data):
     assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
 
 
-def test_fold_is_the_contract():
-    for i in range(50):
-        assert (zlib.crc32(str(i).encode()) % 7 == 2) in (True, False)
+def test_fold_is_the_contract(spark):
+    from trilune.llm.common import fold
+
+    ids = [*range(200), 10**12, -5, None]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for parts, keep in ((3, 1), (4, 2), (7, 2)):
+        got = {r.doc_id: r.held for r in docs.select("doc_id", fold(F.col("doc_id"), parts, keep).alias("held")).collect()}
+        assert got == {i: i is not None and zlib.crc32(str(i).encode()) % parts == keep for i in ids}
 
 
 def test_pipeline(spark, data):
