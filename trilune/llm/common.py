@@ -88,6 +88,25 @@ def without(docs: DataFrame, gone: DataFrame, *keys: str, bytes_each: int = 8) -
     return docs.join(F.broadcast(gone) if few else gone, list(keys), "left_anti")
 
 
+def let(value, body):
+    """body(x) with x standing for the value, which is computed once however often body names it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], bytes_each: int, salts: int = 32) -> DataFrame:
+    """Inner join of rows with a written table of facts on keys, nulls equal: sent to every task if small, else by key and salt, so that a key with many rows is many tasks."""
+    names = {k: f"_of_{k}" for k in keys}
+    facts = facts.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(of)) for k, of in names.items()]
+    if facts.count() * bytes_each <= SENT_BYTES:
+        out = rows.join(F.broadcast(facts), same)
+    else:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+        spread = facts.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = salted.join(spread, [*same, F.col("_salt") == F.col("_of_salt")]).drop("_salt", "_of_salt")
+    return out.drop(*names.values())
+
+
 #: Rows and bytes of an Arrow batch at most, where whole texts go to Python: JVM and worker both hold a batch, and keep its memory.
 BATCH_ROWS = 2500
 BATCH_BYTES = 8 << 20
