@@ -5,7 +5,7 @@ Each text gives counts (`statistics`), those give a vector of transformed statis
 minimum-covariance-determinant estimate: of the subsets with a share `SUBSET` of the group, the one whose covariance
 matrix has the least determinant, found by concentration steps from three deterministic starts (scales by
 quartiles; covariance of spatial signs; covariance of tanh scores), then reweighted once. A document is rejected
-if its squared Mahalanobis distance is beyond `CUTOFF`.
+if its squared Mahalanobis distance is beyond the chi-square quantile of `KEPT`.
 
 Concentration works on the distinct vectors of a group with their counts, so copies are one row. A step is one
 aggregation: squared distances fall into bins of a sixteenth of an octave, moments are summed exactly per group,
@@ -38,8 +38,8 @@ FLOOR = 0.5
 SUBSET, STEPS = 0.75, 6
 #: Share of a normal sample that reweighting keeps.
 REWEIGHTED = 0.975
-#: Squared distance beyond which a document is rejected, in multiples of the number of statistics.
-CUTOFF = 20.0
+#: Share of a normal sample that is kept; its chi-square quantile is the squared distance beyond which a document is rejected.
+KEPT = 0.9999
 GROUP = ["lang", "source"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -64,7 +64,7 @@ def repeated_words(words: Column, size: int = 8) -> Column:
     return let(words, counted)
 
 
-def statistics(text: Column, least_words: int = 20, most_repeated: int = 30) -> dict[str, Column]:
+def statistics(text: Column) -> dict[str, Column]:
     """The counts of a text, by name; `base_failed` follows from them."""
     of = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(of, F.lit(WORD), F.lit(0))
@@ -242,8 +242,8 @@ def estimates(cells: DataFrame, p: int) -> DataFrame:
     return out
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """One row per document: its id under its own name, lang, source, the counts, base_failed, distance (squared, per statistic; null for those that failed) and kept."""
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = KEPT) -> DataFrame:
+    """One row per document: its id under its own name, lang, source, the counts, base_failed, distance (squared; null for those that failed) and kept."""
     spark, p = docs.sparkSession, len(transformed())
     plain = docs.select(F.col(key).alias("_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
     counts = plain.select("_id", *GROUP, *[c.alias(k) for k, c in statistics(F.col("_text")).items()])
@@ -255,9 +255,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     dropped(cells)
     result = [F.col("_id").alias(key), *GROUP, *BASE, "base_failed"]
     good = with_facts(vectors.where("not base_failed"), facts, GROUP, 64 + 8 * (2 * p + p * p))
-    good = good.withColumn("distance", distance(p) / p)
+    good = good.withColumn("distance", distance(p))
     bad = vectors.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
-    return good.select(*result, "distance", (F.col("distance") <= cutoff).alias("kept")).unionByName(bad.select(*result, "distance", F.lit(False).alias("kept")))
+    return good.select(*result, "distance", (F.col("distance") <= chi_quantile(share, p)).alias("kept")).unionByName(bad.select(*result, "distance", F.lit(False).alias("kept")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
