@@ -150,8 +150,8 @@ def distance(p: int) -> Column:
 
 
 def moments(p: int) -> dict[str, Column]:
-    """Exact sums over weighted vectors: n, a_i, b_i_j."""
-    whole = lambda c: F.sum(c.cast("decimal(20,0)"))
+    """Exact sums over weighted vectors: n, a_i, b_i_j. Products are below 2 ** 25, so sums of 2 ** 38 documents fit."""
+    whole = F.sum
     n, q = F.col("n"), [F.col(f"q_{i}").cast("long") for i in range(p)]
     return {
         "n": F.sum("n"),
@@ -168,6 +168,12 @@ def estimated(p: int, n: Column, of: dict[str, Column], factor: float = 1.0) ->
     return [*[m.alias(f"m_{i}") for i, m in enumerate(mean)], *[c.alias(f"s_{i}_{j}") for (i, j), c in cov.items()]]
 
 
+def stored_small(rows: DataFrame, what: str, smaller: int = 16) -> DataFrame:
+    """A table of far fewer bytes than documents have, in as much fewer files than there are shuffle partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.sparkSession, rows.coalesce(max(1, parts // smaller)), what)
+
+
 def starts(cells: DataFrame, p: int) -> DataFrame:
     """Three estimates per group, of shape only: `start`, m_i, s_i_j."""
     long = cells.select(*GROUP, "n", F.posexplode(F.array(*[f"q_{i}" for i in range(p)])).alias("at", "q"))
@@ -180,13 +186,13 @@ def starts(cells: DataFrame, p: int) -> DataFrame:
         F.greatest((quartile(3) - quartile(1)) / F.lit(1.349), F.lit(FLOOR * STEP)).alias("d"),
     )
     own = lambda c, i: F.max(F.when(F.col("at") == i, F.col(c).cast("double"))).alias(f"{c}_{i}")
-    scales = written(cells.sparkSession, marks.groupBy(*GROUP).agg(*[own(c, i) for c in "md" for i in range(p)]), "scales")
+    scales = stored_small(marks.groupBy(*GROUP).agg(*[own(c, i) for c in "md" for i in range(p)]), "scales")
     z = [(F.col(f"q_{i}") - F.col(f"m_{i}")) / F.col(f"d_{i}") for i in range(p)]
     scored = with_facts(cells, scales, GROUP, 32 + 16 * p)
     scored = scored.withColumn("_size", F.sqrt(sum((x * x for x in z), F.lit(0.0))))
     sign = [F.coalesce(F.try_divide(x, F.col("_size")), F.lit(0.0)) for x in z]
     scores = {1: sign, 2: [F.tanh(x) for x in z]}
-    whole = lambda x: F.sum((F.col("n") * F.round(x * 65536).cast("long")).cast("decimal(20,0)"))
+    whole = lambda x: F.sum(F.col("n") * F.round(x * 65536).cast("long"))
     sums = [whole(y[i] * y[j]).alias(f"y{k}_{i}_{j}") for k, y in scores.items() for i, j in pairs(p)]
     means = [whole(y[i]).alias(f"u{k}_{i}") for k, y in scores.items() for i in range(p)]
     found = scored.groupBy(*GROUP).agg(F.sum("n").alias("_n"), *sums, *means)
@@ -227,17 +233,16 @@ def concentrated(cells: DataFrame, estimate: DataFrame, p: int, share: float) ->
 
 def estimates(cells: DataFrame, p: int) -> DataFrame:
     """One row per group: m_i, l_i_j and log_det of the reweighted estimate. A table."""
-    spark = cells.sparkSession
-    now = written(spark, inverted(starts(cells, p), p), "starts")
+    now = stored_small(inverted(starts(cells, p), p), "starts")
     for _ in range(STEPS):
-        last, now = now, written(spark, inverted(concentrated(cells, now, p, SUBSET), p), "step")
+        last, now = now, stored_small(inverted(concentrated(cells, now, p, SUBSET), p), "step")
         dropped(last)
     least = F.min(F.struct("log_det", "start", *[c for c in now.columns if c not in [*GROUP, "log_det", "start"]])).alias("e")
-    raw = written(spark, now.groupBy(*GROUP).agg(least).select(*GROUP, "e.*"), "raw")
+    raw = stored_small(now.groupBy(*GROUP).agg(least).select(*GROUP, "e.*"), "raw")
     near = with_facts(cells, raw, GROUP, 64 + 8 * (2 * p + p * p)).where(distance(p) <= consistency(SUBSET, p) * chi_quantile(REWEIGHTED, p))
     sums = near.groupBy(*GROUP).agg(*[c.alias(k) for k, c in moments(p).items()])
     of = {k: F.col(k).cast("double") for k in moments(p)}
-    out = written(spark, inverted(sums.select(*GROUP, *estimated(p, F.col("n").cast("double"), of, consistency(REWEIGHTED, p))), p), "estimates")
+    out = stored_small(inverted(sums.select(*GROUP, *estimated(p, F.col("n").cast("double"), of, consistency(REWEIGHTED, p))), p), "estimates")
     dropped(now, raw)
     return out
 
@@ -250,7 +255,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counts = written(spark, counts, "statistics").withColumn("base_failed", failed())
     vectors = counts.withColumns({f"q_{i}": v for i, v in enumerate(transformed())})
     names = [f"q_{i}" for i in range(p)]
-    cells = written(spark, vectors.where("not base_failed").groupBy(*GROUP, *names).agg(F.count("*").alias("n")), "vectors")
+    cells = stored_small(vectors.where("not base_failed").groupBy(*GROUP, *names).agg(F.count("*").alias("n")), "vectors", 4)
     facts = estimates(cells, p)
     dropped(cells)
     result = [F.col("_id").alias(key), *GROUP, *BASE, "base_failed"]
