@@ -8,7 +8,7 @@ likeliest parts, as many as reach the wanted recall on sample rows that the clas
 did not learn from (all of them, if the sample has no such rows), and further ones until they
 hold k rows beside its own; what they hold is ranked by exact inner products in double precision.
 
-The number of parts follows the number of rows. Where one classifier would have to tell more parts apart than its
+The number of parts follows the number of rows; a table of 160 rows and more has eight at least. Where one classifier would have to tell more parts apart than its
 sample can teach (a twentieth of it), there are two levels: the parts that it tells apart are cut again, each
 by a partition and a classifier of its own, learned in a task of its own from a bounded sample of its rows.
 
@@ -17,8 +17,8 @@ part with many rows, such as copies of one vector, is many tasks. In a block, co
 compared once; of one vector's copies only the smallest ids can be among the nearest.
 
 Vectors that are null, zero, of another length than most in the sample, or that hold a null
-or a non-finite component take no part. Null ids take no part. Rows with a query's own id are
-its own. Other columns are not used. Empty tables give no rows.
+or a non-finite component take no part. Null ids take no part. A repeated id asks once, with the first of its
+vectors in order of their bytes; all rows with its id are its own. As candidates, repeated rows are rows of their own. Other columns are not used. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from trilune.llm.common import dropped, table, written
 
 LEAST_CELLS = 8
+LEAST_PARTS = 8
 PART_ROWS = 800
 
 
@@ -221,15 +222,19 @@ def best_in_block(q_ids, q, ids, x, k: int):
     )
     by = np.argsort(same, kind="stable")
     run = np.arange(len(by)) - np.repeat(np.flatnonzero(np.append(True, np.diff(same[by]) > 0)), np.bincount(same))
-    keep = np.sort(by[run <= k])  # the k + 1 smallest ids of each vector: the query itself may be among them
+    # The smallest ids of each vector: k, and as many as rows with the query's own id may be among them.
+    _, times = np.unique(np.stack([same, ids]), axis=1, return_counts=True)
+    keep = np.sort(by[run < k + times.max(initial=1)])
     ids, x = ids[keep], x[keep]
+    # A product of d terms is rounded by less than d parts in 2**52 of the vectors' lengths.
+    rounded = 1e-15 * x.shape[1] * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)).max(initial=0)
     rows, cols, scores = [], [], []
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ x.T
         s[q_ids[a : a + 256, None] == ids[None, :]] = -np.inf
         n = min(k, len(ids))
         least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n]
-        r, c = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))
+        r, c = np.nonzero((s >= (least - 2 * rounded[a : a + 256])[:, None]) & (s > -np.inf))
         exact = (q[a + r] * x[c]).sum(axis=1)
         o = np.lexsort((ids[c], -exact, r))
         r, c, exact = r[o], c[o], exact[o]
@@ -263,7 +268,7 @@ def nearest(
         ),
     )
     total = clean.count()
-    parts = parts or max(1, total // PART_ROWS)
+    parts = parts or max(1, total // PART_ROWS, min(LEAST_PARTS, total // 20))
     chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30))
     chosen = (
         clean.where(chance < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30))))
@@ -361,7 +366,8 @@ def nearest(
     own = routed.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
     asking = (
         routed.where("asks")
-        .select("id", "x")
+        .groupBy("id")
+        .agg(F.min("x").alias("x"))
         .join(own, "id", "left")
         .select("id", "x", F.coalesce("own", F.lit(1)).alias("own"))
     )
