@@ -14,8 +14,10 @@ sent to every shard in blocks of at most `most_terms`: one pass over the index f
 that tasks and driver hold one block at a time. Where there is more than one, what the passes find is written and
 put together shard by shard. The corpus is never shuffled.
 
-Null and empty texts have no words; items without words have no windows. Items or documents that
-repeat are each judged. Null ids stay as they are. Other columns are not used, whatever their names. Empty
+Null and empty texts have no words; items without words have no windows. Documents that repeat are each judged.
+Items with one id are one item, with the windows of all its rows. The windows of items without an id make words
+hit, but such items have no name to be counted or listed by. Null ids of documents stay as they are. A very long
+text is a slice, and so a shard, of its own. Other columns are not used, whatever their names. Empty
 documents give an empty table, without items nothing is hit.
 """
 
@@ -51,10 +53,10 @@ class Block:
     start: np.ndarray  # of each window
     length: np.ndarray
     item: np.ndarray
-    names: dict[int, str]
+    names: dict[int, str | None]
 
 
-def block(rows: list[tuple[int, str, str]], size: int) -> Block:
+def block(rows: list[tuple[int, str | None, str]], size: int) -> Block:
     w = W.split([body for _, _, body in rows], W.NOT_TERM, lower=True)
     exact = W.numbered(w)
     _, pick = np.unique(exact, return_index=True)
@@ -86,7 +88,7 @@ def blocks(items: DataFrame, size: int, item: str, text: str, most_terms: int) -
         if rows and held + terms > most_terms:
             yield block(rows, size)
             rows, held = [], 0
-        rows.append((i, "" if name is None else name, body))
+        rows.append((i, name, body))
         held += terms
     yield block(rows, size)
 
@@ -225,16 +227,17 @@ class Shard:
         np.add.at(hit, starts + lengths, -1)
         covered = np.append(0, np.cumsum(np.cumsum(hit) > 0))
         n_hit = covered[self.doc_at + n] - covered[self.doc_at]
-        of: dict[int, dict[int, str]] = {}
-        for d, i, name in found:
-            of.setdefault(d, {})[i] = name
-        lists = [sorted(set(of.get(d, {}).values())) for d in range(len(ids))]
+        of: dict[int, set[str]] = {}
+        for d, _, name in found:
+            if name is not None:
+                of.setdefault(d, set()).add(name)
+        lists = [sorted(of.get(d, ())) for d in range(len(ids))]
         return pa.RecordBatch.from_pydict(
             {
                 "_key": pa.array([None if i is None else str(i) for i in ids], pa.string()),
                 "n_words": pa.array(n, pa.int64()),
                 "n_hit": pa.array(n_hit, pa.int64()),
-                "n_items": pa.array([len(of.get(d, ())) for d in range(len(ids))], pa.int64()),
+                "n_items": pa.array([len(x) for x in lists], pa.int64()),
                 "items": pa.array(lists, pa.list_(pa.string())),
                 "items_sha256": pa.array(
                     [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists],
