@@ -376,16 +376,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) ->
     return written(docs.sparkSession, rows.mapInArrow(cut, "id long, n long, set binary"), "sets", "none")
 
 
-def fragments_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int, often: np.ndarray) -> DataFrame:
-    """(id, fragment, n, mark, part) of the documents with the given distinct ids: the set's size and fingerprint, and its shingles in that fragment. Empty fragments have no row."""
-    sent = docs.sparkSession.sparkContext.broadcast(often)  # at most `most` fingerprints
+def fragments(rows: DataFrame, size: int, sent) -> DataFrame:
+    """rows (numbers, and last a text) as their numbers, fragment, n, mark, part: the set's size and fingerprint, and its shingles in that fragment. Empty fragments have no row.
+
+    sent: the broadcast fingerprints of frequent shingles, which the last fragment holds.
+    """
+    kept = rows.columns[:-1]
 
     def cut(batches):
         import pyarrow as pa
 
-        edges = np.array([(i << 63) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS)], np.uint64)  # the last one: frequent shingles
+        edges = np.array([(i << 63) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
-            for a, b, w in W.chunks(batch.column(1), lower=True):
+            for a, b, w in W.chunks(batch.column(len(kept)), lower=True):
                 h, doc = shingles(w, size)
                 n = np.bincount(doc, minlength=b - a)
                 mark = np.zeros(b - a, np.uint64)
@@ -397,24 +400,20 @@ def fragments_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int
                 data = h[order].tobytes()
                 part = [data[8 * i : 8 * j] for i, j in zip(begin, np.append(begin[1:], len(own)), strict=True)]
                 which = own[begin] // FRAGMENTS
+                take = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).take(pa.array(which)),
+                        *(batch.column(i).slice(a, b - a).take(take) for i in range(len(kept))),
                         pa.array(own[begin] % FRAGMENTS, pa.int32()),
                         pa.array(n[which], pa.int64()),
                         pa.array(mark[which].view(np.int64)),
                         pa.array(part, pa.binary()),
                     ],
-                    names=["id", "fragment", "n", "mark", "part"],
+                    names=[*kept, "fragment", "n", "mark", "part"],
                 )
 
-    rows = only(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids)
-    return written(
-        docs.sparkSession,
-        rows.mapInArrow(cut, "id long, fragment int, n long, mark long, part binary"),
-        "fragments",
-        "none",
-    )
+    kinds = ", ".join(f"{c} long" for c in kept)
+    return rows.mapInArrow(cut, f"{kinds}, fragment int, n long, mark long, part binary")
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -431,9 +430,12 @@ def ranges(h: np.ndarray) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(h, edges))
 
 
-def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that are similar enough. A fragment of y goes to where that fragment of x is; a frequent x is split by the join."""
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, sent, percent: int) -> DataFrame:
+    """The pairs (x, y), a table, that are similar enough.
 
+    Texts are cut to fragments where they are read, already with the pair that they are read for, so that a fragment is exchanged
+    once: those of y go to where that fragment of x is; a frequent x is split by the join.
+    """
     names = ["x", "y", "rx", "ry", "m", "n", "fragment"]
 
     def count(batches):
@@ -444,14 +446,16 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             n = pa.array([shared(u, v) for u, v in zip(a, b, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], n], names=[*names, "overlap"])
 
-    own = lambda i, a, n: parts.select(
-        F.col("id").alias(i),
-        "fragment",
-        F.col("mark").alias(f"r{i}"),
-        F.col("part").alias(a),
-        F.col("n").alias(n),
-    )
-    both = pairs.select("x", "y").join(own("y", "b", "n"), "y").join(own("x", "a", "m"), ["x", "fragment"])
+    few = pairs.count() * 16 <= SENT_BYTES
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def side(rows: DataFrame, of: str, *named: str) -> DataFrame:
+        read = texts.join(F.broadcast(rows) if few else rows, texts["id"] == rows[of]).select(*rows.columns, "text")
+        found = fragments(read, size, sent)
+        return found.select(*rows.columns, "fragment", *[F.col(c).alias(a) for c, a in zip(("n", "mark", "part"), named, strict=True)])
+
+    left, right = side(pairs.select("x", "y"), "y", "n", "ry", "b"), side(pairs.select("x").distinct(), "x", "m", "rx", "a")
+    both = left.join(right, ["x", "fragment"])
     kinds = [f"{c} {'int' if c == 'fragment' else 'long'}" for c in (*names, "overlap")]
     found = both.select(*names, "a", "b").mapInArrow(count, ", ".join(kinds))
     # Rows that repeat an id and its text count once; rows of one id with several texts are apart.
@@ -661,13 +665,15 @@ def linked_components(
         "promising",
     )
     # First each document with its smallest partner, then what that leaves unconnected.
-    parts_of = fragments_of(docs, ids_of(pairs), key, text, size, often)
-    links = written(spark, verified(pairs.groupBy("y").agg(F.min("x").alias("x")), parts_of, percent), "links")
+    sent = spark.sparkContext.broadcast(often)  # at most `most` fingerprints
+    similar = lambda rows: verified(rows, docs, key, text, size, sent, percent)
+    first = written(spark, pairs.groupBy("y").agg(F.min("x").alias("x")), "first")
+    links = written(spark, similar(first), "links")
     found = components(spark, links)
     open_ = written(spark, labelled(pairs, found, "x", "y").where("c_x <> c_y").select("x", "y"), "open")
-    links = written(spark, links.unionByName(verified(open_, only(parts_of, ids_of(open_)), percent)), "links")
+    links = written(spark, links.unionByName(similar(open_)), "links")
     found = components(spark, links)
-    dropped(parts_of, pairs, open_, lists)
+    dropped(first, pairs, open_, lists)
     # Long lists that are not one component yet: those outside their largest component against all, by prefixes first.
     named = labelled(member.select("part", "id"), found, "id")
     count = named.groupBy("part", "c_id").count()
