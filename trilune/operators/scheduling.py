@@ -1,7 +1,7 @@
 """Scheduled tasks and their executions as tables; times are seconds since 1970 in UTC.
 
 tasks: task_id, name, task_type, schedule, config (JSON), enabled, max_retries, retry_delay, timeout.
-executions: execution_id, task_id, status, started, finished, error.
+executions: execution_id, task_id, status, started, finished, error. Executions are in order of start, id and, for equal ids, status.
 
 A schedule is `every_<n><s|m|h|d>`, `daily_HH:MM` or `weekly_<day>_HH:MM`.
 """
@@ -23,6 +23,8 @@ TASKS = (
     "enabled boolean, max_retries int, retry_delay long, timeout long"
 )
 EXECUTIONS = "execution_id string, task_id string, status string, started long, finished long, error string"
+#: The last of a task's executions in this order is its newest.
+ORDER = ("started", "execution_id", "status")
 
 
 def interval_seconds(value: Column, unit: Column) -> Column:
@@ -85,7 +87,7 @@ def scheduled(tasks: DataFrame, executions: DataFrame, as_of: int) -> DataFrame:
 
 def status(tasks: DataFrame, executions: DataFrame) -> DataFrame:
     """(task_id, status, started): running if any execution is, else that of the newest, else pending."""
-    newest = F.max_by("status", F.struct("started", "execution_id"))
+    newest = F.max(F.struct(*ORDER)).getField("status")
     now = executions.groupBy("task_id").agg(
         F.when(F.max(F.col("status") == RUNNING), RUNNING).otherwise(newest).alias("status"),
         F.max("started").alias("started"),
@@ -107,11 +109,11 @@ def retries(tasks: DataFrame, executions: DataFrame) -> DataFrame:
     """(task_id, attempt, at) of tasks whose newest executions failed, while there are retries left: a delay after the last one."""
     rows = executions.withColumn(
         "_ok",
-        F.max(F.when(F.col("status") != FAILED, F.struct("started", "execution_id"))).over(
+        F.max(F.when(F.col("status") != FAILED, F.struct(*ORDER))).over(
             Window.partitionBy("task_id"),
         ),
     )
-    failed = F.col("_ok").isNull() | (F.struct("started", "execution_id") > F.col("_ok"))
+    failed = F.col("_ok").isNull() | (F.struct(*ORDER) > F.col("_ok"))
     run = (
         rows.where(failed)
         .groupBy("task_id")
@@ -145,7 +147,7 @@ def cancelled(executions: DataFrame, task_id: str, as_of: int) -> DataFrame:
 
 def recent(executions: DataFrame, each: int) -> DataFrame:
     """The newest `each` executions of a task: what its history keeps."""
-    order = Window.partitionBy("task_id").orderBy(F.desc("started"), F.desc("execution_id"))
+    order = Window.partitionBy("task_id").orderBy(*map(F.desc, ORDER))
     return executions.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).drop("_n")
 
 

@@ -170,15 +170,15 @@ SQL = {
     "task_next": f'{_NEXT} SELECT task_id, coalesce("last", -1) AS "last", coalesce("next", -1) AS "next" FROM n',
     "task_due": f"""{_NEXT} SELECT task_id, "next" FROM n WHERE "next" <= {AS_OF} AND task_id NOT IN (SELECT task_id FROM e WHERE status = 'running')""",
     "task_admitted": _NEXT.replace("FROM lineitem", "FROM lineitem WHERE l_returnflag IN ('R', 'A')") + f' SELECT task_id, "next" FROM n WHERE "next" <= {AS_OF} ORDER BY "next", task_id LIMIT 100',
-    "task_status": f"""{_TASKS} SELECT t.task_id, coalesce(CASE WHEN bool_or(status = 'running') THEN 'running' ELSE arg_max(status, (started, execution_id)) END, 'pending') AS status, coalesce(max(started), -1) AS started
+    "task_status": f"""{_TASKS} SELECT t.task_id, coalesce(CASE WHEN bool_or(status = 'running') THEN 'running' ELSE arg_max(status, (started, execution_id, status)) END, 'pending') AS status, coalesce(max(started), -1) AS started
 FROM t LEFT JOIN e USING (task_id) GROUP BY t.task_id""",
-    "task_retries": f"""{_TASKS}, k AS (SELECT *, max(CASE WHEN status <> 'failed' THEN (started, execution_id) END) OVER (PARTITION BY task_id) AS ok FROM e
-), f AS (SELECT task_id, count(*) AS attempt, max(finished) AS finished FROM k WHERE status = 'failed' AND (ok IS NULL OR (started, execution_id) > ok) GROUP BY task_id)
+    "task_retries": f"""{_TASKS}, k AS (SELECT *, max(CASE WHEN status <> 'failed' THEN (started, execution_id, status) END) OVER (PARTITION BY task_id) AS ok FROM e
+), f AS (SELECT task_id, count(*) AS attempt, max(finished) AS finished FROM k WHERE status = 'failed' AND (ok IS NULL OR (started, execution_id, status) > ok) GROUP BY task_id)
 SELECT task_id, attempt, finished + 60 AS "at" FROM t JOIN f USING (task_id) WHERE enabled AND attempt <= max_retries""",
     "task_timeouts": f"""{_TASKS}, x AS (SELECT e.*, status = 'running' AND {AS_OF} - started > timeout AS late FROM e LEFT JOIN t USING (task_id)
 ) SELECT CASE WHEN late THEN 'cancelled' ELSE status END AS status, CASE WHEN late THEN 'timeout' END AS error, count(*) AS n, coalesce(sum(CASE WHEN late THEN {AS_OF} ELSE finished END)::BIGINT, -1) AS finished
 FROM x GROUP BY 1, 2""",
-    "task_history": f"""{_TASKS} SELECT task_id, execution_id, status FROM e QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY started DESC, execution_id DESC) <= 2""",
+    "task_history": f"""{_TASKS} SELECT task_id, execution_id, status FROM e QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY started DESC, execution_id DESC, status DESC) <= 2""",
     "task_replaced": """SELECT o_orderkey::VARCHAR AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 13 <> 0 THEN 'task ' || o_orderkey END AS name FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0
 UNION ALL SELECT 'added', 'task 1' FROM orders WHERE o_orderkey = 1""",
 }
