@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trilune.operators import align as A
-from trilune.operators.retrieval import blocks_of
+from trilune.operators.retrieval import block_search, kept_best
 from trilune.sources.tables import stored
 
 
@@ -146,44 +146,34 @@ def embedded(vectors: DataFrame, head: Head) -> DataFrame:
 def predicted(source: DataFrame, target: DataFrame, top_k: int = 10, least: float = 0.8) -> DataFrame:
     """(e1, e2, confidence): each source's nearest targets by Euclidean distance, of which 1 less its share of the largest distance is at least `least`.
 
-    The sources go to every part of the targets in blocks; a part passes on its nearest ones and its largest distance.
+    The sources go to every part of the targets in blocks; a task passes on its nearest ones and its largest distance.
     """
     kinds = [d.schema["id"].dataType.simpleString() for d in (source, target)]
-    items = target.select("id", F.col("x").cast("array<double>").alias("x"))
-    out = None
-    for sent in blocks_of(source):
-
-        def near(batches, sent=sent):
-            import pyarrow as pa
-
-            ids, q = sent.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(ids):
-                    continue
-                n = min(top_k, len(own))
-                for a in range(0, len(ids), 512):
-                    p = q[a : a + 512]
-                    d = np.sqrt(
-                        np.maximum((p * p).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * p @ x.T, 0),
-                    )
-                    best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :n]
-                    rows = np.repeat(np.arange(len(p)), n)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[a + i] for i in rows]),
-                            pa.array(own[best.ravel()]),
-                            pa.array(d[rows, best.ravel()]),
-                            pa.array(np.repeat(d.max(axis=1), n)),
-                        ],
-                        names=["e1", "e2", "d", "far"],
-                    )
-
-        found = items.mapInArrow(near, f"e1 {kinds[0]}, e2 {kinds[1]}, d double, far double")
-        out = found if out is None else out.unionByName(found)
+
+    def near(ids, q, batches):
+        import pyarrow as pa
+
+        held, far = [], np.zeros(len(ids))
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            if not held:
+                held = [(np.empty((len(q[a : a + 512]), 0), own.dtype), np.empty((len(q[a : a + 512]), 0))) for a in range(0, len(ids), 512)]
+            for i, a in enumerate(range(0, len(ids), 512)):
+                p = q[a : a + 512]
+                d = np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * p @ x.T, 0))
+                far[a : a + 512] = np.maximum(far[a : a + 512], d.max(axis=1))
+                held[i] = kept_best(*held[i], own, -np.round(d, 9), top_k)
+        for i, (names, scores) in enumerate(held):
+            rows, cols = np.nonzero(scores > -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[512 * i + r] for r in rows]), pa.array(names[rows, cols]), pa.array(-scores[rows, cols]), pa.array(far[512 * i + rows])],
+                names=["e1", "e2", "d", "far"],
+            )
+
+    out = block_search(source, target, f"e1 {kinds[0]}, e2 {kinds[1]}, d double, far double", near)
     from pyspark.sql import Window
 
     own = Window.partitionBy("e1")

@@ -112,99 +112,164 @@ def inner(a: Column, b: Column) -> Column:
     )
 
 
-def blocks_of(queries: DataFrame, block: int = 20_000):
-    """Broadcasts of (ids, matrix) of the queries (id, x), block by block; the driver holds one block at a time."""
+def blocks_of(queries: DataFrame, block: int):
+    """(ids, matrix) of the queries (id, x), block by block."""
     import numpy as np
 
     held: list = []
-    rows = queries.select("id", F.col("x").cast("array<double>")).toLocalIterator()
-    send = lambda: queries.sparkSession.sparkContext.broadcast(
-        ([r[0] for r in held], np.array([r[1] for r in held], float)),
-    )
-    sent = False
-    for row in rows:
+    first = True
+    for row in queries.select("id", F.col("x").cast("array<double>")).toLocalIterator():
         held.append(row)
         if len(held) == block:
-            yield send()
-            held, sent = [], True
-    if held or not sent:
-        yield send()
+            yield [r[0] for r in held], np.array([r[1] for r in held], float)
+            held, first = [], False
+    if held or first:
+        yield [r[0] for r in held], np.array([r[1] for r in held], float)
+
+
+def block_search(queries: DataFrame, items: DataFrame, schema: str, best, block: int = 20_000) -> DataFrame:
+    """Rows of best(ids, matrix, batches) over each part of the items (id, x), for block after block of the queries (id, x).
+
+    What a block finds is written before the next one is sent, and its copies are removed from driver and executors; the
+    driver holds two blocks at most. One block only is sent once and needs no table.
+    """
+    plain = items.select("id", F.col("x").cast("array<double>"))
+    context = queries.sparkSession.sparkContext
+
+    def run(sent):
+        return plain.mapInArrow(lambda batches: best(*sent.value, batches), schema)
+
+    parts = blocks_of(queries, block)
+    now, following = next(parts), next(parts, None)
+    if following is None:
+        return run(context.broadcast(now))
+    out = None
+    while now is not None:
+        sent = context.broadcast(now)
+        found = stored(run(sent), "found")
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+        now, following = following, next(parts, None)
+    return out
+
+
+def kept_best(ids, scores, own_ids, own, k: int):
+    """Each row's k best of two sets of (score, id), -inf for none: largest first, ties to the smaller id. ids, scores: rows x kept; own_ids: new ones, own: rows x new."""
+    import numpy as np
+
+    both = np.concatenate([scores, own], axis=1)
+    names = np.concatenate([ids, np.broadcast_to(own_ids, own.shape)], axis=1)
+    n = min(k, both.shape[1])
+    least = np.partition(both, both.shape[1] - n, axis=1)[:, both.shape[1] - n]
+    out_ids, out = np.empty((len(both), n), names.dtype), np.full((len(both), n), -np.inf)
+    for i, row in enumerate(both):
+        c = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+        c = c[np.lexsort((names[i, c], -row[c]))][:n]
+        out_ids[i, : len(c)], out[i, : len(c)] = names[i, c], row[c]
+    return out_ids, out
 
 
 def dense_search(queries: DataFrame, items: DataFrame, top_k: int, block: int = 20_000) -> DataFrame:
     """(query_id, doc_id, score, rank) by inner product; both sides have id and x.
 
     The stated queries go to every part of the items in blocks, so that what is sent is
-    bounded; in each part numpy keeps its best, and only these are shuffled.
+    bounded; each task keeps its best, and only these are shuffled.
     """
     import numpy as np
 
     asked, kind = (d.schema["id"].dataType.simpleString() for d in (queries, items))
-    out = None
-    for sent in blocks_of(queries, block):
-
-        def best(batches, sent=sent):
-            import pyarrow as pa
-
-            ids, q = sent.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                if not len(ids):
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                n = min(top_k, len(own))
-                for a in range(0, len(ids), 512):
-                    s = np.round(q[a : a + 512] @ x.T, 6)
-                    cols = []
-                    for r in s:
-                        c = np.flatnonzero(r >= np.partition(r, len(own) - n)[len(own) - n])
-                        cols.append(c[np.lexsort((own[c], -r[c]))][:n])
-                    rows, c = np.repeat(np.arange(len(s)), n), np.concatenate(cols)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[a + i] for i in rows]), pa.array(own[c]), pa.array(s[rows, c])],
-                        names=["query_id", "doc_id", "score"],
-                    )
 
-        found = items.select("id", F.col("x").cast("array<double>")).mapInArrow(
-            best,
-            f"query_id {asked}, doc_id {kind}, score double",
-        )
-        out = found if out is None else out.unionByName(found)
+    def best(ids, q, batches):
+        import pyarrow as pa
+
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            if not held:
+                held = [(np.empty((len(q[a : a + 512]), 0), own.dtype), np.empty((len(q[a : a + 512]), 0))) for a in range(0, len(ids), 512)]
+            held = [
+                kept_best(*held[i], own, np.round(q[a : a + 512] @ x.T, 6), top_k)
+                for i, a in enumerate(range(0, len(ids), 512))
+            ]
+        for i, (names, scores) in enumerate(held):
+            rows, cols = np.nonzero(scores > -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[512 * i + r] for r in rows]), pa.array(names[rows, cols]), pa.array(scores[rows, cols])],
+                names=["query_id", "doc_id", "score"],
+            )
+
+    out = block_search(queries, items, f"query_id {asked}, doc_id {kind}, score double", best, block)
     return top(out, top_k, "query_id", F.col("doc_id"))
 
 
 class IvfIndex:
-    """Vectors in the cells of a k-means; a query looks into the nprobe nearest cells."""
+    """Vectors in the cells of a k-means; a query looks into as many of the nearest cells as reach the wanted recall.
 
-    def __init__(self, items: DataFrame, cells: int = 16, seed: int = 7, sample: int = 100_000):
+    There is a cell for every `per_cell` rows. How many cells are probed is measured: some sampled vectors ask for their exact
+    nearest ones among the sample, and enough cells are searched to hold `recall` of these.
+    """
+
+    def __init__(self, items: DataFrame, per_cell: int = 400, recall: float = 0.95, near: int = 20, seed: int = 7, sample: int = 20_000):
+        import numpy as np
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
+        n = items.count()
         vectors = items.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
-        share = min(1.0, sample / max(1, items.count()))  # `sample` bounds what is fitted on; all rows get a cell
-        self.model = KMeans(k=cells, seed=seed, maxIter=10, predictionCol="cell").fit(
-            vectors if share == 1 else vectors.sample(share, seed),
-        )
+        share = min(1.0, sample / max(1, n))  # `sample` bounds what is fitted on; all rows get a cell
+        some = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        cells = max(1, min(max(8, n // per_cell), int(n * share) // 20))
+        self.model = KMeans(k=cells, seed=seed, maxIter=10, predictionCol="cell").fit(some)
+        self.centers = np.array(self.model.clusterCenters())
+        x = np.array([r[0] for r in some.select(F.col("x").cast("array<double>")).toLocalIterator()])
+        self.probes = self._probes(x, recall, near)
         self.rows = stored(self.model.transform(vectors).select("id", "x", "cell"), "cells")
 
-    def search(self, queries: DataFrame, top_k: int, nprobe: int = 10) -> DataFrame:
-        centers = [c.tolist() for c in self.model.clusterCenters()]
-        near = F.array_sort(
-            F.array(
-                *[
-                    F.struct((-inner(F.col("x"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell"))
-                    for i, c in enumerate(centers)
-                ],
-            ),
-        )
-        probes = queries.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.explode(F.slice(near, 1, nprobe)).alias("n")).select(
-            "query_id",
-            "q",
-            F.col("n.cell").alias("cell"),
-        )
-        found = self.rows.join(probes, "cell").select(
+    def _probes(self, x, recall: float, near: int) -> int:
+        """Cells to search, from what every twentieth sampled vector would need."""
+        import numpy as np
+
+        squares = (self.centers**2).sum(axis=1)
+        home = np.concatenate([(squares - 2 * part @ self.centers.T).argmin(axis=1) for part in np.array_split(x, 1 + len(x) // 1000)])
+        asks = np.arange(0, len(x), 20)
+        place = np.argsort(np.argsort(-(x[asks] @ self.centers.T), axis=1, kind="stable"), axis=1)
+        s = x[asks] @ x.T
+        s[np.arange(len(asks)), asks] = -np.inf
+        k = min(near, len(x) - 1)
+        if k < 1:
+            return len(self.centers)
+        found = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        need = place[np.arange(len(asks))[:, None], home[found]]
+        return 1 + int(np.sort(need.ravel())[min(need.size - 1, int(np.ceil(recall * need.size)) - 1)])
+
+    def search(self, queries: DataFrame, top_k: int, nprobe: int | None = None, salts: int = 8) -> DataFrame:
+        """A cell's rows are spread over `salts` tasks, to which its queries are copied."""
+        import numpy as np
+
+        sent = queries.sparkSession.sparkContext.broadcast((self.centers, nprobe or self.probes))  # of the sample's size
+        kind = queries.schema["id"].dataType.simpleString()
+
+        def probe(batches):
+            import pyarrow as pa
+
+            centers, n = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
+                    near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))],
+                        ["query_id", "q", "cells"],
+                    )
+
+        asked = queries.select("id", F.col("x").cast("array<double>")).mapInArrow(probe, f"query_id {kind}, q array<double>, cells array<int>")
+        probes = asked.select("query_id", "q", F.explode("cells").alias("cell"))
+        probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = self.rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        found = rows.join(probes, ["cell", "salt"]).select(
             "query_id",
             F.col("id").alias("doc_id"),
             F.round(inner(F.col("q"), F.col("x")), 6).alias("score"),

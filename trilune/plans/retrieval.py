@@ -83,8 +83,8 @@ def dense_ivf(spark, d):
     v = stored(vectors(spark, d), "vectors")
     q = label_queries(v)
     return (
-        R.IvfIndex(v.join(q.select("id"), "id", "left_anti"), 16)
-        .search(q, 20, 10)
+        R.IvfIndex(v.join(q.select("id"), "id", "left_anti"))
+        .search(q, 20)
         .select("query_id", "rank", "doc_id", "score")
     )
 
