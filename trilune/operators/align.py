@@ -129,21 +129,30 @@ def trans_e(
     )
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """(src, dst) in both directions, each once, without loops. A table."""
+    ends = edges.select("src", "dst").where("src <> dst")
+    return stored(ends.union(ends.select("dst", "src")).distinct(), "both")
+
+
+def averaged(nodes: DataFrame, both: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, x): the mean of a node's vector and its neighbours', one row per edge and a column of means per number. Nodes without a vector get none. wanted: ids to keep (all)."""
+    first = nodes.where("x is not null").select(F.size("x")).first()
+    size = first[0] if first is not None else 0
+    x = nodes.where("x is not null").select("id", F.col("x").cast("array<double>").alias("x"))
+    own = x if wanted is None else x.join(wanted.select("id"), "id", "left_semi")
+    near = both.join(x, both["dst"] == x["id"]).select(F.col("src").alias("id"), "x", F.lit(False).alias("_own"))
+    near = near.unionByName(own.withColumn("_own", F.lit(True)))
+    mean = [F.avg(F.get("x", F.lit(i))).alias(f"_{i}") for i in range(size)]
+    whole = F.array(*[F.col(f"_{i}") for i in range(size)]) if size else F.array().cast("array<double>")
+    return near.groupBy("id").agg(F.max("_own").alias("_own"), *mean).where("_own").select("id", whole.alias("x"))
+
+
 def propagated(nodes: DataFrame, edges: DataFrame, layers: int = 2) -> DataFrame:
     """(id, x): vectors averaged with those of undirected neighbours, `layers` times, then of length 1; the propagation of a graph convolution."""
-    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "both")
-    x = nodes.select("id", F.col("x").cast("array<double>"))
+    both = undirected(edges)
+    x = nodes.select("id", "x")
     for _ in range(layers):
-        long = x.select("id", F.posexplode("x").alias("i", "v"))
-        near = both.join(long, both["src"] == long["id"]).select(F.col("dst").alias("id"), "i", "v").unionByName(long)
-        x = stored(
-            (
-                near.groupBy("id", "i")
-                .agg(F.avg("v").alias("v"))
-                .groupBy("id")
-                .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
-            ),
-            "layer",
-        )
+        x = stored(averaged(x, both), "layer")
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     return x.select("id", F.transform("x", lambda v: v / F.greatest(norm, F.lit(1e-12))).alias("x"))

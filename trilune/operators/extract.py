@@ -33,8 +33,8 @@ def entities(texts: DataFrame, catalogue=None) -> DataFrame:
     return texts.select("doc", "language", F.inline(found))
 
 
-def kept_entities(found: DataFrame, stop: dict[str, list[str]], least: int = 2, confidence: float = 0.95) -> DataFrame:
-    """Names long enough, no stop words, not all digits, with a letter or digit; one row per lower-cased name, type and language."""
+def worthy(found: DataFrame, stop: dict[str, list[str]], least: int = 2) -> DataFrame:
+    """Names long enough, no stop words, not all digits, with a letter or digit."""
     bad = None
     for lang, words in stop.items():
         c = (F.col("language") == lang) & F.lower("name").isin(words)
@@ -45,7 +45,12 @@ def kept_entities(found: DataFrame, stop: dict[str, list[str]], least: int = 2,
         & ~F.col("name").rlike(r"^\p{Nd}+$")
         & F.col("name").rlike(r"[\p{L}\p{N}]")
     )
-    return best_entities(found.where(ok).withColumn("confidence", F.lit(confidence)).withColumn("ord", F.col("doc")))
+    return found.where(ok)
+
+
+def kept_entities(found: DataFrame, stop: dict[str, list[str]], least: int = 2, confidence: float = 0.95) -> DataFrame:
+    """Worthy names; one row per lower-cased name, type and language."""
+    return best_entities(worthy(found, stop, least).withColumn("confidence", F.lit(confidence)).withColumn("ord", F.col("doc")))
 
 
 def relation_spans(texts: DataFrame, catalogue=None) -> DataFrame:
@@ -72,24 +77,28 @@ def relation_spans(texts: DataFrame, catalogue=None) -> DataFrame:
 GRAM = 3
 
 
-def _starts(text: Column) -> Column:
-    return F.substring(text, 1, GRAM)
-
-
-def _grams(text: Column) -> Column:
-    """All stretches of up to GRAM characters, once each."""
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, GRAM + 1)])))
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """All stretches of the given sizes, once each."""
+    cut = lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+        lambda i: F.substring(text, i, F.lit(n)),
+    )
+    return F.array_distinct(F.flatten(F.array(*map(cut, sizes)))) if sizes else F.array().cast("array<string>")
 
 
-def contained(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame, part: str, whole: str, salts: int = 8) -> DataFrame:
     """Pairs of rows of which the one's text `part` is a stretch of the other's text `whole`.
 
-    They meet on the part's first characters, which the whole has somewhere: an equi-join, confirmed on the texts.
+    They meet on the part's first GRAM characters, or on all of a shorter part, which the whole has somewhere: an equi-join, confirmed
+    on the texts. Wholes are cut to stretches of those sizes only that parts have; a frequent beginning is `salts` tasks.
     """
-    a = inner.where(F.length(part) > 0).withColumn("_gram", _starts(F.col(part)))
-    b = outer.where(F.length(whole) > 0).withColumn("_gram", F.explode(_grams(F.col(whole))))
-    return a.join(b, "_gram").where(F.contains(F.col(whole), F.col(part))).drop("_gram")
+    size = F.least(F.length(part), F.lit(GRAM))
+    a = inner.where(F.length(part) > 0)
+    sizes = sorted(r[0] for r in a.select(size).distinct().collect())  # at most GRAM numbers
+    a = a.withColumn("_gram", F.substring(F.col(part), F.lit(1), size)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = outer.where(F.length(whole) > 0).withColumn("_salt", F.pmod(F.xxhash64(whole), F.lit(salts)).cast("int"))
+    b = b.withColumn("_gram", F.explode(_grams(F.col(whole), sizes)))
+    return a.join(b, ["_gram", "_salt"]).where(F.contains(F.col(whole), F.col(part))).drop("_gram", "_salt")
 
 
 def first_matches(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
@@ -159,4 +168,5 @@ __all__ = [
     "places",
     "related_entities",
     "relation_spans",
+    "worthy",
 ]

@@ -143,6 +143,21 @@ def assessed(records: DataFrame) -> DataFrame:
     )
 
 
+def text_validation(t: Column, language: Column) -> tuple[Column, Column]:
+    """A text's product of penalties, and whether it is long enough."""
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    n = F.size(F.split(t, "\n"))
+    dup = F.coalesce(1 - F.try_divide(F.size(F.array_distinct(lines)), n), F.lit(0.0))
+    score = (
+        F.when(F.length(t) < 50, 0.3).otherwise(1.0)
+        * F.when(F.length(t) > 1_000_000, 0.8).otherwise(1.0)
+        * F.when(language.isin("zh", "fr", "en"), 1.0).otherwise(0.7)
+        * F.when(F.try_divide(F.length(F.trim(t)), F.length(t)) < 0.5, 0.6).otherwise(1.0)
+        * F.when((n > 10) & (dup > 0.7), 0.7).otherwise(1.0)
+    )
+    return score, F.length(t) >= 50
+
+
 def rule_passes(name: str, rules: dict | None = None, texts: tuple[str, ...] = ("title", "content")) -> Column:
     """Lengths hold for title, abstract and content (the texts that records have) alike where present; a pattern for its field. `rules` takes other rules than the fixed ones."""
     low, high, pattern, field = (rules or RULES)[name]
@@ -195,3 +210,22 @@ def cleaned(records: DataFrame) -> DataFrame:
     actions = F.array_compact(F.array(*[F.when(~F.col(k).eqNullSafe(v), F.lit(k)) for k, v in new.items()]))
     out = records.withColumn("actions", actions).withColumns(new)
     return out.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("title", "content", "url", "publish_date")})
+
+
+def assessed_and_cleaned(records: DataFrame, seen=None) -> DataFrame:
+    """records assessed as they came, then cleaned: metrics, overall, recommendations, actions and the cleaned fields in one pass.
+
+    seen: an Observation, which has n, mean, low, high and passed of the overall scores once the rows were used; no second scan is made for them.
+    """
+    out = cleaned(assessed(records))
+    if seen is None:
+        return out
+    s = F.round("overall", 9)
+    return out.observe(
+        seen,
+        F.count(s).alias("n"),
+        F.avg(s).alias("mean"),
+        F.min(s).alias("low"),
+        F.max(s).alias("high"),
+        F.count_if(s >= 0.7).alias("passed"),
+    )

@@ -9,6 +9,7 @@ from trilune.operators import align as A
 from trilune.operators import extract as X
 from trilune.operators import graph_encoder as N
 from trilune.operators import metrics as M
+from trilune.operators import translation as B
 from trilune.plans.lexicon import graph
 from trilune.sources.files import read_alignments
 from trilune.sources.tables import scratch, stored, table
@@ -144,15 +145,24 @@ def align_linear_map(spark, d):
     )
 
 
-def kg_embeddings(spark, d):
+def triples(spark, d):
     e, r = graph(spark, d)
-    t = r.join(e.select(F.col("id").alias("src"), "language"), "src").select(
+    return r.join(e.select(F.col("id").alias("src"), "language"), "src").select(
         "language",
         F.col("src").alias("h"),
         F.col("rel").alias("r"),
         F.col("dst").alias("t"),
     )
-    return A.trans_e(t, "language").select("language", "name", F.size("x").alias("size"))
+
+
+def kg_embeddings(spark, d):
+    """Each word that relations of its language start from, and how far these lead past their ends on average."""
+    t = stored(triples(spark, d), "triples")
+    far = B.distances(t, "language", *B.embedded(t, "language"))
+    return far.groupBy("language", F.col("h").alias("name")).agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("distance"), 4).alias("distance"),
+    )
 
 
 def kg_propagated(spark, d):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from trilune.functions.text import normalize_text, tokenize
 from trilune.operators import quality as Q
-from trilune.sources.tables import table
+from trilune.sources.tables import stored, table
 
 
 def records(spark, d):
@@ -90,25 +91,8 @@ def clean_records(spark, d):
 
 def validate_text(spark, d):
     """Product of penalties of each text, and whether it is long enough."""
-    t = F.col("text")
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    n = F.size(F.split(t, "\n"))
-    dup = F.coalesce(1 - F.try_divide(F.size(F.array_distinct(lines)), n), F.lit(0.0))
-    score = (
-        F.when(F.length(t) < 50, 0.3).otherwise(1.0)
-        * F.when(F.length(t) > 1_000_000, 0.8).otherwise(1.0)
-        * F.when(F.col("lang").isin("zh", "fr", "en"), 1.0).otherwise(0.7)
-    )
-    score = (
-        score
-        * F.when(F.length(F.trim(t)) / F.length(t) < 0.5, 0.6).otherwise(1.0)
-        * F.when((n > 10) & (dup > 0.7), 0.7).otherwise(1.0)
-    )
-    return table(spark, d, "documents").select(
-        "doc_id",
-        F.round(score, 6).alias("score"),
-        (F.length(t) >= 50).alias("valid"),
-    )
+    score, valid = Q.text_validation(F.col("text"), F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"), valid.alias("valid"))
 
 
 def corpus_report(spark, d):
@@ -206,9 +190,28 @@ def latest_state(spark, d):
     )
 
 
+def assessed_and_cleaned(spark, d):
+    """Records assessed as they came and cleaned in the same pass."""
+    return Q.assessed_and_cleaned(records(spark, d)).select(
+        "id",
+        F.round("overall", 6).alias("overall"),
+        "title",
+        F.array_join("actions", ",").alias("actions"),
+    )
+
+
+def batch_assessed(spark, d):
+    """A batch's summary out of the pass that stored its records."""
+    seen = Observation("batch")
+    stored(Q.assessed_and_cleaned(records(spark, d), seen).select("id", "overall", "actions"), "assessed")
+    got = seen.get
+    row = (got["n"], *(round(got[c], 6) for c in ("mean", "low", "high")), got["passed"])
+    return spark.createDataFrame([row], "n long, mean double, low double, high double, passed long")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (quality_metrics, quality_overall, quality_summary, quality_histogram, rule_validation, clean_records, validate_text, corpus_report, checksum_duplicates, title_distinct, doc_store, doc_store_stats, demo_quality, date_parse, latest_state)
+    for f in (assessed_and_cleaned, batch_assessed, quality_metrics, quality_overall, quality_summary, quality_histogram, rule_validation, clean_records, validate_text, corpus_report, checksum_duplicates, title_distinct, doc_store, doc_store_stats, demo_quality, date_parse, latest_state)
 }
 
 _TK = r"regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[\p{L}\p{N}_]+')"
@@ -288,3 +291,7 @@ SQL = {
     "date_parse": "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN strftime(ts, '%Y-%m-%d') WHEN event_id % 5 = 3 THEN strftime(ts, '%Y-%m-01') ELSE '2024-02-01' END AS day FROM events",
     "latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created FROM events GROUP BY user_id",
 }
+SQL |= {
+    "assessed_and_cleaned": f"SELECT id, overall, title, actions FROM ({SQL['quality_overall']}) JOIN (SELECT id, title, actions FROM ({SQL['clean_records']})) USING (id)",
+    "batch_assessed": SQL["quality_summary"],
+}

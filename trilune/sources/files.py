@@ -219,12 +219,8 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def read_documents(
-    spark: SparkSession,
-    path: str,
-    extractors: dict[str, Callable[[bytes], str]] | None = None,
-) -> DataFrame:
-    """filename, size, file_type, checksum, doc_id, text, error of files by extension; unknown and empty ones have an error."""
+def documents_of(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """filename, size, file_type, checksum, doc_id, text, error of files (path, length, content) by extension, and the columns `keep`; unknown and empty ones have an error."""
     known = {**EXTRACTORS, **(extractors or {})}
 
     def extract(batches):
@@ -241,17 +237,27 @@ def read_documents(
             yield pdf.drop(columns="content").assign(text=texts, error=errors)
 
     name = F.element_at(F.split("path", "/"), -1)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    df = df.select(
+    df = files.select(
         name.alias("filename"),
         F.col("length").alias("size"),
         F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_type"),
         F.md5("content").alias("checksum"),
+        *keep,
         "content",
     )
     df = df.withColumn("doc_id", F.substring(F.md5(F.concat_ws("_", "filename", "checksum").cast("binary")), 1, 16))
-    schema = "filename string, size long, file_type string, checksum string, doc_id string, text string, error string"
-    return df.select("filename", "size", "file_type", "checksum", "doc_id", "content").mapInPandas(extract, schema)
+    df = df.select("filename", "size", "file_type", "checksum", "doc_id", *keep, "content")
+    schema = df.drop("content").withColumns({c: F.lit(None).cast("string") for c in ("text", "error")}).schema
+    return df.mapInPandas(extract, schema)
+
+
+def read_documents(
+    spark: SparkSession,
+    path: str,
+    extractors: dict[str, Callable[[bytes], str]] | None = None,
+) -> DataFrame:
+    """All files under a folder by `documents_of`."""
+    return documents_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), extractors)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
