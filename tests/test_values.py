@@ -9,6 +9,7 @@ import pytest
 from trilune import catalog
 from trilune.functions import patterns as P
 from trilune.plans import align as A
+from trilune.plans import demonstration, stores
 from trilune.plans.lexicon import graph
 
 QUERIES = catalog.queries()
@@ -139,5 +140,13 @@ def test_relations_in_sentences(spark, data):
 
 
 def test_made_up_corpus_is_found(spark, data):
-    got = {r.metric: r.value for r in QUERIES["demo_evaluation"](spark, data).collect()}
+    got = {r.metric: r.value for r in demonstration.FIXTURES["demo_evaluation"](spark, data).collect()}
     assert set(got) == {"mrr@10", "recall@10", "precision@5"} and got["mrr@10"] > 0.3 and 0 < got["recall@10"] <= 1
+
+
+@pytest.mark.parametrize(("module", "name"), [(m, n) for m in (demonstration, stores) for n in m.FIXTURE_SQL])
+def test_fixtures_are_what_they_were(spark, duck, data, module, name):
+    from conftest import rows_of
+
+    got, want = module.FIXTURES[name](spark, data).toPandas(), duck.execute(module.FIXTURE_SQL[name]).df()
+    assert rows_of(got, sorted(got.columns)) == rows_of(want, sorted(got.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "kg", "retrieval", "learner", "quality", "align", "sources", "streaming", "scheduling", "passages", "evidence", "stores", "demonstration", "learned", "building", "systems")
+MODULES: tuple[str, ...] = ("text", "kg", "retrieval", "learner", "quality", "align", "sources", "streaming", "scheduling", "passages", "evidence", "stores", "demonstration", "learned", "building", "systems", "further")
 
 
 def _merged(name: str) -> dict:

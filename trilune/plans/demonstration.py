@@ -132,9 +132,12 @@ def health(spark, d):
     return sizes[0].unionByName(sizes[1])
 
 
+#: Made-up data for trying things out; no queries of the engine, as they read no table.
+FIXTURES = {f.__name__: f for f in (demo_corpus, demo_questions, demo_judgments, demo_seeds, demo_graph, demo_evaluation)}
+
 QUERIES = {
     f.__name__: f
-    for f in (demo_corpus, demo_questions, demo_judgments, demo_seeds, demo_graph, demo_evaluation, tagged_types, technical_terms, dependency_relations, valid_requests, explained, template_exercises, health)
+    for f in (tagged_types, technical_terms, dependency_relations, valid_requests, explained, template_exercises, health)
 }
 
 _T = (
@@ -147,12 +150,15 @@ _SAID = lambda table: (
     "CASE language " + " ".join(f"WHEN '{k}' THEN replace('{v}', '{{}}', {k})" for k, v in table.items()) + " END"
 )
 
-SQL = {
+FIXTURE_SQL = {
     "demo_corpus": f"WITH {_T} SELECT printf('doc_%04d', i) AS doc_id, upper(language) || ': ' || {_TERM} AS title, {_SAID(D.SAYINGS)} AS text, language FROM t",
     "demo_questions": f"WITH {_T} SELECT 'q' || i AS query_id, {_SAID(D.QUESTIONS)} AS query_text, language FROM t",
     "demo_judgments": "SELECT 'q' || i AS query_id, printf('doc_%04d', (i - 1) % 10 + 10 * k + 1) AS doc_id, 1 AS relevance FROM range(1, 101) q(i), range(3) x(k)",
     "demo_seeds": f"SELECT i AS line, {[t['zh'] for t in D.TOPICS]}[(i - 1) % 10 + 1] AS e1, {[t['fr'] for t in D.TOPICS]}[(i - 1) % 10 + 1] AS e2, 0.95::DOUBLE AS confidence FROM range(1, 61) t(i)",
     "demo_graph": """SELECT * FROM (VALUES ('concept_002', '语法', 1), ('concept_003', 'subjonctif', 1), ('activity_001', '语法练习', 1), ('outcome_001', '掌握虚拟式', 2), ('resource_001', '法语语法书', 2)) t(id, name, hop)""",
+}
+
+SQL = {
     "tagged_types": "SELECT c_custkey, ['Reference', 'Culture', NULL, 'Media', 'Culture'][c_custkey % 5 + 1] AS type FROM customer",
     "technical_terms": "SELECT p_partkey, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND length(split_part(p_type, ' ', 1)) + 5 <= 20 AS technical FROM part",
     "dependency_relations": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 2 = 1) THEN 'belongsTo' END AS rel FROM part",

@@ -109,21 +109,9 @@ def federated(spark, d):
     return S.merged([("customer", c), ("supplier", s)], None, None).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def synthetic_corpus(spark, d):
-    """100 documents on ten topics, cycling through three languages."""
-    i = F.col("id")
-    topics = F.array(*[F.lit(f"topic{k}") for k in range(10)])
-    langs = F.array(*map(F.lit, ("fr", "zh", "en")))
-    return spark.range(1, 101).select(
-        F.format_string("doc_%04d", "id").alias("doc_id"),
-        F.element_at(topics, ((i - 1) % 10 + 1).cast("int")).alias("title"),
-        F.element_at(langs, ((i - 1) % 3 + 1).cast("int")).alias("language"),
-    )
-
-
 QUERIES = {
     f.__name__: f
-    for f in (jsonl_source, tsv_source, csv_source, orc_source, qrels_source, run_source, graph_source, parquet_partitioned, upsert_documents, delete_documents, document_export, federated, synthetic_corpus)
+    for f in (jsonl_source, tsv_source, csv_source, orc_source, qrels_source, run_source, graph_source, parquet_partitioned, upsert_documents, delete_documents, document_export, federated)
 }
 
 _CLEAN = (
@@ -159,8 +147,4 @@ SQL = {
         r" SELECT regexp_extract(s_name, '(\d+)', 1), 'supplier' FROM supplier), f AS (SELECT t, min(source) AS source"
         r" FROM u GROUP BY t) SELECT source, count(*) AS n FROM f GROUP BY source"
     ),
-    "synthetic_corpus": (
-        "SELECT printf('doc_%04d', i) AS doc_id, 'topic' || (i - 1) % 10 AS title, ['fr', 'zh',"
-        " 'en'][(i - 1) % 3 + 1] AS language FROM range(1, 101) t(i)"
-    ),
 }

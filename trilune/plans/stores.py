@@ -208,9 +208,12 @@ def document_by_id(spark, d):
     )
 
 
+#: Made-up records for trying things out; no query of the engine, as they come from no table.
+FIXTURES = {"sample_records": sample_records}
+
 QUERIES = {
     f.__name__: f
-    for f in (service_records, service_record, sample_records, stored_reports, exercise_log, document_pages, document_by_id)
+    for f in (service_records, service_record, stored_reports, exercise_log, document_pages, document_by_id)
 }
 
 _SERVICES = [
@@ -229,9 +232,6 @@ _SERVICES = [
 _WORD = "听力"
 
 SQL = {
-    "sample_records": f"""SELECT printf('cnki_%06d', i + 1) AS id, {[t.replace("{}", _WORD) for t in V.SAMPLE_TITLES]}[i + 1] AS title, {[t.replace("{}", _WORD) for t in V.SAMPLE_ABSTRACTS]}[i % 3 + 1] AS abstract,
-  '202' || i || '-0' || (i + 1) || '-01' AS publish_date, '{_WORD}|法语学习|教学方法' AS keywords FROM range(5) t(i)
-UNION ALL SELECT 'weibo_mock_' || i, '', '关于{_WORD}的微博内容' || (i + 1), '2024-01-01', '{_WORD}' FROM range(3) t(i)""",
     "service_records": "WITH x AS (SELECT n_nationkey AS k, n_name AS n FROM nation) "
     + " UNION ALL ".join(
         f"SELECT {i} AS id, {t} AS title, {a} AS authors, CASE WHEN '{s}' = 'lib' THEN '' ELSE 'said' END AS abstract, '{s}' AS source, {p} AS publish_date, {g} AS language, {w} AS keywords FROM x"
@@ -245,3 +245,9 @@ LEFT JOIN (SELECT id, count(*) AS n FROM ({QUALITY["quality_metrics"]}) WHERE NO
     "document_pages": """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no json' ELSE coalesce(lang, '') END AS said, md5(text) AS hash FROM documents ORDER BY documents.doc_id DESC LIMIT 10 OFFSET 10""",
     "document_by_id": "SELECT doc_id::VARCHAR AS doc_id, lang AS language, text FROM documents WHERE doc_id = 17",
 }
+
+FIXTURE_SQL = {
+    "sample_records": f"""SELECT printf('cnki_%06d', i + 1) AS id, {[t.replace("{}", _WORD) for t in V.SAMPLE_TITLES]}[i + 1] AS title, {[t.replace("{}", _WORD) for t in V.SAMPLE_ABSTRACTS]}[i % 3 + 1] AS abstract,
+  '202' || i || '-0' || (i + 1) || '-01' AS publish_date, '{_WORD}|法语学习|教学方法' AS keywords FROM range(5) t(i)
+UNION ALL SELECT 'weibo_mock_' || i, '', '关于{_WORD}的微博内容' || (i + 1), '2024-01-01', '{_WORD}' FROM range(3) t(i)""",
+}

@@ -109,6 +109,42 @@ def write_graph(entities: DataFrame, relations: DataFrame, path: str, base: str)
     )
 
 
+def write_graph_lines(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """The graph as JSON lines, each with the `entities` or the `relations` that it holds: as many files as there are parts, nothing is gathered."""
+    e = entities.select(F.to_json(F.struct(F.array(F.struct("id", "name", "type", "language", "description", "aliases")).alias("entities"))).alias("value"))
+    rel = F.struct(F.col("src").alias("subject"), F.col("dst").alias("object"), F.col("rel").alias("type"), "confidence")
+    e.unionByName(relations.select(F.to_json(F.struct(F.array(rel).alias("relations"))).alias("value"))).write.mode("overwrite").text(path)
+
+
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of such lines; a line may hold several. A line with entities gives these only, lines that are no JSON nothing."""
+    entity = "struct<id: string, name: string, type: string, language: string, description: string, aliases: array<string>>"
+    relation = "struct<source: string, target: string, subject: string, object: string, type: string, confidence: double>"
+    df = spark.read.schema(f"entities array<{entity}>, relations array<{relation}>").json(path)
+    e = df.select(F.explode("entities").alias("e")).select("e.*").withColumn("language", F.coalesce("language", F.lit("unknown")))
+    r = df.where("entities is null").select(F.explode("relations").alias("r"))
+    return e, r.select(
+        F.coalesce("r.subject", "r.source").alias("src"),
+        F.coalesce("r.object", "r.target").alias("dst"),
+        F.col("r.type").alias("rel"),
+        F.coalesce("r.confidence", F.lit(1.0)).alias("confidence"),
+    )
+
+
+def read_experiment(spark: SparkSession, path: str, tabs: bool = False) -> DataFrame:
+    """learner_id, group, pre_score, post_score of a table with a header; a missing group is `control`, rows whose scores are no numbers are left out."""
+    schema = "learner_id string, group string, pre_score string, post_score string"
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("sep", "\t" if tabs else ",").csv(path)
+    rows = df.select("learner_id", F.coalesce("group", F.lit("control")).alias("group"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("pre_score", "post_score")])
+    return rows.where("pre_score is not null and post_score is not null")
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Result rows as JSON lines, and as a CSV table with a header, under a folder."""
+    rows.write.mode("overwrite").json(f"{path}/results")
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+
+
 def _docx(data: bytes) -> str:
     """Paragraphs and table rows, cells joined by ' | '."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
