@@ -122,7 +122,7 @@ def fit(
     text: str = "text",
     size: int = 32,
     extra: int = 16,
-    power: int = 3,
+    power: int = 2,
     language: str = "fr",
 ) -> Encoder:
     """The `size` largest singular directions; `extra` more are followed on the way, at most 64 in all."""

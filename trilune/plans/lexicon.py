@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilune.functions.text import ascii_upper, tokenize
-from trilune.sources.tables import stored, table
+from trilune.sources.tables import kept, stored, table
 
 LEAST, EVERY = 50, 100
 
@@ -73,8 +73,13 @@ def relations(e: DataFrame) -> DataFrame:
 
 
 def graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = entities(spark, d)
-    return e, relations(e)
+    """Entities and relations, stored; made anew when the documents change."""
+
+    def made():
+        e = entities(spark, d)
+        return e, relations(e)
+
+    return kept(spark, d, ("documents",), "graph", made, lambda x: x)
 
 
 SQL = rf"""WITH RECURSIVE lex_w AS (

@@ -11,7 +11,7 @@ from trilune.operators import metrics as M
 from trilune.operators import retrieval as R
 from trilune.plans.lexicon import SQL as LEX
 from trilune.plans.lexicon import graph
-from trilune.sources.tables import scratch, stored, table
+from trilune.sources.tables import kept, scratch, stored, table
 
 WEIGHTS = {"dense": 0.4, "bm25": 0.3, "kg": 0.3}
 
@@ -21,7 +21,10 @@ def items(spark, d):
 
 
 def index(spark, d, **how):
-    return R.Bm25Index(table(spark, d, "documents"), **how)
+    """The documents' index, stored; made anew when the table changes."""
+    what = f"bm25 {sorted(how.items())}"
+    made = lambda: R.Bm25Index(table(spark, d, "documents"), **how)
+    return kept(spark, d, ("documents",), what, made, lambda i: (i.postings, i.lengths, i.weights))
 
 
 def bm25_topk(spark, d):
@@ -121,7 +124,8 @@ def query_entities(spark, d, e):
 
 
 def doc_entities(spark, d, e):
-    return stored(R.mentions(table(spark, d, "documents"), "doc_id", "text", e), "dent")
+    made = lambda: stored(R.mentions(table(spark, d, "documents"), "doc_id", "text", e), "dent")
+    return kept(spark, d, ("documents",), "names in documents", made, lambda x: (x,))
 
 
 def kg_query_entities(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trilune.functions import patterns as P
 from trilune.functions import text as T
-from trilune.sources.tables import table
+from trilune.sources.tables import stored, table
 
 
 def docs(spark, d):
@@ -92,25 +92,32 @@ def sentence_split(spark, d):
     )
 
 
-def sentence_alignment(spark, d):
-    """Sentences of each document against those of the next one in its source, by length ratio."""
+def following(ids, by: str, key: str, width: int = 100_000):
+    """(key, next): the next larger key of the same group; stretches of `width` keys are windows of their own, so a large group is many tasks."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy("doc_id")
-    after = (
-        docs(spark, d)
-        .select("doc_id", "source")
-        .withColumn("next", F.lead("doc_id").over(w))
-        .where("next is not null")
-        .select("doc_id", "next")
-    )
-    s = docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
-    x = (
-        after.join(s, "doc_id")
-        .join(s.select(F.col("doc_id").alias("next"), F.col("s").alias("t")), "next")
-        .where(F.size("t") > 0)
+    cut = ids.select(by, key, F.floor(F.col(key) / width).alias("_cut"))
+    inside = F.lead(key).over(Window.partitionBy(by, "_cut").orderBy(key))
+    first = cut.groupBy(by, "_cut").agg(F.min(key).alias("_first"))
+    later = first.select(
+        F.col(by).alias("_by"),
+        F.col("_cut").alias("_at"),
+        F.lead("_first").over(Window.partitionBy(by).orderBy("_cut")).alias("_later"),
     )
-    x = x.withColumn("r", F.size("t") / F.size("s")).select("doc_id", "t", "r", F.posexplode("s").alias("i", "src"))
+    rows = cut.withColumn("next", inside)
+    ends = rows.where("next is null").join(later, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_cut") == F.col("_at")))
+    both = rows.where("next is not null").select(key, "next").unionByName(ends.select(key, F.col("_later").alias("next")))
+    return both.where("next is not null")
+
+
+def sentence_alignment(spark, d):
+    """Sentences of each document against those of the next one in its source, by length ratio. Texts are split once, and exchanged once."""
+    rows = docs(spark, d).select("doc_id", "source", T.sentences(F.col("text")).alias("t"))
+    s = stored(rows.withColumn("n", F.size("t")), "sentences")
+    after = following(s.where("doc_id is not null"), "source", "doc_id")
+    pairs = after.join(s.select("doc_id", "n").where("n > 0"), "doc_id")
+    x = s.select(F.col("doc_id").alias("next"), "t").where(F.size("t") > 0).join(pairs, "next")
+    x = x.withColumn("r", F.size("t") / F.col("n")).select("doc_id", "t", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     lo, hi = F.floor(F.col("i") * F.col("r")).cast("int"), F.least(F.floor((F.col("i") + 1) * F.col("r")).cast("int"), F.size("t"))
     x = x.withColumn("lo", lo).withColumn("hi", hi)
     return x.select(

@@ -31,3 +31,37 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What was made of tables in this process, the newest last: (application, what, state of the tables' files) -> result.
+_KEPT: dict = {}
+MOST_KEPT = 16
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what changes when it is written again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
+    return tuple(sorted(listed))
+
+
+def kept(spark: SparkSession, folder: str, tables: tuple[str, ...], what: str, make, frames):
+    """make()'s result, made once in a process as long as the folder's tables stay as they are and the stored tables that frames(result) names are there."""
+    key = (spark.sparkContext.applicationId, what, tuple(state(spark, f"{folder}/{t}.parquet") for t in tables))
+    found = _KEPT.pop(key, None)
+    if found is None or not all(_there(df) for df in frames(found)):
+        found = make()
+    _KEPT[key] = found
+    while len(_KEPT) > MOST_KEPT:
+        _KEPT.pop(next(iter(_KEPT)))
+    return found
+
+
+def _there(df: DataFrame) -> bool:
+    files = df.inputFiles()
+    spark = df.sparkSession
+    if not files:
+        return True
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
