@@ -1,7 +1,12 @@
 """A training corpus from raw documents: five stages, each written as a table that the next one reads.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
-but the last return the columns of documents.
+but the last return the columns of documents, further ones included, whatever they are called.
+
+Null and empty texts are kept by every stage: they are not toxic, near nothing, repeat and contain nothing, and have no words to mix.
+Rows without an id are kept as near duplicates of nothing; of a group of near duplicates all rows with its smallest id stay.
+A null source is a source of its own. A document of which all words repeat others' passages goes; very long texts are handled
+whole. An empty table gives an empty one; without labels of both kinds nothing is rejected, without benchmark nothing is contaminated.
 """
 
 from __future__ import annotations

@@ -88,6 +88,13 @@ def without(docs: DataFrame, gone: DataFrame, *keys: str, bytes_each: int = 8) -
     return docs.join(F.broadcast(gone) if few else gone, list(keys), "left_anti")
 
 
+def apart(docs: DataFrame, stage, *names: str) -> DataFrame:
+    """stage(docs), with docs' columns other than `names` out of its way meanwhile, so that none is replaced by what an operator calls the same."""
+    held = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in names}
+    out = stage(docs.withColumnsRenamed(held))
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def let(value, body):
     """body(x) with x standing for the value, which is computed once however often body names it, inside lambdas too."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trilune.llm import words as W
-from trilune.llm.common import buckets, dropped, new_folder, small_batches, table, written
+from trilune.llm.common import apart, buckets, dropped, new_folder, small_batches, table, written
 
 GRAM = 8
 GROUP = 200_000  # suffixes of a subtree
@@ -524,14 +524,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; those that consist of them entirely go."""
-    out = deduplicated(docs).where("n_removed = 0 or n_removed < n_words")
-    if "n_chars" in docs.columns:
-        out = out.withColumn(
-            "n_chars",
-            (
-                F.when(F.col("n_removed") > 0, F.length("text"))
-                .otherwise(F.col("n_chars"))
-                .cast(docs.schema["n_chars"].dataType)
-            ),
-        )
-    return out.select(*docs.columns)
+
+    def without_passages(own: DataFrame) -> DataFrame:
+        out = deduplicated(own).where("n_removed = 0 or n_removed < n_words")
+        if "n_chars" not in own.columns:
+            return out
+        shorter = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        return out.withColumn("n_chars", shorter.cast(own.schema["n_chars"].dataType))
+
+    return apart(docs, without_passages, "doc_id", "text", "n_chars")
