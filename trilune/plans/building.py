@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from trilune.functions.text import STOPWORDS
 from trilune.operators import kg_build as B
+from trilune.operators import layout as Y
 from trilune.plans.align import _RAW, WORDS, texts
+from trilune.plans.lexicon import graph
 from trilune.sources import upserts as V
 from trilune.sources.tables import scratch, table
 from trilune.streaming import uploads as U
@@ -52,7 +54,13 @@ def upserted_customers(spark, d):
     return V.read(spark, path, "c_custkey").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
-QUERIES = {f.__name__: f for f in (upserted_customers, uploaded_documents, kg_built, kg_built_entities, kg_built_report)}
+def kg_layout(spark, d):
+    """Places of the word graph's nodes in the plane."""
+    e, r = graph(spark, d)
+    return Y.spring(e, r, 8).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+QUERIES = {f.__name__: f for f in (kg_layout, upserted_customers, uploaded_documents, kg_built, kg_built_entities, kg_built_report)}
 
 _BUILD = (
     f"""WITH {_RAW}, x AS (SELECT language, type, min((doc, name)) AS b FROM en

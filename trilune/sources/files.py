@@ -216,8 +216,8 @@ def _xlsx(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-def _pdf(data: bytes) -> str:
-    """Text of the strings that content streams show, a line per text block; fonts with encodings of their own are not decoded."""
+def _shown(data: bytes) -> str:
+    """Text of the strings that streams show, a line per text block, of a file whose pages cannot be found."""
     out = []
     for stream in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
         try:
@@ -231,6 +231,13 @@ def _pdf(data: bytes) -> str:
     return "\n".join(out)
 
 
+def _pdf(data: bytes) -> str:
+    """Text of all pages; of a damaged file, of its streams."""
+    from trilune.sources import pdf
+
+    return pdf.text(data) or _shown(data)
+
+
 def _html(data: bytes) -> str:
     """What is to be read of a page: without scripts, styles and tags, entities decoded, blank lines left out."""
     import html
