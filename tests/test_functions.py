@@ -14,6 +14,7 @@ from trilune.operators import graph as G
 from trilune.operators import kg as K
 from trilune.operators import learner as L
 from trilune.operators import metrics as M
+from trilune.operators import retrieval as R
 from trilune.plans.kg import doubled
 from trilune.sources import files
 
@@ -285,3 +286,16 @@ def test_entities_met_again_in_capitals_are_one(spark):
     again = {r.name for r in doubled(e).collect()} - {r.name for r in e.collect()}
     assert again == {"Haus"}
     assert sorted((r.id, r.name, r.confidence) for r in K.best_entities(doubled(e)).collect()) == sorted((r[0], r[1], r[4]) for r in rows)
+
+
+def test_graph_and_shared_names_score_candidates_only(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    asked = frame([(1, "a"), (1, "b"), (2, "a")], "query_id int, id string")
+    held = frame([(7, "a"), (7, "c"), (8, "b"), (9, "x")], "doc_id int, id string")
+    near = frame([("a", "c", 0.5), ("b", "a", 0.25)], "source string, id string, weight double")
+    keys = frame([(1, 7), (1, 9), (2, 8)], "query_id int, doc_id int")
+    got = R.graph_scores(asked, held, near, keys).collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == [(1, 7, round((1 + 0.25 + 0.5) / 3, 9))]
+    a, b = asked.select("query_id", F.col("id").alias("name"), F.lit(1.0).alias("w")), held.select("doc_id", F.col("id").alias("name"), F.lit(0.5).alias("w"))
+    got = R.weighted_jaccard(a, b, keys).collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == [(1, 7, 0.5 / 2.5)]

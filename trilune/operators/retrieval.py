@@ -330,8 +330,11 @@ def mentions(texts: DataFrame, key: str, text: str, entities: DataFrame, languag
     return out.select(key, "id").distinct()
 
 
-def graph_scores(query_entities: DataFrame, doc_entities: DataFrame, related: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): over pairs of a query's and a document's entities, 1 for the same and the relation's weight for related ones; the mean over pairs that hit, at most 1."""
+def graph_scores(query_entities: DataFrame, doc_entities: DataFrame, related: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the pairs in keys (query_id, doc_id), each once: over pairs of a query's and a document's entities, 1 for the same and the relation's weight for related ones; the mean over pairs that hit, at most 1.
+
+    Documents' entities are first brought to the queries that the documents are candidates of: no other pairs are made.
+    """
     near = query_entities.select("query_id", "id", F.lit(1.0).alias("w")).unionByName(
         (
             query_entities.withColumnRenamed("id", "source")
@@ -340,7 +343,8 @@ def graph_scores(query_entities: DataFrame, doc_entities: DataFrame, related: Da
         ),
     )
     return (
-        near.join(doc_entities, "id")
+        keys.join(doc_entities, "doc_id")
+        .join(near, ["query_id", "id"])
         .groupBy("query_id", "doc_id")
         .agg(F.least(F.round(F.avg("w"), 9), F.lit(1.0)).alias("score"))
     )
@@ -370,12 +374,12 @@ def expanded(
     return top(w, top_k, "query_id", F.col("name")).select("query_id", "name", F.col("score").alias("weight"), "rank")
 
 
-def weighted_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): sum of smaller over sum of larger weights. a: query_id, name, w; b: doc_id, name, w. Pairs that share no name are left out: they score 0."""
+def weighted_jaccard(a: DataFrame, b: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the pairs in keys (query_id, doc_id), each once: sum of smaller over sum of larger weights. a: query_id, name, w; b: doc_id, name, w. Pairs that share no name are left out: they score 0."""
     ta, tb = a.groupBy("query_id").agg(F.sum("w").alias("ta")), b.groupBy("doc_id").agg(F.sum("w").alias("tb"))
     both = (
-        a.withColumnRenamed("w", "wa")
-        .join(b.withColumnRenamed("w", "wb"), "name")
+        keys.join(b.withColumnRenamed("w", "wb"), "doc_id")
+        .join(a.withColumnRenamed("w", "wa"), ["query_id", "name"])
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.least("wa", "wb")).alias("m"))
     )

@@ -88,7 +88,7 @@ def rerank_full(spark, d):
     dense = stored(P.dense_list(spark, d, 20), "dense")
     keys = stored(bm.select("query_id", "doc_id").union(dense.select("query_id", "doc_id")).distinct(), "keys")
     kept = P.doc_entities(spark, d, e).join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
-    kg = R.weighted_jaccard(weigh(P.query_entities(spark, d, e), "query_id", far), weigh(kept, "doc_id", near))
+    kg = R.weighted_jaccard(weigh(P.query_entities(spark, d, e), "query_id", far), weigh(kept, "doc_id", near), keys)
     kg = keys.join(kg, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
     out = R.fuse({"dense": dense, "bm25": bm, "kg": kg}, P.WEIGHTS).withColumn("score", F.round("final", 6))
     return R.top(out, 10, "query_id", F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
