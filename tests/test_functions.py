@@ -299,3 +299,12 @@ def test_graph_and_shared_names_score_candidates_only(spark):
     a, b = asked.select("query_id", F.col("id").alias("name"), F.lit(1.0).alias("w")), held.select("doc_id", F.col("id").alias("name"), F.lit(0.5).alias("w"))
     got = R.weighted_jaccard(a, b, keys).collect()
     assert [(r.query_id, r.doc_id, r.score) for r in got] == [(1, 7, 0.5 / 2.5)]
+
+
+def test_bm25_adds_up_where_documents_are(spark):
+    docs = spark.createDataFrame([(1, "un chat noir"), (2, "chat chat"), (3, None), (4, "noir")], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "chat noir"), (8, "rien")], "query_id int, query_text string")
+    found = R.Bm25Index(docs, idf="lucene").scores(asked)
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(7, 1), (7, 2), (7, 4)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan

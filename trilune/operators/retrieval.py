@@ -44,9 +44,15 @@ class Bm25Index:
             self.weights = raw.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
 
     def scores(self, queries: DataFrame, query: str = "query_id", text: str = "query_text") -> DataFrame:
-        """(query_id, doc_id, score) of all documents that share a term; a query's repeated terms count repeatedly."""
+        """(query_id, doc_id, score) of all documents that share a term; a query's repeated terms count repeatedly.
+
+        Postings of asked terms are dealt by document, once; all that a document gets of a query is then added up where it is, and
+        no pairs of a query and a document are exchanged. Asked terms are stored, so that a table of few is sent to all tasks.
+        """
         q = terms(queries, query, text, self.language).withColumnRenamed("tf", "qtf").join(self.weights, "term")
-        hits = self.postings.join(q, "term").join(self.lengths, self.key)
+        q = stored(q.select(query, "term", "qtf", "idf"), "asked")
+        dealt = self.postings.join(q.select("term").distinct(), "term", "left_semi").repartition(self.key)
+        hits = dealt.join(self.lengths.hint("shuffle_hash"), self.key).join(q, "term")
         tf = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / self.avgdl))
         return hits.groupBy(query, self.key).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
 
