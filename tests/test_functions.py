@@ -308,3 +308,46 @@ def test_bm25_adds_up_where_documents_are(spark):
     assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(7, 1), (7, 2), (7, 4)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    names = [f"Supplier#{i:09}" for i in (*range(60), 100, 1010, 12345)] + ["".join(r.choices("ab", k=r.randint(1, 16))) for _ in range(80)]
+    long = ["".join(r.choices("abc", k=r.randint(21, 40))) for _ in range(12)]
+    names += long + [x[:5] + "z" + x[6:-1] for x in long] + ["", "a", "a", "Ab", "aB", "Supplier#000000007"]
+    rows = [(f"{i:03}", "Word" if i % 3 else "Part", n) for i, n in enumerate(names)] + [("none", None, "aaaa"), ("null", "Word", None)]
+    e = spark.createDataFrame(rows, "id string, type string, name string")
+    for least, same in ((0.85, True), (0.75, True), (0.85, False)):
+        known = [(i, t, n.lower()) for i, t, n in rows if n and (t or not same)]
+        want = {}
+        for i, t, n in known:
+            for j, u, m in known:
+                if i < j and (t == u or not same):
+                    s = 1 - edit_distance(n, m) / max(len(n), len(m))
+                    if s >= least:
+                        want[i, j] = round(s, 9)
+        got = K.similar_names(e, least, same).collect()
+        assert len(got) == len(want) and {(x.a, x.b): round(x.similarity, 9) for x in got} == want
+
+
+def test_similar_names_of_one_beginning_do_not_meet(spark):
+    """17,576 names with the same first and no like rest: 154 million pairs would meet on their cuts."""
+    import itertools
+    import time
+
+    names = ["Supplier#" + "".join(c * 3 for c in x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3)]
+    e = spark.createDataFrame([(n, "Supplier", n) for n in names], "id string, type string, name string")
+    begun = time.time()
+    assert K.similar_names(e).count() == 0
+    assert time.time() - begun < 60

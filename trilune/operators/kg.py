@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilune.sources.tables import stored
+
 # The closed domains of types, relations and languages.
 ENTITY_TYPES = [
     "Word",
@@ -175,68 +177,81 @@ def isolated(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return entities.join(ends, "id", "left_anti")
 
 
-def similar_names(entities: DataFrame, least: float = 0.85, same_type: bool = True) -> DataFrame:
-    """Pairs of entities whose lower-cased names are that similar by edit distance.
+#: Up to so many edits, names meet on what is left of them after deletions; beyond, on cuts.
+MOST_DELETED = 2
+
+
+def shortened(name: Column, deleted: Column) -> Column:
+    """The different texts that are left of a name without 0, 1 or 2 of its characters."""
+    n = F.length(name)
+    cut = lambda i, j: F.substring(name, i, j - i)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(cut(F.lit(1), i), cut(i + 1, n + 1)))
+    later = lambda i: F.sequence(i + 1, n)
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(later(i), lambda j: F.concat(cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, n + 1)))))
+    return F.array_distinct(F.when(deleted == 0, F.array(name)).when(deleted == 1, one).when(n > 1, two).otherwise(F.array().cast("array<string>")))
+
 
-    Names that similar differ in length by at most (1 - least) of the longer, and as many
-    edits leave one of edits + 1 equal cuts of the shorter untouched, so pairs meet on
-    the type, the length and one cut, not on all pairs.
+def near_by_deletion(names: DataFrame, least: float, edits) -> DataFrame:
+    """(no, no2, distance) of candidates whose longer name allows 1 or 2 edits.
+
+    With k edits two names have a common part as long as the longer one without k characters, so each gives all its parts of that
+    length, at most 190 for a name of 20, as keys. Names that differ in a few digits only meet in small groups.
     """
-    e = entities.select("id", "type", F.lower("name").alias("name")).where(F.length("name") > 0)
     n = F.length("name")
-    share = F.lit(1 - least)
-    edits = lambda size: F.floor(share * size + F.lit(1e-9)).cast("int")
+    keys = names.withColumn("long", F.explode(F.sequence(n, F.floor(n / least + F.lit(1e-9)).cast("int"))))
+    keys = keys.withColumn("deleted", n - F.col("long") + edits(F.col("long"))).where(edits(F.col("long")).between(1, MOST_DELETED) & (F.col("deleted") >= 0))
+    keys = keys.select("no", "name", "kind", "long", F.explode(shortened(F.col("name"), F.col("deleted"))).alias("part"))
+    keys = keys.select(F.xxhash64("kind", "long", "part").alias("key"), "no", "name", (n == F.col("long")).alias("longest"))
+    # Groups cost by their pairs, not by their bytes: as many tasks as there are shuffle partitions.
+    keys = stored(keys, "parts").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    b = keys.where("longest").select("key", F.col("no").alias("no2"), F.col("name").alias("name2"))
+    both = keys.join(b.hint("shuffle_hash"), "key").where(~F.col("longest") | (F.col("no") < F.col("no2")))
+    return both.select("no", "no2", F.levenshtein("name", "name2", MOST_DELETED).alias("distance")).where("distance > 0").distinct()
+
+
+def near_by_cuts(names: DataFrame, least: float, edits) -> DataFrame:
+    """(no, no2, distance) of candidates whose longer name allows more edits: as many edits leave one of edits + 1 equal cuts of the shorter untouched."""
+    n = F.length("name")
+    many = edits(F.col("long")) > MOST_DELETED
+    place = lambda i: F.floor(i * F.col("short") / F.col("cuts")).cast("int")
     # Every length that a partner may have is a key; cuts are made for the shorter name's length at the allowed edits of the longer.
-    keys = e.withColumn("long", F.explode(F.sequence(n, F.floor(n / least + F.lit(1e-9)).cast("int")))).withColumn(
-        "cuts",
-        edits(F.col("long")) + 1,
-    )
-    piece = lambda i: F.struct(
-        i.alias("i"),
-        F.expr("substring(name, cast(floor(i * length(name) / cuts) as int) + 1, cast(floor((i + 1) * length(name) / cuts) - floor(i * length(name) / cuts) as int))").alias(
-            "part",
-        ),
-    )
-    a = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "id",
-        "type",
-        "name",
-        "long",
-        F.length("name").alias("short"),
-        "i",
-        piece(F.col("i")).getField("part").alias("part"),
-    )
+    a = names.withColumn("short", n).withColumn("long", F.explode(F.sequence(n, F.floor(n / least + F.lit(1e-9)).cast("int")))).where(many)
     # The longer name offers every substring of a cut's size at most `edits` off the cut's place.
-    b = (
-        e.withColumn("long", n)
-        .withColumn("short", F.explode(F.sequence(F.ceil(n * least - F.lit(1e-9)).cast("int"), n)))
-        .withColumn("cuts", edits(F.col("long")) + 1)
-    )
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    at, end = F.floor(F.col("i") * F.col("short") / F.col("cuts")).cast("int"), F.floor((F.col("i") + 1) * F.col("short") / F.col("cuts")).cast("int")
-    b = (
-        b.withColumn("at", at)
-        .withColumn("size", end - at)
-        .withColumn("shift", F.explode(F.sequence(-(F.col("cuts") - 1), F.col("cuts") - 1)))
-    )
-    b = b.where((F.col("at") + F.col("shift") >= 0) & (F.col("at") + F.col("shift") + F.col("size") <= F.col("long"))).select(
-        F.col("id").alias("id2"),
-        F.col("type").alias("type2"),
-        F.col("name").alias("name2"),
-        "long",
-        "short",
-        "i",
-        F.expr("substring(name, at + shift + 1, size)").alias("part"),
+    b = names.withColumn("long", n).where(many).withColumn("short", F.explode(F.sequence(F.ceil(n * least - F.lit(1e-9)).cast("int"), n)))
+    cut = lambda x: (
+        x.withColumn("cuts", edits(F.col("long")) + 1)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .withColumn("at", place(F.col("i")))
+        .withColumn("size", place(F.col("i") + 1) - F.col("at"))
     )
-    on = ["long", "short", "i", "part"]
-    both = a.join(b, on).where(F.col("id") != F.col("id2"))
-    if same_type:
-        both = both.where(F.col("type") == F.col("type2"))
-    pairs = both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(F.col("id") < F.col("id2"), F.col("name")).otherwise(F.col("name2")).alias("name_a"), F.when(F.col("id") < F.col("id2"), F.col("name2")).otherwise(F.col("name")).alias("name_b")).distinct()
-    score = F.when(F.col("name_a") == F.col("name_b"), 1.0).otherwise(
-        1 - F.levenshtein("name_a", "name_b") / F.greatest(F.length("name_a"), F.length("name_b")),
-    )
-    return pairs.withColumn("similarity", score).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    on = ["kind", "long", "short", "i", "part"]
+    a = cut(a).select(*on[:-1], F.expr("substring(name, at + 1, size)").alias("part"), "no", "name")
+    b = cut(b).withColumn("shift", F.explode(F.sequence(-(F.col("cuts") - 1), F.col("cuts") - 1)))
+    b = b.where((F.col("at") + F.col("shift") >= 0) & (F.col("at") + F.col("shift") + F.col("size") <= F.col("long")))
+    b = b.select(*on[:-1], F.expr("substring(name, at + shift + 1, size)").alias("part"), F.col("no").alias("no2"), F.col("name").alias("name2"))
+    both = a.join(b, on).where((F.col("short") < F.col("long")) | (F.col("no") < F.col("no2"))).select("no", "no2", "name", "name2").distinct()
+    return both.select("no", "no2", F.levenshtein("name", "name2").alias("distance"))
+
+
+def similar_names(entities: DataFrame, least: float = 0.85, same_type: bool = True) -> DataFrame:
+    """Pairs of entities whose lower-cased names are that similar by edit distance.
+
+    Names that similar differ in length and in edits by at most (1 - least) of the longer. Different names are compared
+    once, whatever the number of entities that have them; entities are brought to what their names found.
+    """
+    e = entities.select("id", F.col("type") if same_type else F.lit("").alias("type"), F.lower("name").alias("name"))
+    e = e.where("name <> '' and type is not null").withColumnRenamed("type", "kind").distinct()
+    names = stored(e.select("kind", "name").distinct().withColumn("no", F.monotonically_increasing_id()), "names")
+    edits = lambda size: F.floor(F.lit(1 - least) * size + F.lit(1e-9)).cast("int")
+    pairs = near_by_deletion(names, least, edits).unionByName(near_by_cuts(names, least, edits))
+    size = lambda no, n: names.select(F.col("no").alias(no), F.length("name").alias(n))
+    pairs = pairs.join(size("no", "n"), "no").join(size("no2", "n2"), "no2")
+    pairs = pairs.select("no", "no2", (1 - F.col("distance") / F.greatest("n", "n2")).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = pairs.unionByName(names.select("no", F.col("no").alias("no2"), F.lit(1.0).alias("similarity")))
+    own = stored(e.join(names, ["kind", "name"]).select("no", "id"), "own")
+    both = pairs.join(own, "no").join(own.select(F.col("no").alias("no2"), F.col("id").alias("id2")), "no2")
+    both = both.where((F.col("no") != F.col("no2")) & (F.col("id") != F.col("id2")) | (F.col("id") < F.col("id2")))
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "similarity")
 
 
 def representatives(entities: DataFrame, clusters: DataFrame, strategy: str = "confidence") -> DataFrame:
