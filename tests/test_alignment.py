@@ -52,3 +52,26 @@ def test_pipeline_finds_turned_vectors(spark):
     found = N.aligned(left, right, edges, seeds).collect()
     assert len({r.e1 for r in found}) == len(found) == len({r.e2 for r in found})
     assert sum(r.e1[1:] == r.e2[1:] for r in found) >= 54
+
+
+def test_gold_by_classes_is_that_by_pairs(spark):
+    from trilune.operators import metrics as M
+
+    left = spark.createDataFrame([(1, "a"), (3, "a"), (5, "b"), (7, None), (9, "c")], "e1 long, class string")
+    right = spark.createDataFrame([(2, "a"), (4, "b"), (6, "b"), (8, None), (10, "a")], "e2 long, class string")
+    pairs = left.join(right, "class").select("e1", "e2")
+    predicted = spark.createDataFrame([(1, 2, 0.9), (1, 4, 0.8), (5, 6, 0.7), (7, 8, 0.6), (3, 10, 0.5), (9, 2, 0.4)], "e1 long, e2 long, confidence double")
+    gold = M.ClassGold(left, right)
+    assert gold.count() == pairs.count() == 6
+    for f in (M.alignment_metrics, M.precision_recall):
+        assert sorted(f(predicted, gold).collect()) == sorted(f(predicted, pairs).collect())
+
+
+def test_gold_of_large_classes_is_not_written_out(spark):
+    from trilune.operators import metrics as M
+
+    ids = spark.range(2_000_000)
+    left, right = (ids.where(f"id % 2 = {i}").selectExpr(f"id as e{2 - i}", "id % 7 div 4 as class") for i in (1, 0))
+    predicted = spark.createDataFrame([(1, 2, 0.9), (5, 2, 0.8)], "e1 long, e2 long, confidence double")
+    rows = {r.k: r.precision for r in M.precision_recall(predicted, M.ClassGold(left, right)).collect()}
+    assert rows == {1: 1.0, 2: 0.5}

@@ -43,28 +43,25 @@ def align_one_to_one(spark, d):
 
 
 def gold(spark, d):
+    """All pairs of one label: their number grows with the square of the vectors, so they are told by labels."""
     left, right = sides(spark, d)
-    return (
-        left.select(F.col("id").alias("e1"), "label")
-        .join(right.select(F.col("id").alias("e2"), "label"), "label")
-        .select("e1", "e2")
-    )
+    return M.ClassGold(left.select(F.col("id").alias("e1"), F.col("label").alias("class")), right.select(F.col("id").alias("e2"), F.col("label").alias("class")))
 
 
 def align_metrics(spark, d):
-    x = M.alignment_metrics(pairs(spark, d), stored(gold(spark, d), "gold"))
+    x = M.alignment_metrics(pairs(spark, d), gold(spark, d))
     return x.select("k", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
 
 
 def align_precision_recall(spark, d):
-    x = M.precision_recall(pairs(spark, d), stored(gold(spark, d), "gold"))
+    x = M.precision_recall(pairs(spark, d), gold(spark, d))
     return x.select("k", F.round("precision", 6).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 def align_compare(spark, d):
     """All candidates against those of at least 0.4, metric by metric."""
     p = pairs(spark, d)
-    x = M.compared({"all": p, "sure": p.where("confidence >= 0.4")}, stored(gold(spark, d), "gold"))
+    x = M.compared({"all": p, "sure": p.where("confidence >= 0.4")}, gold(spark, d))
     return x.select("metric", F.round("all", 6).alias("all_pairs"), F.round("sure", 6).alias("sure_pairs"))
 
 
