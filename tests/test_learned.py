@@ -186,6 +186,29 @@ def test_encoder_of_little(spark):
     assert len(none.values) == 0 and none.encoded().count() == 0
 
 
+def test_encoder_exchanges_terms_of_parts_not_postings(spark, monkeypatch):
+    from trilune.operators import encoder as N
+
+    r = np.random.default_rng(5)
+    words = [f"w{i:03d}" for i in range(60)]
+    rows = [(i, "en" if i % 2 else "fr", " ".join([*r.choice(words, 30), f"only{i}"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    seen, real = [], N.product
+    monkeypatch.setattr(N, "product", lambda *a, **k: seen.append(N.stored(real(*a, **k), "seen")) or seen[-1])
+    one = N.fit(docs, size=6, extra=40)
+    made = len(seen)
+    assert made == 3 and all(f.where("term is not null").count() <= len(words) for f in seen)  # one part, 400 x 25 postings
+    monkeypatch.setattr(N, "parts_of", lambda d, key, text, together: (d.select(key, N.F.col(text).alias("text"), (N.F.col(key) % 5).alias("part")), 5))
+    many = N.fit(docs, size=6, extra=40, together="lang")
+    assert all(f.where("term is not null").count() <= 5 * len(words) for f in seen[made:])
+    assert np.allclose(one.values, many.values)
+    a, b = ({v.id: v.x for v in e.encoded().collect()} for e in (one, many))
+    x, y = (np.array([v[i] for i in range(400)]) for v in (a, b))
+    assert np.allclose(x @ x.T, y @ y.T)
+    again = N.fit(docs.unionByName(spark.createDataFrame([(7, "de", "w001 w002")], docs.schema)), size=6, together="lang")
+    assert {v.id for v in again.encoded().collect()} == set(range(400))  # rows of one key are one document
+
+
 def test_encoded_topk_finds_the_source_of_a_passage(spark, data):
     rows = [(i, r.text) for i, r in enumerate(spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(40).collect())]
     from trilune.operators import encoder as N

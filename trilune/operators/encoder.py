@@ -1,13 +1,13 @@
 """Vectors of texts from the corpus itself: latent semantic analysis by a randomised singular value decomposition.
 
 The matrix A has a row per document and a column per term; an entry is (1 + ln tf) * (1 + ln((1 + n) / (1 + df))). It is never
-built: it is the stored postings, and products with it are sums per document or per term, one column of sums per
-direction, which Spark pre-aggregates where it reads. Random signs, from a hash of the term, span the first directions; each power
-step multiplies by A transposed and by A and makes the directions orthonormal. Only matrices of directions x directions
-reach the driver.
+built: documents are dealt to parts once and packed there as numbers, and a pass over the parts multiplies by A and then by A
+transposed. Random signs, from a hash of the term, span the first directions; each power step is such a pass and makes the
+directions orthonormal. Only matrices of directions x directions reach the driver.
 
-A product per document meets terms that many documents share. Terms with at least a HEAVY-th of all postings are at
-most HEAVY, so their rows are sent to every task; other terms are joined by term.
+Between parts one row is exchanged for each term of a part, not for each posting, there and back. A term that only one document has
+is not exchanged: it multiplies this document's own row by its squared weight. A part has PART_BYTES of text at most (or one
+document), so that a task holds its terms' rows; parts become more with the texts.
 
 Null and empty texts have zero vectors. Documents with the same key are one document. Fewer than `size` singular
 values above zero give vectors of fewer numbers, none give vectors without numbers.
@@ -15,16 +15,20 @@ values above zero give vectors of fewer numbers, none give vectors without numbe
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trilune.functions.text import remove_stopwords, tokenize
 from trilune.operators.retrieval import terms
 from trilune.sources.tables import stored
 
-HEAVY = 10_000
+#: Bytes of text in a part at most; groups of documents that parts do not mix; parts of small inputs.
+PART_BYTES, GROUPS, LEAST_PARTS = 256 << 20, 64, 8
 
 
 def columns(l: int, name: str = "q") -> list[str]:
@@ -48,22 +52,6 @@ def gram(rows: DataFrame, l: int) -> np.ndarray:
     return np.array([r.v for r in sums] or np.zeros(l * l)).reshape(l, l)
 
 
-def turned(rows: DataFrame, key: str, m: np.ndarray) -> DataFrame:
-    """Rows' columns q0, q1 ... times a matrix."""
-
-    def apply(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1) @ m
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T)], [key, *columns(m.shape[1])])
-
-    kind = rows.schema[key].dataType.simpleString()
-    schema = ", ".join([f"`{key}` {kind}", *[f"{c} double" for c in columns(m.shape[1])]])
-    return rows.select(key, *columns(m.shape[0])).mapInArrow(apply, schema)
-
-
 def whitened(g: np.ndarray) -> np.ndarray:
     """M with M' g M the identity, without the directions in which g is nothing."""
     value, vector = np.linalg.eigh(g)
@@ -71,30 +59,215 @@ def whitened(g: np.ndarray) -> np.ndarray:
     return vector[:, use] / np.sqrt(value[use])
 
 
-def per_term(postings: DataFrame, docs: DataFrame, key: str, l: int) -> DataFrame:
-    """A transposed times the documents' rows: (term, q0, q1 ...)."""
-    return postings.join(docs, key).groupBy("term").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns(l)])
-
+def parts_of(docs: DataFrame, key: str, text: str, together: str | None) -> tuple[DataFrame, int]:
+    """Documents (key, text) with the part that each belongs to, and the number of parts.
+
+    Groups by hash of `together` have parts of their own; a group has as many as its bytes ask for.
+    """
+    group = F.pmod(F.xxhash64(together), F.lit(GROUPS)) if together else F.lit(0).cast("long")
+    rows = docs.select(F.col(key), F.col(text).alias("text"), group.alias("group"))
+    size = {r.group: r.n or 0 for r in rows.groupBy("group").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # at most GROUPS
+    most = min(PART_BYTES, max(1 << 20, sum(size.values()) // LEAST_PARTS))
+    first, n, own = {}, 0, {}
+    for g in sorted(size):
+        first[g], own[g] = n, max(1, -(-size[g] // most))
+        n += own[g]
+    told = lambda d: F.create_map(*[F.lit(x).cast("long") for kv in d.items() for x in kv])[F.col("group")]
+    if n > 1:
+        rows = rows.withColumn("part", told(first) + F.pmod(F.xxhash64(F.lit("part"), key), told(own)))
+    else:
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    return rows.select(key, "text", "part"), max(n, 1)
+
+
+def packed(docs: DataFrame, key: str, language: str, parts: int) -> DataFrame:
+    """Rows of two kinds. Documents: (part, chunk, keys, sizes, terms, tf), terms as places in their part's list of terms. Terms: (part, at, term, n), n the part's documents with it."""
+    tokens = F.coalesce(remove_stopwords(tokenize(F.col("text")), language), F.array().cast("array<string>"))
+    rows = docs.repartitionById(parts, F.col("part").cast("int")).select("part", F.col(key).alias("key"), tokens.alias("tokens"))
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"part long, chunk long, keys array<{kind}>, sizes binary, terms binary, tf binary, at long, term string, n long"
+
+    def pack(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        places: dict[int, dict[str, int]] = {}
+        counts: dict[int, np.ndarray] = {}
+        chunk = 0
+
+        def one(part, keys, tokens):
+            flat = tokens.flatten().dictionary_encode()
+            own = places.setdefault(part, {})
+            place = np.array([own.setdefault(t, len(own)) for t in flat.dictionary.to_pylist()], np.int64)
+            size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = place[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            both, tf = np.unique((doc << 32) | code, return_counts=True)
+            term = both & 0xFFFFFFFF
+            n = counts.get(part, np.zeros(0, np.int64))
+            if len(n) < len(own):
+                n = np.concatenate([n, np.zeros(max(len(own), 2 * len(n)) - len(n), np.int64)])
+            np.add.at(n, term, 1)
+            counts[part] = n
+            sizes = np.bincount(both >> 32, minlength=len(size))
+            return [keys.to_pylist(), *(x.astype(np.int32).tobytes() for x in (sizes, term, tf))]
+
+        names = ["part", "chunk", "keys", "sizes", "terms", "tf", "at", "term", "n"]
+        for batch in batches:
+            keys_kind = batch.schema.field(1).type
+            all_parts = batch.column(0).to_numpy()
+            for part in np.unique(all_parts).tolist():
+                some = batch.filter(pa.array(all_parts == part))
+                keys, sizes, terms, tf = one(part, some.column(1), some.column(2))
+                values = [[part], [chunk], [keys], [sizes], [terms], [tf], [None], [None], [None]]
+                kinds = [pa.int64(), pa.int64(), pa.list_(keys_kind), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+                chunk += 1
+        for part, own in places.items():
+            words, n = list(own), counts[part]
+            for a in range(0, len(words), 50_000):
+                m = len(words[a : a + 50_000])
+                none = [pa.nulls(m, k) for k in (pa.int64(), pa.list_(keys_kind), pa.binary(), pa.binary(), pa.binary())]
+                told = [pa.array(np.arange(a, a + m)), pa.array(words[a : a + m], pa.string()), pa.array(n[a : a + m])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int64)), *none, *told], names)
+
+    return stored(rows.mapInArrow(pack, schema), "packed")
+
+
+def chunks(table, most: int = 4_000_000):
+    """(places of documents, sizes, terms, tf) of packed documents, of about `most` postings at a time."""
+    held, n, at = [], 0, 0
+    rows = [table.column(c) for c in ("sizes", "terms", "tf")]
+    order = np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist()
+    for i, row in enumerate(order):
+        held.append([np.frombuffer(c[row].as_py(), np.int32) for c in rows])
+        n += len(held[-1][1])
+        if n >= most or i == len(order) - 1:
+            sizes, terms, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield at, sizes, terms, tf
+            at += len(sizes)
+            held, n = [], 0
+
+
+def product(docs: DataFrame, given: DataFrame, key: str, kind: str, once: float, l: int, m: np.ndarray | None, last: bool = False) -> DataFrame:
+    """A pass over the parts, each with what it needs of the terms' and its documents' numbers: (part, at, key, term, idf, s, q0, q1 ...).
+
+    Of each document (term null) the row of A Q, and s, the sum of the squared weights of terms that no other document has; of each
+    other term its part's sum of A' A Q, or, in the last pass, of each term that only one document has (s null, idf set) its row.
+    given: (part, at, term, idf, h) at first, with m None: signs from h span the directions. Then of terms that several
+    documents have (part, at, term, idf, q0 ...), in the last pass of all terms, q null for the others; and of documents, as at -1, -2 ...,
+    what the pass before made of them. All q are multiplied by m.
+    """
+    out_l = l if m is None else m.shape[1]
+    schema = f"part long, at long, key {kind}, term string, idf double, s double, " + ", ".join(f"{c} double" for c in columns(out_l))
+
+    def one(left, right):
+        import pyarrow as pa
 
-def per_doc(postings: DataFrame, by_term: DataFrame, key: str, l: int, heavy: DataFrame) -> DataFrame:
-    """A times the terms' rows: (key, q0, q1 ...)."""
-    sums = [F.sum(F.col("w") * F.col(c)).alias(c) for c in columns(l)]
-    few = F.broadcast(heavy)
-    often = postings.join(F.broadcast(by_term.join(few, "term", "left_semi")), "term")  # at most HEAVY rows
-    rare = postings.join(few, "term", "left_anti").join(by_term, "term")
-    both = often.groupBy(key).agg(*sums).unionByName(rare.groupBy(key).agg(*sums))
-    return both.groupBy(key).agg(*[F.sum(c).alias(c) for c in columns(l)])
+        at = right.column("at").to_numpy()
+        idf = right.column("idf").to_numpy()
+        of_term = np.flatnonzero(at >= 0)
+        total = int(sum(len(x.as_py()) for x in left.column("keys")))
+        n = 1 + max(int(at.max(initial=-1)), max((int(np.frombuffer(x.as_py(), np.int32).max(initial=-1)) for x in left.column("terms")), default=-1))
+        weight = np.full(n, once)
+        weight[at[of_term]] = idf[of_term]
+        several = np.zeros(n, bool)
+        q = np.zeros((out_l, n))
+        before = np.zeros((out_l, total))
+        if m is None:
+            h = right.column("h").to_numpy()[of_term].view(np.uint64)
+            several[at[of_term]] = right.column("df").to_numpy()[of_term] > 1
+            for i in range(l):
+                q[i, at[of_term]] = 1.0 - 2.0 * ((h >> np.uint64(i)) & np.uint64(1))
+        else:
+            known = np.flatnonzero((at >= 0) & right.column("q0").is_valid().to_numpy())
+            several[at[known]] = True
+            own = np.flatnonzero(at < 0)
+            x = np.stack([right.column(c).to_numpy() for c in columns(l)], axis=1)
+            q[:, at[known]] = (x[known] @ m).T
+            before[:, -1 - at[own]] = (x[own] @ m).T
+            del x
+        y, s = np.zeros((out_l, total)), np.zeros(total)
+        z = np.zeros((out_l, n)) if not last else None
+        alone = []
+        for first, sizes, terms, tf in chunks(left):
+            size = len(sizes)
+            doc = np.repeat(np.arange(size), sizes)
+            w = (1 + np.log(tf)) * weight[terms]
+            single = np.flatnonzero(~several[terms])
+            s[first : first + size] = np.bincount(doc[single], w[single] ** 2, size)
+            if last:
+                alone.append((terms[single], doc[single] + first, w[single]))
+            if m is not None:  # signs are known of all terms, later numbers only of those that several documents have
+                use = np.flatnonzero(several[terms])
+                ds, ts, ws = doc[use], terms[use], w[use]
+            else:
+                ds, ts, ws = doc, terms, w
+            rows = y[:, first : first + size]
+            for i in range(out_l):
+                rows[i] = np.bincount(ds, ws * q[i][ts], size)
+            if m is not None:
+                rows += s[first : first + size] * before[:, first : first + size]
+            if not last:
+                use = np.flatnonzero(several[terms])
+                ds, ts, ws = doc[use], terms[use], w[use]
+                for i in range(out_l):
+                    z[i] += np.bincount(ts, ws * rows[i][ds], n)
+        part = left.column("part")[0].as_py() if left.num_rows else 0
+        keys = pa.concat_arrays(_in_order(left)) if left.num_rows else pa.nulls(0, left.schema.field("keys").type.value_type)
+        name = right.column("term").combine_chunks()
+        place = np.full(n, -1)
+        place[at[of_term]] = of_term
+        if last:
+            t, d, w = (np.concatenate(x) for x in zip(*alone, strict=True)) if alone else (np.zeros(0, int),) * 3
+            more = [name.take(pa.array(place[t])), weight[t], [w * before[i][d] for i in range(out_l)]]
+        else:
+            t = np.flatnonzero(several)
+            more = [name.take(pa.array(place[t])), None, [z[i][t] for i in range(out_l)]]
+        k = len(more[0])
+        by = lambda a, b, kind: pa.concat_arrays([a if a is not None else pa.nulls(total, kind), b if b is not None else pa.nulls(k, kind)])
+        numbers = lambda x: pa.array(np.ascontiguousarray(x))
+        arrays = [
+            by(pa.array(np.full(total, part, np.int64)), pa.array(np.full(k, -1, np.int64)), pa.int64()),
+            by(pa.array(np.arange(total, dtype=np.int64)), pa.array(np.full(k, -1, np.int64)), pa.int64()),
+            by(keys, None, keys.type),
+            by(None, more[0].cast(pa.string()), pa.string()),
+            by(None, None if more[1] is None else numbers(more[1]), pa.float64()),
+            by(numbers(s), None, pa.float64()),
+            *[by(numbers(y[i]), numbers(more[2][i]), pa.float64()) for i in range(out_l)],
+        ]
+        return pa.Table.from_arrays(arrays, ["part", "at", "key", "term", "idf", "s", *columns(out_l)])
+
+    left = docs.groupBy("part")
+    return left.cogroup(given.groupBy("part")).applyInArrow(one, schema)
+
+
+def _in_order(table) -> list:
+    """The lists of keys of packed documents, in order of chunks."""
+    order = np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist()
+    return [table.column("keys")[i].values for i in order]
 
 
 @dataclass
 class Encoder:
-    """Term vectors (term, idf, q0 ...) as a table, the singular values, and the documents' own vectors (key, q0 ...)."""
+    """The singular values; term vectors (term, idf, q0 ...) and the documents' own vectors (key, q0 ...) as tables, made when first asked for."""
 
     key: str
     language: str
     values: np.ndarray
-    terms: DataFrame
-    docs: DataFrame
+    make: Callable[[], tuple[DataFrame, DataFrame]] = field(repr=False)
+
+    @cached_property
+    def _made(self) -> tuple[DataFrame, DataFrame]:
+        return self.make()
+
+    @property
+    def terms(self) -> DataFrame:
+        return self._made[0]
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._made[1]
 
     def encode(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         """(id, x): texts along the singular directions, of length 1, or zeros where no term is known."""
@@ -124,37 +297,65 @@ def fit(
     extra: int = 16,
     power: int = 2,
     language: str = "fr",
+    together: str | None = None,
 ) -> Encoder:
-    """The `size` largest singular directions; `extra` more are followed on the way, at most 64 in all."""
+    """The `size` largest singular directions; `extra` more are followed on the way, at most 64 in all.
+
+    Documents alike in the column `together`, such as their language, share parts, which then share fewer terms; results are the same without.
+    """
     l = min(64, size + extra)
-    keys = stored(docs.where(F.col(key).isNotNull()).select(key).distinct(), "keys")
-    counts = stored(terms(docs.where(F.col(key).isNotNull()), key, text, language), "counts")
-    n = keys.count()
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = stored(df.select("term", "df", (1 + F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("idf")), "idf")
-    total = idf.agg(F.sum("df")).first()[0] or 0
-    heavy = stored(idf.where(F.col("df") * HEAVY >= max(total, 1)).select("term"), "heavy")
-    # Postings are dealt by document once, as two of three products need them so.
-    weighted = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    postings = stored(weighted, "weighted")
-    signs = [(1 - 2 * F.shiftrightunsigned(F.col("h"), i).bitwiseAND(F.lit(1))).cast("double").alias(c) for i, c in enumerate(columns(l))]
-    spread = postings.withColumn("h", F.xxhash64(F.lit("directions"), "term")).select(key, "w", *signs)
-    rows = stored(spread.groupBy(key).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns(l)]), "rows")
-    m = whitened(gram(rows, l))
-    if not m.shape[1]:
-        return Encoder(key, language, np.zeros(0), idf.select("term", "idf"), keys)
+    kind = docs.schema[key].dataType.simpleString()
+    docs = docs.where(F.col(key).isNotNull())
+    rows, n = docs.agg(F.count("*"), F.count_distinct(key)).first()
+    if rows != n:  # rows of one key are one document; tokens do not reach over a line's end
+        docs, together = docs.groupBy(key).agg(F.array_join(F.collect_list(text), "\n").alias(text)), None
+    dealt, parts = parts_of(docs, key, text, together)
+    pack = packed(dealt, key, language, parts)
+    own = pack.where("keys is not null").select("part", "chunk", "keys", "sizes", "terms", "tf")
+    listed = pack.where("keys is null").select("part", "at", "term", "n")
+    weight = lambda df: 1 + F.log((1 + F.lit(n)) / (1 + F.col(df)))
+    idf = listed.groupBy("term").agg(F.sum("n").alias("df"))
+    places = stored(listed.drop("n").join(idf.select("term", "df", weight("df").alias("idf")), "term"), "places")
+    several = places.where("df > 1").select("part", "at", "term", "idf")
+    once = 1 + np.log((1 + n) / 2)
+
+    def summed(found: DataFrame, l: int, what: str) -> DataFrame:
+        """Terms' sums over the parts; documents as they are."""
+        sums = [F.sum(c).alias(c) for c in columns(l)]
+        return stored(found.groupBy("part", "at", "term").agg(F.max("s").alias("s"), *sums), what)
+
+    def given(made: DataFrame, l: int, where: DataFrame, how: str = "inner") -> DataFrame:
+        """What the next pass needs: numbers of each part's terms and documents."""
+        numbers = made.where("term is not null").select("term", *columns(l))
+        of_docs = made.where("term is null").select("part", (-1 - F.col("at")).alias("at"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("idf"), *columns(l))
+        return where.select("part", "at", "term", "idf").join(numbers, "term", how).select("part", "at", "term", "idf", *columns(l)).unionByName(of_docs)
+
+    signs = places.withColumn("h", F.xxhash64(F.lit("directions"), "term"))
+    made = summed(product(own, signs, key, kind, once, l, None), l, "sums")
+    m = whitened(gram(made.where("term is null"), l))
     for _ in range(power):
-        l = m.shape[1]
-        by_term = stored(per_term(postings, turned(rows, key, m), key, l), "by_term")
-        rows = stored(per_doc(postings, by_term, key, l, heavy), "rows")
-        m = whitened(gram(rows, l))
-    l = m.shape[1]
-    rows = stored(turned(rows, key, m), "basis")
-    by_term = stored(per_term(postings, rows, key, l), "by_term")
-    value, vector = np.linalg.eigh(gram(by_term, l))
+        if not m.shape[1]:
+            break
+        made, l = summed(product(own, given(made, l, several), key, kind, once, l, m), m.shape[1], "sums"), m.shape[1]
+        m = whitened(gram(made.where("term is null"), l))
+    if not m.shape[1]:
+        empty = lambda: (places.select("term", "idf").distinct(), docs.select(key))
+        return Encoder(key, language, np.zeros(0), empty)
+    # Rows of A' U: of terms that several documents have from the sums, the others' squares from the documents that have them.
+    alone = made.where("term is null").select(*[(F.sqrt("s") * F.col(c)).alias(c) for c in columns(l)])
+    g = m.T @ (gram(made.where("term is not null"), l) + gram(alone, l)) @ m
+    value, vector = np.linalg.eigh(g)
     use = np.argsort(-value)[:size]
     use = use[value[use] > max(value.max(initial=0) * 1e-10, 1e-300)]
-    sigma, u = np.sqrt(value[use]), vector[:, use]
-    along = stored(turned(by_term, "term", u / sigma).join(idf.select("term", "idf"), "term"), "directions")
-    own = stored(keys.join(per_doc(postings, along.drop("idf"), key, len(sigma), heavy), key, "left"), "vectors")
-    return Encoder(key, language, sigma, along, own)
+    sigma, along = np.sqrt(value[use]), m @ (vector[:, use] / np.sqrt(value[use]))
+
+    def vectors() -> tuple[DataFrame, DataFrame]:
+        k = len(sigma)
+        last = stored(product(own, given(made, l, places, "left"), key, kind, once, l, along, last=True), "vectors")
+        turned = [sum((F.col(f"q{i}") * float(along[i, j]) for i in range(l)), F.lit(0.0)).alias(f"q{j}") for j in range(k)]
+        shared = made.where("term is not null").select("term", *turned)
+        shared = shared.join(several.select("term", "idf").distinct(), "term").select("term", "idf", *columns(k))
+        lone = last.where("term is not null").select("term", "idf", *columns(k))
+        return stored(shared.unionByName(lone), "directions"), last.where("term is null").select(F.col("key").alias(key), *columns(k))
+
+    return Encoder(key, language, sigma, vectors)
