@@ -95,3 +95,25 @@ def test_partners_by_plain_averages(spark, data):
         far = {i: np.linalg.norm(z[p.e1] - z[i]) for i in french}
         assert p.confidence == pytest.approx(1 - far[p.e2] / (max(far.values()) + 1e-8), abs=1e-3)
         assert sum(v < far[p.e2] - 1e-6 for v in far.values()) < 3
+
+
+def test_statistics_of_a_corpus_are_those_of_its_index_without_one(spark, monkeypatch):
+    from trilune.operators import retrieval as R
+
+    rows = [(1, "Le chat dort"), (2, None), (2, "un chat, deux chiens"), (2, "chat"), (None, "perdu ici"), (3, "")]
+    for some in (rows, rows[:3], [rows[0], rows[5]], [rows[5]], [rows[4]], []):
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        want = R.Bm25Index(docs).statistics().first().asDict()
+        assert R.corpus_statistics(docs).first().asDict() == want, some
+
+
+def test_system_statistics_make_no_index(spark, data, monkeypatch):
+    from trilune.operators import retrieval as R
+    from trilune.plans import systems
+
+    def none(*a, **k):
+        raise AssertionError("an index was made")
+
+    monkeypatch.setattr(R, "Bm25Index", none)
+    monkeypatch.setattr(systems.P, "kept", lambda spark, d, tables, what, make, frames: make())
+    assert systems.system_statistics(spark, data).where("part = 'bm25'").count() == 4

@@ -102,6 +102,23 @@ class Bm25Index:
         )
 
 
+def corpus_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "fr") -> DataFrame:
+    """What an index's statistics() tell, without the index: distinct terms are all that is exchanged.
+
+    As there, documents of one key each have the tokens of all of them, those without a key have none, but count.
+    """
+    tokens = remove_stopwords(tokenize(F.col(text)), language)
+    rows, keys = docs.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    used = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    out = used.agg(F.count(F.lit(1)).alias("vocabulary"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    if rows != keys:
+        own = docs.where(F.col(key).isNotNull()).groupBy(key).agg((F.count(F.lit(1)) * F.sum(F.size(tokens))).alias("n"))
+        out = out.drop("tokens").join(F.broadcast(own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))))
+    documents = F.lit(rows).cast("long")
+    some = F.when(documents > 0, F.col("tokens"))
+    return out.select(documents.alias("documents"), F.try_divide(some.cast("double"), documents).alias("avgdl"), some.alias("tokens"), "vocabulary")
+
+
 def top(scored: DataFrame, k: int, query: str, tie: Column) -> DataFrame:
     """Adds rank, from 1; Spark drops what cannot be among the first k before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), tie))
