@@ -186,6 +186,32 @@ def test_encoder_of_little(spark):
     assert len(none.values) == 0 and none.encoded().count() == 0
 
 
+def test_names_of_a_text_are_found_once_and_by_a_whole_table(monkeypatch):
+    from trilune.operators import dictionary as D
+
+    r = np.random.default_rng(9)
+    names = sorted({"".join(r.choice(list("abcß文"), r.integers(1, 6))) for _ in range(60)})
+    texts = [None, "", *("".join(r.choice(list("abcß文 .x"), r.integers(1, 1500))) for _ in range(40))]
+    made = D.Automaton.of(names)
+    want = [D.occurrences_in(texts, made, whole) for whole in (False, True)]
+    for whole in (False, True):
+        for t, places in zip(texts, D.names_in(texts, made, whole), strict=True):
+            assert sorted(t[a:b] for a, b in places) == sorted({t[a:b] for a, b in want[whole][texts.index(t)]} if t else [])
+    monkeypatch.setattr(D, "MOST_CELLS", 0)  # by edges and fail links
+    assert want == [D.occurrences_in(texts, D.Automaton.of(names), whole) for whole in (False, True)]
+    for t, places in zip(texts, want[0], strict=True):
+        assert {t[a:b] for a, b in places} == {n for n in names if n in (t or "")} if t else not places
+
+
+def test_text_mentions_search_a_text_for_its_own_language_only(spark, data, monkeypatch):
+    asked, real = [], L.D.mentions
+    monkeypatch.setattr(L.D, "mentions", lambda texts, text, names, *a, **k: asked.append((texts, names)) or real(texts, text, names, *a, **k))
+    L.kg_text_mentions(spark, data).count()
+    assert len(asked) > 1
+    for texts, names in asked:
+        assert {r.lang for r in texts.select("lang").distinct().collect()} <= {r.language for r in names.select("language").distinct().collect()}
+
+
 def test_encoder_exchanges_terms_of_parts_not_postings(spark, monkeypatch):
     from trilune.operators import encoder as N
 

@@ -23,6 +23,8 @@ from trilune.sources.tables import stored
 
 #: Characters of names in one automaton, and characters that a lane walks.
 MOST_CHARS, LANE = 200_000, 512
+#: Cells of an automaton's whole table of transitions; larger ones are walked by edges and fail links.
+MOST_CELLS = 16_000_000
 _GAP = 0x10FFFF + 1  # stands between texts; no character
 
 
@@ -81,19 +83,44 @@ class Automaton:
         out = np.zeros(len(text), np.int64)
         if not len(text) or not len(self.keys):
             return out
-        place = np.minimum(np.searchsorted(self.chars, text), len(self.chars) - 1)
-        kind = np.where(self.chars[place] == text, place + 1, 0)
+        kind = self.kinds(text)
+        table = self.table() if len(self.fail) * self.width <= MOST_CELLS else None
         early = int(self.length.max()) - 1
         begin = np.arange(0, len(text), LANE)
         state = np.zeros(len(begin), np.int64)
         for by in range(-early, LANE):
             at = begin + by
             live = np.flatnonzero((at >= 0) & (at < len(text)))
-            state[live] = self.after(state[live], kind[at[live]])
+            state[live] = self.after(state[live], kind[at[live]]) if table is None else table[state[live] * self.width + kind[at[live]]]
             if by >= 0:
                 out[at[live]] = state[live]
         return out
 
+    def kinds(self, text: np.ndarray) -> np.ndarray:
+        """The class of each character, 0 for those that no name has."""
+        if (of := self.__dict__.get("_kinds")) is None:
+            of = np.zeros(_GAP + 1, np.int32)
+            of[self.chars] = np.arange(1, len(self.chars) + 1)
+            self.__dict__["_kinds"] = of
+        return of[text]
+
+    def table(self) -> np.ndarray:
+        """The state after each state and class, fail links followed; made once in a process."""
+        if (out := self.__dict__.get("_table")) is None:
+            out = np.zeros((len(self.fail), self.width), np.int32)
+            source, kind = np.divmod(self.keys, self.width)
+            order = np.argsort(source, kind="stable")
+            first = np.searchsorted(source[order], np.arange(len(self.fail) + 1))
+            level = np.zeros(1, np.int64)
+            while len(level):
+                out[level] = out[self.fail[level]]
+                n = first[level + 1] - first[level]
+                own = order[np.repeat(first[level] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                out[source[own], kind[own]] = self.targets[own]
+                level = self.targets[own]
+            self.__dict__["_table"] = out = out.ravel()
+        return out
+
     def after(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
         out = np.zeros(len(state), np.int64)
         todo = np.flatnonzero(kind > 0)
@@ -121,6 +148,26 @@ class Automaton:
         return np.concatenate(starts), np.concatenate(ends)
 
 
+    def held(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each name that texts first[i] .. first[i + 1] hold, once for a text: the texts, and a start and an end of one occurrence."""
+        state = self.ending[self.walk(text)]
+        end = np.flatnonzero(state) + 1
+        of, state = np.searchsorted(first, end - 1, "right") - 1, state[end - 1]
+        seen = np.zeros(0, np.int64)
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        while len(end):
+            both, at = np.unique(of * len(self.fail) + state, return_index=True)
+            at = at[~np.isin(both, seen, assume_unique=True)]
+            of, state, end = of[at], state[at], end[at]
+            seen = np.concatenate([seen, of * len(self.fail) + state])
+            for o, x in zip(out, (of, end - self.length[state], end), strict=True):
+                o.append(x)
+            state = self.ending[self.fail[state]]
+            on = state > 0
+            of, state, end = of[on], state[on], end[on]
+        return tuple(np.concatenate(o) for o in out)
+
+
 def word_characters(text: np.ndarray) -> np.ndarray:
     """Letters, digits and underscores."""
     kinds, at = np.unique(text, return_inverse=True)
@@ -148,6 +195,22 @@ def occurrences_in(texts: list[str | None], automaton: Automaton, whole: bool) -
     return out
 
 
+def names_in(texts: list[str | None], automaton: Automaton, whole: bool) -> list[list[tuple[int, int]]]:
+    """For each text, a place of each name that it holds."""
+    if whole:
+        places = occurrences_in(texts, automaton, whole)
+        return [list({(t or "")[a:b]: (a, b) for a, b in p}.values()) for t, p in zip(texts, places, strict=True)]
+    parts = [codes(t or "") for t in texts]
+    gap = np.array([_GAP], np.uint32)
+    joined = np.concatenate([x for p in parts for x in (p, gap)] or [gap])
+    first = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    of, start, end = automaton.held(joined, first)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for i, a, b in zip(of.tolist(), (start - first[of]).tolist(), (end - first[of]).tolist(), strict=True):
+        out[i].append((a, b))
+    return out
+
+
 def automata(names: DataFrame, name: str = "name", most_chars: int = MOST_CHARS) -> DataFrame:
     """(part, automaton): a table with one row per group of names."""
     distinct = names.select(F.lower(name).alias("name")).where("name <> ''").distinct()
@@ -173,8 +236,9 @@ def mentions(
     whole: bool = True,
     most_chars: int = MOST_CHARS,
     keep: list[str] | None = None,
+    once: bool = False,
 ) -> DataFrame:
-    """(the columns `keep` of texts (all), found, start, end): every occurrence of a name; the name in lower case, places in characters from 0."""
+    """(the columns `keep` of texts (all), found, start, end): every occurrence of a name; the name in lower case, places in characters from 0. With `once`, one occurrence of each name in a text."""
     made = automata(names, name, most_chars)
     kept = texts.columns if keep is None else keep
     rows = texts.select(*kept, F.lower(text).alias("_lower"))
@@ -191,7 +255,7 @@ def mentions(
                 for at in range(0, batch.num_rows, 256):
                     piece = batch.slice(at, 256)
                     lower = piece.column(len(kept)).to_pylist()
-                    places = occurrences_in(lower, sent.value, whole)
+                    places = (names_in if once else occurrences_in)(lower, sent.value, whole)
                     take = pa.array([i for i, p in enumerate(places) for _ in p], pa.int64())
                     spans = [(lower[i][a:b], a, b) for i, p in enumerate(places) for a, b in p]
                     columns = [piece.column(i).take(take) for i in range(len(kept))]
