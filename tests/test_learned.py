@@ -186,6 +186,30 @@ def test_encoder_of_little(spark):
     assert len(none.values) == 0 and none.encoded().count() == 0
 
 
+def test_tokens_are_those_of_the_expression_without_it(monkeypatch):
+    expression = G.TOKEN
+    monkeypatch.setattr(G, "TOKEN", None)  # no text is searched token by token
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abÉß9_文٣ .!?。\n\t\x1c\x85@/\r\U0001f600"), r.integers(0, 80))) for _ in range(300)]
+    texts += [None, "", " \n", "Ab. cd\n\nE f", "..  !", "".join(map(chr, range(0x250))) + "ǅx Ab ABCDEF ªª"]
+    t = G.tokenized(texts)
+    monkeypatch.undo()
+    assert G.TOKEN is expression
+    breaks = set(t.first.tolist())
+    at = 0
+    for i, text in enumerate(texts):
+        ends, last = [m.end() for m in re.finditer(G.SENTENCE_ENDS, text or "")], None
+        for m in G.TOKEN.finditer(text or ""):
+            assert (t.text[at], t.start[at], t.end[at]) == (i, *m.span())
+            new = last is None or any(last < e <= m.start() for e in ends)
+            assert (at in breaks) == new
+            last, at = m.start(), at + 1
+    assert at == len(t.start) == t.first[-1]
+    for token in {x[a:b] for x in texts if x for a, b in [m.span() for m in G.TOKEN.finditer(x)]}:
+        plain = "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in token)
+        assert G.shape(token) == re.sub(r"9{6,}", "99999", re.sub(r"([^9])\1{3,}", r"\1\1\1", plain))
+
+
 def test_names_of_a_text_are_found_once_and_by_a_whole_table(monkeypatch):
     from trilune.operators import dictionary as D
 
