@@ -338,6 +338,48 @@ def test_toxicity_fits_within_its_bytes(spark):
     assert {r[0]: r[1] for r in got} == {0: 0.0, 1: 1.0}
 
 
+def test_toxicity_learns_from_all_rows_and_judges_all(spark, monkeypatch):
+    # Each bad word is in eight texts only, so what is seen of some kilobytes lacks most of them.
+    rows = [(i, f"the text {i % 37} " * 8 + (f"bad{i // 2 % 50:02}x" if i % 2 else f"fine{i // 2 % 50:02}") + " is here" * 5, "en") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    found, judged = toxicity.best_threshold, []
+
+    def best(z, *kinds):
+        judged.append([int(k.sum()) for k in kinds])
+        return found(z, *kinds)
+
+    monkeypatch.setattr(toxicity, "best_threshold", best)
+    model = toxicity.fit(docs, labels, most_bytes=40_000)
+    assert judged == [[400, 400], [400, 400]]  # all languages, then the only one
+    got = toxicity.scored(docs, model).groupBy(F.col("doc_id") % 2).agg(F.avg("predicted")).collect()
+    assert {r[0]: r[1] for r in got} == {0: 0.0, 1: 1.0}
+
+
+def test_toxicity_by_shards_does_not_depend_on_partitions(spark):
+    rows = [(i, f"{'bad' if i % 3 else 'good'} text {i} " * (i % 7), ["en", "fr", "de", None][i % 4]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(d, labels, epochs=2, most_bytes=3000, most_langs=2) for d in (docs, docs.repartition(7)))
+    assert all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)
+    assert np.array_equal(a.thresholds, b.thresholds) and np.array_equal(a.guess, b.guess)
+    assert a.languages == ["", "de", None]
+
+
+def test_networks_side_by_side_and_places_in_blocks(monkeypatch):
+    models = [toxicity.Model() for _ in range(3)]
+    for i, m in enumerate(models):
+        m.start(i)
+    w = W.split(["one two three four five " * 9, "one", "", "two one " * 5], W.NOT_TERM, lower=True)
+    want = np.mean([m.logits(w)[0] for m in models], axis=0)
+    assert toxicity.side_by_side(models).logits(w)[0] == pytest.approx(want, abs=1e-5)
+    at, begin = models[0].padded(w.counts(), w.hash)
+    x = np.random.default_rng(5).normal(size=(len(w.hash) + 1, 8)).astype(np.float32)
+    whole = models[0].pooled(x, at, begin, where=True)
+    monkeypatch.setattr(toxicity, "BLOCK", 5)
+    assert all(np.array_equal(p, q) for p, q in zip(whole, models[0].pooled(x, at, begin, where=True), strict=True))
+
+
 @pytest.mark.parametrize(("n", "sample", "parts"), [(3000, 10_000, None), (6000, 1200, 160)])
 def test_nearest_recall_at_two_sizes_and_levels(spark, n, sample, parts):
     r = np.random.default_rng(n)
