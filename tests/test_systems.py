@@ -117,3 +117,26 @@ def test_system_statistics_make_no_index(spark, data, monkeypatch):
     monkeypatch.setattr(R, "Bm25Index", none)
     monkeypatch.setattr(systems.P, "kept", lambda spark, d, tables, what, make, frames: make())
     assert systems.system_statistics(spark, data).where("part = 'bm25'").count() == 4
+
+
+def test_evaluated_systems_search_texts_once(spark, data, monkeypatch, tmp_path):
+    """Texts are not cut to stretches, and the hybrid and the fused system are made of one search."""
+    from trilune.operators import extract as X
+    from trilune.operators import retrieval as R
+
+    def none(*a, **k):
+        raise AssertionError("texts were cut")
+
+    monkeypatch.setattr(X, "_grams", none)
+    rows = [(1, "xx ÉTAT de l'un " * 2), (2, None), (3, ""), (4, "état DE L'un"), (4, "b"), (5, "tat de l'unA")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "État de l'un"), (2, "tat de l'una"), (3, ""), (4, None), (5, "état de l'un"), (6, "un A")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.query_id, r.doc_id) for r in Y.passages(spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (1, 4), (2, 5), (5, 1), (5, 4)]
+    asked, search = [], R.Bm25Index.search
+    monkeypatch.setattr(R.Bm25Index, "search", lambda self, q, *a, **k: asked.append(q.columns) or search(self, q, *a, **k))
+    found = Y.runs(spark, data)
+    assert len(asked) == 2
+    for name, alone in (("hybrid", P.hybrid_half), ("fused", P.fused_search)):
+        assert sorted(found[name].collect()) == sorted(alone(spark, data).select(*found[name].columns).collect())

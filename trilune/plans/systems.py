@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trilune.operators import extract as X
+from trilune.operators import dictionary as D
 from trilune.operators import graph as G
 from trilune.operators import retrieval as R
 from trilune.operators import system as S
@@ -21,20 +21,21 @@ BASE = "fused"
 
 def passages(spark, d):
     """Documents that hold the beginning of an item are relevant to it."""
-    i = P.items(spark, d).select("query_id", F.lower(F.substring("query_text", 1, 40)).alias("part"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("whole"))
-    found = X.contained(i, docs, "part", "whole")
-    return found.select("query_id", "doc_id", F.lit(1).alias("relevance")).distinct()
+    i = P.items(spark, d).select("query_id", F.lower(F.substring("query_text", 1, 40)).alias("found"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = D.mentions(docs, "text", i, "found", whole=False, keep=["doc_id"], once=True)
+    return held.join(i, "found").select("query_id", "doc_id", F.lit(1).alias("relevance")).distinct()
 
 
 def runs(spark, d):
-    """The four systems' rankings, ten documents each."""
+    """The four systems' rankings, ten documents each. The last three are made of the same two searches."""
     first = lambda run: stored(run.where("rank <= 10").select("query_id", "rank", "doc_id", "score"), "run")
+    found = P.searched(spark, d, 100)
     return {
         "translated": first(L.translated_search(spark, d)),
-        "dense": first(R.top(P.dense_list(spark, d, 10), 10, "query_id", F.col("doc_id"))),
-        "hybrid": first(P.hybrid_half(spark, d)),
-        BASE: first(P.fused_search(spark, d)),
+        "dense": first(found["dense"]),
+        "hybrid": first(P.hybrid_half(spark, d, found)),
+        BASE: first(P.fused_search(spark, d, found)),
     }
 
 
