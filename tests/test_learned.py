@@ -259,6 +259,32 @@ def test_encoder_exchanges_terms_of_parts_not_postings(spark, monkeypatch):
     assert {v.id for v in again.encoded().collect()} == set(range(400))  # rows of one key are one document
 
 
+def test_encoder_multiplies_chunk_by_chunk(spark, monkeypatch):
+    """A task holds a few documents' postings at a time, in order of terms, whatever its part's size."""
+    from trilune.operators import encoder as N
+
+    r = np.random.default_rng(6)
+    words = np.array([f"w{i:03d}" for i in range(80)])
+    rows = [(i, " ".join(words[np.minimum(r.pareto(0.8, 25).astype(int), 79)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    whole = N.fit(docs, size=6, extra=40).values
+    monkeypatch.setattr(N, "CHUNK_TOKENS", 100)
+    made = N.packed(*(lambda d: (d, "doc_id", "fr", 1))(docs.withColumn("part", N.F.lit(0).cast("long")))).where("keys is not null").toArrow()
+    held = list(N.chunks(made))
+    assert len(held) >= 40 and max(c.tf.sum() for c in held) <= 150 and sum(c.size for c in held) == 200
+    assert np.allclose(N.fit(docs, size=6, extra=40).values, whole)
+    for c in held[:3]:
+        a = np.zeros((c.size, c.terms.max() + 1))
+        a[c.docs, np.repeat(c.terms, c.counts)] = c.tf
+        q, use = r.random((4, a.shape[1])), np.arange(len(c.terms)) % 3 > 0
+        a[:, np.setdiff1d(np.arange(a.shape[1]), c.terms[use])] = 0
+        forth, back = c.times(c.tf.astype(float), use)
+        y, z = forth(lambda some, c=c: q[:, c.terms[some]]), np.zeros(q.shape)
+        for some, sums in back(y):
+            z[:, c.terms[some]] += sums
+        assert np.allclose(y, q @ a.T) and np.allclose(z, y @ a)
+
+
 def test_encoded_topk_finds_the_source_of_a_passage(spark, data):
     rows = [(i, r.text) for i, r in enumerate(spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(40).collect())]
     from trilune.operators import encoder as N

@@ -7,7 +7,7 @@ directions orthonormal. Only matrices of directions x directions reach the drive
 
 Between parts one row is exchanged for each term of a part, not for each posting, there and back. A term that only one document has
 is not exchanged: it multiplies this document's own row by its squared weight. A part has PART_BYTES of text at most (or one
-document), so that a task holds its terms' rows; parts become more with the texts.
+document), so that a task holds its terms' rows, as they come and once more; parts become more with the texts.
 
 Null and empty texts have zero vectors. Documents with the same key are one document. Fewer than `size` singular
 values above zero give vectors of fewer numbers, none give vectors without numbers.
@@ -28,7 +28,9 @@ from trilune.operators.retrieval import terms
 from trilune.sources.tables import stored
 
 #: Bytes of text in a part at most; groups of documents that parts do not mix; parts of small inputs.
-PART_BYTES, GROUPS, LEAST_PARTS = 256 << 20, 64, 8
+PART_BYTES, GROUPS, LEAST_PARTS = 64 << 20, 64, 8
+#: Tokens of a chunk (or one document's); a term that one in DENSE of a chunk's documents has is a row of a matrix; rows handed on at a time.
+CHUNK_TOKENS, DENSE, ROWS = 1 << 20, 10, 1 << 14
 
 
 def columns(l: int, name: str = "q") -> list[str]:
@@ -81,18 +83,18 @@ def parts_of(docs: DataFrame, key: str, text: str, together: str | None) -> tupl
 
 
 def packed(docs: DataFrame, key: str, language: str, parts: int) -> DataFrame:
-    """Rows of two kinds. Documents: (part, chunk, keys, sizes, terms, tf), terms as places in their part's list of terms. Terms: (part, at, term, n), n the part's documents with it."""
+    """Rows of two kinds. Documents: (part, chunk, keys, docs, tf, terms, counts), postings in order of terms, which are places in their part's list. Terms: (part, at, term, n), n the part's documents with it."""
     tokens = F.coalesce(remove_stopwords(tokenize(F.col("text")), language), F.array().cast("array<string>"))
     rows = docs.repartitionById(parts, F.col("part").cast("int")).select("part", F.col(key).alias("key"), tokens.alias("tokens"))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"part long, chunk long, keys array<{kind}>, sizes binary, terms binary, tf binary, at long, term string, n long"
+    schema = f"part long, chunk long, keys array<{kind}>, docs binary, tf binary, terms binary, counts binary, at long, term string, n long"
 
     def pack(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         places: dict[int, dict[str, int]] = {}
-        counts: dict[int, np.ndarray] = {}
+        having: dict[int, np.ndarray] = {}
         chunk = 0
 
         def one(part, keys, tokens):
@@ -102,51 +104,87 @@ def packed(docs: DataFrame, key: str, language: str, parts: int) -> DataFrame:
             size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
             code = place[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(size)), size)
-            both, tf = np.unique((doc << 32) | code, return_counts=True)
-            term = both & 0xFFFFFFFF
-            n = counts.get(part, np.zeros(0, np.int64))
+            both, tf = np.unique((code << 32) | doc, return_counts=True)
+            terms, counts = np.unique(both >> 32, return_counts=True)
+            n = having.get(part, np.zeros(0, np.int64))
             if len(n) < len(own):
                 n = np.concatenate([n, np.zeros(max(len(own), 2 * len(n)) - len(n), np.int64)])
-            np.add.at(n, term, 1)
-            counts[part] = n
-            sizes = np.bincount(both >> 32, minlength=len(size))
-            return [keys.to_pylist(), *(x.astype(np.int32).tobytes() for x in (sizes, term, tf))]
+            n[terms] += counts
+            having[part] = n
+            return [keys.to_pylist(), *(x.astype(np.int32).tobytes() for x in (both & 0xFFFFFFFF, tf, terms, counts))]
 
-        names = ["part", "chunk", "keys", "sizes", "terms", "tf", "at", "term", "n"]
+        names = ["part", "chunk", "keys", "docs", "tf", "terms", "counts", "at", "term", "n"]
         for batch in batches:
             keys_kind = batch.schema.field(1).type
             all_parts = batch.column(0).to_numpy()
             for part in np.unique(all_parts).tolist():
                 some = batch.filter(pa.array(all_parts == part))
-                keys, sizes, terms, tf = one(part, some.column(1), some.column(2))
-                values = [[part], [chunk], [keys], [sizes], [terms], [tf], [None], [None], [None]]
-                kinds = [pa.int64(), pa.int64(), pa.list_(keys_kind), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
-                chunk += 1
+                upto = np.cumsum(pc.list_value_length(some.column(2)).to_numpy(zero_copy_only=False))
+                first = [0, *(np.flatnonzero(np.diff(upto // CHUNK_TOKENS)) + 1).tolist(), some.num_rows]
+                for x, y in zip(first, first[1:]):
+                    values = [[part], [chunk], *([v] for v in one(part, some.column(1).slice(x, y - x), some.column(2).slice(x, y - x))), [None], [None], [None]]
+                    kinds = [pa.int64(), pa.int64(), pa.list_(keys_kind), *[pa.binary()] * 4, pa.int64(), pa.string(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+                    chunk += 1
         for part, own in places.items():
-            words, n = list(own), counts[part]
+            words, n = list(own), having[part]
             for a in range(0, len(words), 50_000):
                 m = len(words[a : a + 50_000])
-                none = [pa.nulls(m, k) for k in (pa.int64(), pa.list_(keys_kind), pa.binary(), pa.binary(), pa.binary())]
+                none = [pa.nulls(m, k) for k in (pa.int64(), pa.list_(keys_kind), *[pa.binary()] * 4)]
                 told = [pa.array(np.arange(a, a + m)), pa.array(words[a : a + m], pa.string()), pa.array(n[a : a + m])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int64)), *none, *told], names)
 
     return stored(rows.mapInArrow(pack, schema), "packed")
 
 
-def chunks(table, most: int = 4_000_000):
-    """(places of documents, sizes, terms, tf) of packed documents, of about `most` postings at a time."""
-    held, n, at = [], 0, 0
-    rows = [table.column(c) for c in ("sizes", "terms", "tf")]
-    order = np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist()
-    for i, row in enumerate(order):
-        held.append([np.frombuffer(c[row].as_py(), np.int32) for c in rows])
-        n += len(held[-1][1])
-        if n >= most or i == len(order) - 1:
-            sizes, terms, tf = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield at, sizes, terms, tf
-            at += len(sizes)
-            held, n = [], 0
+@dataclass
+class Chunk:
+    """Some documents' postings in order of terms: documents from 0, tf, the different terms and how many postings each has."""
+
+    first: int
+    size: int
+    docs: np.ndarray
+    tf: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    def times(self, w: np.ndarray, use: np.ndarray):
+        """The weights w of the terms `use` as two functions: directions of terms (l x terms) to those of documents, and back.
+
+        What many of the documents have is one matrix, the rest are sums direction by direction.
+        """
+        many = use & (self.counts >= max(2, self.size / DENSE))
+        few = use & ~many
+        docs, n = self.docs.astype(np.int64), int(many.sum())
+        told = np.repeat(many, self.counts)
+        whole = np.zeros((n, self.size))
+        whole[np.repeat(np.arange(n), self.counts[many]), docs[told]] = w[told]
+        told = np.repeat(few, self.counts)
+        docs, w, counts = docs[told], w[told], self.counts[few]
+        starts = np.cumsum(counts) - counts
+
+        def forth(q):
+            y = q(many) @ whole
+            if len(docs):
+                for i, own in enumerate(q(few)):
+                    y[i] += np.bincount(docs, w * np.repeat(own, counts), self.size)
+            return y
+
+        def back(y):
+            yield many, y @ whole.T
+            if len(docs):
+                yield few, np.stack([np.add.reduceat(w * row[docs], starts) for row in y])
+
+        return forth, back
+
+
+def chunks(table):
+    """The packed documents in order of chunks."""
+    first = 0
+    for row in np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist():
+        size = len(table.column("keys")[row])
+        yield Chunk(first, size, *(np.frombuffer(table.column(c)[row].as_py(), np.int32) for c in ("docs", "tf", "terms", "counts")))
+        first += size
 
 
 def product(docs: DataFrame, given: DataFrame, key: str, kind: str, once: float, l: int, m: np.ndarray | None, last: bool = False) -> DataFrame:
@@ -164,79 +202,77 @@ def product(docs: DataFrame, given: DataFrame, key: str, kind: str, once: float,
     def one(left, right):
         import pyarrow as pa
 
-        at = right.column("at").to_numpy()
-        idf = right.column("idf").to_numpy()
+        at, idf = right.column("at").to_numpy(), right.column("idf").to_numpy()
         of_term = np.flatnonzero(at >= 0)
-        total = int(sum(len(x.as_py()) for x in left.column("keys")))
-        n = 1 + max(int(at.max(initial=-1)), max((int(np.frombuffer(x.as_py(), np.int32).max(initial=-1)) for x in left.column("terms")), default=-1))
+        total = sum(len(x) for x in left.column("keys"))
+        n = 1 + max(int(at.max(initial=-1)), max((int(c.terms.max(initial=-1)) for c in chunks(left)), default=-1))
         weight = np.full(n, once)
         weight[at[of_term]] = idf[of_term]
         several = np.zeros(n, bool)
-        q = np.zeros((out_l, n))
+        told = of_term[(right.column("df").to_numpy()[of_term] > 1) if m is None else right.column("q0").is_valid().to_numpy()[of_term]]
+        several[at[told]] = True
+        t = np.flatnonzero(several)
+        slot = np.full(n, -1)
+        slot[t] = np.arange(len(t))
+        # The numbers of terms that several documents have, then their sums in the same place; in the first pass numbers are signs, which are not held.
+        q = np.zeros((out_l, len(t)))
         before = np.zeros((out_l, total))
         if m is None:
-            h = right.column("h").to_numpy()[of_term].view(np.uint64)
-            several[at[of_term]] = right.column("df").to_numpy()[of_term] > 1
-            for i in range(l):
-                q[i, at[of_term]] = 1.0 - 2.0 * ((h >> np.uint64(i)) & np.uint64(1))
+            h = np.zeros(n, np.uint64)
+            h[at[of_term]] = right.column("h").to_numpy()[of_term].view(np.uint64)
+            bits = np.arange(l, dtype=np.uint64)[:, None]
+            numbers = lambda terms: 1.0 - 2.0 * ((h[terms] >> bits) & np.uint64(1))
         else:
-            known = np.flatnonzero((at >= 0) & right.column("q0").is_valid().to_numpy())
-            several[at[known]] = True
-            own = np.flatnonzero(at < 0)
-            x = np.stack([right.column(c).to_numpy() for c in columns(l)], axis=1)
-            q[:, at[known]] = (x[known] @ m).T
-            before[:, -1 - at[own]] = (x[own] @ m).T
-            del x
+            for batch in right.to_batches(max_chunksize=ROWS):
+                a = batch.column("at").to_numpy()
+                x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns(l)])
+                known, own = (a >= 0) & batch.column("q0").is_valid().to_numpy(zero_copy_only=False), a < 0
+                q[:, slot[a[known]]] = m.T @ x[:, known]
+                before[:, -1 - a[own]] = m.T @ x[:, own]
+            numbers = lambda terms: q[:, slot[terms]]
         y, s = np.zeros((out_l, total)), np.zeros(total)
-        z = np.zeros((out_l, n)) if not last else None
         alone = []
-        for first, sizes, terms, tf in chunks(left):
-            size = len(sizes)
-            doc = np.repeat(np.arange(size), sizes)
-            w = (1 + np.log(tf)) * weight[terms]
-            single = np.flatnonzero(~several[terms])
-            s[first : first + size] = np.bincount(doc[single], w[single] ** 2, size)
+        weights = lambda c: (1 + np.log(c.tf)) * np.repeat(weight[c.terms], c.counts)
+        for c in chunks(left):
+            w, here = weights(c), slice(c.first, c.first + c.size)
+            single = np.repeat(~several[c.terms], c.counts)
+            s[here] = np.bincount(c.docs[single], w[single] ** 2, c.size)
             if last:
-                alone.append((terms[single], doc[single] + first, w[single]))
-            if m is not None:  # signs are known of all terms, later numbers only of those that several documents have
-                use = np.flatnonzero(several[terms])
-                ds, ts, ws = doc[use], terms[use], w[use]
-            else:
-                ds, ts, ws = doc, terms, w
-            rows = y[:, first : first + size]
-            for i in range(out_l):
-                rows[i] = np.bincount(ds, ws * q[i][ts], size)
+                alone.append((np.repeat(c.terms, c.counts)[single], c.docs[single] + c.first, w[single]))
+            # Signs are known of all terms, later numbers only of those that several documents have.
+            use = several[c.terms] if m is not None else np.ones(len(c.terms), bool)
+            y[:, here] = c.times(w, use)[0](lambda some, c=c: numbers(c.terms[some]))
             if m is not None:
-                rows += s[first : first + size] * before[:, first : first + size]
-            if not last:
-                use = np.flatnonzero(several[terms])
-                ds, ts, ws = doc[use], terms[use], w[use]
-                for i in range(out_l):
-                    z[i] += np.bincount(ts, ws * rows[i][ds], n)
+                y[:, here] += s[here] * before[:, here]
+        if not last:
+            q[:] = 0
+            for c in chunks(left):
+                for some, sums in c.times(weights(c), several[c.terms])[1](y[:, c.first : c.first + c.size]):
+                    q[:, slot[c.terms[some]]] += sums
         part = left.column("part")[0].as_py() if left.num_rows else 0
         keys = pa.concat_arrays(_in_order(left)) if left.num_rows else pa.nulls(0, left.schema.field("keys").type.value_type)
-        name = right.column("term").combine_chunks()
         place = np.full(n, -1)
         place[at[of_term]] = of_term
+        names = ["part", "at", "key", "term", "idf", "s", *columns(out_l)]
+        kinds = [pa.int64(), pa.int64(), keys.type, pa.string(), pa.float64(), pa.float64(), *[pa.float64()] * out_l]
+        made = []
+
+        def tell(size, *values):
+            arrays = [pa.nulls(size, k) if v is None else pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+            made.append(pa.RecordBatch.from_arrays(arrays, names))
+
+        for a in range(0, total, ROWS):
+            k = min(ROWS, total - a)
+            tell(k, np.full(k, part), np.arange(a, a + k), keys.slice(a, k), None, None, s[a : a + k], *y[:, a : a + k])
         if last:
             t, d, w = (np.concatenate(x) for x in zip(*alone, strict=True)) if alone else (np.zeros(0, int),) * 3
-            more = [name.take(pa.array(place[t])), weight[t], [w * before[i][d] for i in range(out_l)]]
-        else:
-            t = np.flatnonzero(several)
-            more = [name.take(pa.array(place[t])), None, [z[i][t] for i in range(out_l)]]
-        k = len(more[0])
-        by = lambda a, b, kind: pa.concat_arrays([a if a is not None else pa.nulls(total, kind), b if b is not None else pa.nulls(k, kind)])
-        numbers = lambda x: pa.array(np.ascontiguousarray(x))
-        arrays = [
-            by(pa.array(np.full(total, part, np.int64)), pa.array(np.full(k, -1, np.int64)), pa.int64()),
-            by(pa.array(np.arange(total, dtype=np.int64)), pa.array(np.full(k, -1, np.int64)), pa.int64()),
-            by(keys, None, keys.type),
-            by(None, more[0].cast(pa.string()), pa.string()),
-            by(None, None if more[1] is None else numbers(more[1]), pa.float64()),
-            by(numbers(s), None, pa.float64()),
-            *[by(numbers(y[i]), numbers(more[2][i]), pa.float64()) for i in range(out_l)],
-        ]
-        return pa.Table.from_arrays(arrays, ["part", "at", "key", "term", "idf", "s", *columns(out_l)])
+        for a in range(0, len(t), ROWS):
+            some = t[a : a + ROWS]
+            k = len(some)
+            term = right.column("term").take(pa.array(place[some])).combine_chunks().cast(pa.string())
+            of = w[a : a + ROWS] * before[:, d[a : a + ROWS]] if last else q[:, a : a + ROWS]
+            tell(k, np.full(k, -1), np.full(k, -1), None, term, weight[some] if last else None, None, *of)
+        return pa.Table.from_batches(made, pa.schema(list(zip(names, kinds, strict=True))))
 
     left = docs.groupBy("part")
     return left.cogroup(given.groupBy("part")).applyInArrow(one, schema)
@@ -311,7 +347,7 @@ def fit(
         docs, together = docs.groupBy(key).agg(F.array_join(F.collect_list(text), "\n").alias(text)), None
     dealt, parts = parts_of(docs, key, text, together)
     pack = packed(dealt, key, language, parts)
-    own = pack.where("keys is not null").select("part", "chunk", "keys", "sizes", "terms", "tf")
+    own = pack.where("keys is not null").select("part", "chunk", "keys", "docs", "tf", "terms", "counts")
     listed = pack.where("keys is null").select("part", "at", "term", "n")
     weight = lambda df: 1 + F.log((1 + F.lit(n)) / (1 + F.col(df)))
     idf = listed.groupBy("term").agg(F.sum("n").alias("df"))
