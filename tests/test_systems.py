@@ -140,3 +140,16 @@ def test_evaluated_systems_search_texts_once(spark, data, monkeypatch, tmp_path)
     assert len(asked) == 2
     for name, alone in (("hybrid", P.hybrid_half), ("fused", P.fused_search)):
         assert sorted(found[name].collect()) == sorted(alone(spark, data).select(*found[name].columns).collect())
+
+
+def test_built_entities_need_no_relations(spark, data, monkeypatch):
+    from trilune.operators import kg_build as K
+    from trilune.plans import building
+
+    def none(*a, **k):
+        raise AssertionError("relations were sought")
+
+    monkeypatch.setattr(K, "related", none)
+    assert building.kg_built_entities(spark, data).count() > 0
+    with pytest.raises(ValueError):
+        building.built(spark, data, "corpus")

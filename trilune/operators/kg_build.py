@@ -99,11 +99,15 @@ def build(
     stop: dict[str, list[str]] | None = None,
     least: int = 2,
     tagger: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+    upto: str = "report",
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(entities, relations, report) of a corpus (doc, text, language), as tables under the folder.
 
     tagger: further entities (doc, language, type, name) of the corpus, less certain than those by patterns.
+    upto: the last round that is made; entities do not depend on the rounds after theirs. What is not made is None.
     """
+    if upto not in ("entities", "relations", "report"):
+        raise ValueError(f"no round to stop after: {upto}")
     spark = corpus.sparkSession
     texts = round_of(spark, folder, "corpus", lambda: corpus.select("doc", "text", "language"))
 
@@ -118,7 +122,11 @@ def build(
 
     extracted = round_of(spark, folder, "extracted", extract)
     entities = round_of(spark, folder, "entities", lambda: inserted(extracted))
+    if upto == "entities":
+        return entities, None, None
     found = round_of(spark, folder, "related", lambda: related(texts, extracted, relation_patterns))
     relations = round_of(spark, folder, "relations", lambda: linked(found, entities))
+    if upto == "relations":
+        return entities, relations, None
     told = round_of(spark, folder, "report", lambda: report(texts, extracted, entities, found, relations))
     return entities, relations, told

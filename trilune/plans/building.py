@@ -17,16 +17,16 @@ from trilune.streaming import uploads as U
 JOINED = [("en", "belongsTo", r"\b([a-z]+) of ([a-z]+)\b"), ("fr", "belongsTo", r"(\p{Ll}+) de (\p{Ll}+)")]
 
 
-def built(spark, d):
-    return B.build(texts(spark, d), scratch(spark, "graph"), WORDS, JOINED, STOPWORDS, 4)
+def built(spark, d, upto="report"):
+    return B.build(texts(spark, d), scratch(spark, "graph"), WORDS, JOINED, STOPWORDS, 4, upto=upto)
 
 
 def kg_built(spark, d):
-    return built(spark, d)[1].select("src", "dst", "rel", "confidence")
+    return built(spark, d, "relations")[1].select("src", "dst", "rel", "confidence")
 
 
 def kg_built_entities(spark, d):
-    return built(spark, d)[0].select("id", "name", "type", "language")
+    return built(spark, d, "entities")[0].select("id", "name", "type", "language")
 
 
 def kg_built_report(spark, d):
